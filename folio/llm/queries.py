@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,14 +23,38 @@ def read_bytes(path: str) -> bytes:
         return f.read()
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm import quality
+    from folio.llm.common import fold
+
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm import secret_scan
+
+    return secret_scan.digests(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.piece_codec import digests, encode_decode
 
     return digests(encode_decode(_table(spark, sf_dir, "documents"), read_bytes(tokenizer_path("piece_bpe_32k.model"))))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm import license_scan
+
+    return license_scan.digests(license_scan.scan(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op3_secret_scan": op3_secret_scan,
     "op6_piece_codec": op6_piece_codec,
+    "op7_license_scan": op7_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
