@@ -93,9 +93,9 @@ def mixed(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, bud
     # Counted once: a narrow table of a few dozen bytes a row, written to the shared folder.
     narrow = stored(at.select(*LEVELS, "__id", F.col("__tokens").alias("n_tokens")), "mix")
     leaves = leaf_budgets(narrow, weights or {}, budget_share, max_epochs)
-    plan = leaves.withColumn("epochs", F.expr("IF(tokens > 0, budget div tokens, 0)")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
-    few = plan.select(*LEVELS, "epochs", "rest")
-    small = few.count() <= BROADCAST_LEAVES
+    plan = stored(leaves, "budgets").withColumn("epochs", F.expr("IF(tokens > 0, budget div tokens, 0)")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
+    few = plan.where("rest > 0 OR tokens = 0").select(*LEVELS, "epochs", "rest")
+    small = plan.count() <= BROADCAST_LEAVES
     hint = F.broadcast if small else lambda x: x
     order = _order(seed, F.col("epochs"), F.col("__id"))
     ranges = narrow.join(hint(few), list(LEVELS)).groupBy(*LEVELS, "rest", "epochs", F.left(order, F.lit(RANGE_DIGITS)).alias("range")).agg(F.sum("n_tokens").alias("n"))
@@ -107,11 +107,11 @@ def mixed(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, bud
     run = Window.partitionBy(*LEVELS).orderBy("order").rangeBetween(Window.unboundedPreceding, 0)
     # Rows of one range of each leaf: the last order value that still fits. Rows with one id stand or fall together.
     last = inside.withColumn("sum", F.col("before") + F.sum("n_tokens").over(run)).where("sum <= rest").groupBy(*LEVELS).agg(F.max("order").alias("last"))
-    ends = stored(cuts.join(last, list(LEVELS), "left").select(*LEVELS, "epochs", "cut", "last"), "ends")
-    taken = at.join(hint(ends), list(LEVELS), "left")
-    key = _order(seed, F.col("epochs"), F.col("__id"))
-    extra = (F.left(key, F.lit(RANGE_DIGITS)) < F.col("cut")) | (F.coalesce(key <= F.col("last"), F.lit(False)))
-    return taken.withColumn("__copies", (F.col("epochs") + F.when(extra, 1).otherwise(0)).cast("long")).select(*names, *LEVELS, "__tokens", "__copies")
+    ends = stored(cuts.join(last, list(LEVELS), "left").select(*LEVELS, F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut"), F.col("last").alias("__last")), "ends")
+    taken = at.join(hint(plan.select(*LEVELS, F.col("epochs").alias("__full"))), list(LEVELS), "left").join(hint(ends), list(LEVELS), "left")
+    key = _order(seed, F.col("__epochs"), F.col("__id"))
+    extra = F.coalesce(F.left(key, F.lit(RANGE_DIGITS)) < F.col("__cut"), F.lit(False)) | F.coalesce(key <= F.col("__last"), F.lit(False))
+    return taken.withColumn("__copies", (F.col("__full") + F.when(extra, 1).otherwise(0)).cast("long")).select(*names, *LEVELS, "__tokens", "__copies")
 
 
 def repeated(mix: DataFrame, names: list[str]) -> DataFrame:

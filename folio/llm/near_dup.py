@@ -7,9 +7,11 @@ Candidates come from inverted lists of retained values. In two linked documents
 (all but certain for random hashes: see tests; exact for small sets), so, with the values of a sketch in the order of
 their frequency, the first (size - NEED + 1) of each must meet in one. Only these are listed, which keeps passages that
 many documents share out of the lists. The union of two sketches estimates the similarity; pairs that can reach the
-threshold are verified on full sets. This goes in two rounds: first each class meets the first one of its lists, which
-joins groups of near copies by stars; then all pairs of a list that are not in one component yet are compared. So a
-group's pairs are never listed, and no link between components is lost.
+threshold are verified on full sets. This goes in two rounds. First each class meets the first one of its lists, which
+joins most of a group of near copies in a star. Then the lists that still hold several components are joined to
+neighbourhoods; in each of these all pairs of different components are compared, in blocks: sizes first, then larger
+sketches, then full sets as bit strings. Only links that join two components leave a block, so a group's pairs are never
+listed, and no link between components is lost.
 
 Components are found by minimum labels with pointer jumping, in tables; nothing but counts and sums comes to the driver.
 
@@ -34,6 +36,10 @@ from folio.llm.common import cut, slabs, stored
 WORDS, PERCENT = 5, 75
 #: Values a sketch retains; sets up to WHOLE are retained in full; values that the sketches of a link share at least.
 KEEP, WHOLE, NEED = 32, 48, 12
+#: Values of the larger sketches of round 2, and of these that linked sets share (sets up to half as large again skip this test).
+FINE, FINE_NEED = 128, 88
+#: Members of a block of a large neighbourhood; small neighbourhoods share tasks of about this many members.
+MEMBERS = 1_024
 #: Ids up to which the list of documents to read again is broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 #: Bytes hashed at once.
@@ -192,20 +198,89 @@ def minimum_labels(edges: DataFrame) -> DataFrame:
         labels = cut(step.join(step.select(F.col("id").alias("label"), F.col("label").alias("next")), "label").select("id", F.col("next").alias("label")))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets are similar enough."""
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "rep", "key"), "cid")
-    wanted = stored(wanted, "wanted")
+def _full_sets(cids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cid, n, s): the full sets of the classes, from their first documents, which are read again."""
+    wanted = stored(cids.select("cid").distinct().join(classes.select("cid", "rep", "key"), "cid"), "wanted")
     few = wanted.select(F.col("rep").alias("doc_id")).distinct()
     small = wanted.count() <= BROADCAST_IDS
     again = _hashed(texts.join(F.broadcast(few) if small else few, "doc_id", "left_semi"), full=True).withColumnRenamed("doc_id", "rep")
-    sets = stored(wanted.join(again, ["rep", "key"]).select("cid", "n", F.col("values").alias("s")).dropDuplicates(["cid"]), "sets")
+    return stored(wanted.join(again, ["rep", "key"]).select("cid", "n", F.col("values").alias("s")).dropDuplicates(["cid"]), "sets")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of class ids whose full sets are similar enough."""
+    pairs = stored(pairs, "pairs")
+    sets = _full_sets(pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))), classes, texts)
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
     common = F.size(F.array_intersect("s_a", "s_b"))
     return cut(pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", common).where(F.col("i") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("i")) * PERCENT).select("a", "b"))
 
 
+def _bits(arrays: list[np.ndarray]) -> list[int]:
+    """Each array as a bit string over the values that occur in more than one."""
+    sizes = [len(a) for a in arrays]
+    values, where, n = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    number = np.cumsum(n > 1) - 1
+    at, out = 0, []
+    row = np.zeros(int((n > 1).sum()), np.uint8)
+    for size in sizes:
+        mine = where[at : at + size]
+        mine = number[mine[n[mine] > 1]]
+        row[mine] = 1
+        out.append(int.from_bytes(np.packbits(row).tobytes(), "big"))
+        row[mine] = 0
+        at += size
+    return out
+
+
+def joining_links(cids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join different components (labels), until no pair of different components is left; blocks: only pairs of two."""
+    n = np.array([len(x) for x in sets])
+    if len(sets) < 2 or (labels == labels[0]).all():
+        return []
+    small, whole = _bits([x[:FINE] for x in sets]), _bits(sets)
+    labels, out = labels.copy(), []
+    for i in range(len(sets) - 1):
+        later = slice(i + 1, None)
+        close = (labels[later] != labels[i]) & (np.minimum(n[later], n[i]) * 100 >= np.maximum(n[later], n[i]) * PERCENT)
+        if blocks is not None:
+            close &= blocks[later] != blocks[i]
+        for j in (np.flatnonzero(close) + i + 1).tolist():
+            if labels[j] == labels[i] or min(n[i], n[j]) > FINE * 3 // 2 and (small[i] & small[j]).bit_count() < FINE_NEED:
+                continue
+            common = (whole[i] & whole[j]).bit_count()
+            if common * 100 >= (n[i] + n[j] - common) * PERCENT:
+                out.append((int(cids[i]), int(cids[j])))
+                labels[labels == labels[j]] = labels[i]
+    return out
+
+
+def _round2(open_lists: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that join the components of the lists (v, cid, label)."""
+    heads = open_lists.groupBy("v").agg(F.min("cid").alias("b"))
+    around = minimum_labels(open_lists.join(heads, "v").select(F.col("cid").alias("a"), "b").where("a <> b").distinct()).select(F.col("id").alias("cid"), F.col("label").alias("around"))
+    members = open_lists.select("cid", "label").distinct().join(around, "cid")
+    sizes = members.groupBy("around").agg(F.count("*").alias("size"))
+    placed = stored(members.join(sizes, "around"), "around")
+    tasks = max(1, placed.where(F.col("size") <= MEMBERS).count() // MEMBERS)
+    deal = F.ceil(F.col("size") / MEMBERS).cast("int")
+    big = placed.where(F.col("size") > MEMBERS).withColumn("mine", F.pmod(F.xxhash64("cid"), deal).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), deal - 1))).select("cid", "label", "around", F.col("around").alias("task"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
+    little = placed.where(F.col("size") <= MEMBERS).select("cid", "label", "around", F.pmod(F.xxhash64("around"), F.lit(tasks)).cast("long").alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("mine"))
+    ready = big.unionAll(little).join(_full_sets(placed, classes, texts), "cid")
+
+    def compare(t: pa.Table) -> pa.Table:
+        cids, labels, around, mine = (t[c].to_numpy() for c in ("cid", "label", "around", "mine"))
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        sets = [np.asarray(x) for x in t["s"].to_numpy()]
+        out: list[tuple[int, int]] = []
+        order = np.argsort(around, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(around[order])) + 1):
+            out += joining_links(cids[part], labels[part], [sets[k] for k in part], mine[part] if i != j else None)
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return cut(ready.groupBy("task", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -231,13 +306,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = _verified(near, classes, texts)
     labels = minimum_labels(links)
 
-    # Round 2: pairs of a list in different components.
+    # Round 2: lists with several components.
     placed = lists.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     mixed = placed.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
-    open_lists = stored(placed.join(mixed, "v").join(classes.select("cid", "s"), "cid").select("v", "cid", "n", "label", "s"), "open")
-    half = lambda x: open_lists.select("v", F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"l_{x}"), F.col("s").alias(f"s_{x}"))
-    rest = half("a").join(half("b"), "v").where((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & _similar("n_a", "n_b") & _possible()).select("a", "b").distinct()
-    labels = minimum_labels(links.unionAll(_verified(rest, classes, texts)))
+    open_lists = stored(placed.join(mixed, "v").select("v", "cid", "label"), "open")
+    labels = minimum_labels(links.unionAll(_round2(open_lists, classes, texts)))
 
     whole = classes.select("cid", "key", "rep").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     lowest = whole.groupBy("label").agg(F.min("rep").alias("component"))

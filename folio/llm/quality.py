@@ -105,16 +105,20 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum.accumulate(knots), values
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, held_out, bound: int, keep: str | None = None) -> DataFrame:
-    """(y, part, text and the column keep) of at most about bound labelled rows outside the held-out fold; part: 0 fits, 1 calibrates."""
+def sampled(docs: DataFrame, labels: DataFrame, label: str, held_out, bound: int, keep: str | None = None, each: int | None = None) -> DataFrame:
+    """(y, part, text, weight and the column keep) of at most about bound labelled rows outside the held-out fold; part: 0 fits, 1 calibrates."""
     one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min(label).alias("__lo"), F.max(label).alias("__hi")).where("__lo = __hi").select("__id", F.col("__lo").cast("int").alias("__y")).where(~held_out(F.col("__id")))
-    n = one.count()
-    share = min(1.0, bound / max(1, n))
-    unit = lambda seed: (F.xxhash64(F.lit(seed), "__id") % 1_000_000 + 1_000_000) / 2_000_000
-    few = one.where(unit(11) < share) if share < 1 else one
+    unit = (F.xxhash64(F.lit(11), "__id") % 1_000_000 + 1_000_000) / 2_000_000
+    if each is None:
+        share = F.lit(min(1.0, bound / max(1, one.count())))
+    else:  # each: rows of each class, at most about
+        n = {r["__y"]: r["count"] for r in one.groupBy("__y").count().collect()}
+        share = F.when(F.col("__y") == 1, min(1.0, each / max(1, n.get(1, 0)))).otherwise(min(1.0, each / max(1, n.get(0, 0))))
+    few = one.withColumn("__w", 1 / share).where(unit < share)
+    part = (F.xxhash64(F.lit(13), "__id") % 1_000_000 + 1_000_000) / 2_000_000
     text = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([keep] if keep else []))
     # At most about bound rows of ids: a few hundred KB. Texts are not shuffled.
-    return text.join(F.broadcast(few), "__id").select(F.col("__y").alias("y"), F.when(unit(13) < 0.35, 1).otherwise(0).alias("part"), "text", *([keep] if keep else []))
+    return text.join(F.broadcast(few), "__id").select(F.col("__y").alias("y"), F.when(part < 0.35, 1).otherwise(0).alias("part"), "text", F.col("__w").alias("weight"), *([keep] if keep else []))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out=lambda i: fold(i, 5) == 0, bound: int = MAX_TRAIN) -> Model:

@@ -146,9 +146,9 @@ g{i} AS (SELECT {', '.join(path)}, (part + CASE WHEN NOT filled_up AND turn <= s
 t{i + 1} AS (SELECT t.* EXCLUDE (budget), g.budget FROM t{i} t JOIN g{i} g USING ({', '.join(path)}))"""
     return sql + """,
 p AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs FROM t3),
-r AS (SELECT d.*, p.epochs, p.budget - p.epochs * p.tokens AS rest, md5('17|' || p.epochs || '|' || d.doc_id) AS turn FROM d JOIN p USING (domain, lang, source)),
+r AS (SELECT d.*, p.epochs, p.tokens, p.budget - p.epochs * p.tokens AS rest, md5('17|' || p.epochs || '|' || d.doc_id) AS turn FROM d JOIN p USING (domain, lang, source)),
 s AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY turn) AS upto FROM r),
-o AS (SELECT doc_id, domain, lang, source, n_tokens, (epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM s)
+o AS (SELECT doc_id, domain, lang, source, n_tokens, (epochs + CASE WHEN upto <= rest AND (rest > 0 OR tokens = 0) THEN 1 ELSE 0 END)::BIGINT AS copies FROM s)
 SELECT * FROM o WHERE copies > 0"""
 
 
