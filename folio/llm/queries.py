@@ -124,7 +124,7 @@ def _mixing_sql() -> str:
     sql = rf"""WITH d AS (
   SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
     'd' || (ascii(right(coalesce(source, 'unknown'), 1)) % 4) AS domain,
-    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> ''))::BIGINT AS n_tokens
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens
   FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * {MIX_EPOCHS})::BIGINT AS cap FROM d GROUP BY ALL),
 t0 AS (SELECT *, floor(sum(tokens) OVER () * {MIX_SHARE})::BIGINT AS budget FROM leaves)"""
