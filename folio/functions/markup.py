@@ -47,7 +47,7 @@ def template(text: Column, values: Column, marks: str = "site") -> Column:
 
 def breadcrumb_items(value: Column) -> Column:
     """array of (label, href, active) of "Home[/] > Foo[foo.html] > Page"; the last one is active."""
-    parts = F.transform(F.split(F.replace(value, F.lit("&gt;"), F.lit(">")), ">"), F.trim)
+    parts = F.transform(F.split(F.replace(value, F.lit("&gt;"), F.lit(">")), ">"), lambda x: F.trim(x))
     return F.transform(parts, lambda p, i: F.struct(F.trim(F.regexp_extract(p, r"^([^\[]*)", 1)).alias("label"), F.nullif(F.trim(F.regexp_extract(p, r"\[([^\]]*)\]", 1)), F.lit("")).alias("href"), (i == F.size(parts) - 1).alias("active")))
 
 
@@ -114,7 +114,7 @@ def _corners(lines: list[str]) -> list[list[tuple[int, int]]]:
         path, spot, step = [(x, y)], (x, y), (1, 0)
         while True:
             turns = [step, (-step[1], step[0]), (step[1], -step[0])] if at[spot] in "+.'" else [step]
-            turns = turns[1:2] + turns[:1] + turns[2:] if at[spot] in "+.'" else turns
+            turns = turns[1:2] + turns[:1] + turns[2:] if at[spot] in "+.'" and spot != (x, y) else turns  # clockwise
             for dx, dy in turns:
                 to = (spot[0] + dx, spot[1] + dy)
                 if at.get(to, " ") in (flat if dx else tall):

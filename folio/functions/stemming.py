@@ -112,7 +112,9 @@ def stem(word: str, query: bool = False) -> str:
     return word
 
 
-_index_memo = lru_cache(maxsize=300_000)(stem)
+@lru_cache(maxsize=300_000)
+def remembered(word: str, query: bool = False) -> str:
+    return stem(word, query)
 
 
 def stems(words: Column, query: bool = False) -> Column:
@@ -120,7 +122,7 @@ def stems(words: Column, query: bool = False) -> Column:
 
     @F.pandas_udf(StringType())
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda w: None if w is None else _index_memo(w, query))
+        return values.map(lambda w: None if w is None else remembered(w, query))
 
     return run(words)
 

@@ -133,7 +133,7 @@ def identifier(value: Column) -> Column:
 
 def csv_values(value: Column) -> Column:
     """The trimmed values of a comma list, blank ones dropped; empty for null."""
-    return F.filter(F.transform(F.split(_blank(value), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(_blank(value), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def published(value: Column, now: Column) -> Column:
@@ -275,7 +275,7 @@ def callouts(snippet: Column) -> tuple[Column, Column]:
 
 def authors(line: Column) -> Column:
     """array of (name, mail) of "Name <mail>, ..."."""
-    part = F.filter(F.transform(F.split(line, ","), F.trim), lambda x: x != "")
+    part = F.filter(F.transform(F.split(line, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(part, lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^<]*)", 1)).alias("name"), F.regexp_extract(x, "<([^>]*)>", 1).alias("mail")))
 
 

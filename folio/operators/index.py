@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from folio.functions import text as T
-from folio.functions.stemming import stems
+from folio.functions.stemming import remembered, stems
 from folio.operators import filters, ordering
 from folio.plans.durable import stored
 from folio.sources.html import page_fields
@@ -31,9 +31,7 @@ class Index:
 
 @F.pandas_udf(ArrayType(StringType()))
 def _stem_lists(values):
-    from folio.functions.stemming import _index_memo
-
-    return values.map(lambda ws: None if ws is None else [_index_memo(w, False) for w in ws])
+    return values.map(lambda ws: None if ws is None else [remembered(w) for w in ws])
 
 
 def fields_of(pages: DataFrame, body: str, meta_attribute: str, url: str = "url", html: str = "html", skip_mark: str = ":index-skip: true") -> DataFrame:

@@ -397,9 +397,9 @@ def agg_overview(spark, d):
     return retrieval.overview(table(spark, d, "documents"), "source", "doc_id").select("text")
 
 
-@query("SELECT l_orderkey, string_agg(l_shipmode, ',' ORDER BY l_linenumber) AS tags FROM (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) GROUP BY ALL")
+@query("SELECT l_orderkey, string_agg(l_shipmode, ',' ORDER BY l_linenumber, l_shipmode) AS tags FROM (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) GROUP BY ALL")
 def agg_joined_tags(spark, d):
-    return reports.joined(table(spark, d, "lineitem"), ["l_orderkey"], F.concat("l_returnflag", "l_linestatus"), ["l_linenumber"], ",", "tags")
+    return reports.joined(table(spark, d, "lineitem"), ["l_orderkey"], F.concat("l_returnflag", "l_linestatus"), ["l_linenumber", F.concat("l_returnflag", "l_linestatus")], ",", "tags")
 
 
 @query("SELECT p_brand, array_to_string(list_sort(coalesce(list(DISTINCT p_type) FILTER (p_size < 10), [])), ',') AS primitives, array_to_string(list_sort(coalesce(list(DISTINCT p_type) FILTER (p_size BETWEEN 10 AND 30), [])), ',') AS objects FROM part GROUP BY ALL")
@@ -453,10 +453,10 @@ def win_ordinal(spark, d):
     return ordering.numbered(table(spark, d, "pages").select("page_id", "url"), "url", "page_id").select("page_id", (F.col("rank") - 1).alias("doc_idx"))
 
 
-@query("SELECT l_orderkey, l_linenumber, last_value(nullif(v, '') IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS vendor FROM (SELECT *, CASE WHEN l_linenumber % 3 = 1 THEN l_returnflag ELSE '' END AS v FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, last_value(nullif(v, '') IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS vendor FROM (SELECT *, CASE WHEN l_linenumber % 3 = 1 THEN l_returnflag ELSE '' END AS v FROM lineitem)")
 def win_fill_down(spark, d):
-    at = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 3 == 1, F.col("l_returnflag")).otherwise(" ").alias("vendor"))
-    return ordering.filled_down(at, "l_orderkey", "vendor", "l_linenumber")
+    at = table(spark, d, "lineitem").withColumn("vendor", F.when(F.col("l_linenumber") % 3 == 1, F.col("l_returnflag")).otherwise(" "))
+    return ordering.filled_down(at, "l_orderkey", "vendor", "l_linenumber", "l_partkey", "l_extendedprice").select("l_orderkey", "l_linenumber", "vendor")
 
 
 @query("SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS previous FROM orders")

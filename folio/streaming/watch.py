@@ -12,7 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 def changes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, modificationTime, content) of new and rewritten files below a folder."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
 def settled(events: DataFrame, key: str, at: str, quiet: str = "1 second", late: str = "10 seconds") -> DataFrame:
