@@ -7,8 +7,9 @@ queries is answered exactly against all rows, in one pass, and visits are widene
 in visited leaves; if need be, up to all leaves, which is exact.
 
 All rows are indexed. Leaves are packed into bins of up to BIN rows, and large leaves are split over several, so neither
-a popular leaf nor copies of one vector make a large task; queries meet a bin in blocks of up to BLOCK. Each bin returns
-its best rows for each query, and the best of these are the result. Scores are inner products of the original vectors in
+a popular leaf nor copies of one vector make a large task; queries meet a bin in blocks of up to BLOCK. A query first
+meets the bin of its best leaf; the score of the last of the k rows found there bounds what its other bins need to
+return. The best rows of all bins are the result. Scores are inner products of the original vectors in
 double precision, computed in one order of components, so equal vectors have equal scores; ties go to the smaller id.
 
 Vectors that are null or zero, or hold null or non-finite components, take no part, neither do null ids and vectors of
@@ -125,8 +126,8 @@ def fit(x: np.ndarray) -> Tree:
     return Tree(np.array(centres), np.array(spread), children, numbers)
 
 
-def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, allowed: np.ndarray | None) -> list[tuple[int, int, float]]:
-    """(query row, row of x, score) of the k best rows for each query; ties to the smaller id."""
+def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, allowed: np.ndarray | None, least: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """(query row, row of x, score) of the k best rows for each query, of those with a score of least; ties to the smaller id."""
     out = []
     rough = q @ x.T
     if allowed is not None:
@@ -137,7 +138,7 @@ def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: i
         near = np.flatnonzero((s > -np.inf) & (s >= kth - 1e-9 * (1 + abs(kth)) if kth > -np.inf else s > -np.inf))
         exact = (x[near] * q[i]).sum(axis=1)
         top = np.lexsort((ids[near], -exact))[:k]
-        out += [(i, near[j], exact[j]) for j in top]
+        out += [(i, near[j], exact[j]) for j in top if least is None or exact[j] >= least[i]]
     return out
 
 
@@ -201,7 +202,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple[int, int, list[int]]] = []
+            rows: list[tuple[int, int, list[int], bool]] = []
             for i, v in enumerate(matrix(b.column("e"), dimension)):
                 seen, mine = 0, {}
                 for step, leaf in enumerate(tree.visits(v)):
@@ -210,27 +211,35 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
                     seen += sizes.get(leaf, 0)
                     for part in range(bins[leaf][1] if sizes.get(leaf) else 0):
                         mine.setdefault(bins[leaf][0] + part, []).append(leaf)
-                rows += [(i, bin_, leaves) for bin_, leaves in sorted(mine.items())]
+                rows += [(i, bin_, leaves, n == 0) for n, (bin_, leaves) in enumerate(mine.items())]
             for a in range(0, len(rows), 10_000):
                 some = rows[a : a + 10_000]
-                pick = pa.array([i for i, _, _ in some], pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pick), b.column("e").take(pick), pa.array([x for _, x, _ in some], pa.int32()), pa.array([x for _, _, x in some], pa.list_(pa.int32()))], ["id", "e", "bin", "leaves"])
+                pick = pa.array([r[0] for r in some], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pick), b.column("e").take(pick), pa.array([r[1] for r in some], pa.int32()), pa.array([r[2] for r in some], pa.list_(pa.int32())), pa.array([r[3] for r in some])], ["id", "e", "bin", "leaves", "first"])
 
-    asked = stored(queries.mapInArrow(walk, "id long, e array<double>, bin int, leaves array<int>"), "visits")
-    # Blocks of queries for each bin; as many rows as bins, which grow with the table: kept as a table.
-    blocks = asked.groupBy("bin").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    asked = stored(queries.mapInArrow(walk, "id long, e array<double>, bin int, leaves array<int>, first boolean"), "visits")
     deal = lambda c, m: F.pmod(F.xxhash64(F.lit(SEED + 2), c), m).cast("int")
-    left = placed.withColumn("bin", first + deal(F.col("id"), parts)).join(blocks, "bin").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bin", "block", "id", "e", "leaf")
-    right = asked.join(blocks, "bin").withColumn("block", deal(F.col("id"), F.col("blocks"))).select("bin", "block", "id", "e", "leaves")
+    binned = placed.withColumn("bin", first + deal(F.col("id"), parts)).select("bin", "id", "e", "leaf")
 
     def meet(rows: pa.Table, asks: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
         x, ids, leaf = matrix(rows["e"], dimension), rows["id"].to_numpy(), rows["leaf"].to_numpy()
         qs, q_all, wanted = matrix(asks["e"], dimension), asks["id"].to_numpy(), asks["leaves"].to_pylist()
+        least = asks["least"].to_numpy()
         for a in range(0, len(q_all) if len(ids) else 0, 256):
             allowed = np.stack([np.isin(leaf, w) for w in wanted[a : a + 256]])
-            out += [(int(q_all[a + i]), int(ids[j]), float(s)) for i, j, s in _best(qs[a : a + 256], q_all[a : a + 256], x, ids, k, allowed)]
+            out += [(int(q_all[a + i]), int(ids[j]), float(s)) for i, j, s in _best(qs[a : a + 256], q_all[a : a + 256], x, ids, k, allowed, least[a : a + 256])]
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
 
-    met = left.groupBy("bin", "block").cogroup(right.groupBy("bin", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def met(asks: DataFrame) -> DataFrame:
+        """asks: asked with least. Blocks of queries for each bin are counted in a table, as bins grow with the rows."""
+        blocks = asks.groupBy("bin").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        left = binned.join(blocks, "bin").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bin", "block", "id", "e", "leaf")
+        right = asks.join(blocks, "bin").withColumn("block", deal(F.col("id"), F.col("blocks"))).select("bin", "block", "id", "e", "leaves", "least")
+        return left.groupBy("bin", "block").cogroup(right.groupBy("bin", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
+
+    lowest = F.lit(float("-inf"))
+    home = stored(met(asked.where("first").withColumn("least", lowest)), "home")
+    bounds = home.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") >= k).select("id", "s")
+    rest = met(asked.where("NOT first").join(bounds, "id", "left").withColumn("least", F.coalesce("s", lowest)))
+    return home.unionAll(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
