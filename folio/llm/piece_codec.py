@@ -29,7 +29,7 @@ from folio.llm.common import slabs, texts_of
 
 SPACE = "▁"
 #: Entries of the memo tables of one worker; they are emptied when full.
-MEMO_RUNS, MEMO_PAIRS = 700_000, 1_000_000
+MEMO_RUNS, MEMO_PAIRS = 350_000, 400_000
 
 
 class PrefixTable:
