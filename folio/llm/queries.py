@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm import oracle
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -152,4 +154,4 @@ o AS (SELECT doc_id, domain, lang, source, n_tokens, (epochs + CASE WHEN upto <=
 SELECT * FROM o WHERE copies > 0"""
 
 
-ORACLE_SQL: dict[str, str] = {"op10_mixing": _mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op5_near_dup": oracle.near_dup_sql(), "op7_license_scan": oracle.license_sql(), "op9_pivot_dup": oracle.linked_vectors_sql(), "op10_mixing": _mixing_sql()}
