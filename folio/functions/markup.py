@@ -154,3 +154,21 @@ def svg(drawings: DataFrame, key: str, text: str, cell: tuple[int, int] = (9, 16
     runs = text_runs(cells(drawings, key, text), key).select(key, F.lit(1).alias("o"), F.col("y").alias("a"), F.col("x").alias("b"), F.concat(F.lit('<text x="'), (F.col("x") * x).cast("string"), F.lit('" y="'), (F.col("y") * y + y).cast("string"), F.lit('">'), F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</text>")).alias("e"))
     both = paths.unionByName(runs).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "a", "b", "e"))).alias("x"))
     return both.select(key, F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">'), F.array_join(F.transform("x", lambda e: e["e"]), ""), F.lit("</svg>")).alias("svg"))
+
+
+SELECT_MARKS = ("<!-- VERSIONS START -->", "<!-- VERSIONS END -->")
+
+
+def version_select(versions: DataFrame, order: Column, current: str = "") -> DataFrame:
+    """(select): one row, the select element between its marks, versions (folder) in the given order, newest first."""
+    option = F.concat(F.lit('<option value="'), "folder", F.lit('"'), F.when(F.col("folder") == current, " selected").otherwise(""), F.lit(">"), "folder", F.lit("</option>"))
+    ranked = versions.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order.desc())).alias("n"), option.alias("o"))  # as many rows as versions
+    listed = ranked.agg(F.array_sort(F.collect_list(F.struct("n", "o"))).alias("x"))
+    return listed.select(F.concat(F.lit(SELECT_MARKS[0] + "<select>"), F.array_join(F.transform("x", lambda x: x["o"]), ""), F.lit("</select>" + SELECT_MARKS[1])).alias("select"))
+
+
+def with_select(html: Column, select: Column, anchor: str) -> Column:
+    """The page with the select behind the anchor, or in the place of an earlier one."""
+    start, stop = F.instr(html, SELECT_MARKS[0]), F.instr(html, SELECT_MARKS[1])
+    again = F.concat(F.substring(html, F.lit(1), start - 1), select, F.substring(html, stop + len(SELECT_MARKS[1]), F.length(html)))
+    return F.when((start > 0) & (stop > start), again).otherwise(F.replace(html, F.lit(anchor), F.concat(F.lit(anchor), select)))
