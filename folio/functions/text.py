@@ -316,3 +316,39 @@ def replaced(text: Column, token: str, value: str) -> Column:
 def attributes_replaced(text: Column, attributes: Column) -> Column:
     """{name} by the value of that attribute; unknown names stay."""
     return F.aggregate(F.array_sort(F.map_entries(attributes)), text, lambda s, e: F.replace(s, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
+
+
+def level_offset(text: Column, offset: int) -> Column:
+    """Section titles of each line deeper by offset, one = at least."""
+    if offset >= 0:
+        return F.regexp_replace(text, r"(?m)^(=+) ", "=" * offset + "$1 ")
+    return F.regexp_replace(text, r"(?m)^={0," + str(-offset) + r"}(=+) ", "$1 ")
+
+
+def indented(text: Column, n: int) -> Column:
+    """The common indentation of the lines with text replaced by n spaces."""
+    lines = F.split(text, "\n", -1)
+    depth = F.coalesce(F.array_min(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.length(x) - F.length(F.ltrim(x)))), F.lit(0))
+    return F.array_join(F.transform(lines, lambda x: F.when(F.trim(x) == "", "").otherwise(F.concat(F.lit(" " * n), F.substring(x, depth + 1, F.length(x))))), "\n")
+
+
+def category_class(categories: Column) -> Column:
+    first = F.get(csv_values(categories), F.lit(0))
+    return F.coalesce(F.concat(F.lit("category-"), slug(first)), F.lit(""))
+
+
+def schema_anchor(ref: Column) -> Column:
+    return F.replace(F.substring_index(ref, "/", -1), F.lit("."), F.lit("_"))
+
+
+def separated(cells: Column, separator: str = ";") -> Column:
+    return F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), separator)
+
+
+def interpolated(attributes: Column, expression: str, fallback: Column | None = None) -> Column:
+    """The attribute of "key?emptyIfMissing=true&ignoreErrors=true"; a missing one is the fallback, '', null or an error."""
+    key, _, options = expression.partition("?")
+    flags = dict(o.partition("=")[::2] for o in options.split("&") if o)
+    missing = F.lit("") if flags.get("emptyIfMissing") == "true" else F.lit(None).cast("string") if flags.get("ignoreErrors") == "true" else F.raise_error(F.lit(f"no attribute {key}")).cast("string")
+    found = F.try_element_at(attributes, F.lit(key))
+    return F.coalesce(found, fallback, missing) if fallback is not None else F.coalesce(found, missing)

@@ -80,3 +80,22 @@ def links_rewritten(pages: DataFrame, rules: DataFrame, content: str) -> DataFra
     """pages with the rules (seq, regex, url), a small catalogue of known size, applied to content in order."""
     listed = rules.agg(F.array_sort(F.collect_list(F.struct("seq", "regex", "url"))).alias("__rules"))
     return pages.crossJoin(F.broadcast(listed)).withColumn(content, F.aggregate("__rules", F.col(content), lambda s, r: F.regexp_replace(s, r["regex"], r["url"]))).drop("__rules")
+
+
+def with_detail(rows: DataFrame, details: DataFrame, keys: list[str], wanted: bool = True) -> DataFrame:
+    """rows with the columns of their detail; without, if details aren't wanted."""
+    return rows.join(details, keys, "left") if wanted else rows
+
+
+def contributed(registry: dict, requested: list[tuple[str, str]]) -> dict[str, object]:
+    """{context name: contributor} of (contributor, context name) pairs; "noop" gives nothing; unknown and repeated names are errors."""
+    out: dict[str, object] = {}
+    for contributor, name in requested:
+        if contributor == "noop":
+            continue
+        if contributor not in registry:
+            raise ValueError(f"unknown contributor {contributor}, known: {sorted(registry)}")
+        if name in out:
+            raise ValueError(f"context name {name} is taken")
+        out[name] = registry[contributor]
+    return out

@@ -108,3 +108,45 @@ def pom_versions(poms: DataFrame, key: str, body: str) -> DataFrame:
     tag = lambda *names: F.coalesce(*[F.nullif(F.trim(F.regexp_extract(body, rf"<{n}>\s*([^<$]+?)\s*</{n}>", 1)), F.lit("")) for n in names])
     rule = lambda n: F.nullif(F.regexp_extract(body, rf"(?s)<{n}>.*?<version>\s*[\[(]?\s*([0-9][^,<\])]*)", 1), F.lit(""))
     return poms.select(key, F.coalesce(rule("requireJavaVersion"), tag(r"maven\.compiler\.release", r"maven\.compiler\.target", r"maven\.compiler\.source", r"java\.version")).alias("java"), rule("requireMavenVersion").alias("maven"))
+
+
+def sheet_rows(books: DataFrame, key: str, content: str, sheet: str | None = None) -> DataFrame:
+    """(key, row, cells array): the shown texts of the first or named sheet of .xlsx files; formulas give their stored values."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import re
+        import zipfile
+        from xml.etree import ElementTree as X
+
+        def local(e) -> str:
+            return e.tag.rsplit("}", 1)[-1]
+
+        for frame in frames:
+            rows = []
+            for k, raw in zip(frame["key"], frame["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
+                    shared = []
+                    if "xl/sharedStrings.xml" in z.namelist():
+                        shared = ["".join(t.text or "" for t in s.iter() if local(t) == "t") for s in X.fromstring(z.read("xl/sharedStrings.xml")) if local(s) == "si"]
+                    names = [s.get("name") for s in X.fromstring(z.read("xl/workbook.xml")).iter() if local(s) == "sheet"]
+                    place = names.index(sheet) if sheet else 0
+                    for r in (e for e in X.fromstring(z.read(f"xl/worksheets/sheet{place + 1}.xml")).iter() if local(e) == "row"):
+                        cells: list[str] = []
+                        for c in r:
+                            column = 0
+                            for letter in re.match(r"[A-Z]*", c.get("r") or "")[0]:
+                                column = column * 26 + ord(letter) - 64
+                            cells += [""] * (column - 1 - len(cells))
+                            value = next((v.text or "" for v in c.iter() if local(v) in ("v", "t")), "")
+                            cells.append(shared[int(value)] if c.get("t") == "s" else value)
+                        rows.append((k, int(r.get("r")), cells))
+            yield pd.DataFrame(rows, columns=["key", "row", "cells"])
+
+    kind = dict(books.dtypes)[key]
+    return books.select(F.col(key).alias("key"), F.col(content).alias("content")).mapInPandas(run, f"key {kind}, row int, cells array<string>").withColumnRenamed("key", key)
+
+
+def last_updated(listing: DataFrame, path: str, at: str, group: str) -> DataFrame:
+    """(group, at): the latest change, folders of editors and builds left out."""
+    return listing.where(~F.col(path).rlike(r"(^|/)(\.idea|target|node_modules)(/|$)")).groupBy(group).agg(F.max(at).alias(at))
