@@ -145,10 +145,9 @@ def snk_index_document(spark, d):
     from folio.functions.stemming import STOP_WORDS
     from folio.operators import index
 
-    return index.document(index.build(table(spark, d, "pages").where("page_id < 20").select("url", "html"), body="article"), STOP_WORDS)
+    return index.document(index.build(table(spark, d, "pages").select("url", "html"), body="article"), STOP_WORDS)
 
 
-@query("SELECT l_orderkey, string_agg(l_returnflag || l_linenumber, chr(10) ORDER BY l_linenumber, l_returnflag) AS text FROM lineitem WHERE l_orderkey < 500 GROUP BY 1")
+@query("SELECT l_orderkey, string_agg(l_returnflag || l_linenumber, chr(10) ORDER BY l_linenumber, l_returnflag) AS text FROM lineitem GROUP BY 1")
 def snk_joined_text(spark, d):
-    at = table(spark, d, "lineitem").where("l_orderkey < 500")
-    return reports.joined(at, ["l_orderkey"], F.concat("l_returnflag", F.col("l_linenumber").cast("string")), ["l_linenumber", "l_returnflag"], "\n", "text")
+    return reports.joined(table(spark, d, "lineitem"), ["l_orderkey"], F.concat("l_returnflag", F.col("l_linenumber").cast("string")), ["l_linenumber", "l_returnflag"], "\n", "text")
