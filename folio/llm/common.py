@@ -2,40 +2,39 @@
 
 from __future__ import annotations
 
-import uuid
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts handled together inside a Python worker, in bytes; bounds its memory whatever the Arrow batch holds.
-SLAB_BYTES = 2_000_000
+from folio.plans.durable import cut, shared_dir, stored
 
+__all__ = ["cut", "fold", "modest_batches", "shared_dir", "slabs", "stored", "texts_of"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; one is set only if the session names none."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = "/tmp/checkpoints/folio"
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+#: Texts handled together inside a Python worker, in bytes; bounds its memory whatever the Arrow batch holds.
+SLAB_BYTES = 2_000_000
+#: Rows of an Arrow batch; Spark's own default holds tens of MB of texts in the JVM and in each worker.
+BATCH_ROWS, _ROWS = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through checkpoint() in the shared folder; survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def modest_batches(spark: SparkSession) -> None:
+    """Sets the rows of an Arrow batch for the session to BATCH_ROWS, unless it has a setting of its own."""
+    if spark.conf.get(_ROWS, "10000") == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again; for tables too wide for checkpoint()."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _give_back() -> None:
+    """Returns freed memory of this worker, which stays for further tasks, to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+    if trim:
+        trim(0)
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
@@ -46,16 +45,14 @@ def fold(doc_id: Column, modulus: int) -> Column:
 def slabs(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds about SLAB_BYTES of text, or one row if that is longer."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = batch.column(text).cast(pa.large_binary())
-        ends = np.cumsum([len(x) if (x := v.as_py()) else 0 for v in sizes]) if batch.num_rows < 4 else np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(sizes), 0)))
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + SLAB_BYTES, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    _give_back()
 
 
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:

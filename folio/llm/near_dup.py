@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import cut, slabs, stored
+from folio.llm.common import cut, modest_batches, slabs, stored
 
 WORDS, PERCENT = 5, 75
 #: Values a sketch retains; sets up to WHOLE are retained in full; values that the sketches of a link share at least.
@@ -160,6 +160,7 @@ def _hashed(docs: DataFrame, full: bool) -> DataFrame:
             kept = sets if full else [x if len(x) <= WHOLE else x[:KEEP] for x in sets]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_set_key(x) for x in sets], pa.binary()), _lists(kept)], ["doc_id", "n", "key", "values"])
 
+    modest_batches(docs.sparkSession)
     return docs.mapInArrow(run, "doc_id long, n long, key binary, values array<long>")
 
 
