@@ -56,8 +56,8 @@ def options_of(text: str, first: str = "") -> dict[str, str]:
 
 _INLINE = re.compile(
     r"(?P<esc>\\[*_`#^~])|(?P<code>`([^`]+)`)|(?P<bold>\*\*(.+?)\*\*|\*(\S(?:[^*]*\S)?)\*)|(?P<italic>__(.+?)__|(?<!\w)_(\S(?:[^_]*\S)?)_(?!\w))|(?P<strike>~~(.+?)~~)|(?P<sub>~([^~\s]+)~)|(?P<sup>\^([^^\s]+)\^)"
-    r"|(?P<mark>(?:\[(?P<mo>[^\]]*)\])?\#(?P<mt>[^#]+)\#)|(?P<ref><<([^,>]+)(?:,([^>]+))?>>)|(?P<mdlink>\[(?P<mlt>[^\]]+)\]\((?P<mlu>[^)\s]+)\))|(?P<attr>\{([\w-]+(?::[^}]*)?)\})"
-    r"|(?P<macro>(?<![\w])([a-z][\w]*)::?((?:[^\s\[\]])*)\[([^\]]*)\])|(?P<url>(?:https?|ftp)://[^\s\[\]]+(?:\[([^\]]*)\])?)"
+    r"|(?P<mark>(?:\[(?P<mo>[^\]]*)\])?\#(?P<mt>[^#]+)\#)|(?P<ref><<([^,>]+)(?:,([^>]+))?>>)|(?P<mdimage>!\[(?P<mit>[^\]]*)\]\((?P<miu>[^)\s]+)\))|(?P<stem>stem:\[((?:\\\]|[^\]])*)\])|(?P<mdlink>\[(?P<mlt>[^\]]+)\]\((?P<mlu>[^)\s]+)\))|(?P<attr>\{([\w-]+(?::[^}]*)?)\})"
+    r"|(?P<macro>(?<![\w])([a-z][\w]*)::?((?:[^\s\[\]]|(?<=icon:fas) |(?<=icon:far) |(?<=icon:fab) )*)\[((?:[^\[\]]|\[[^\[\]]*\])*)\])|(?P<url>(?:https?|ftp)://[^\s\[\]]+(?:\[([^\]]*)\])?)"
 )
 
 
@@ -76,8 +76,7 @@ def inline(text: str) -> list[Node]:
     for m in _INLINE.finditer(text):
         plain(text[at : m.start()])
         at = m.end()
-        kind = m.lastgroup if m.lastgroup not in ("mo", "mt", "mlt", "mlu") else ("mark" if m["mark"] else "mdlink")
-        kind = next(k for k in ("esc", "code", "bold", "italic", "strike", "sub", "sup", "mark", "ref", "mdlink", "attr", "macro", "url") if m[k])
+        kind = next(k for k in ("esc", "code", "bold", "italic", "strike", "sub", "sup", "mark", "ref", "mdimage", "stem", "mdlink", "attr", "macro", "url") if m[k])
         body = m[kind]
         if kind == "esc":
             plain(body[1])
@@ -91,6 +90,10 @@ def inline(text: str) -> list[Node]:
         elif kind == "ref":
             target, _, label = body[2:-2].partition(",")
             out.append(Node("anchor", label.strip(), {"target": target.strip()}))
+        elif kind == "mdimage":
+            out.append(Node("macro", m["miu"], {"name": "image", "label": m["mit"]}))
+        elif kind == "stem":
+            out.append(Node("macro", body[6:-1], {"name": "stem"}))
         elif kind == "mdlink":
             out.append(Node("link", m["mlt"], {"target": m["mlu"]}))
         elif kind == "attr":
@@ -101,7 +104,8 @@ def inline(text: str) -> list[Node]:
         else:
             name, rest = re.match(r"([a-z]\w*)::?(.*)", body, re.S).groups()
             label, _, opts = rest.partition("[")
-            opts = options_of(opts[:-1], "label")
+            whole = name in ("footnote", "footnoteref", "pass", "kbd", "btn", "menu") or name in ("link", "xref") and not re.search(r"(^|,)\s*[\w-]+=", opts)
+            opts = {"label": opts[:-1]} if whole else options_of(opts[:-1], "label")
             if name == "link":
                 out.append(Node("link", opts.pop("label", ""), {"target": label} | opts))
             else:
@@ -170,10 +174,14 @@ class Parser:
     def _filled(self, text: str) -> str:
         return re.sub(r"\{([\w-]+)\}", lambda m: self.attributes.get(m[1], m[0]), text)
 
-    def document(self, text: str) -> Node:
+    def document(self, text: str, header: bool = True) -> Node:
+        """header: the title and attributes at the start are the document's; else a title is a section of level 0."""
         lines = self._included(text.replace("\r\n", "\n"), 0)
         root = Node("document")
         k = 0
+        if not header:
+            root.children = self.blocks(lines)
+            return root
         while k < len(lines) and (not lines[k].strip() or lines[k].startswith("//") and not lines[k].startswith("////")):
             k += 1
         if k < len(lines) and re.match(r"^[=#] ", lines[k]):
@@ -228,7 +236,7 @@ class Parser:
             elif (m := re.match(r"^\.([^\s.].*)$", line)) is not None:
                 options["title"] = m[1].strip()
                 k += 1
-            elif (m := re.match(r"^([=#]{2,6}) (.*)$", line)) is not None:
+            elif (m := re.match(r"^([=#]{1,6}) (.*)$", line)) is not None:
                 level = len(m[1])
                 if "discrete" in options.get("style", ""):
                     add(Node("floating-title", m[2].strip(), {"level": str(level)}))
@@ -260,6 +268,12 @@ class Parser:
                 stop = self._text_end(lines, k)
                 add(Node("admonition", "", {"level": m[1]}, [Node("paragraph", " ".join([m[2], *(x.strip() for x in lines[k + 1 : stop])]), {}, inline(" ".join([m[2], *lines[k + 1 : stop]])))]))
                 k = stop
+            elif line.startswith(">"):
+                stop = k
+                while stop < len(lines) and lines[stop].startswith(">"):
+                    stop += 1
+                add(Node("quote", "", {"plain": "true"}, self.blocks([re.sub(r"^> ?", "", x) for x in lines[k:stop]])))
+                k = stop
             elif line.startswith("<.>") or re.match(r"^<\d+> ", line):
                 items = []
                 while k < len(lines) and re.match(r"^<(\.|\d+)> ", lines[k]):
@@ -279,12 +293,15 @@ class Parser:
                 k += 1
             else:
                 stop = self._text_end(lines, k)
-                body = " ".join(x.rstrip() for x in lines[k:stop])
+                hard = any(x.endswith(("  ", " +")) for x in lines[k : stop - 1])
+                body = "\n".join(re.sub(r"(  | \+)$", "", x).rstrip() for x in lines[k:stop]) if hard else " ".join(x.rstrip() for x in lines[k:stop])
                 style = options.get("style", "")
+                if hard:
+                    options["breaks"] = "true"
                 if style in ADMONITIONS:
                     add(Node("admonition", "", {"level": style}, [Node("paragraph", body, {}, inline(body))]))
                 elif style in ("quote", "abstract"):
-                    add(Node("quote", body, {}, [Node("paragraph", body, {}, inline(body))]))
+                    add(Node("quote", "", {}, [Node("paragraph", body, {}, inline(body))]))
                 else:
                     add(Node("paragraph", body, {}, inline(body)))
                 k = stop
@@ -372,6 +389,8 @@ class Parser:
                 return Node("admonition", "", {"level": options["style"]}, self.blocks(lines))
             return Node(kind, "", {}, self.blocks(lines))
         text = "\n".join(lines) + ("\n" if lines else "")
+        if kind == "passthrough" and options.get("style") in ("stem", "latexmath", "asciimath"):
+            return Node("stem", "\n".join(lines), {"kind": options["style"]})
         return Node(kind, text, {k: v for k, v in (("language", options.get("language") or options.get("1", "")),) if v})
 
     @staticmethod
@@ -410,10 +429,15 @@ def title_anchor(title: str, attributes: dict[str, str]) -> str:
 class Html:
     """One renderer for each document."""
 
+    toc = ""
+
     def __init__(self, attributes: dict[str, str] | None = None):
         self.attributes = dict(attributes or {})
         self.titles: dict[str, str] = {}
         self.counters: dict[str, int] = {}
+        self.notes: list[str] = []
+        self.named: dict[str, int] = {}
+        self.terms = 0
 
     def catalogue(self, node: Node) -> None:
         if node.kind == "set-attribute":
@@ -426,67 +450,128 @@ class Html:
     def spans(self, nodes: list[Node]) -> str:
         return "".join(self.span(n) for n in nodes)
 
+    def _image(self, n: Node) -> str:
+        """The img element, inside its link if it has one."""
+        src = n.text
+        folder = self.attributes.get("imagesdir")
+        if folder and not re.match(r"^(/|\w+:)", src):
+            src = folder.rstrip("/") + "/" + src
+        size = "".join(f' {k}="{escape(n.options[k])}"' for k in ("width", "height") if k in n.options)
+        return f'<img src="{escape(src, quote=False)}" alt="{escape(n.options.get("alt") or n.options.get("label") or src.rsplit("/", 1)[-1])}"{size}>'
+
+    def _footnote(self, key: str, label: str) -> str:
+        if not label and key:
+            number = self.named.get(key)
+            return f' <sup class="footnoteref">[<a class="footnote" href="#_footnotedef_{number}" title="View footnote.">{number}</a>]</sup>\n' if number else f' <sup class="footnoteref red" title="Unresolved footnote reference.">[{escape(key)}]</sup>\n'
+        self.notes.append(label)
+        number = len(self.notes)
+        if key:
+            self.named[key] = number
+        own = f' id="_footnote_{key}"' if key else ""
+        return f' <sup class="footnote"{own}>[<a id="_footnoteref_{number}" class="footnote" href="#_footnotedef_{number}" title="View footnote.">{number}</a>]</sup>\n'
+
+    def _macro(self, n: Node) -> str:
+        name, label = n.options["name"], n.options.get("label", "")
+        if name == "xref":
+            file, hash_, anchor = n.text.partition("#")
+            if file.endswith(".adoc"):
+                file = self.attributes.get("relfileprefix", "") + file[: -len(".adoc")] + self.attributes.get("relfilesuffix", ".html")
+            shown = label or self.titles.get(anchor or n.text, n.text)
+            return f' <a href="{escape(file + hash_ + anchor)}">{self.spans(inline(shown))}</a>\n'
+        if name == "image":
+            role = " " + n.options["role"] if n.options.get("role") else ""
+            return f' <span class="image{role}">{self._image(n)}</span>\n'
+        if name == "icon":
+            return f'<span class="icon"><i class="{escape(n.text)}"></i></span>'
+        if name == "kbd":
+            keys = [k.strip() for k in label.split("+")]
+            shown = "+".join(f"<kbd>{escape(k, quote=False)}</kbd>" for k in keys)
+            return f'<span class="keyseq">{shown}</span>' if len(keys) > 1 else shown
+        if name == "btn":
+            return f'<b class="button">{escape(label, quote=False)}</b>'
+        if name == "menu":
+            if not label:
+                return f' <b class="menuref">{escape(n.text, quote=False)}</b>\n'
+            *under, top = n.text.split(">")
+            caret = '&#160;<b class="caret">&#8250;</b> '
+            parts = [f'<b class="menu">{escape(top.strip(), quote=False)}</b>', *[f'<b class="submenu">{escape(u.strip(), quote=False)}</b>' for u in under], f'<b class="menuitem">{escape(label, quote=False)}</b>']
+            return f' <span class="menuseq">{caret.join(parts)}</span>\n'
+        if name == "pass":
+            return label
+        if name == "footnote":
+            return self._footnote(n.text, label)
+        if name == "footnoteref":
+            key, _, text = label.partition(",")
+            return self._footnote(key.strip(), text.strip())
+        if name in ("stem", "asciimath"):
+            return f" \\${n.text or label}\\$ "
+        if name == "latexmath":
+            return f" \\({n.text or label}\\) "
+        if name in ("indexterm", "indexterm2"):
+            self.terms += 1
+            return f' <a id="indexterm-{self.terms}"></a>\n'
+        return ""
+
     def span(self, n: Node) -> str:
         text = escape(n.text, quote=False)
         role = f' class="{escape(n.options["role"])}"' if n.options.get("role") else ""
-        tag = {"code": "code", "bold": "strong", "italic": "em", "strike": "s", "sub": "sub", "sup": "sup"}.get(n.kind)
+        tag = {"code": "code", "bold": "strong", "italic": "em", "strike": "del", "sub": "sub", "sup": "sup"}.get(n.kind)
         if tag:
             return f"<{tag}>{text}</{tag}>"
         if n.kind == "mark":
             return f"<mark{role}>{text}</mark>"
         if n.kind == "link":
-            return f'<a href="{escape(n.options["target"])}"{role}>{text or escape(n.options["target"])}</a>'
+            target = n.options["target"]
+            window = ' target="_blank" rel="noopener"' if n.options.get("window") == "_blank" else ""
+            return f' <a href="{escape(target)}"{role}{window}>{self.spans(inline(n.text)) if n.text and n.text != target else escape(target, quote=False)}</a>\n'
         if n.kind == "anchor":
             target = n.options["target"]
-            return f'<a href="#{escape(target)}">{text or escape(self.titles.get(target, target))}</a>'
+            return f' <a href="#{escape(target)}">{text or escape(self.titles.get(target, target), quote=False)}</a>\n'
         if n.kind == "attribute":
             name, _, start = n.text.partition(":")
             if name in ("counter", "counter2"):
                 key, _, first = start.partition(":")
-                self.counters[key] = self.counters[key] + 1 if key in self.counters else int(first or 1)
-                return str(self.counters[key]) if name == "counter" else ""
+                shown = self.counters[key] + 1 if key in self.counters else int(first or (0 if name == "counter2" else 1))
+                self.counters[key] = shown
+                return str(shown)
             return escape(self.attributes.get(n.text, "{" + n.text + "}"), quote=False)
         if n.kind == "macro":
-            name, label = n.options["name"], n.options.get("label", "")
-            if name == "xref":
-                target = re.sub(r"\.adoc(#|$)", r".html\1", n.text)
-                return f'<a href="{escape(target)}">{escape(label or self.titles.get(n.text.lstrip("#"), n.text), quote=False)}</a>'
-            if name == "image":
-                return f'<span class="image"><img src="{escape(n.text)}" alt="{escape(n.options.get("alt", label))}"></span>'
-            if name == "icon":
-                return f'<span class="icon"><i class="{escape(n.text + (" " + label if label else ""))}"></i></span>'
-            if name == "kbd":
-                return f"<kbd>{escape(label, quote=False)}</kbd>"
-            if name == "btn":
-                return f'<b class="button">{escape(label, quote=False)}</b>'
-            if name == "pass":
-                return label
-            if name == "footnote":
-                self.counters["footnote"] = self.counters.get("footnote", 0) + 1
-                return f'<sup class="footnote">[{self.counters["footnote"]}]</sup>'
-            return ""
+            return self._macro(n)
         return text
 
     def blocks(self, nodes: list[Node]) -> str:
         return "".join(self.block(n) for n in nodes)
 
+    def _plain(self, nodes: list[Node]) -> str:
+        """Content of quotes, notes and sidebars: a single paragraph without its own element."""
+        if len(nodes) == 1 and nodes[0].kind == "paragraph":
+            return self.spans(nodes[0].children)
+        return self.blocks(nodes)
+
+    def paragraph(self, n: Node, role: str) -> str:
+        kids = n.children
+        if n.options.get("breaks"):
+            return f' <div class="paragraph{role}">\n{self.spans(kids).replace(chr(10), "<br>" + chr(10))} </div>\n'
+        if len(kids) == 1 and not role and (kids[0].kind in ("link", "anchor") or kids[0].kind == "macro" and kids[0].options["name"] in ("xref", "icon", "menu", "indexterm", "indexterm2")):
+            return self.span(kids[0])
+        single = len(kids) == 1 and kids[0].kind == "text"
+        inner = f"\n{escape(n.text, quote=False)}\n " if single else self.spans(kids)
+        return f' <div class="paragraph{role}">\n <p>{inner}</p>\n </div>\n'
+
     def block(self, n: Node) -> str:
         role = " " + n.options["role"].replace(".", " ") if n.options.get("role") else ""
         kind = n.kind
         if kind == "paragraph":
-            single = len(n.children) == 1 and n.children[0].kind == "text"
-            inner = f"\n{escape(n.text, quote=False)}\n " if single else self.spans(n.children)
-            return f' <div class="paragraph{role}">\n <p>{inner}</p>\n </div>\n'
+            return self.paragraph(n, role)
         if kind == "section":
             level = int(n.options["level"])
-            anchor = n.options.get("id") or title_anchor(n.text, self.attributes)
+            anchor = n.options.get("id") or title_anchor(re.sub(r"[`*_#]", "", n.text) if "`" in n.text else n.text, self.attributes)
             return f' <div class="sect{level - 1}{role}" id="{anchor}">\n  <h{level}>{self.spans(inline(n.text))}</h{level}>\n <div class="sectionbody">\n{self.blocks(n.children)} </div>\n </div>\n'
         if kind == "floating-title":
             return f' <h{n.options["level"]} class="discrete">{self.spans(inline(n.text))}</h{n.options["level"]}>\n'
         if kind in ("listing", "literal"):
             lang = n.options.get("language", "")
-            body = re.sub(r"&lt;(\d+)&gt;", r'<b class="conum">(\1)</b>', escape(n.text))
-            body = body.replace("&#x27;", "'")
+            body = re.sub(r"&lt;(\d+)&gt;", r'<b class="conum">(\1)</b>', escape(n.text)).replace("&#x27;", "'")
             code = f'<code class="language-{lang} hljs" data-lang="{lang}">{body}</code>' if lang else f"<code>{body}</code>"
             return f' <div class="listingblock{role}">\n <div class="content">\n <pre class="highlightjs highlight">{code}</pre>\n </div>\n </div>\n'
         if kind in ("ulist", "olist"):
@@ -494,22 +579,35 @@ class Html:
             style = n.options.get("style", "")
             style = style if style in ("loweralpha", "upperalpha", "lowerroman", "upperroman") else ""
             letter = {"loweralpha": "a", "upperalpha": "A", "lowerroman": "i", "upperroman": "I"}.get(style)
+            if n.children and all("checked" in c.options for c in n.children):
+                marks = {"true": "&#10003;", "false": "&#10063;"}
+                items = "".join(f"   <li>\n    <p>{marks[c.options['checked']]} {self.spans(c.children[0].children)}</p>\n{self.blocks(c.children[1:])}   </li>\n" for c in n.children)
+                return f'  <div class="{kind} checklist{role}">\n  <{tag} class="checklist">\n{items}  </{tag}>\n  </div>\n '
             attrs = f' class="{style}" type="{letter}"' if letter else ""
             items = "".join(f"  <li>\n{self._item(c)}  </li>\n" for c in n.children)
             return f' <div class="{kind}{" " + style if style else ""}{role}">\n <{tag}{attrs}>\n{items} </{tag}>\n </div>\n'
         if kind == "dlist":
-            items = "".join(f'    <dt class="hdlist1">{self.spans(inline(c.options.get("term", "")))}</dt>\n    <dd>\n{self.blocks(c.children)}</dd>\n' for c in n.children)
-            return f' <div class="dlist{role}">\n  <dl>\n{items}  </dl>\n </div>\n'
+            return f' <div class="dlist{role}">\n  <dl>\n{"".join(self._term(c) for c in n.children)}  </dl>\n </div>\n'
         if kind == "callouts":
-            items = "".join(f"   <li>\n{self.spans(c.children)}\n   </li>\n" for c in n.children)
+            part = lambda c: f" <span>\n{escape(c.text, quote=False)}\n </span>\n" if c.kind == "text" else self.span(c)
+            items = "".join("   <li>\n" + "".join(part(c) if k == 0 or i.children[k - 1].kind == "text" or c.kind != "text" else " " + part(c).lstrip(" ") for k, c in enumerate(i.children)) + "   </li>\n" for i in n.children)
             return f' <div class="colist arabic">\n  <ol>\n{items}  </ol>\n </div>\n'
         if kind == "admonition":
             level = n.options["level"]
-            return f' <div class="admonitionblock {level.lower()}">\n  <table>\n   <tbody>\n    <tr>\n     <td class="icon">\n      <div class="title">{level}</div>\n     </td>\n     <td class="content">\n{self.blocks(n.children)}     </td>\n    </tr>\n   </tbody>\n  </table>\n </div>\n'
+            return f' <div class="admonitionblock {level.lower()}{role}">\n  <table>\n    <tbody>\n     <tr>\n      <td class="icon">\n     <div class="title">{level}</div>\n       </td>\n      <td class="content">\n{self._plain(n.children)}    </td>\n   </tr>\n      </tbody>\n  </table>\n </div>\n'
         if kind == "quote":
-            return f' <div class="quoteblock{role}">\n  <blockquote>\n{self.blocks(n.children)}  </blockquote>\n </div>\n'
+            by, cited = n.options.get("1"), n.options.get("2")
+            cite = f"<br>\n<cite>{escape(cited, quote=False)}</cite>" if cited else ""
+            credit = f'  <div class="attribution">\n&#8212; {escape(by, quote=False)}{cite}\n  </div>\n' if by else ""
+            css = "" if n.options.get("plain") else f' class="quoteblock{" abstract" if n.options.get("style") == "abstract" else ""}{role}"'
+            inner = "".join(self.spans(c.children) if c.kind == "paragraph" else self.block(c) for c in n.children)
+            end = "" if credit or css == "" else "\n"
+            return f" <div{css}>\n  <blockquote>\n{inner}  </blockquote>\n{credit} </div>{end}"
         if kind in ("example", "sidebar", "open"):
-            return f' <div class="{kind}block{role}">\n <div class="content">\n{self.blocks(n.children)} </div>\n </div>\n'
+            return f' <div class="{kind}block{role}">\n  <div class="content">\n{self._plain(n.children)}  </div>\n </div>\n'
+        if kind == "stem":
+            left, right = ("\\[", "\\]") if n.options["kind"] == "latexmath" else ("\\$", "\\$")
+            return f' <div class="stemblock">\n  <div class="content">\n {left}{n.text}{right}   </div>\n </div>\n'
         if kind == "passthrough":
             return "\n" + n.text
         if kind == "table":
@@ -518,48 +616,64 @@ class Html:
             return " <hr>\n"
         if kind == "macro":
             if n.options["name"] == "image":
-                return f' <div class="imageblock{role}">\n <div class="content">\n <img src="{escape(n.text)}" alt="{escape(n.options.get("alt", n.options.get("label", "")))}">\n </div>\n </div>\n'
-            if n.options["name"] == "toc":
-                return self.toc
-            return f' <div class="paragraph">\n <p>{self.span(n)}</p>\n </div>\n'
+                image, target = self._image(n), n.options.get("link")
+                if target:
+                    flags = re.split(r"[,\s]+", n.options.get("opts", ""))
+                    flags += [v for k, v in n.options.items() if k.isdigit() and v in ("nofollow", "noopener")]
+                    window = n.options.get("window")
+                    rel = [x for x in ("nofollow", "noopener") if x in flags or x == "noopener" and window == "_blank"]
+                    image = f'<a href="{escape(target)}"' + (f' target="{escape(window)}"' if window else "") + (f' rel="{" ".join(rel)}"' if rel else "") + f">\n  {image}\n </a>"
+                return f' <div class="imageblock{role}">\n <div class="content">\n {image}\n </div>\n </div>\n'
+            return self.toc if n.options["name"] == "toc" else self._macro(n)
         return ""
 
-    toc = ""
-
     def _item(self, n: Node) -> str:
         head, rest = (n.children[0], n.children[1:]) if n.children and n.children[0].kind == "paragraph" else (None, n.children)
-        box = {"true": "&#10003; ", "false": "&#10063; "}.get(n.options.get("checked", ""), "")
-        text = ""
-        if head is not None:
-            single = len(head.children) == 1 and head.children[0].kind == "text"
-            text = f" <p>\n{box}{escape(head.text, quote=False) if single else self.spans(head.children)}\n </p>\n"
-        return text + self.blocks(rest)
+        if head is None:
+            return self.blocks(rest)
+        if len(head.children) == 1:
+            only = head.children[0]
+            return (f" <p>\n{escape(head.text, quote=False)}\n </p>\n" if only.kind == "text" else f" <p>{self.span(only)}</p>") + self.blocks(rest)
+        return f' <div class="paragraph">\n <p>{self.spans(head.children)}</p>\n </div>\n' + self.blocks(rest)
+
+    def _term(self, n: Node) -> str:
+        term = inline(n.options.get("term", ""))
+        name = escape(term[0].text, quote=False) if len(term) == 1 and term[0].kind == "text" else f' <div class="paragraph">\n{self.spans(term)} </div>\n'
+        body = n.children
+        plain = len(body) == 1 and body[0].kind == "paragraph" and len(body[0].children) == 1 and body[0].children[0].kind == "text"
+        return f'    <dt class="hdlist1">{name}</dt>\n    <dd>\n{"<p>" + escape(body[0].text, quote=False) + "</p>" + chr(10) if plain else self.blocks(body)}</dd>\n'
 
     def _table(self, n: Node) -> str:
         width = max([len(r.children) for r in n.children] + [1])
-        weights = [float(re.match(r"\d+", re.sub(r"^[<>^.]*", "", c.strip()) or "1")[0]) if re.match(r"[<>^.]*\d+", c.strip()) else 1.0 for c in n.options.get("cols", "").split(",") if c.strip()] or [1.0] * width
+        columns = [c.strip() for c in n.options.get("cols", "").split(",") if c.strip()]
+        weights = [float((re.findall(r"\d+", c) or ["1"])[0]) for c in columns] or [1.0] * width
         total = sum(weights)
-        columns = "".join(f'   <col style="width: {round(100 * w / total)}%;">\n' for w in weights)
+        shown = "".join(f'   <col style="width: {int(100 * w / total)}%;">\n' for w in weights)
         rows = list(n.children)
         head = ""
         if n.options.get("header") == "true" and rows:
-            cells = "".join(f'    <th class="tableblock halign-left">\n{escape(c.text, quote=False)}    </th>\n' for c in rows.pop(0).children)
-            head = f"  <thead>\n   <tr>\n{cells}   </tr>\n  </thead>\n"
+            cells = rows.pop(0).children
+            inner = "".join(f'    <th class="tableblock halign-left">\n{escape(c.text, quote=False)}{" " if k + 1 < len(cells) else ""}    </th>\n' for k, c in enumerate(cells))
+            head = f"  <thead>\n   <tr>\n{inner}   </tr>\n  </thead>\n"
         body = "".join("   <tr>\n" + "".join(f'    <td class="tableblock halign-left">\n<p class="tableblock">\n{self.spans(c.children)}</p>\n    </td>\n' for c in r.children) + "   </tr>\n" for r in rows)
-        return f' <table class="tableblock frame-all grid-all stretch">\n  <colgroup>\n{columns}  </colgroup>\n{head}  <tbody>\n{body}  </tbody>\n </table>\n'
+        return f' <table class="tableblock frame-all grid-all stretch">\n  <colgroup>\n{shown}  </colgroup>\n{head}  <tbody>\n{body}  </tbody>\n </table>\n'
 
     def content(self, document: Node) -> str:
         for k, v in document.options.items():
             if k.startswith("attribute:"):
                 self.attributes[k[10:]] = v
         self.catalogue(document)
-        return self.blocks(document.children)
+        out = self.blocks(document.children)
+        if self.notes:
+            notes = "".join(f'  <div class="footnote" id="_footnotedef_{k}">\n   <a href="#_footnoteref_{k}">{k}</a>. {escape(t, quote=False)}\n  </div>\n' for k, t in enumerate(self.notes, 1))
+            out += f' <div id="footnotes">\n  <hr>\n{notes} </div>\n'
+        return out
 
 
-def to_html(text: str, attributes: dict[str, str] | None = None, include: Callable[[str], str | None] | None = None) -> str:
+def to_html(text: str, attributes: dict[str, str] | None = None, include: Callable[[str], str | None] | None = None, header: bool = True) -> str:
     parser = Parser(include)
     parser.attributes |= attributes or {}
-    return Html(attributes).content(parser.document(text))
+    return Html(attributes).content(parser.document(text, header))
 
 
 NODES = "array<struct<path:array<int>,kind:string,text:string,options:map<string,string>>>"
