@@ -43,7 +43,7 @@ MEMBERS = 1_024
 #: Ids up to which the list of documents to read again is broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 #: Bytes hashed at once.
-BLOCK = 1_000_000
+BLOCK = 500_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
