@@ -105,3 +105,34 @@ def test_remote_pages(spark):
 def test_json_source(tmp_path):
     (tmp_path / "x.json").write_text("[1]")
     assert remote.load_json(f"file:{tmp_path}/x.json") == '{"value": [1]}' and remote.load_json('{"a": 1}') == '{"a": 1}'
+
+
+def test_rising_times(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for k, rows in enumerate([[("a", 1), ("a", 3), ("b", 5)], [("a", 2), ("a", 4), ("b", 5)]]):
+        (source / f"{k}.json").write_text("\n".join('{"key": "%s", "s": %d}' % r for r in rows))
+        os.utime(source / f"{k}.json", (1_000 + k, 1_000 + k))
+    stream = spark.readStream.schema("key string, s long").option("maxFilesPerTrigger", 1).json(str(source)).select("key", F.timestamp_seconds("s").alias("at"))
+    query = watch.rising(stream, "key", "at").writeStream.format("memory").queryName("rising").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r.key, r.at // 1_000_000) for r in spark.table("rising").collect()) == [("a", 1), ("a", 3), ("a", 4), ("b", 5)]
+
+
+def test_contents_and_plain_text(spark):
+    from folio.functions import asciidoc
+
+    tree = asciidoc.nodes(spark.createDataFrame([(1, "= T\n\n== A\n\nsome *bold* text\n\n=== B\n\n== C\n")], "id int, t string"), "id", "t")
+    assert asciidoc.contents(tree, "id").first().toc == "* A\n  * B\n* C"
+    assert asciidoc.plain_text(tree, "id").first().text == "some bold text"
+
+
+def test_contributors():
+    import pytest
+
+    from folio.operators import joins
+
+    assert joins.contributed({"a": 1}, [("a", "x"), ("noop", "y")]) == {"x": 1}
+    for wrong in ([("b", "x")], [("a", "x"), ("a", "x")]):
+        with pytest.raises(ValueError, match="unknown|taken"):
+            joins.contributed({"a": 1}, wrong)
