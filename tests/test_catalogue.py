@@ -22,7 +22,7 @@ def con():
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(x):
-        if x is None or x is pd.NaT or isinstance(x, float) and np.isnan(x):
+        if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and np.isnan(x):
             return ""
         if isinstance(x, (bool, np.bool_)):
             return str(bool(x))
