@@ -29,7 +29,7 @@ from folio.llm.common import modest_batches, slabs, texts_of
 
 SPACE = "▁"
 #: Entries of the memo tables of one worker; they are emptied when full.
-MEMO_RUNS, MEMO_PAIRS = 160_000, 200_000
+MEMO_RUNS, MEMO_PAIRS = 250_000, 400_000
 
 
 class PrefixTable:
