@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from folio.functions import text as T
 from folio.functions.stemming import remembered, stems
-from folio.operators import filters, ordering
+from folio.operators import filters, joins, ordering
 from folio.plans.durable import stored
 from folio.sources.html import page_fields
 
@@ -58,8 +58,9 @@ def build(pages: DataFrame, body: str = ".page-content-body", meta_attribute: st
     words = words.withColumn("stems", _stem_lists(F.transform("words", lambda w: w["raw"])))
     each = words.withColumn("w", F.explode(F.arrays_zip("words", "stems"))).select("doc_idx", F.col("w.words.raw").alias("raw"), F.col("w.words.pos").alias("pos"), F.col("w.stems").alias("stem"), *[c.alias(f"s_{f}") for f, c in sets.items()])
     each = each.withColumn("score", _score(sets, F.col("stem"))).select("doc_idx", "raw", "pos", "stem", "score")
-    postings = each.groupBy("stem", "doc_idx").agg(F.max("score").alias("score"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return Index(docs, each.select("raw").distinct(), postings)
+    made = each.groupBy("stem", "doc_idx").agg(F.max("score").alias("score"), F.sort_array(F.collect_list("pos")).alias("positions"), F.collect_set("raw").alias("raws"))
+    made = stored(made, "postings")  # words are stemmed once, however often the index is searched
+    return Index(docs, made.select(F.explode("raws").alias("raw")).distinct(), made.drop("raws"))
 
 
 def search(index: Index, queries: DataFrame, limit: int = 20, consistent: bool = False, max_distance: int = 2) -> DataFrame:
@@ -74,9 +75,8 @@ def search(index: Index, queries: DataFrame, limit: int = 20, consistent: bool =
     asked = stored(asked, "asked")
     known = index.postings.select("stem").distinct()
     exact = asked.join(index.postings, "stem").select("query_id", "doc_idx", "score", "positions", F.lit(True).alias("exact"))
-    # Words within two edits differ by at most two characters in length: an equi-join on lengths, checked by distance.
-    lost = asked.join(known, "stem", "left_anti").select("query_id", "at", F.col("raw").alias("wanted")).withColumn("size", F.explode(F.sequence(F.greatest(F.length("wanted") - max_distance, F.lit(1)), F.length("wanted") + max_distance)))
-    near = index.terms.withColumn("size", F.length("raw")).join(lost, "size").where(F.levenshtein("raw", "wanted", max_distance).between(1, max_distance))
+    lost = asked.join(known, "stem", "left_anti").select("query_id", "at", F.col("raw").alias("wanted"))
+    near = joins.fuzzy(index.terms, lost, "raw", "wanted", max_distance)
     fuzzy = near.withColumn("stem", stems(F.col("raw"), not consistent)).join(index.postings, "stem").select("query_id", "doc_idx", (F.col("score") * 0.8).alias("score"), "positions", F.lit(False).alias("exact"))
     found = exact.unionByName(fuzzy).groupBy("query_id", "doc_idx").agg(F.sum("score").alias("score"), F.count("*").alias("n"), F.bool_or("exact").alias("exact"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
     order = Window.partitionBy("query_id").orderBy(F.desc("exact"), F.desc(F.round("score", 9)), F.desc("n"), "doc_idx")

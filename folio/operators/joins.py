@@ -8,11 +8,35 @@ from pyspark.sql import functions as F
 from folio.operators import ordering
 
 
+def _cut(n: Column, k: Column, parts: int) -> tuple[Column, Column]:
+    """Start and length of part k of parts of a word with n characters."""
+    start = F.floor(k * n / parts).cast("int")
+    return start, F.floor((k + 1) * n / parts).cast("int") - start
+
+
+def near_words(left: DataFrame, right: DataFrame, distance: int = 2) -> DataFrame:
+    """(a, b, distance): distinct pairs of words of left (a) and right (b) at 1 to distance edits.
+
+    Of distance + 1 parts of a word one is untouched by distance edits, and moved by no more than that. So words meet by
+    length and part: an equi-join whose keys are as selective as the parts, instead of a comparison of all pairs.
+    """
+    parts = distance + 1
+    each = F.sequence(F.lit(0), F.lit(parts - 1))
+    mine = left.select("a").where("a <> ''").distinct().withColumn("n", F.length("a")).withColumn("k", F.explode(each))
+    start, size = _cut(F.col("n"), F.col("k"), parts)
+    mine = mine.select("a", "n", "k", F.substring(F.col("a"), start + 1, size).alias("part"))
+    other = right.select("b").where("b <> ''").distinct().withColumn("m", F.length("b")).withColumn("n", F.explode(F.sequence(F.greatest(F.col("m") - distance, F.lit(1)), F.col("m") + distance))).withColumn("k", F.explode(each))
+    start, size = _cut(F.col("n"), F.col("k"), parts)
+    other = other.withColumn("at", start).withColumn("size", size).withColumn("from", F.explode(F.sequence(F.lit(-distance), F.lit(distance)))).withColumn("from", F.col("at") + F.col("from"))
+    other = other.where("`from` >= 0 AND `from` + size <= m").select("b", "n", "k", F.substring(F.col("b"), F.col("from") + 1, F.col("size")).alias("part")).distinct()
+    pairs = mine.join(other, ["n", "k", "part"]).select("a", "b").distinct()
+    return pairs.withColumn("distance", F.levenshtein("a", "b", distance)).where(F.col("distance").between(1, distance))
+
+
 def fuzzy(left: DataFrame, right: DataFrame, a: str, b: str, distance: int = 2) -> DataFrame:
-    """Pairs of words at 1 to distance edits: an equi-join on the lengths that allow it, then the distance."""
-    sizes = F.sequence(F.greatest(F.length(a) - distance, F.lit(1)), F.length(a) + distance)
-    at = left.withColumn("__size", F.explode(sizes)).join(right.withColumn("__size", F.length(b)), "__size").drop("__size")
-    return at.withColumn("distance", F.levenshtein(a, b, distance)).where(F.col("distance").between(1, distance))
+    """Rows of left and right whose words a and b are at 1 to distance edits, with the distance."""
+    pairs = near_words(left.select(F.col(a).alias("a")), right.select(F.col(b).alias("b")), distance).select(F.col("a").alias("__a"), F.col("b").alias("__b"), "distance")
+    return left.join(pairs, F.col(a) == F.col("__a")).join(right, F.col(b) == F.col("__b")).drop("__a", "__b")
 
 
 def resolved(requests: DataFrame, versions: DataFrame, matches: Column) -> DataFrame:

@@ -136,3 +136,23 @@ def test_contributors():
     for wrong in ([("b", "x")], [("a", "x"), ("a", "x")]):
         with pytest.raises(ValueError, match="unknown|taken"):
             joins.contributed({"a": 1}, wrong)
+
+
+def test_near_words_equal_all_pairs(spark):
+    import random
+
+    from folio.operators import joins
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(150)})
+    left, right = words[::2], words[1::2] + words[:5]
+    got = {(r.a, r.b): r.distance for r in joins.near_words(spark.createDataFrame([(w,) for w in left], "a string"), spark.createDataFrame([(w,) for w in right], "b string")).collect()}
+    assert got == {(a, b): d for a in left for b in set(right) if 1 <= (d := distance(a, b)) <= 2}
