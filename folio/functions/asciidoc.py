@@ -61,8 +61,13 @@ _INLINE = re.compile(
 )
 
 
+_MARKS = re.compile(r"[\\*`_#^~\[{<]|://")
+
+
 def inline(text: str) -> list[Node]:
     """Styles, code, links, macros, references and attributes of a line; what matches nothing stays text."""
+    if not _MARKS.search(text):
+        return [Node("text", text)] if text else []
     out: list[Node] = []
 
     def plain(t: str) -> None:

@@ -183,12 +183,19 @@ def lexical_score(primary: Column, synonyms: Column, text: Column, weight: float
     return term_fraction(primary, low) + weight * term_fraction(synonyms, low)
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two arrays of doubles."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v.cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision; 0 if a vector is zero."""
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    product = lambda x, y: total(F.zip_with(x.cast("array<double>"), y.cast("array<double>"), lambda p, q: p * q))
-    norm = F.sqrt(product(a, a)) * F.sqrt(product(b, b))
-    return F.when(norm == 0, 0.0).otherwise(product(a, b) / norm)
+    length = norm(a) * norm(b)
+    return F.when(length == 0, 0.0).otherwise(dot(a.cast("array<double>"), b.cast("array<double>")) / length)
 
 
 def unit_vector(v: Column) -> Column:

@@ -49,9 +49,12 @@ def _score(sets: dict[str, Column], stem: Column) -> Column:
 
 def build(pages: DataFrame, body: str = ".page-content-body", meta_attribute: str = "content", skip_mark: str = ":index-skip: true") -> Index:
     """Scores are made inside each page's row, so only postings are shuffled, and only to number the pages."""
+    # Pages are numbered by their addresses alone, so that each is parsed once.
+    kept = pages.where(~filters.skipped(F.col("html"), skip_mark)).select("url").distinct()
+    numbers = ordering.numbered(kept, "url", name="n").select("url", (F.col("n") - 1).cast("int").alias("doc_idx"))
     at = fields_of(pages, body, meta_attribute, skip_mark=skip_mark)
     at = at.withColumn("searchable", T.searchable_text(*[F.col(c) for c in ("description", "h1", "h2", "h3", "text")]))
-    at = stored(ordering.numbered(at, "url", name="n").withColumn("doc_idx", (F.col("n") - 1).cast("int")), "pages")
+    at = stored(at.join(numbers, "url"), "pages")
     docs = at.select("doc_idx", "url", "title", "description", F.col("searchable").alias("searchable_text"))
     sets = {f: F.col(f"s_{f}") for f in WEIGHTS}
     words = at.select("doc_idx", T.word_positions(T.normalize_index(F.col("searchable"))).alias("words"), *[_stem_lists(F.array_distinct(T.words(T.normalize_index(F.col(f))))).alias(f"s_{f}") for f in WEIGHTS])

@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that this process has written.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares for checkpoints; one is set only if the session names none."""
     sc = spark.sparkContext
@@ -28,4 +32,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that stored() has written in this process, once all results over them are written; their number."""
+    jvm = spark.sparkContext._jvm
+    n = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
