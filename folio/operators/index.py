@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, StringType
 from folio.functions import text as T
 from folio.functions.stemming import remembered, stems
 from folio.operators import filters, joins, ordering
-from folio.plans.durable import stored
+from folio.plans.durable import spread, stored
 from folio.sources.html import page_fields
 
 #: Points of a word that a field holds.
@@ -52,12 +52,12 @@ def build(pages: DataFrame, body: str = ".page-content-body", meta_attribute: st
     # Pages are numbered by their addresses alone, so that each is parsed once.
     kept = pages.where(~filters.skipped(F.col("html"), skip_mark)).select("url").distinct()
     numbers = ordering.numbered(kept, "url", name="n").select("url", (F.col("n") - 1).cast("int").alias("doc_idx"))
-    at = fields_of(pages, body, meta_attribute, skip_mark=skip_mark)
+    at = fields_of(spread(pages), body, meta_attribute, skip_mark=skip_mark)
     at = at.withColumn("searchable", T.searchable_text(*[F.col(c) for c in ("description", "h1", "h2", "h3", "text")]))
     at = stored(at.join(numbers, "url"), "pages")
     docs = at.select("doc_idx", "url", "title", "description", F.col("searchable").alias("searchable_text"))
     sets = {f: F.col(f"s_{f}") for f in WEIGHTS}
-    words = at.select("doc_idx", T.word_positions(T.normalize_index(F.col("searchable"))).alias("words"), *[_stem_lists(F.array_distinct(T.words(T.normalize_index(F.col(f))))).alias(f"s_{f}") for f in WEIGHTS])
+    words = spread(at).select("doc_idx", T.word_positions(T.normalize_index(F.col("searchable"))).alias("words"), *[_stem_lists(F.array_distinct(T.words(T.normalize_index(F.col(f))))).alias(f"s_{f}") for f in WEIGHTS])
     words = words.withColumn("stems", _stem_lists(F.transform("words", lambda w: w["raw"])))
     each = words.withColumn("w", F.explode(F.arrays_zip("words", "stems"))).select("doc_idx", F.col("w.words.raw").alias("raw"), F.col("w.words.pos").alias("pos"), F.col("w.stems").alias("stem"), *[c.alias(f"s_{f}") for f, c in sets.items()])
     each = each.withColumn("score", _score(sets, F.col("stem"))).select("doc_idx", "raw", "pos", "stem", "score")

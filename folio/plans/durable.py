@@ -44,3 +44,9 @@ def clear(spark: SparkSession) -> int:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
     return n
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as the cluster has cores, if it has fewer; for costly work on each row of small files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
