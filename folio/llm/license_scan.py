@@ -1,9 +1,10 @@
 """Operator 7: licence scan over a positional index of rare tokens, in DataFrame expressions only.
 
 Templates are the wordings of licence notices. Each is indexed by its RARE words of highest inverse document frequency
-among the templates, with their positions. A file's own licence words of highest IDF are looked up there; postings that
-agree on the distance between the file's and the template's position support one placing of the template. A placing
-with enough distinct rare words is a find if the file also holds the template's mandatory phrases.
+among the templates, with their positions. Every occurrence in a file of a word of the index is looked up there, as long
+as the file holds all mandatory phrases of a template that the word belongs to, as others can't become finds; postings
+that agree on the distance between the file's and the template's position support one placing of the template. A placing
+with enough distinct rare words is a find.
 
 Short names of licences ("mit license") are found wherever their words stand next to each other.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Short names and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Rare words by which a template is indexed, rare words of a file that are looked up, least share of a template's rare words in one placing.
+#: Rare words by which a template is indexed, rare words of a file that the SQL looks up (scan looks up all), least share of a template's rare words in one placing.
 RARE, LOOKED_UP, LEAST = 8, 24, 0.75
 #: Words by which a file's notice may be longer or shorter than the template between two of its rare words.
 SLACK = 16
@@ -82,7 +83,7 @@ def _map(values: dict) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels arrays, score, and finds: (label, at) array."""
     spark: SparkSession = docs.sparkSession
-    index, idf, needed = postings(), _idf(), _needed()
+    index, needed = postings(), _needed()
     mandatory = sorted({p for _, _, phrases in TEMPLATES for p in phrases})
     #: A find needs all of its template's mandatory phrases, so a file without the longest word of any holds no template.
     gates = sorted({max((w for p in phrases for w in p.split()), key=lambda w: (len(w), w)) for _, _, phrases in TEMPLATES})
@@ -100,15 +101,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     every = F.array_sort(F.concat(*[F.col(f"p{k}") for k in range(len(PHRASES))]))
     base = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.when(F.size(f"p{k}") > 0, F.array(F.lit(v))).otherwise(F.array().cast("array<string>")) for k, v in enumerate(PHRASES.values())]))))
     at = at.withColumn("every", every).withColumn("base", base)
-    vocabulary = _strings(sorted({w for w, _, _ in index}))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("pos"))), lambda h: F.array_contains(vocabulary, h["w"]))
-    at = at.withColumn("hits", F.when(F.arrays_overlap("words", _strings(gates)), hits).otherwise(no_hits))
-    ranked = F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.struct((-F.element_at(_map(idf), h["w"])).alias("r"), h["w"].alias("w")))))
-    at = at.withColumn("top", F.transform(F.slice(ranked, 1, LOOKED_UP), lambda x: x["w"]))
     spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    at = at.withColumn("held", F.when(F.size("hits") > 1, F.filter(_strings(mandatory), lambda p: F.contains(spaced, F.concat(F.lit(" "), p, F.lit(" "))))).otherwise(F.array().cast("array<string>")))
+    at = at.withColumn("held", F.when(F.arrays_overlap("words", _strings(gates)), F.filter(_strings(mandatory), lambda p: F.contains(spaced, F.concat(F.lit(" "), p, F.lit(" "))))).otherwise(F.array().cast("array<string>")))
+    templates = F.array(*[F.struct(_strings(phrases).alias("mandatory"), _strings(w for w, j, _ in index if j == k).alias("words")) for k, (_, _, phrases) in enumerate(TEMPLATES)])
+    possible = F.filter(templates, lambda t: F.size(F.array_except(t["mandatory"], F.col("held"))) == 0)
+    at = at.withColumn("wanted", F.when(F.size("held") > 0, F.array_distinct(F.flatten(F.transform(possible, lambda t: t["words"])))).otherwise(F.array().cast("array<string>")))
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("pos"))), lambda h: F.array_contains("wanted", h["w"]))
+    at = at.withColumn("hits", F.when(F.size("wanted") > 0, hits).otherwise(no_hits))
     kept = ["rid", "doc_id", "n_words", "n_base", "first_word", "last_word", "base", "held"]
-    at = at.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), F.size("every").cast("long").alias("n_base"), F.get("every", F.lit(0)).cast("long").alias("first_word"), F.when(F.size("every") > 0, F.element_at("every", -1)).cast("long").alias("last_word"), "base", "held", F.filter("hits", lambda h: F.array_contains(F.col("top"), h["w"])).alias("hits"))
+    at = at.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), F.size("every").cast("long").alias("n_base"), F.get("every", F.lit(0)).cast("long").alias("first_word"), F.when(F.size("every") > 0, F.element_at("every", -1)).cast("long").alias("last_word"), "base", "held", "hits")
 
     table = spark.createDataFrame([(w, k, p, needed[k], TEMPLATES[k][0], list(TEMPLATES[k][2])) for w, k, p in index], "w string, template int, tpos int, needed int, label string, mandatory array<string>")
     rows = at.withColumn("h", F.explode_outer("hits")).select(*kept, F.col("h.w").alias("w"), F.col("h.pos").alias("pos"))

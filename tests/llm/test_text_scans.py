@@ -126,6 +126,42 @@ def test_licences_equal_brute_force(spark):
     assert got[n + 7].labels == "mit" and got[n + 7].n_base == 0 and got[n + 8].labels == "" and got[n + 3].labels == "cc-by,cc-by-nc"
 
 
+def brute_placings(words):
+    """(label, at) and the best share of the method, with every word of the index looked up."""
+    spaced = " " + " ".join(words) + " "
+    bins, finds, share = {}, set(), 0.0
+    for w, k, p in license_scan.postings():
+        for pos in (i for i, x in enumerate(words) if x == w):
+            start = pos - p
+            for b in (start // license_scan.SLACK * 2, (start + license_scan.SLACK // 2) // license_scan.SLACK * 2 + 1):
+                bins.setdefault((k, b), []).append((w, start))
+    for (k, _), hits in bins.items():
+        label, _, phrases = license_scan.TEMPLATES[k]
+        n = len({w for w, _ in hits})
+        if n >= license_scan._needed()[k] and all(f" {p} " in spaced for p in phrases):
+            finds.add((label, max(0, min(s for _, s in hits))))
+            share = max(share, n / sum(j == k for _, j, _ in license_scan.postings()))
+    return finds, share
+
+
+def test_files_with_many_notices_and_long_prose(spark):
+    rng = random.Random(4)
+    notices = license_scan.TEMPLATES
+    plain = "an be from has have his if into kind may on one should was which who file work code form made any law".split()
+    prose = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+    groups = [[0, 2, 5, 15], list(range(len(notices)))] + [rng.sample(range(len(notices)), rng.choice((3, 4, 6, 9))) for _ in range(60)]
+    texts = ["\n".join(notices[k][1] for k in g) for g in groups]
+    texts += [f"{prose(3000)}\n{t}\n{prose(50)}\n{t}" for t in texts[:20]] + [prose(4000) + " " + " ".join(notices[5][1].split()[::-1])]
+    got = rows_of(license_scan.digests(license_scan.scan(frame(spark, texts))))
+    for i, t in enumerate(texts):
+        finds, share = brute_placings(re.findall(license_scan.WORD, t))
+        r = got[i]
+        assert r.labels == ",".join(sorted({x for x, _ in finds} | set(filter(None, r.base_labels.split(","))))), t[-300:]
+        assert (r.n_finds, r.score) == (len(finds), 1.0 if r.n_base else share), t[-300:]
+        if i < len(groups):
+            assert {notices[k][0] for k in groups[i]} <= set(r.labels.split(",")), groups[i]
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.1"])
 def test_quality_on_held_out_rows(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
