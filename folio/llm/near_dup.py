@@ -9,9 +9,9 @@ their frequency, the first (size - NEED + 1) of each must meet in one. Only thes
 many documents share out of the lists. The union of two sketches estimates the similarity; pairs that can reach the
 threshold are verified on full sets. This goes in two rounds. First each class meets the first one of its lists, which
 joins most of a group of near copies in a star. Then the lists that still hold several components are joined to
-neighbourhoods; in each of these all pairs of different components are compared, in blocks: sizes first, then larger
-sketches, then full sets as bit strings. Only links that join two components leave a block, so a group's pairs are never
-listed, and no link between components is lost.
+neighbourhoods; in each of these all pairs of different components are compared, in blocks: sizes first, then
+full sets as bit strings. Only links that join two components leave a block, so a group's pairs are never listed, and no
+link between components of a neighbourhood is lost.
 
 Components are found by minimum labels with pointer jumping, in tables; nothing but counts and sums comes to the driver.
 
@@ -36,8 +36,6 @@ from folio.llm.common import cut, modest_batches, slabs, stored
 WORDS, PERCENT = 5, 75
 #: Values a sketch retains; sets up to WHOLE are retained in full; values that the sketches of a link share at least.
 KEEP, WHOLE, NEED = 32, 48, 12
-#: Values of the larger sketches of round 2, and of these that linked sets share (sets up to half as large again skip this test).
-FINE, FINE_NEED = 128, 88
 #: Members of a block of a large neighbourhood; small neighbourhoods share tasks of about this many members.
 MEMBERS = 1_024
 #: Ids up to which the list of documents to read again is broadcast (8 bytes each).
@@ -239,7 +237,7 @@ def joining_links(cids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray],
     n = np.array([len(x) for x in sets])
     if len(sets) < 2 or (labels == labels[0]).all():
         return []
-    small, whole = _bits([x[:FINE] for x in sets]), _bits(sets)
+    whole = _bits(sets)
     labels, out = labels.copy(), []
     for i in range(len(sets) - 1):
         later = slice(i + 1, None)
@@ -247,7 +245,7 @@ def joining_links(cids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray],
         if blocks is not None:
             close &= blocks[later] != blocks[i]
         for j in (np.flatnonzero(close) + i + 1).tolist():
-            if labels[j] == labels[i] or min(n[i], n[j]) > FINE * 3 // 2 and (small[i] & small[j]).bit_count() < FINE_NEED:
+            if labels[j] == labels[i]:
                 continue
             common = (whole[i] & whole[j]).bit_count()
             if common * 100 >= (n[i] + n[j] - common) * PERCENT:

@@ -94,6 +94,21 @@ def test_near_duplicates_of_hard_cases(spark):
     assert near_dup.components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small, large, pairs", [(300, 400, 300), (750, 1000, 200), (3000, 4000, 60)])
+def test_round_2_links_texts_that_contain_each_other(small, large, pairs):
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(pairs):
+        whole = np.unique(rng.integers(0, 1 << 62, large))
+        sets += [whole, np.sort(rng.choice(whole, small, replace=False))]
+    cids = np.arange(len(sets))
+    want = {(2 * k, 2 * k + 1) for k in range(pairs)}
+    assert set(near_dup.joining_links(cids, cids, sets)) == want
+    assert set(near_dup.joining_links(cids, cids, sets, cids % 2)) == want
+    below = [x if i % 2 == 0 else x[:-1] for i, x in enumerate(sets)]  # one value too few
+    assert near_dup.joining_links(cids, cids, below) == []
+
+
 def test_blocks_of_very_long_texts(monkeypatch):
     text = ("alpha beta gamma delta " * 40 + "w" * 300 + " end of text").encode()
     want = near_dup.shingle_sets([text, b"", b"a b"])
