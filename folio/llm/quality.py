@@ -1,7 +1,7 @@
 """Operator 1: quality classifier: random Fourier features, partition-summed ridge, isotonic calibration.
 
 Each whole text becomes a short vector of document statistics (character classes, word and line repetition, lengths,
-compressibility). Random Fourier features of the standardised statistics approximate a Gaussian kernel; ridge weights
+mean, least and greatest compressibility of its blocks). Random Fourier features of the standardised statistics approximate a Gaussian kernel; ridge weights
 come from normal equations that each partition of the training rows sums for itself. Pool-adjacent-violators on a
 separate part of the training rows turns ridge values into calibrated scores.
 
@@ -32,7 +32,16 @@ MAX_TRAIN, TRAIN_PARTITIONS = 24_000, 8
 #: Random Fourier features, kernel width in standard deviations, ridge penalty for each training row.
 FEATURES, WIDTH, RIDGE, SEED = 384, 4.0, 1e-4, 7
 _WORD = re.compile(rb"[^\x00-\x20]+")
-_STATS = 27
+_STATS = 28
+#: Bytes that are compressed together, at most: the window of zlib.
+BLOCK = 32_768
+
+
+def block_ratios(raw: bytes) -> np.ndarray:
+    """Compressed share of each of the blocks, as few and as equal as BLOCK allows, that make up the whole of raw (not empty)."""
+    k = -(-len(raw) // BLOCK)
+    at = [i * len(raw) // k for i in range(k + 1)]
+    return np.array([len(zlib.compress(raw[a:b], 1)) / (b - a) for a, b in zip(at, at[1:], strict=False)])
 
 
 def statistics(raw: bytes) -> np.ndarray:
@@ -51,12 +60,13 @@ def statistics(raw: bytes) -> np.ndarray:
     letters = h[65:91].sum() + h[97:123].sum() + h[128:].sum()
     marks = h[33:48].sum() + h[58:65].sum() + h[91:97].sum() + h[123:127].sum()
     usual = h[[33, 44, 46, 63]].sum()  # ! , . ?
+    packed = block_ratios(raw)
     out[:] = (
         np.log1p(n), np.log1p(w), sizes.mean(), sizes.std(), np.log1p(sizes.max()),
         letters / n, h[65:91].sum() / max(1, letters), h[48:58].sum() / n, marks / n, (marks - usual) / n, h[128:].sum() / n,
         h[33] / w, h[44] / w, h[46] / w, h[10] / w, h[124] / w, (h[35] + h[36] + h[37] + h[38] + h[42]) / w, h[32] / n,
         len(different) / w, pairs / max(1, len(words) - 1), len(set(lines)) / len(lines), np.log1p(len(lines)),
-        np.log1p(n / len(lines)), len(different) / np.sqrt(w), (h[:32].sum() - h[10]) / n, len(zlib.compress(raw[-32768:], 1)) / min(n, 32768), len(zlib.compress(raw[:32768], 1)) / min(n, 32768),
+        np.log1p(n / len(lines)), len(different) / np.sqrt(w), (h[:32].sum() - h[10]) / n, packed.mean(), packed.min(), packed.max(),
     )
     return out
 

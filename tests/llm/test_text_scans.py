@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,24 @@ def test_files_with_many_notices_and_long_prose(spark):
             assert {notices[k][0] for k in groups[i]} <= set(r.labels.split(",")), groups[i]
 
 
+def test_compressibility_is_of_the_whole_text():
+    rng = random.Random(6)
+    clean = lambda n: " ".join("".join(rng.choice("etaoins") for _ in range(rng.randint(2, 7))) for _ in range(n)).encode()
+    start, middle, end = clean(10_000), clean(16_000), clean(10_000)
+    assert min(len(start), len(end)) > 32_768
+    of = lambda x: quality.statistics(x)[-3:]
+    good = of(start + middle + end)
+    for junk in (rng.randbytes(len(middle)), b"buy now " * (len(middle) // 8)):
+        bad = [of(start + junk + end), of(junk + start + end), of(start + end + junk)]
+        assert all(np.abs(x - good).max() > 0.2 for x in bad)
+        assert all(np.abs(x - bad[0]).max() < 0.1 for x in bad)  # wherever the junk is
+    for n in (1, 100, 32_768, 32_769, 70_001):
+        raw = (start + middle)[:n]
+        blocks = quality.block_ratios(raw)
+        assert len(blocks) == -(-n // 32_768) and len(quality.statistics(raw)) == quality._STATS
+    assert np.allclose(of(start[:5000]), len(zlib.compress(start[:5000], 1)) / 5000)
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.1"])
 def test_quality_on_held_out_rows(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
