@@ -1,48 +1,76 @@
-"""Cutting lineage so that the loss of an executor costs nothing: checkpoints and tables in the folder the cluster shares."""
+"""Cutting lineage so that the loss of an executor costs nothing: tables in the folder the cluster shares."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-#: Tables that this process has written.
+#: Folders of tables that this process has written and not deleted yet.
 _written: list[str] = []
+#: Where a local session without a checkpoint folder writes.
+LOCAL_DIR = "/tmp/checkpoints/folio"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; one is set only if the session names none."""
+    """The folder that the cluster shares for checkpoints; only a local session may name none."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = "/tmp/checkpoints/folio"
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = LOCAL_DIR
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through checkpoint() in the shared folder; survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again; for tables too wide for checkpoint()."""
+    """Writes df as Parquet in the shared folder and reads it again; what a session leaves is deleted when its JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/folio-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
+    at, fs = _path(spark, path)
+    fs.deleteOnExit(at.getParent())
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a table of any kind; survives the loss of any executor."""
+    return stored(df, "cut")
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    at, fs = _path(spark, path)
+    return bool(fs.delete(at, True))
+
+
+@contextmanager
+def scope(*kept: DataFrame) -> Iterator[list[DataFrame]]:
+    """Deletes, at its end, the tables that were written inside, but for those behind the DataFrames added to the list."""
+    before, keep = set(_written), list(kept)
+    yield keep
+    if keep:
+        spark = keep[0].sparkSession
+        needed = [f for df in keep for f in df.inputFiles()]
+        for path in [p for p in _written if p not in before]:
+            if not any(path.rsplit("/", 1)[-1] in f for f in needed):
+                _delete(spark, path)
+                _written.remove(path)
+
+
 def clear(spark: SparkSession) -> int:
     """Deletes the tables that stored() has written in this process, once all results over them are written; their number."""
-    jvm = spark.sparkContext._jvm
     n = 0
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+        n += _delete(spark, _written.pop())
     return n
 
 
