@@ -4,21 +4,24 @@ A document's set holds its distinct five-word shingles as 63-bit hashes; its ske
 a set of up to WHOLE). Documents with equal sets are one class, so copies cost nothing beyond the first pass.
 
 Candidates come from inverted lists of retained values. In two linked documents the sketches share at least NEED values
-(all but certain for random hashes: see tests; exact for small sets), so, with the values of a sketch in the order of
-their frequency, the first (size - NEED + 1) of each must meet in one. Only these are listed, which keeps passages that
-many documents share out of the lists. The union of two sketches estimates the similarity; pairs that can reach the
-threshold are verified on full sets. This goes in two rounds. First each class meets the first one of its lists, which
-joins most of a group of near copies in a star. Then the lists that still hold several components are joined to
-neighbourhoods; in each of these all pairs of different components are compared, in blocks: sizes first, then
-full sets as bit strings. Only links that join two components leave a block, so a group's pairs are never listed, and no
-link between components of a neighbourhood is lost.
-
-Components are found by minimum labels with pointer jumping, in tables; nothing but counts and sums comes to the driver.
-
-Null and empty texts and texts without words have no shingles and are linked with nothing; a text of fewer than five words is one shingle. Rows with a
-null id are returned with a null component and kept = false, and link nothing. Rows with one id and several texts are
-several nodes; equal rows are one, and all of them are returned. Extra columns are not read by components(); keep_first()
-keeps them.
+(the chance of fewer, at the threshold, is 5e-9 a pair; small sets are exact), so, with the values of a sketch in the
+order of their frequency, the first (size - NEED + 1) of each must meet in one. Only these are listed, which keeps
+passages that many documents share out of the lists. The union of two sketches estimates the similarity; pairs that can
+reach the threshold are verified on full sets. This goes in two rounds. First each class meets the first one of its
+lists, which joins most of a group of near copies in a star. Then the lists that still hold several components are
+joined to neighbourhoods. In each of these the sketches of all members are compared, in blocks, and those without a
+partner of another component drop out; the full sets of the rest decide, again in blocks, of a bounded number of
+shingles. Only links that join two components leave a block, so a group's pairs are never listed, and no link between
+components of a neighbourhood is lost.
+
+Components are found by minimum labels with pointer jumping, in tables; nothing but counts, sums and hot keys, of which
+there are at most common.SHARES for each join, comes to the driver. Hot values, heads and labels are split over tasks.
+
+Null and empty texts and texts without words have no shingles and are linked with nothing; a text of fewer than five
+words is one shingle. Rows with a null id are returned with a null component and kept = false, and link nothing. Rows
+with one id and several texts are several nodes; equal rows are one, and all of them are returned. Extra columns are not
+read by components(), whatever their names. keep_first() keeps them, and of each component exactly one row: among rows
+of the smallest id the text with the smallest hash, among equal texts any one; rows with a null id are all kept.
 """
 
 from __future__ import annotations
@@ -28,16 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import cut, modest_batches, slabs, stored
+from folio.llm.common import LEAST_HOT, column, cut, joined, positional, scope, slabs, stored
 
 WORDS, PERCENT = 5, 75
 #: Values a sketch retains; sets up to WHOLE are retained in full; values that the sketches of a link share at least.
-KEEP, WHOLE, NEED = 32, 48, 12
-#: Members of a block of a large neighbourhood; small neighbourhoods share tasks of about this many members.
-MEMBERS = 1_024
+KEEP, WHOLE, NEED = 32, 48, 9
+#: Shingles in a block of a large neighbourhood, and the shingles as which a smaller set counts, so that a block has about
+#: ROOM / LEAST_WEIGHT members at most; small neighbourhoods share tasks of about this size.
+ROOM, LEAST_WEIGHT = 1 << 20, 1 << 10
 #: Ids up to which the list of documents to read again is broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 #: Bytes hashed at once.
@@ -150,16 +154,19 @@ def _set_key(x: np.ndarray) -> bytes | None:
 
 
 def _hashed(docs: DataFrame, full: bool) -> DataFrame:
-    """doc_id, n, key, and the sketch or the full set, of docs (doc_id, text)."""
+    """doc_id, mark, n, key, and the sketch or the full set, of docs (doc_id, text, mark)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slabs(batches):
             sets = shingle_sets([x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()])
-            kept = sets if full else [x if len(x) <= WHOLE else x[:KEEP] for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_set_key(x) for x in sets], pa.binary()), _lists(kept)], ["doc_id", "n", "key", "values"])
+            kept = sets if full else [_sketch(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_set_key(x) for x in sets], pa.binary()), _lists(kept)], ["doc_id", "mark", "n", "key", "values"])
 
-    modest_batches(docs.sparkSession)
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, values array<long>")
+    return docs.mapInArrow(run, "doc_id long, mark long, n long, key binary, values array<long>")
+
+
+def _sketch(x: np.ndarray) -> np.ndarray:
+    return x if len(x) <= WHOLE else x[:KEEP]
 
 
 def _similar(a: str, b: str) -> Column:
@@ -186,15 +193,16 @@ def minimum_labels(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id that edges (a, b) reach from each id that occurs in them."""
     both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
+    degrees = cut(both.groupBy("b").count()) if both.count() > LEAST_HOT else None
     before = None
     while True:
         total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if total == before or total is None:
             return labels
         before = total
-        lower = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "id")
-        step = labels.join(lower, "id").select("id", F.least("label", "m").alias("label"))
-        labels = cut(step.join(step.select(F.col("id").alias("label"), F.col("label").alias("next")), "label").select("id", F.col("next").alias("label")))
+        near = joined(both, labels.withColumnRenamed("id", "b"), "b", "a", counts=degrees).groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "id")
+        jump = joined(labels, labels.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", "id")
+        labels = cut(jump.join(near, "id").select("id", F.least("m", "next").alias("label")))
 
 
 def _full_sets(cids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -212,114 +220,167 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     sets = _full_sets(pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))), classes, texts)
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
     common = F.size(F.array_intersect("s_a", "s_b"))
-    return cut(pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", common).where(F.col("i") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("i")) * PERCENT).select("a", "b"))
-
-
-def _bits(arrays: list[np.ndarray]) -> list[int]:
-    """Each array as a bit string over the values that occur in more than one."""
-    sizes = [len(a) for a in arrays]
-    values, where, n = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
-    number = np.cumsum(n > 1) - 1
-    at, out = 0, []
-    row = np.zeros(int((n > 1).sum()), np.uint8)
-    for size in sizes:
-        mine = where[at : at + size]
-        mine = number[mine[n[mine] > 1]]
-        row[mine] = 1
-        out.append(int.from_bytes(np.packbits(row).tobytes(), "big"))
-        row[mine] = 0
-        at += size
-    return out
+    met = joined(pairs, side("a"), "a", "b").join(side("b"), "b")
+    return cut(met.withColumn("i", common).where(F.col("i") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("i")) * PERCENT).select("a", "b"))
+
+
+def _needed(n: np.ndarray) -> np.ndarray:
+    """Values that the sketch of a set of n shingles shares with that of any set it is linked with."""
+    # All partners of a set of up to three quarters of WHOLE are retained in full, so its overlap is exact.
+    return np.where(n * 100 <= WHOLE * PERCENT, -(-n * PERCENT // 100), NEED)
+
+
+def partners(labels: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], blocks: np.ndarray | None = None) -> np.ndarray:
+    """Matrix of the pairs of different labels (and blocks) that sizes and sketches allow a link."""
+    m = len(sketches)
+    owner = np.repeat(np.arange(m), [len(x) for x in sketches])
+    _, where, df = np.unique(np.concatenate(sketches) if m else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    owner, where = owner[df[where] > 1], where[df[where] > 1]
+    owner = owner[np.argsort(where, kind="stable")]
+    ends = np.cumsum(df[df > 1])
+    shared = np.zeros((m, m), np.int16)
+    for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+        g = owner[a:b]
+        shared[g[:, None], g] += 1
+    need = _needed(n)
+    close = shared >= np.maximum(need[:, None], need[None, :])
+    close &= (np.minimum(n[:, None], n) * 100 >= np.maximum(n[:, None], n) * PERCENT) & (labels[:, None] != labels)
+    return close if blocks is None else close & (blocks[:, None] != blocks)
 
 
 def joining_links(cids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join different components (labels), until no pair of different components is left; blocks: only pairs of two."""
     n = np.array([len(x) for x in sets])
-    if len(sets) < 2 or (labels == labels[0]).all():
-        return []
-    whole = _bits(sets)
     labels, out = labels.copy(), []
-    for i in range(len(sets) - 1):
-        later = slice(i + 1, None)
-        close = (labels[later] != labels[i]) & (np.minimum(n[later], n[i]) * 100 >= np.maximum(n[later], n[i]) * PERCENT)
-        if blocks is not None:
-            close &= blocks[later] != blocks[i]
-        for j in (np.flatnonzero(close) + i + 1).tolist():
-            if labels[j] == labels[i]:
-                continue
-            common = (whole[i] & whole[j]).bit_count()
-            if common * 100 >= (n[i] + n[j] - common) * PERCENT:
-                out.append((int(cids[i]), int(cids[j])))
-                labels[labels == labels[j]] = labels[i]
+    for i, j in np.argwhere(np.triu(partners(labels, n, [_sketch(x) for x in sets], blocks), 1)).tolist():
+        if labels[i] == labels[j]:
+            continue
+        x, y = (sets[i], sets[j]) if n[i] <= n[j] else (sets[j], sets[i])
+        at = np.searchsorted(y, x)
+        common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+        if common * 100 >= (n[i] + n[j] - common) * PERCENT:
+            out.append((int(cids[i]), int(cids[j])))
+            labels[labels == labels[j]] = labels[i]
     return out
 
 
-def _round2(open_lists: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links that join the components of the lists (v, cid, label)."""
-    heads = open_lists.groupBy("v").agg(F.min("cid").alias("b"))
-    around = minimum_labels(open_lists.join(heads, "v").select(F.col("cid").alias("a"), "b").where("a <> b").distinct()).select(F.col("id").alias("cid"), F.col("label").alias("around"))
-    members = open_lists.select("cid", "label").distinct().join(around, "cid")
-    sizes = members.groupBy("around").agg(F.count("*").alias("size"))
-    placed = stored(members.join(sizes, "around"), "around")
-    tasks = max(1, placed.where(F.col("size") <= MEMBERS).count() // MEMBERS)
-    deal = F.ceil(F.col("size") / MEMBERS).cast("int")
-    big = placed.where(F.col("size") > MEMBERS).withColumn("mine", F.pmod(F.xxhash64("cid"), deal).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), deal - 1))).select("cid", "label", "around", F.col("around").alias("task"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
-    little = placed.where(F.col("size") <= MEMBERS).select("cid", "label", "around", F.pmod(F.xxhash64("around"), F.lit(tasks)).cast("long").alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("mine"))
-    ready = big.unionAll(little).join(_full_sets(placed, classes, texts), "cid")
+def _dealt(members: DataFrame) -> DataFrame:
+    """members (cid, label, around, weight) with task, i, j, mine.
+
+    Neighbourhoods (around) of a weight of up to ROOM share tasks of about that; a larger one is dealt into blocks
+    (mine), and each pair of blocks (i, j) is a task.
+    """
+    sizes = members.groupBy("around").agg(F.sum("weight").alias("size"))
+    placed = stored(joined(members, sizes, "around", "cid"), "around")
+    tasks = max(1, (placed.where(F.col("size") <= ROOM).agg(F.sum("weight")).first()[0] or 0) // ROOM)
+    deal = F.ceil(F.col("size") / ROOM).cast("int")
+    big = placed.where(F.col("size") > ROOM).withColumn("mine", F.pmod(F.xxhash64("cid"), deal).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), deal - 1))).select("cid", "label", "around", F.col("around").alias("task"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
+    little = placed.where(F.col("size") <= ROOM).select("cid", "label", "around", F.pmod(F.xxhash64("around"), F.lit(tasks)).cast("long").alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("mine"))
+    return big.unionAll(little)
+
+
+def _compared(members: DataFrame, sets: DataFrame, schema: str, found) -> DataFrame:
+    """What found(cids, labels, sets, blocks) lists in each neighbourhood of members, of the columns of schema."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def compare(t: pa.Table) -> pa.Table:
         cids, labels, around, mine = (t[c].to_numpy() for c in ("cid", "label", "around", "mine"))
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        sets = [np.asarray(x) for x in t["s"].to_numpy()]
-        out: list[tuple[int, int]] = []
+        two = t["i"][0].as_py() != t["j"][0].as_py()
+        each = [np.asarray(x) for x in t["s"].to_numpy()]
+        n = t["n"].to_numpy()
+        out: list[tuple[int, ...]] = []
         order = np.argsort(around, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(around[order])) + 1):
-            out += joining_links(cids[part], labels[part], [sets[k] for k in part], mine[part] if i != j else None)
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+            if (labels[part] != labels[part[0]]).any():
+                out += found(cids[part], labels[part], [each[k] for k in part], mine[part] if two else None, n[part])
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(names, zip(*out, strict=True) if out else [[]] * len(names), strict=True)})
 
-    return cut(ready.groupBy("task", "i", "j").applyInArrow(compare, "a long, b long"))
+    return stored(_dealt(members).join(sets, "cid").groupBy("task", "i", "j").applyInArrow(compare, schema), "compared")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _round2(open_lists: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that join the components of the lists (v, cid, label)."""
+    heads = stored(open_lists.groupBy("v").agg(F.min("cid").alias("b"), F.count("*").alias("count")), "heads2")
+    spokes = joined(open_lists, heads.select("v", "b"), "v", "cid", counts=heads).select(F.col("cid").alias("a"), "b").where("a <> b").distinct()
+    around = minimum_labels(spokes).select(F.col("id").alias("cid"), F.col("label").alias("around"))
+    members = stored(open_lists.select("cid", "label").distinct().join(around, "cid"), "members")
+    sketches = classes.select("cid", "n", "s")
+    met = lambda cids, labels, sets, blocks, n: [(int(c),) for c in cids[partners(labels, n, sets, blocks).any(axis=1)]]
+    alive = _compared(members.withColumn("weight", F.lit(LEAST_WEIGHT).cast("long")), sketches, "cid long", met).distinct()
+    rest = stored(members.join(alive, "cid").join(classes.select("cid", "n"), "cid").withColumn("weight", F.greatest(F.col("n"), F.lit(LEAST_WEIGHT))).drop("n"), "rest")
+    links = lambda cids, labels, sets, blocks, n: joining_links(cids, labels, sets, blocks)
+    return _compared(rest, _full_sets(rest, classes, texts), "a long, b long", links)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark, n, label, component of every row of docs; mark is a hash of the text, label null for a set that links with nothing."""
+    at = positional(docs)
+    texts = at.select(F.col(column(docs, id_col)).cast("long").alias("doc_id"), F.col(column(docs, text_col)).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     rows = stored(_hashed(texts, full=False), "sketches")
-    first = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    one = rows.join(first.withColumnRenamed("key", "k2"), (F.col("key") == F.col("k2")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["key"])
-    classes = stored(one.select("key", "rep", "n", F.col("values").alias("s")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    first = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "n", "values")).alias("x"))
+    classes = stored(first.select("key", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.values").alias("s")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     sketch = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
 
     # Inverted lists: the rarest retained values of each class, without those that only it has.
     each = classes.select("cid", "n", F.size("s").alias("size"), F.explode("s").alias("v"))
-    common = each.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    # All partners of a set of up to three quarters of WHOLE are retained in full, so its overlap is exact.
+    common = stored(each.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "values")
     need = F.when(F.col("n") * 100 <= WHOLE * PERCENT, F.ceil(F.col("n") * PERCENT / 100)).otherwise(NEED)
-    shared = each.join(common, "v").groupBy("cid", "n", "size").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("order"))
+    shared = joined(each, common, "v", "cid", counts=common.withColumnRenamed("df", "count")).groupBy("cid", "n", "size").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("order"))
     spare = F.col("size") - need + 1 - (F.col("size") - F.size("order"))
     lists = stored(shared.withColumn("spare", spare.cast("int")).where("spare > 0").select("cid", "n", F.explode(F.slice("order", F.lit(1), F.col("spare"))).alias("x")).select("cid", "n", F.col("x.v").alias("v")), "lists")
 
     # Round 1: each class and the first class of each of its lists; the most similar one is verified.
-    heads = lists.groupBy("v").agg(F.min(F.struct("cid", "n")).alias("h"), F.count("*").alias("c")).where("c > 1").select("v", F.col("h.cid").alias("a"), F.col("h.n").alias("n_h"))
-    near = lists.join(heads, "v").where((F.col("cid") != F.col("a")) & _similar("n", "n_h")).select("a", F.col("cid").alias("b")).distinct()
-    near = near.join(sketch("a"), "a").join(sketch("b"), "b").where(_possible()).select("b", F.struct(_estimate().alias("e"), (-F.col("a")).alias("m")).alias("x")).groupBy("b").agg(F.max("x").alias("x")).select((-F.col("x.m")).alias("a"), "b")
+    heads = stored(lists.groupBy("v").agg(F.min(F.struct("cid", "n")).alias("h"), F.count("*").alias("count")).where("count > 1").select("v", F.col("h.cid").alias("a"), F.col("h.n").alias("n_h"), "count"), "heads")
+    near = joined(lists, heads.drop("count"), "v", "cid", counts=heads).where((F.col("cid") != F.col("a")) & _similar("n", "n_h")).select("a", F.col("cid").alias("b")).distinct()
+    near = joined(stored(near, "near"), sketch("a"), "a", "b").join(sketch("b"), "b").where(_possible()).select("b", F.struct(_estimate().alias("e"), (-F.col("a")).alias("m")).alias("x")).groupBy("b").agg(F.max("x").alias("x")).select((-F.col("x.m")).alias("a"), "b")
     links = _verified(near, classes, texts)
     labels = minimum_labels(links)
 
     # Round 2: lists with several components.
-    placed = lists.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    mixed = placed.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
-    open_lists = stored(placed.join(mixed, "v").select("v", "cid", "label"), "open")
+    placed = stored(lists.select("cid", "v").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "placed")
+    mixed = stored(placed.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("count")).where("lo < hi"), "mixed")
+    open_lists = stored(joined(placed, mixed.select("v"), "v", "cid", counts=mixed).select("v", "cid", "label"), "open")
     labels = minimum_labels(links.unionAll(_round2(open_lists, classes, texts)))
 
-    whole = classes.select("cid", "key", "rep").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    whole = stored(classes.select("cid", "key", "rep").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "labelled")
     lowest = whole.groupBy("label").agg(F.min("rep").alias("component"))
-    by_key = whole.join(lowest, "label").select("key", "component")
-    out = rows.join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    by_key = stored(joined(whole, lowest, "label", "cid").select("key", "component", "label"), "components")
+    out = joined(rows.select("doc_id", "mark", "n", "key"), by_key, "key", "doc_id", "left")
+    return out.select("doc_id", "mark", "n", "label", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component"))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs."""
+    with scope() as needed:
+        out = _grouped(docs, id_col, text_col)
+        needed.append(out)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+def _found(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """The rows of docs, as positional columns, (not) listed in table (id, mark), which is broadcast if it is small."""
+    small = table.count() <= BROADCAST_IDS
+    at = positional(docs)
+    same = (F.col(id_col).cast("long") == F.col("id")) & F.xxhash64(F.col(text_col).cast("string")).eqNullSafe(F.col("mark"))
+    return at.join(F.broadcast(table) if small else table, same, how)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are first of their component, and all rows with a null id, with docs' columns."""
-    lost = stored(components(docs, id_col, text_col).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__lost")).distinct(), "lost")
-    small = lost.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(lost) if small else lost, F.col(id_col).cast("long") == F.col("__lost"), "left_anti")
+    """One row of docs for each component, and all rows with a null id, with docs' columns."""
+    names, i, x = docs.columns, column(docs, id_col), column(docs, text_col)
+    with scope() as needed:
+        every = stored(_grouped(docs, id_col, text_col).where("doc_id IS NOT NULL"), "grouped")
+        # Texts of a smallest id that are linked with each other: the one with the smallest hash stays.
+        tops = every.where("doc_id = component").groupBy(F.col("doc_id").alias("id"), "label", "mark").agg(F.count("*").alias("rows"))
+        firsts = stored(tops.withColumn("lost", F.col("label").isNotNull() & (F.col("mark") > F.min("mark").over(Window.partitionBy("id", "label")))), "tops")
+        lost = stored(every.where("doc_id <> component").select(F.col("doc_id").alias("id"), "mark").distinct().unionAll(firsts.where("lost").select("id", "mark")), "lost")
+        again = stored(firsts.where("NOT lost AND rows > 1").select("id", "mark"), "again")
+        needed += [lost, again]
+    kept = _found(docs, lost, i, x, "left_anti")
+    if not again.count():
+        return kept.toDF(*names)
+    # Repeated rows: any one of them, by an aggregate that combines them before the shuffle.
+    once = _found(kept, again, i, x, "left_semi")
+    values = [c for c in once.columns if c not in (i, x)]
+    one = once.groupBy(i, x).agg(*[F.first(c).alias(c) for c in values]).select(*once.columns)
+    return _found(kept, again, i, x, "left_anti").unionAll(one).toDF(*names)

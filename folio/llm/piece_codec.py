@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import modest_batches, slabs, texts_of
+from folio.llm.common import column, positional, slabs, texts_of
 
 SPACE = "▁"
 #: Entries of the memo tables of one worker; they are emptied when full.
@@ -215,7 +215,6 @@ def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
             decoded = t.decode_many(flat, ends[1:])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), ids, pa.array(decoded, pa.string())], schema=out)
 
-    modest_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import fold, modest_batches, slabs
+from folio.llm.common import column, fold, positional, slabs
 
 #: Labelled rows that are trained on, at most (expected size of the hash sample), and the partitions that hold them.
 MAX_TRAIN, TRAIN_PARTITIONS = 24_000, 8
@@ -138,7 +138,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out=l
         for b in slabs(batches):
             yield pa.RecordBatch.from_arrays([b.column("y"), b.column("part"), pa.array(list(_table(b)), pa.list_(pa.float64()))], ["y", "part", "x"])
 
-    modest_batches(docs.sparkSession)
     # About bound rows of _STATS doubles (5 MB at MAX_TRAIN): standardised and lifted on the driver's plan, summed by partition.
     rows = sampled(docs, labels, label, held_out, bound).mapInArrow(stats_of, "y int, part int, x array<double>").persist()
     try:
@@ -178,7 +177,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in slabs(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_table(b)))], ["doc_id", "score"])
 
-    modest_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
@@ -193,5 +191,4 @@ def keep_scored(docs: DataFrame, model: Model, least: float, text_col: str = "te
                 good = model.score(np.stack([statistics(x or b"") for x in s.column(at).cast(pa.binary()).to_pylist()])) >= least
                 yield pa.RecordBatch.from_arrays(s.filter(pa.array(good)).columns, b.schema.names)
 
-    modest_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

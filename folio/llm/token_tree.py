@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import modest_batches, slabs, texts_of
+from folio.llm.common import column, positional, slabs, texts_of
 
 #: Pre-tokens in a leaf, characters that a match may look at behind its end, entries of a worker's memo table.
 LEAF, CONTEXT, MEMO = 32, 2, 600_000
@@ -182,7 +182,6 @@ def counts(docs: DataFrame, ranks: bytes, pattern: str, edits: Column | None = N
                 rows.append([*row, tree.tokens, tree.reencoded, *(leaves if trees else ())])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    modest_batches(docs.sparkSession)
     todo = edits.cast(EDITS) if edits is not None else F.array().cast(EDITS)
     kinds = "doc_id long, n_chars long, n_pretokens long, n_tokens long, n_tokens_edited long, n_reencoded long" + ", leaf_chars array<int>, leaf_tokens array<int>" * trees
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), todo.alias("edits")).mapInArrow(run, kinds)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import fold, modest_batches, slabs, texts_of
+from folio.llm.common import column, fold, positional, slabs, texts_of
 from folio.llm.quality import sampled
 
 #: Labelled rows of each class that are trained on, at most; rows of them that a bucket needs; embedding size, filters of each width.
@@ -262,7 +262,6 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
             found = net.score(texts_of(b))
             yield pa.RecordBatch.from_arrays([*b.columns[:1], *b.columns[2:], pa.array(found, pa.float64())], ["doc_id", "lang", "score"])
 
-    modest_batches(docs.sparkSession)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang")).mapInArrow(run, "doc_id long, lang string, score double")
 
