@@ -84,9 +84,10 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 
 def slabs(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that each holds about SLAB_BYTES of text, or one row if that is longer."""
+    """Cuts Arrow batches so that each holds about SLAB_BYTES of text (a column of strings, or of their lengths), or one row if that is longer."""
     for batch in batches:
-        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64))
+        c = batch.column(text)
+        ends = np.cumsum(np.asarray(pc.fill_null(c if pa.types.is_integer(c.type) else pc.binary_length(c), 0), np.int64))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0

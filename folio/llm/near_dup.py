@@ -191,18 +191,20 @@ def _possible() -> Column:
 
 def minimum_labels(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id that edges (a, b) reach from each id that occurs in them."""
-    both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
-    degrees = cut(both.groupBy("b").count()) if both.count() > LEAST_HOT else None
-    before = None
-    while True:
-        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if total == before or total is None:
-            return labels
-        before = total
-        near = joined(both, labels.withColumnRenamed("id", "b"), "b", "a", counts=degrees).groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "id")
-        jump = joined(labels, labels.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", "id")
-        labels = cut(jump.join(near, "id").select("id", F.least("m", "next").alias("label")))
+    with scope() as needed:
+        both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+        labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
+        degrees = cut(both.groupBy("b").count()) if both.count() > LEAST_HOT else None
+        before = None
+        while True:
+            total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+            if total == before or total is None:
+                needed.append(labels)
+                return labels
+            before = total
+            near = joined(both, labels.withColumnRenamed("id", "b"), "b", "a", counts=degrees).groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "id")
+            jump = joined(labels, labels.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", "id")
+            labels = cut(jump.join(near, "id").select("id", F.least("m", "next").alias("label")))
 
 
 def _full_sets(cids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -216,12 +218,15 @@ def _full_sets(cids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of class ids whose full sets are similar enough."""
-    pairs = stored(pairs, "pairs")
-    sets = _full_sets(pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))), classes, texts)
-    side = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    met = joined(pairs, side("a"), "a", "b").join(side("b"), "b")
-    return cut(met.withColumn("i", common).where(F.col("i") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("i")) * PERCENT).select("a", "b"))
+    with scope() as needed:
+        pairs = stored(pairs, "pairs")
+        sets = _full_sets(pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))), classes, texts)
+        side = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
+        common = F.size(F.array_intersect("s_a", "s_b"))
+        met = joined(pairs, side("a"), "a", "b").join(side("b"), "b")
+        links = cut(met.withColumn("i", common).where(F.col("i") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("i")) * PERCENT).select("a", "b"))
+        needed.append(links)
+    return links
 
 
 def _needed(n: np.ndarray) -> np.ndarray:
@@ -300,16 +305,33 @@ def _compared(members: DataFrame, sets: DataFrame, schema: str, found) -> DataFr
 
 def _round2(open_lists: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): links that join the components of the lists (v, cid, label)."""
-    heads = stored(open_lists.groupBy("v").agg(F.min("cid").alias("b"), F.count("*").alias("count")), "heads2")
-    spokes = joined(open_lists, heads.select("v", "b"), "v", "cid", counts=heads).select(F.col("cid").alias("a"), "b").where("a <> b").distinct()
-    around = minimum_labels(spokes).select(F.col("id").alias("cid"), F.col("label").alias("around"))
-    members = stored(open_lists.select("cid", "label").distinct().join(around, "cid"), "members")
-    sketches = classes.select("cid", "n", "s")
     met = lambda cids, labels, sets, blocks, n: [(int(c),) for c in cids[partners(labels, n, sets, blocks).any(axis=1)]]
-    alive = _compared(members.withColumn("weight", F.lit(LEAST_WEIGHT).cast("long")), sketches, "cid long", met).distinct()
-    rest = stored(members.join(alive, "cid").join(classes.select("cid", "n"), "cid").withColumn("weight", F.greatest(F.col("n"), F.lit(LEAST_WEIGHT))).drop("n"), "rest")
-    links = lambda cids, labels, sets, blocks, n: joining_links(cids, labels, sets, blocks)
-    return _compared(rest, _full_sets(rest, classes, texts), "a long, b long", links)
+    joins = lambda cids, labels, sets, blocks, n: joining_links(cids, labels, sets, blocks)
+    with scope() as needed:
+        heads = stored(open_lists.groupBy("v").agg(F.min("cid").alias("b"), F.count("*").alias("count")), "heads2")
+        spokes = joined(open_lists, heads.select("v", "b"), "v", "cid", counts=heads).select(F.col("cid").alias("a"), "b").where("a <> b").distinct()
+        around = minimum_labels(spokes).select(F.col("id").alias("cid"), F.col("label").alias("around"))
+        members = stored(open_lists.select("cid", "label").distinct().join(around, "cid"), "members")
+        alive = _compared(members.withColumn("weight", F.lit(LEAST_WEIGHT).cast("long")), classes.select("cid", "n", "s"), "cid long", met).distinct()
+        rest = stored(members.join(alive, "cid").join(classes.select("cid", "n"), "cid").withColumn("weight", F.greatest(F.col("n"), F.lit(LEAST_WEIGHT))).drop("n"), "rest")
+        links = _compared(rest, _full_sets(rest, classes, texts), "a long, b long", joins)
+        needed.append(links)
+    return links
+
+
+def _listed(classes: DataFrame) -> DataFrame:
+    """(cid, n, v): the inverted lists, of the rarest retained values of each class, without those that only it has."""
+    each = classes.select("cid", F.explode("s").alias("v"))
+    need = F.when(F.col("n") * 100 <= WHOLE * PERCENT, F.ceil(F.col("n") * PERCENT / 100)).otherwise(NEED)
+    with scope() as needed:
+        common = stored(each.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "values")
+        shared = joined(each, common, "v", "cid", counts=common.withColumnRenamed("df", "count")).groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("order"))
+        # Of size values, size - need + 1 must be listed; those that no other class has needn't.
+        spare = (F.size("order") - need + 1).cast("int")
+        ranked = shared.join(classes.select("cid", "n"), "cid").withColumn("spare", spare).where("spare > 0")
+        lists = stored(ranked.select("cid", "n", F.explode(F.slice("order", F.lit(1), F.col("spare"))).alias("x")).select("cid", "n", F.col("x.v").alias("v")), "lists")
+        needed.append(lists)
+    return lists
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -321,13 +343,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     classes = stored(first.select("key", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.values").alias("s")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     sketch = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
 
-    # Inverted lists: the rarest retained values of each class, without those that only it has.
-    each = classes.select("cid", "n", F.size("s").alias("size"), F.explode("s").alias("v"))
-    common = stored(each.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "values")
-    need = F.when(F.col("n") * 100 <= WHOLE * PERCENT, F.ceil(F.col("n") * PERCENT / 100)).otherwise(NEED)
-    shared = joined(each, common, "v", "cid", counts=common.withColumnRenamed("df", "count")).groupBy("cid", "n", "size").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("order"))
-    spare = F.col("size") - need + 1 - (F.col("size") - F.size("order"))
-    lists = stored(shared.withColumn("spare", spare.cast("int")).where("spare > 0").select("cid", "n", F.explode(F.slice("order", F.lit(1), F.col("spare"))).alias("x")).select("cid", "n", F.col("x.v").alias("v")), "lists")
+    lists = _listed(classes)
 
     # Round 1: each class and the first class of each of its lists; the most similar one is verified.
     heads = stored(lists.groupBy("v").agg(F.min(F.struct("cid", "n")).alias("h"), F.count("*").alias("count")).where("count > 1").select("v", F.col("h.cid").alias("a"), F.col("h.n").alias("n_h"), "count"), "heads")

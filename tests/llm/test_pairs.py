@@ -214,6 +214,24 @@ def test_linked_vectors(spark, odd):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_vectors_of_extreme_size(spark):
+    big, tiny = 1e200, 1e-310
+    rows = [(1, [big, big]), (2, [big, 1.0001 * big]), (3, [1.0, 1.0]), (4, [tiny, tiny]), (5, [5e-324, 0.0]), (6, [1e308, 0.0]), (7, [-1e308, 1e308]), (8, [0.0, -0.0])]
+    df = spark.createDataFrame([(i, v, 0, 0, 0) for i, v in rows], "vec_id long, embedding array<double>, E int, id int, x int").toDF("vec_id", "embedding", "EMBEDDING", "id", "lists")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivot_dup.linked(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8)}
+
+
+def test_links_in_many_blocks(spark, odd, monkeypatch):
+    """Long lists, hot keys and small tasks give the same result as short ones."""
+    df, _ = vectors(spark, odd)
+    want = sorted(map(tuple, pivot_dup.linked(df).collect()), key=str)
+    for name, value in (("BLOCK", 16), ("TASK", 32)):
+        monkeypatch.setattr(pivot_dup, name, value)
+    monkeypatch.setattr("folio.llm.common.LEAST_HOT", 20)
+    assert sorted(map(tuple, pivot_dup.linked(df).collect()), key=str) == want
+
+
 def test_neighbours(spark, odd):
     df, rows = vectors(spark, odd)
     good = [r for r in rows if usable(r[1])]
