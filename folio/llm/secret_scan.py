@@ -2,20 +2,27 @@
 
 Strong kinds (assign, access, hex) are reported wherever they stand. Three kinds of parts are weak alone: identifiers
 (user names, client and access key ids), endpoints (URLs, hosts) and secret-looking values. A value is reported, as
-kind "linked", only if an identifier or an endpoint stands within SCOPE characters of it. A scope never crosses a
-document, so this interval join runs inside each row, between the row's sorted part arrays: nothing is shuffled, no
+kind "linked", only if an identifier or an endpoint stands within SCOPE characters of it; the nearest of either kind is
+reported with it. A scope never crosses a document, so this interval join runs inside each row: the parts of a kind are
+sorted arrays, and binary searches find, for each value, the last part that ends before it and the first that starts
+behind it. So a row takes time in proportion to its text and its parts (times their logarithm), nothing is shuffled, no
 pair is emitted, and no key can become hot.
 
 Positions are code points, end exclusive. Matches of one kind never overlap; a linked value that overlaps a span of a
-strong kind is left out. Null and empty texts have no spans. Repeated rows are scanned each. Only the id and the text
-are read; redact() keeps all other columns, whatever their names.
+strong kind is left out. Of parts at equal distances the one before the value is named. Null and empty texts have no
+spans. Repeated rows are scanned each. Only the id and the text are read, whatever the names of other columns; redact()
+keeps all columns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.common import column, positional
+
 #: Greatest distance, in characters, between a value and the part that supports it.
 SCOPE = 256
 #: Strong kinds in the order in which ties are listed; linked spans come last.
@@ -35,6 +42,8 @@ NEEDS = {
     IDENTIFIER: ("user", "login", "email", "key", "client", "account", "akia", "asia", "aroa", "aida"),
     ENDPOINT: ("://", "host", "endpoint", "server", "base_url", "baseurl"),
 }
+#: Parts of a block of running sums; characters of the blocks from which redact() cuts.
+BLOCK, CHARACTERS = 64, 4_096
 _SPANS = "array<struct<s:int,e:int,k:int>>"
 
 
@@ -45,45 +54,95 @@ def _any(lower: Column, needs: tuple[str, ...]) -> Column:
     return out
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(numbers: Column, op: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """op (of integers, with 0 as its start) over the numbers up to each one, block by block: time grows in proportion, up to BLOCK ** 3 numbers."""
+
+    def over(xs: Column) -> Column:
+        if not levels:
+            return F.transform(xs, lambda _, i: F.aggregate(F.slice(xs, F.lit(1), i + 1), F.lit(0), op))
+        n = F.ceil(F.size(xs) / BLOCK).cast("int")
+        totals = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.aggregate(F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), op))).otherwise(F.array().cast("array<int>"))
+        at = lambda i: F.floor(i / BLOCK).cast("int")
+        return _let(running(totals, op, levels - 1), lambda before: F.transform(xs, lambda _, i: op(F.coalesce(F.get(before, at(i) - 1), F.lit(0)), F.aggregate(F.slice(xs, at(i) * BLOCK + 1, i % BLOCK + 1), F.lit(0), op))))
+
+    return _let(numbers, over)
+
+
+def rank(points: Column, value: Column, inclusive: bool) -> Column:
+    """How many of the sorted points are less than (inclusive: or equal to) value, by binary search."""
+    rounds = F.ceil(F.log2(F.size(points) + F.lit(1.0))).cast("int") + 1
+
+    def step(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        x = F.get(points, middle)
+        low = (x <= value) if inclusive else (x < value)
+        return F.when(acc["lo"] >= acc["hi"], acc).when(low, F.struct((middle + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), middle.alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(1), rounds), F.struct(F.lit(0).alias("lo"), F.size(points).alias("hi")), step, lambda acc: acc["lo"])
+
+
 def _spans(text: Column, pattern: str, kind: int, minimum: tuple[int, int] | None = None) -> Column:
     """Spans of the pattern's matches, from the lengths of the matches and of the pieces between them.
 
     minimum: (group, characters): matches whose group is shorter are dropped, after they have taken their place.
     """
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    sizes = F.transform(found, F.length)
     keep = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(minimum[0])), lambda g: F.length(g) >= minimum[1]) if minimum else F.transform(found, lambda _: F.lit(True))
-    each = F.zip_with(F.arrays_zip(sizes.alias("n"), keep.alias("keep")), F.slice(F.transform(between, F.length), 1, F.size(found)), lambda m, gap: F.struct(gap.alias("gap"), m["n"].alias("n"), m["keep"].alias("keep")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
-    def step(acc: Column, m: Column) -> Column:
-        s = acc["at"] + m["gap"]
-        e = s + m["n"]
-        return F.struct(e.alias("at"), F.when(m["keep"], F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("k"))))).otherwise(acc["out"]).alias("out"))
+    def placed(sizes: Column) -> Column:
+        ends = running(F.zip_with(sizes, F.slice(F.transform(between, F.length), F.lit(1), F.size(sizes)), lambda n, gap: n + gap), lambda a, b: a + b)
+        every = F.zip_with(F.zip_with(sizes, ends, lambda n, e: F.struct((e - n).alias("s"), e.alias("e"))), keep, lambda x, good: F.when(good, F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("k"))))
+        return F.filter(every, F.isnotnull)
 
-    return F.aggregate(each, start, step, lambda acc: acc["out"])
+    return _let(F.transform(found, F.length), placed)
 
 
 def _none() -> Column:
     return F.array().cast(_SPANS)
 
 
-def with_spans(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """docs with the columns __base and __linked, arrays of (s, e, k) sorted by start and then kind."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lower = F.col("__lower")
-    at = docs.withColumn("__text", text).withColumn("__lower", F.lower("__text"))
-    t = F.col("__text")
-    kinds = [F.when(_any(lower, NEEDS[ASSIGN]), _spans(t, ASSIGN, 0, (2, ASSIGN_MIN))).otherwise(_none()), F.when(F.contains(t, F.lit("AKIA")), _spans(t, ACCESS, 1)).otherwise(_none()), F.when(t.rlike(HEX), _spans(t, HEX, 2)).otherwise(_none())]
-    at = at.withColumn("__base", F.array_sort(F.concat(*kinds)))
-    support = F.when(_any(lower, NEEDS[IDENTIFIER]), _spans(t, IDENTIFIER, 4)).otherwise(_none()), F.when(_any(lower, NEEDS[ENDPOINT]), _spans(t, ENDPOINT, 5)).otherwise(_none())
-    at = at.withColumn("__support", F.concat(*support))
-    at = at.withColumn("__values", F.when((F.size("__support") > 0) & t.rlike(VALUE), _spans(t, VALUE, 3)).otherwise(_none()))
-    apart = lambda a, b: (a["e"] <= b["s"]) | (b["e"] <= a["s"])
-    near = lambda a, b: apart(a, b) & (a["s"] - b["e"] <= scope) & (b["s"] - a["e"] <= scope)
-    # Each part column is referred to twice, so that the optimizer computes it once and not inside the lambda.
-    linked = F.when((F.size("__values") > 0) & (F.size("__base") >= 0) & (F.size("__support") > 0), F.filter("__values", lambda v: F.exists("__support", lambda p: near(v, p)) & ~F.exists("__base", lambda b: ~apart(v, b)))).otherwise(_none())
-    return at.withColumn("__linked", linked).drop("__lower", "__support", "__values")
+def _nearest(parts: str, value: Column, scope: int) -> Column:
+    """The nearest part beside value within scope, or null. parts: the name of a sorted array of spans that don't overlap."""
+    before = F.get(F.col(parts), rank(F.col(f"{parts}_e"), value["s"], True) - 1)
+    behind = F.get(F.col(parts), rank(F.col(f"{parts}_s"), value["e"], False))
+    far = F.lit(1 << 30)
+    gaps = lambda b, a: (F.coalesce(value["s"] - b["e"], far), F.coalesce(a["s"] - value["e"], far))
+    both = lambda x: F.when(F.least(*gaps(x["b"], x["a"])) > scope, None).when(gaps(x["b"], x["a"])[0] <= gaps(x["b"], x["a"])[1], x["b"]).otherwise(x["a"])
+    return _let(F.struct(before.alias("b"), behind.alias("a")), both)
+
+
+def _with_spans(texts: DataFrame, scope: int) -> DataFrame:
+    """texts, which has a column x_text without nulls, with x_base (s, e, k) by start and kind, and x_linked (s, e, k, identifier, endpoint)."""
+    t, lower = F.col("x_text"), F.col("x_lower")
+    at = texts.withColumn("x_lower", F.lower(t))
+    strong = [F.when(_any(lower, NEEDS[ASSIGN]), _spans(t, ASSIGN, 0, (2, ASSIGN_MIN))).otherwise(_none()), F.when(F.contains(t, F.lit("AKIA")), _spans(t, ACCESS, 1)).otherwise(_none()), F.when(t.rlike(HEX), _spans(t, HEX, 2)).otherwise(_none())]
+    at = at.withColumns({"x_base": F.array_sort(F.concat(*strong)), "x_id": F.when(_any(lower, NEEDS[IDENTIFIER]), _spans(t, IDENTIFIER, 4)).otherwise(_none()), "x_end": F.when(_any(lower, NEEDS[ENDPOINT]), _spans(t, ENDPOINT, 5)).otherwise(_none())})
+    at = at.withColumn("x_values", F.when((F.size("x_id") + F.size("x_end") > 0) & t.rlike(VALUE), _spans(t, VALUE, 3)).otherwise(_none()))
+    # Where there is no value, no array is searched.
+    some = F.size("x_values") > 0
+    side = lambda c, f: F.when(some, F.array_sort(F.transform(c, lambda x: x[f]))).otherwise(F.array().cast("array<int>"))
+    at = at.withColumns({f"{c}_{f}": side(c, f) for c in ("x_id", "x_end", "x_base") for f in "se"})
+
+    def link(v: Column) -> Column:
+        # As many base spans have ended before v as have started before its end, if none overlaps it.
+        alone = rank(F.col("x_base_s"), v["e"], False) == rank(F.col("x_base_e"), v["s"], True)
+        full = lambda p: F.when(p["identifier"].isNotNull() | p["endpoint"].isNotNull(), F.struct(v["s"].alias("s"), v["e"].alias("e"), v["k"].alias("k"), p["identifier"].alias("identifier"), p["endpoint"].alias("endpoint")))
+        return F.when(alone, _let(F.struct(_nearest("x_id", v, scope).alias("identifier"), _nearest("x_end", v, scope).alias("endpoint")), full))
+
+    # Each array is referred to twice, so that the optimizer computes it once and not inside the lambda.
+    used = [f"{c}{f}" for c in ("x_id", "x_end", "x_base") for f in ("", "_s", "_e")]
+    ready = some & (sum((F.size(c) for c in used), F.lit(0)) >= 0)
+    linked = F.filter(F.transform(F.when(ready, F.col("x_values")).otherwise(_none()), link), F.isnotnull)
+    return at.withColumn("x_linked", linked).drop("x_lower", "x_values", *(c for c in used if c != "x_base"))
+
+
+def _plain(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))
 
 
 def _listed(spans: Column) -> Column:
@@ -91,29 +150,45 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
 
 
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with positional columns and x_text."""
+    return positional(docs).withColumn("x_text", F.coalesce(F.col(column(docs, text_col)).cast("string"), F.lit("")))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """doc_id, spans array of (kind, start, end), base spans first where starts are equal."""
-    at = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", scope)
-    return at.select("doc_id", "__base", "__linked").select("doc_id", F.col("__base").alias("base"), F.array_sort(F.concat("__base", "__linked")).alias("spans"))
+    """doc_id; base and spans, arrays of (s, e, k: place in KINDS), base spans first where starts are equal; links: each linked span with the nearest identifier and endpoint in scope."""
+    at = _with_spans(_texts(docs, text_col).select(F.col(column(docs, id_col)).alias("doc_id"), "x_text"), scope).select("doc_id", "x_base", "x_linked")
+    return at.select("doc_id", F.col("x_base").alias("base"), F.array_sort(F.concat("x_base", _plain(F.col("x_linked")))).alias("spans"), F.transform("x_linked", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["identifier"].alias("identifier"), x["endpoint"].alias("endpoint"))).alias("links"))
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked of what scan returns."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked and links (start:end of the value, identifier, endpoint) of what scan returns."""
     count = lambda c, k: F.size(F.filter(c, lambda x: x["k"] == k)).cast("long")
-    return found.select("doc_id", *[count("base", k).alias(f"n_{KINDS[k]}") for k in range(3)], F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), count("spans", 3).alias("n_linked"))
+    place = lambda x: F.coalesce(F.concat_ws(":", x["s"].cast("string"), x["e"].cast("string")), F.lit(""))
+    links = F.array_join(F.transform("links", lambda x: F.concat_ws("/", place(x), place(x["identifier"]), place(x["endpoint"]))), ",")
+    return found.select("doc_id", *[count("base", k).alias(f"n_{KINDS[k]}") for k in range(3)], F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), count("spans", 3).alias("n_linked"), links.alias("links"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[REDACTED]", scope: int = SCOPE) -> DataFrame:
     """docs with all spans of the text, overlapping ones as one, replaced by mask; rows without spans keep their text."""
-    names = docs.columns
-    at = with_spans(docs, text_col, scope)
-    every = F.array_sort(F.concat("__base", "__linked"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("__text"), acc["at"] + 1, x["s"] - acc["at"])
-        return F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(gap, F.lit(mask))).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
-
-    clean = F.aggregate(every, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("__text"), acc["at"] + 1, F.length("__text"))))
-    masked = F.when(F.size("__base") + F.size("__linked") > 0, clean).otherwise(F.col(text_col))
-    return at.select(*[masked.alias(c) if c == text_col else F.col(c) for c in names])
+    text = column(docs, text_col)
+    at = _with_spans(_texts(docs, text_col), scope).withColumn("x_all", F.array_sort(F.concat("x_base", _plain(F.col("x_linked")))))
+    some = F.size("x_all") > 0
+    # Where the text before each span has been dealt with, and the text in blocks, so that cutting doesn't start over.
+    at = at.withColumn("x_upto", F.when(some, running(F.transform("x_all", lambda x: x["e"]), lambda a, b: F.greatest(a, b))).otherwise(F.array().cast("array<int>")))
+    at = at.withColumn("x_blocks", F.when(some, F.regexp_extract_all("x_text", F.lit(f"(?s).{{1,{CHARACTERS}}}"), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    blocks, block = F.col("x_blocks"), lambda i: F.floor(i / CHARACTERS).cast("int")
+
+    def cut(a: Column, b: Column) -> Column:
+        first, last = block(a), block(b)
+        inside = F.substring(F.get(blocks, first), a % CHARACTERS + 1, b - a)
+        across = F.concat(F.substring(F.get(blocks, first), a % CHARACTERS + 1, F.lit(CHARACTERS)), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), F.substring(F.coalesce(F.get(blocks, last), F.lit("")), F.lit(1), b % CHARACTERS))
+        return F.when(a >= b, "").when(first == last, inside).otherwise(across)
+
+    def piece(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(F.col("x_upto"), i - 1), F.lit(0))
+        return F.when(x["s"] >= before, F.concat(cut(before, x["s"]), F.lit(mask))).otherwise("")
+
+    clean = F.concat(F.array_join(F.transform("x_all", piece), ""), cut(F.element_at("x_upto", -1), F.length("x_text")))
+    masked = F.when(some & (F.size("x_blocks") + F.size("x_upto") > 0), clean).otherwise(F.col(text))
+    return at.select(*[masked.alias(c) if c == text else F.col(c) for c in positional(docs).columns]).toDF(*docs.columns)
