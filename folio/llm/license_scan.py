@@ -2,15 +2,16 @@
 
 Templates are the wordings of licence notices. Each is indexed by its RARE words of highest inverse document frequency
 among the templates, with their positions. Every occurrence in a file of a word of the index is looked up there, as long
-as the file holds all mandatory phrases of a template that the word belongs to, as others can't become finds; postings
-that agree on the distance between the file's and the template's position support one placing of the template. A placing
-with enough distinct rare words is a find.
+as the file holds all mandatory phrases of a template that the word belongs to, as others can't become finds; a posting
+says where in the file that template would start. Where enough distinct rare words of a template agree on a start, up to
+SLACK words, is a find; finds of one template within SLACK words are one.
 
 Short names of licences ("mit license") are found wherever their words stand next to each other.
 
-The postings are a constant of a few hundred rows and are broadcast. A file contributes one row, or one for each hit of
-its rare words; rows of a file meet by a row number, so neither a source nor copies of a file make a hot key. Null and
-empty texts have no words and score 0. Repeated rows are scanned each. Only the id and the text are read.
+Everything happens inside a row: hits of a file are sorted by template and start, and a binary search finds the end of
+the SLACK words behind each start, which hold a bounded number of hits. Nothing is shuffled, so neither a source nor
+copies of a file make a hot key, and time grows with the text. Null and empty texts have no words and score 0. Repeated
+rows are scanned each. Only the id and the text are read, whatever the names of other columns. Equal labels are one.
 """
 
 from __future__ import annotations
@@ -19,17 +20,21 @@ import math
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.common import column, positional
+from folio.llm.secret_scan import _let, rank
+
 #: Words are runs of these, after A-Z have become a-z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Short names and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Rare words by which a template is indexed, rare words of a file that the SQL looks up (scan looks up all), least share of a template's rare words in one placing.
-RARE, LOOKED_UP, LEAST = 8, 24, 0.75
+#: Rare words by which a template is indexed, least share of a template's rare words in one find.
+RARE, LEAST = 8, 0.75
 #: Words by which a file's notice may be longer or shorter than the template between two of its rare words.
 SLACK = 16
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: label, wording, mandatory phrases.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies", ("without restriction", "free of charge")),
@@ -76,58 +81,66 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(x) for x in values])
 
 
-def _map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+def _finds(hits: Column) -> Column:
+    """(template, at, n) of the finds among hits (template, start, w), which are sorted."""
+    needed = F.array(*[F.lit(n) for _, n in sorted(_needed().items())])
+    wide = lambda x: x["template"].cast("long") * (1 << 33) + x["start"]
+
+    def counted(keys: Column) -> Column:
+        near = lambda x, i: F.slice(hits, i + 1, rank(keys, wide(x) + SLACK, True) - i)
+        every = F.transform(hits, lambda x, i: F.struct(x["template"].alias("template"), x["start"].alias("at"), F.size(F.array_distinct(F.transform(near(x, i), lambda y: y["w"]))).alias("n")))
+        return F.filter(every, lambda x: x["n"] >= F.get(needed, x["template"]))
+
+    def first_of_each(good: Column) -> Column:
+        before = lambda i: F.get(good, i - 1)
+        again = lambda x, i: F.coalesce((before(i)["template"] == x["template"]) & (x["at"] - before(i)["at"] <= SLACK), F.lit(False))
+        return F.filter(good, lambda x, i: ~again(x, i))
+
+    return _let(_let(F.transform(hits, wide), counted), lambda good: F.struct(first_of_each(good).alias("finds"), good.alias("every")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels arrays, score, and finds: (label, at) array."""
-    spark: SparkSession = docs.sparkSession
-    index, needed = postings(), _needed()
+    index = postings()
     mandatory = sorted({p for _, _, phrases in TEMPLATES for p in phrases})
     #: A find needs all of its template's mandatory phrases, so a file without the longest word of any holds no template.
     gates = sorted({max((w for p in phrases for w in p.split()), key=lambda w: (len(w), w)) for _, _, phrases in TEMPLATES})
-    at = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("low")).withColumn("rid", F.monotonically_increasing_id())
+    text = F.coalesce(F.col(column(docs, text_col)).cast("string"), F.lit(""))
+    at = positional(docs).select(F.col(column(docs, id_col)).alias("doc_id"), F.translate(text, UPPER, LOWER).alias("low"))
     at = at.withColumn("words", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)))
     some = lambda values: reduce(lambda a, b: a | b, [F.contains(F.col("low"), F.lit(x)) for x in values])
-    no_ints, no_hits = F.array().cast("array<int>"), F.array().cast("array<struct<w:string,pos:int>>")
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
 
     def places(phrase: str) -> Column:
         parts = phrase.split()
         match = lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(F.col("words"), i + j) == p, F.lit(False)) for j, p in enumerate(parts)])
-        return F.when(some([parts[0]]) & some([parts[-1]]) & (F.size("words") > 0), F.filter(F.sequence(F.lit(0), F.size("words") - 1), match)).otherwise(no_ints)
+        return F.when(some([parts[0]]) & some([parts[-1]]) & (F.size("words") > 0), F.filter(F.sequence(F.lit(0), F.size("words") - 1), match)).otherwise(empty("int"))
 
     at = at.withColumns({f"p{k}": places(p) for k, p in enumerate(PHRASES)})
     every = F.array_sort(F.concat(*[F.col(f"p{k}") for k in range(len(PHRASES))]))
-    base = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.when(F.size(f"p{k}") > 0, F.array(F.lit(v))).otherwise(F.array().cast("array<string>")) for k, v in enumerate(PHRASES.values())]))))
-    at = at.withColumn("every", every).withColumn("base", base)
+    base = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.when(F.size(f"p{k}") > 0, F.array(F.lit(v))).otherwise(empty("string")) for k, v in enumerate(PHRASES.values())]))))
     spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    at = at.withColumn("held", F.when(F.arrays_overlap("words", _strings(gates)), F.filter(_strings(mandatory), lambda p: F.contains(spaced, F.concat(F.lit(" "), p, F.lit(" "))))).otherwise(F.array().cast("array<string>")))
-    templates = F.array(*[F.struct(_strings(phrases).alias("mandatory"), _strings(w for w, j, _ in index if j == k).alias("words")) for k, (_, _, phrases) in enumerate(TEMPLATES)])
+    held = F.when(F.arrays_overlap("words", _strings(gates)), F.filter(_strings(mandatory), lambda p: F.contains(spaced, F.concat(F.lit(" "), p, F.lit(" "))))).otherwise(empty("string"))
+    at = at.withColumns({"every": every, "base": base, "held": held})
+
+    # Postings of the templates whose mandatory phrases the file holds.
+    templates = F.array(*[F.struct(_strings(TEMPLATES[k][2]).alias("mandatory"), F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("template"), F.lit(p).alias("tpos")) for w, j, p in index if j == k]).alias("postings")) for k in range(len(TEMPLATES))])
     possible = F.filter(templates, lambda t: F.size(F.array_except(t["mandatory"], F.col("held"))) == 0)
-    at = at.withColumn("wanted", F.when(F.size("held") > 0, F.array_distinct(F.flatten(F.transform(possible, lambda t: t["words"])))).otherwise(F.array().cast("array<string>")))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("pos"))), lambda h: F.array_contains("wanted", h["w"]))
-    at = at.withColumn("hits", F.when(F.size("wanted") > 0, hits).otherwise(no_hits))
-    kept = ["rid", "doc_id", "n_words", "n_base", "first_word", "last_word", "base", "held"]
-    at = at.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), F.size("every").cast("long").alias("n_base"), F.get("every", F.lit(0)).cast("long").alias("first_word"), F.when(F.size("every") > 0, F.element_at("every", -1)).cast("long").alias("last_word"), "base", "held", "hits")
-
-    table = spark.createDataFrame([(w, k, p, needed[k], TEMPLATES[k][0], list(TEMPLATES[k][2])) for w, k, p in index], "w string, template int, tpos int, needed int, label string, mandatory array<string>")
-    rows = at.withColumn("h", F.explode_outer("hits")).select(*kept, F.col("h.w").alias("w"), F.col("h.pos").alias("pos"))
-    rows = rows.join(F.broadcast(table), "w", "left")
-    carried = [F.first(c).alias(c) for c in kept[1:]]
-    total = _map(dict(Counter(k for _, k, _ in index)))
-    # Two rows of bins, each SLACK wide and half a bin apart: placings within SLACK / 2 share a bin.
-    rows = rows.withColumn("start", F.col("pos") - F.col("tpos"))
-    bins = F.array(F.floor(F.col("start") / SLACK) * 2, F.floor((F.col("start") + SLACK // 2) / SLACK) * 2 + 1)
-    rows = rows.withColumn("bin", F.explode(F.when(F.col("start").isNotNull(), bins).otherwise(F.array(F.lit(None).cast("long")))))
-    placed = rows.groupBy("rid", "template", "bin").agg(*carried, F.min("start").alias("start"), F.count_distinct("w").alias("n"), F.first("needed").alias("needed"), F.first("label").alias("label"), F.first("mandatory").alias("mandatory"))
-    found = F.col("template").isNotNull() & (F.col("n") >= F.col("needed")) & (F.size(F.array_except("mandatory", "held")) == 0)
-    share = F.when(found, F.col("n") / F.element_at(total, F.col("template")))
-    files = placed.groupBy("rid").agg(*carried, F.array_sort(F.collect_set(F.when(found, F.struct("label", F.greatest("start", F.lit(0)).alias("at"))))).alias("finds"), F.max(share).alias("share"))
+    at = at.withColumn("mine", F.when(F.size("held") > 0, F.flatten(F.transform(possible, lambda t: t["postings"]))).otherwise(empty("struct<w:string,template:int,tpos:int>")))
+    known = F.transform("mine", lambda p: p["w"])
+    met = lambda names: F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("pos"))), lambda h: F.array_contains(names, h["w"]))
+    started = lambda h: F.transform(F.filter("mine", lambda p: p["w"] == h["w"]), lambda p: F.struct(p["template"].alias("template"), (h["pos"] - p["tpos"]).alias("start"), p["w"].alias("w")))
+    hits = F.array_sort(F.flatten(F.transform(_let(known, met), started)))
+    at = at.withColumn("hits", F.when(F.size("mine") > 0, hits).otherwise(empty("struct<template:int,start:int,w:string>")))
+    at = at.withColumn("found", F.when(F.size("hits") > 0, _finds(F.col("hits"))).otherwise(F.lit(None)))
+    labels_of, totals = _strings(t[0] for t in TEMPLATES), F.array(*[F.lit(sum(j == k for _, j, _ in index)) for k in range(len(TEMPLATES))])
+    finds = F.array_sort(F.array_distinct(F.transform(F.coalesce(F.col("found")["finds"], empty("struct<template:int,at:int,n:int>")), lambda x: F.struct(F.get(labels_of, x["template"]).alias("label"), F.greatest(x["at"], F.lit(0)).alias("at")))))
+    share = F.array_max(F.transform(F.col("found")["every"], lambda x: x["n"] / F.get(totals, x["template"])))
+    at = at.withColumns({"finds": finds, "share": share})
     labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("finds", lambda x: x["label"]))))
-    return files.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.col("base").alias("base_labels"), labels.alias("labels"), F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"), "finds")
+    return at.select("doc_id", F.size("words").cast("long").alias("n_words"), F.size("every").cast("long").alias("n_base"), F.get("every", F.lit(0)).cast("long").alias("first_word"), F.when(F.size("every") > 0, F.element_at("every", -1)).cast("long").alias("last_word"), F.col("base").alias("base_labels"), labels.alias("labels"), F.when(F.size("every") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"), "finds")
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """What scan returns, with the labels comma-joined."""
+    """What scan returns, with the labels comma-joined and the finds counted."""
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score", F.size("finds").cast("long").alias("n_finds"))

@@ -36,12 +36,11 @@ def _strings(values) -> str:
 
 
 def license_sql() -> str:
-    index, idf, needed = L.postings(), L._idf(), L._needed()
+    index, needed = L.postings(), L._needed()
     total = Counter(k for _, k, _ in index)
     mandatory = sorted({p for _, _, ps in L.TEMPLATES for p in ps})
     gates = sorted({max((w for p in ps for w in p.split()), key=lambda w: (len(w), w)) for _, _, ps in L.TEMPLATES})
     postings = ", ".join(f"('{w}', {k}, {p}, {needed[k]}, '{L.TEMPLATES[k][0]}', {_strings(L.TEMPLATES[k][2])}, {total[k]})" for w, k, p in index)
-    ranks = ", ".join(f"('{w}', {idf[w]!r})" for w in sorted({w for w, _, _ in index}))
     base = []
     for phrase, label in L.PHRASES.items():
         parts = phrase.split()
@@ -49,15 +48,14 @@ def license_sql() -> str:
         base.append(f"list_transform(list_filter(range(1, len(w) + 1), lambda i: coalesce({test}, FALSE)), lambda i: {{'s': i - 1, 'l': '{label}'}})")
     return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOW}, '{L.WORD}') AS w FROM documents),
 f AS (SELECT *, {' || '.join(base)} AS b FROM d),
-x(word, idf) AS (VALUES {ranks}),
 t(word, template, tpos, needed, label, mandatory, total) AS (VALUES {postings}),
 g AS (SELECT rid, w, list_filter({_strings(mandatory)}, lambda p: contains(' ' || array_to_string(w, ' ') || ' ', ' ' || p || ' ')) AS held FROM f WHERE list_has_any(w, {_strings(gates)})),
-h AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM g),
-k AS (SELECT rid, word, row_number() OVER (PARTITION BY rid ORDER BY idf DESC, word) AS n FROM (SELECT DISTINCT rid, word, idf FROM h JOIN x USING (word))),
-j AS (SELECT h.rid, h.word, pos - tpos AS start, t.* EXCLUDE (word, tpos) FROM h JOIN k USING (rid, word) JOIN t USING (word) WHERE k.n <= {L.LOOKED_UP}),
-i AS (SELECT *, unnest([CAST(floor(start / {L.SLACK}) * 2 AS BIGINT), CAST(floor((start + {L.SLACK // 2}) / {L.SLACK}) * 2 + 1 AS BIGINT)]) AS bin FROM j),
-p AS (SELECT rid, template, bin, count(DISTINCT word) AS n, min(start) AS start, first(needed) AS needed, first(label) AS label, first(mandatory) AS mandatory, first(total) AS total FROM i GROUP BY ALL),
-o AS (SELECT rid, list(DISTINCT {{'label': label, 'at': greatest(start, 0)}}) AS finds, max(n / total) AS share FROM p JOIN g USING (rid) WHERE n >= needed AND list_has_all(held, mandatory) GROUP BY rid)
+h AS (SELECT rid, held, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM g),
+j AS (SELECT h.rid, h.word, pos - tpos AS start, t.* EXCLUDE (word, tpos) FROM h JOIN t USING (word) WHERE list_has_all(held, mandatory)),
+k AS (SELECT *, count(DISTINCT word) OVER (PARTITION BY rid, template ORDER BY start RANGE BETWEEN CURRENT ROW AND {L.SLACK} FOLLOWING) AS n FROM j),
+p AS (SELECT rid, template, start, label, max(n / total) AS share FROM k WHERE n >= needed GROUP BY ALL),
+q AS (SELECT *, start - lag(start) OVER (PARTITION BY rid, template ORDER BY start) AS gap FROM p),
+o AS (SELECT rid, list(DISTINCT {{'label': label, 'at': greatest(start, 0)}}) FILTER (gap IS NULL OR gap > {L.SLACK}) AS finds, max(share) AS share FROM q GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(b) AS BIGINT) AS n_base, CAST(list_min(list_transform(b, lambda y: y.s)) AS BIGINT) AS first_word, CAST(list_max(list_transform(b, lambda y: y.s)) AS BIGINT) AS last_word,
   array_to_string(list_sort(list_distinct(list_transform(b, lambda y: y.l))), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_transform(b, lambda y: y.l) || coalesce(list_transform(finds, lambda y: y.label), []))), ',') AS labels,

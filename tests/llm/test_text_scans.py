@@ -1,8 +1,10 @@
 """Operators 1, 3, 6 and 7 against brute force, the tokenizer library and held-out rows."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -85,6 +87,42 @@ def test_secrets_equal_brute_force(spark):
     assert secret_scan.scan(frame(spark, [])).count() == 0
 
 
+def test_links_name_the_nearest_parts(spark):
+    texts = ["user=alice https://a.example.com/x key = s3cr3tvalue client_id: c-99 host=db.example.com", "key=s3cr3tvalue", "login=bob pwd=letmein99 login=eve"]
+    for r in secret_scan.scan(frame(spark, texts)).collect():
+        t = texts[r.doc_id]
+        got = [tuple(p and t[p.s : p.e] for p in (x, x.identifier, x.endpoint)) for x in r.links]
+        assert got == [[("key = s3cr3tvalue", "client_id: c-99", "https://a.example.com/x")], [], [("pwd=letmein99", "login=bob", None)]][r.doc_id]
+    near = "user=alice" + " " * secret_scan.SCOPE + "key=s3cr3tvalue"
+    got = rows_of(secret_scan.digests(secret_scan.scan(frame(spark, [near, near.replace(" key", "  key")]))))
+    assert got[0].links == "266:281/0:10/" and got[1].links == ""
+
+
+def test_time_grows_with_the_text(spark):
+    line = "user=alice key = s3cr3t%06d and token: abcdefgh%06d 😀\n"
+    took = {}
+    for n in (500, 8_000, 80_000):
+        text = "".join(line % (i, i) for i in range(n))
+        df = frame(spark, [text])
+        began = time.time()
+        got = secret_scan.digests(secret_scan.scan(df)).first()
+        clean = secret_scan.redact(df).first().text
+        took[n] = time.time() - began
+        assert (got.n_assign, got.n_linked) == (n, n)
+        assert clean == "user=alice [REDACTED] and [REDACTED] 😀\n" * n
+    print("seconds by lines", took)
+    assert took[80_000] < 25 * max(1.0, took[8_000])  # in proportion: 10; quadratic: 100
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "TEXT", "__values", "__Support", "__lower", "x_all", "c1", "x_text"]
+    df = spark.createDataFrame([(1, "token=abcdefgh1", "token=abcdefgh2", "v", "s", "l", "a", "c", "x")], "a long, b string, c string, d string, e string, f string, g string, h string, i string").toDF(*names)
+    out = secret_scan.redact(df)
+    assert out.columns == names and tuple(out.first()) == (1, "[REDACTED]", "token=abcdefgh2", "v", "s", "l", "a", "c", "x")
+    assert tuple(secret_scan.redact(df, "TEXT").first())[1:3] == ("token=abcdefgh1", "[REDACTED]")
+    assert secret_scan.scan(df).first().doc_id == 1
+
+
 def test_redaction_keeps_columns_and_other_text(spark):
     texts = ODD + SECRETS
     df = frame(spark, texts)
@@ -128,20 +166,24 @@ def test_licences_equal_brute_force(spark):
 
 
 def brute_placings(words):
-    """(label, at) and the best share of the method, with every word of the index looked up."""
-    spaced = " " + " ".join(words) + " "
-    bins, finds, share = {}, set(), 0.0
+    """(label, at) and the best share of the method, with every word of the index looked up at every place."""
+    spaced, where = " " + " ".join(words) + " ", {}
     for w, k, p in license_scan.postings():
         for pos in (i for i, x in enumerate(words) if x == w):
-            start = pos - p
-            for b in (start // license_scan.SLACK * 2, (start + license_scan.SLACK // 2) // license_scan.SLACK * 2 + 1):
-                bins.setdefault((k, b), []).append((w, start))
-    for (k, _), hits in bins.items():
+            where.setdefault(k, {}).setdefault(pos - p, set()).add(w)
+    finds, share = set(), 0.0
+    for k, starts in where.items():
         label, _, phrases = license_scan.TEMPLATES[k]
-        n = len({w for w, _ in hits})
-        if n >= license_scan._needed()[k] and all(f" {p} " in spaced for p in phrases):
-            finds.add((label, max(0, min(s for _, s in hits))))
-            share = max(share, n / sum(j == k for _, j, _ in license_scan.postings()))
+        if not all(f" {p} " in spaced for p in phrases):
+            continue
+        last = None
+        for s in sorted(starts):
+            n = len(set().union(*(starts.get(x, set()) for x in range(s, s + license_scan.SLACK + 1))))
+            if n >= license_scan._needed()[k]:
+                share = max(share, n / sum(j == k for _, j, _ in license_scan.postings()))
+                if last is None or s - last > license_scan.SLACK:
+                    finds.add((label, max(0, s)))
+                last = s
     return finds, share
 
 
@@ -150,9 +192,15 @@ def test_files_with_many_notices_and_long_prose(spark):
     notices = license_scan.TEMPLATES
     plain = "an be from has have his if into kind may on one should was which who file work code form made any law".split()
     prose = lambda n: " ".join(rng.choice(plain) for _ in range(n))
-    groups = [[0, 2, 5, 15], list(range(len(notices)))] + [rng.sample(range(len(notices)), rng.choice((3, 4, 6, 9))) for _ in range(60)]
+    every = range(len(notices))
+    groups = [list(every), *map(list, itertools.combinations(every, 1)), *map(list, itertools.combinations(every, 2)), *map(list, itertools.combinations(every, 3))]
+    groups += [[0, 2, 5, 15]] + [rng.sample(every, rng.randint(4, 15)) for _ in range(300)]
     texts = ["\n".join(notices[k][1] for k in g) for g in groups]
-    texts += [f"{prose(3000)}\n{t}\n{prose(50)}\n{t}" for t in texts[:20]] + [prose(4000) + " " + " ".join(notices[5][1].split()[::-1])]
+    texts += [f"{prose(3000)}\n{t}\n{prose(50)}\n{t}" for t in texts[:20]]
+    for k in (0, 5, 12, 15):  # words put into a notice, at every offset
+        w = notices[k][1].split()
+        texts += [" ".join(["x"] * lead + w[: len(w) // 2] + ["y"] * extra + w[len(w) // 2 :]) for lead in range(18) for extra in (3, 8, 15, 16, 17)]
+    texts += [prose(4000) + " " + " ".join(notices[5][1].split()[::-1])]
     got = rows_of(license_scan.digests(license_scan.scan(frame(spark, texts))))
     for i, t in enumerate(texts):
         finds, share = brute_placings(re.findall(license_scan.WORD, t))
@@ -163,6 +211,28 @@ def test_files_with_many_notices_and_long_prose(spark):
             assert {notices[k][0] for k in groups[i]} <= set(r.labels.split(",")), groups[i]
 
 
+def test_licences_fold_only_ascii_letters_and_keep_to_the_columns(spark):
+    names = ["doc_id", "text", "TEXT", "words", "low", "hits", "Held"]
+    df = spark.createDataFrame([(1, "M\u0130T L\u0131CENSE \u212aelvin", "mit license", 1, 2, 3, 4), (2, "MIT LICENSE", "x", 1, 2, 3, 4)], "a long, b string, c string, d int, e int, f int, g int").toDF(*names)
+    got = rows_of(license_scan.digests(license_scan.scan(df)))
+    assert (got[1].n_words, got[1].labels) == (3, "") and got[2].labels == "mit"
+
+
+def test_licence_query_equals_its_sql(spark):
+    import duckdb
+
+    from folio.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    want = con.execute(ORACLE_SQL["op7_license_scan"]).df()
+    got = QUERIES["op7_license_scan"](spark, "/root/testdata/sf0.01").toPandas()
+    names = sorted(want.columns)
+    assert sorted(got.columns) == names
+    same = lambda df: df.astype(object).where(df.notna(), None).sort_values("doc_id")[names].values.tolist()
+    assert same(got) == same(want)
+
+
 def test_compressibility_is_of_the_whole_text():
     rng = random.Random(6)
     clean = lambda n: " ".join("".join(rng.choice("etaoins") for _ in range(rng.randint(2, 7))) for _ in range(n)).encode()
