@@ -13,7 +13,8 @@ however large, and the rows themselves are not shuffled.
 Null domains, languages and sources are the group "unknown"; null texts and texts without words have no tokens, fit in
 any prefix that reaches them, and are in no full epoch beyond those. Repeated rows count each. A leaf without tokens
 gives its rows once if its parent's budget is not 0. Weights not named are DEFAULT_WEIGHT; weights of 0 get nothing
-while a sibling has room. Empty tables give empty results. Columns of any name are kept by mixed().
+while a sibling has room. Empty tables give empty results. Columns of any name are kept, in the struct row of mixed()
+and by repeated(). Children of one node are sorted in one task, on narrow rows, one for each child.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import stored
+from folio.llm.common import column, positional, scope, stored
 
 SEED, MAX_EPOCHS, DEFAULT_WEIGHT = 17, 4, 10
 #: Leaves up to which their table is broadcast (a few MB); beyond it Spark joins by its own means.
 BROADCAST_LEAVES = 50_000
-LEVELS = ("__domain", "__lang", "__source")
+LEVELS = ("domain", "lang", "source")
 #: Hex digits of the order that make the ranges.
 RANGE_DIGITS = 3
 
@@ -71,8 +72,8 @@ def _share_out(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
 def leaf_budgets(tokens: DataFrame, weights: dict[str, dict[str, int]], budget_share: float, max_epochs: int) -> DataFrame:
     """(levels, tokens, budget) of each leaf. tokens: (levels, n_tokens); weights: for each level the weights by name."""
     leaves = tokens.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).withColumn("cap", F.col("tokens") * max_epochs)
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    at = leaves.withColumn("budget", F.floor(total * budget_share).cast("long"))
+    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    at = leaves.withColumn("budget", F.floor(F.lit(total) * budget_share).cast("long"))
     for i, level in enumerate(LEVELS):
         path = list(LEVELS[: i + 1])
         nodes = at.groupBy(*path).agg(F.sum("cap").alias("cap"), F.first("budget").alias("budget")).withColumn("w", _weight(F.col(level), weights.get(level, {})))
@@ -86,34 +87,44 @@ def _order(seed: int, epoch: Column, doc_id: Column) -> Column:
 
 
 def mixed(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, budget_share: float = 1.0, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None) -> DataFrame:
-    """docs with __domain, __lang, __source, __tokens and __copies, the number of times each row is taken (0 too)."""
-    names = docs.columns
-    source = _known(F.col(source_col))
-    at = docs.withColumns({"__domain": _known(domain) if domain is not None else domain_of(source), "__lang": _known(F.col(lang_col)), "__source": source, "__tokens": words(F.col(text_col)), "__id": F.col(id_col)})
-    # Counted once: a narrow table of a few dozen bytes a row, written to the shared folder.
-    narrow = stored(at.select(*LEVELS, "__id", F.col("__tokens").alias("n_tokens")), "mix")
-    leaves = leaf_budgets(narrow, weights or {}, budget_share, max_epochs)
-    plan = stored(leaves, "budgets").withColumn("epochs", F.expr("IF(tokens > 0, budget div tokens, 0)")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
-    few = plan.where("rest > 0 OR tokens = 0").select(*LEVELS, "epochs", "rest")
-    small = plan.count() <= BROADCAST_LEAVES
-    hint = F.broadcast if small else lambda x: x
-    order = _order(seed, F.col("epochs"), F.col("__id"))
-    ranges = narrow.join(hint(few), list(LEVELS)).groupBy(*LEVELS, "rest", "epochs", F.left(order, F.lit(RANGE_DIGITS)).alias("range")).agg(F.sum("n_tokens").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("range"))
-    # The range where the running sum first passes the rest; "~" sorts behind all hex digits.
-    cuts = ranges.withColumn("upto", upto).groupBy(*LEVELS, "rest", "epochs").agg(F.coalesce(F.min(F.when(F.col("upto") > F.col("rest"), F.col("range"))), F.lit("~")).alias("cut"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))), F.lit(0)).alias("before"))
-    cuts = stored(cuts, "cuts")
-    inside = narrow.join(hint(cuts), list(LEVELS)).withColumn("order", order).where(F.left("order", F.lit(RANGE_DIGITS)) == F.col("cut"))
-    run = Window.partitionBy(*LEVELS).orderBy("order").rangeBetween(Window.unboundedPreceding, 0)
-    # Rows of one range of each leaf: the last order value that still fits. Rows with one id stand or fall together.
-    last = inside.withColumn("sum", F.col("before") + F.sum("n_tokens").over(run)).where("sum <= rest").groupBy(*LEVELS).agg(F.max("order").alias("last"))
-    ends = stored(cuts.join(last, list(LEVELS), "left").select(*LEVELS, F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut"), F.col("last").alias("__last")), "ends")
-    taken = at.join(hint(plan.select(*LEVELS, F.col("epochs").alias("__full"))), list(LEVELS), "left").join(hint(ends), list(LEVELS), "left")
-    key = _order(seed, F.col("__epochs"), F.col("__id"))
-    extra = F.coalesce(F.left(key, F.lit(RANGE_DIGITS)) < F.col("__cut"), F.lit(False)) | F.coalesce(key <= F.col("__last"), F.lit(False))
-    return taken.withColumn("__copies", (F.col("__full") + F.when(extra, 1).otherwise(0)).cast("long")).select(*names, *LEVELS, "__tokens", "__copies")
+    """doc_id, domain, lang, source, n_tokens, copies (how often the row is taken, 0 too) and row, a struct of docs' columns by position.
+
+    weights: by level (LEVELS), then by name. domain: an expression over the columns of docs; a stand-in if none is given.
+    """
+    at = docs if domain is None else docs.withColumn("__folio_domain", domain)
+    names, at = docs.columns, positional(at)
+    of = lambda name: F.col(column(docs, name))
+    source = _known(of(source_col))
+    top = _known(F.col(f"c{len(names)}")) if domain is not None else domain_of(source)
+    row = F.struct(*[f"c{i}" for i in range(len(names))])
+    at = at.select(top.alias("domain"), _known(of(lang_col)).alias("lang"), source.alias("source"), words(of(text_col)).alias("n_tokens"), of(id_col).alias("doc_id"), row.alias("row"))
+    with scope() as needed:
+        # Counted once: a narrow table of a few dozen bytes a row, written to the shared folder.
+        narrow = stored(at.select(*LEVELS, "doc_id", "n_tokens"), "mix")
+        leaves = leaf_budgets(narrow, weights or {}, budget_share, max_epochs)
+        plan = stored(leaves.withColumn("epochs", F.expr("IF(tokens > 0, budget div tokens, 0)")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")), "budgets")
+        few = plan.where("rest > 0 OR tokens = 0").select(*LEVELS, "epochs", "rest")
+        hint = F.broadcast if plan.count() <= BROADCAST_LEAVES else lambda x: x
+        order = _order(seed, F.col("epochs"), F.col("doc_id"))
+        ranges = narrow.join(hint(few), list(LEVELS)).groupBy(*LEVELS, "rest", "epochs", F.left(order, F.lit(RANGE_DIGITS)).alias("range")).agg(F.sum("n_tokens").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("range"))
+        # The range where the running sum first passes the rest; "~" sorts behind all hex digits.
+        cuts = ranges.withColumn("upto", upto).groupBy(*LEVELS, "rest", "epochs").agg(F.coalesce(F.min(F.when(F.col("upto") > F.col("rest"), F.col("range"))), F.lit("~")).alias("cut"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))), F.lit(0)).alias("before"))
+        cuts = stored(cuts, "cuts")
+        inside = narrow.join(hint(cuts), list(LEVELS)).withColumn("order", order).where(F.left("order", F.lit(RANGE_DIGITS)) == F.col("cut"))
+        run = Window.partitionBy(*LEVELS).orderBy("order").rangeBetween(Window.unboundedPreceding, 0)
+        # Rows of one range of each leaf: the last order value that still fits. Rows with one id stand or fall together.
+        last = inside.withColumn("sum", F.col("before") + F.sum("n_tokens").over(run)).where("sum <= rest").groupBy(*LEVELS).agg(F.max("order").alias("last"))
+        ends = cuts.join(last, list(LEVELS), "left").select(*LEVELS, F.col("epochs").alias("next"), "cut", "last")
+        rules = stored(plan.select(*LEVELS, F.col("epochs").alias("full")).join(ends, list(LEVELS), "left"), "rules")
+        needed.append(rules)
+    taken = at.join(hint(rules), list(LEVELS), "left")
+    key = _order(seed, F.col("next"), F.col("doc_id"))
+    extra = F.coalesce(F.left(key, F.lit(RANGE_DIGITS)) < F.col("cut"), F.lit(False)) | F.coalesce(key <= F.col("last"), F.lit(False))
+    return taken.select("doc_id", *LEVELS, "n_tokens", (F.col("full") + F.when(extra, 1).otherwise(0)).cast("long").alias("copies"), "row")
 
 
 def repeated(mix: DataFrame, names: list[str]) -> DataFrame:
-    """The rows of mixed(), each as often as it is taken, with the columns names."""
-    return mix.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    """The rows of mixed(), each as often as it is taken, with docs' columns, which were called names."""
+    every = mix.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return every.select(*[F.col("row")[f"c{i}"].alias(f"c{i}") for i in range(len(names))]).toDF(*names)

@@ -77,21 +77,23 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of every whole text, and after an edit of each: its middle character becomes EDIT."""
+    """Counts of every whole text, and after an edit of its kept tree: the middle character becomes EDIT."""
     import public_tokenizers
 
     from folio.llm import token_tree
+    from folio.llm.common import stored
 
-    docs = _table(spark, sf_dir, "documents")
-    middle = (F.length("text") / 2).cast("int")
+    ranks, pattern = read_bytes(tokenizer_path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+    trees = stored(token_tree.built(_table(spark, sf_dir, "documents"), ranks, pattern), "trees")
+    middle = (F.col("n_chars") / 2).cast("int")
     edit = F.array(F.struct(middle.alias("start"), (middle + 1).alias("stop"), F.lit(EDIT).alias("text")))
-    return token_tree.counts(docs, read_bytes(tokenizer_path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, edit)
+    return token_tree.edited(trees, edit, ranks, pattern, keep=False).select("doc_id", *[F.col(f"{c}_before").alias(c) for c in ("n_chars", "n_pretokens", "n_tokens")], F.col("n_tokens").alias("n_tokens_edited"), "n_reencoded", "n_touched")
 
 
 #: What op8_token_tree puts into the middle of each text.
 EDIT = " (edited 2024) "
 #: Parameters of op10_mixing: weights by level (others weigh 10), share of all tokens, epochs at most.
-MIX_WEIGHTS = {"__domain": {"d0": 20}, "__lang": {"en": 40, "de": 25, "fr": 20, "es": 15}}
+MIX_WEIGHTS = {"domain": {"d0": 20}, "lang": {"en": 40, "de": 25, "fr": 20, "es": 15}}
 MIX_SHARE, MIX_EPOCHS = 0.75, 4
 
 
@@ -99,8 +101,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm import mixing
 
     docs = _table(spark, sf_dir, "documents")
-    mix = mixing.mixed(docs, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS)
-    return mix.where("__copies > 0").select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("n_tokens"), F.col("__copies").alias("copies"))
+    return mixing.mixed(docs, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS).where("copies > 0").drop("row")
 
 
 def op9_pivot_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _mixing_sql() -> str:
-    levels = [("domain", MIX_WEIGHTS.get("__domain", {})), ("lang", MIX_WEIGHTS.get("__lang", {})), ("source", {})]
+    levels = [(level, MIX_WEIGHTS.get(level, {})) for level in ("domain", "lang", "source")]
     sql = rf"""WITH d AS (
   SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
     'd' || (ascii(right(coalesce(source, 'unknown'), 1)) % 4) AS domain,

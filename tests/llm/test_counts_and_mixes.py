@@ -42,38 +42,94 @@ def counter():
     return token_tree.Counter(read_bytes(tokenizer_path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
+def checked(tree, c, text):
+    """Sums, order and balance of every node."""
+
+    def heights(node):
+        if node[6] is None:
+            assert node[:2] == (0, 1) and node[2] == len(node[5]) and node[4] == len(c.encoding.encode_ordinary(node[5])) and 0 < node[3] <= 2 * token_tree.LEAF
+            return 0
+        a, b = heights(node[5]), heights(node[6])
+        assert abs(a - b) <= 1 and node[0] == max(a, b) + 1
+        assert all(node[k] == node[5][k] + node[6][k] for k in (1, 2, 3, 4))
+        return node[0]
+
+    assert tree.text == text and tree.sums == (len(text), len(c.cut(text)), len(c.encoding.encode_ordinary(text)))
+    if tree.root:
+        heights(tree.root)
+
+
 def test_edits_equal_full_recounts():
     c, rng = counter(), random.Random(2)
     base = "It's a test  of\n\n words,\t123 ñandú's 😀   x 'll \n  y " * 60
     for text in [*(t or "" for t in ODD), base]:
-        tree = token_tree.TokenTree(c, text)
+        tree = token_tree.TokenTree.of(c, text)
+        checked(tree, c, text)
         for _ in range(60):
             a = rng.randint(0, max(1, len(text)))
-            b = min(len(text), a + rng.choice([0, 0, 1, 2, 7, 60]))
-            new = rng.choice(["", "x", " ", "\n", "'s", "  ", " word", "12", "z" * 40, " \n a"])
+            b = min(len(text), a + rng.choice([0, 0, 1, 2, 7, 60, 900]))
+            new = rng.choice(["", "x", " ", "\n", "'s", "  ", " word", "12", "z" * 40, " \n a", " many words here" * 90])
             text = text[:a] + new + text[b:]
             tree.edit(a, b, new)
-            assert tree.text == text
-            assert tree.tokens == len(c.encoding.encode_ordinary(text)) and tree.characters == len(text)
-    long = "some ordinary words here " * 20_000
-    tree = token_tree.TokenTree(c, long)
-    tree.edit(200_000, 200_003, "abc")
-    assert tree.reencoded < 2_000
+            checked(tree, c, text)
+
 
+def test_edits_touch_few_nodes_and_characters():
+    from folio.llm.queries import EDIT
 
-def test_counts_of_a_table(spark):
+    c, rng = counter(), random.Random(3)
+    text = "some ordinary words here " * 20_000
+    tree = token_tree.TokenTree.of(c, text)
+    assert tree.size > 2_000 and tree.root[0] <= 12
+    for k in range(200):
+        at = len(text) // 2 if k == 0 else rng.randrange(len(text))
+        new = EDIT if k % 2 == 0 else ""
+        stop = at + 1 if k % 2 == 0 else at + rng.randint(1, 400)
+        text = text[:at] + new + text[stop:]
+        tree.touched = tree.reencoded = 0
+        tree.edit(at, stop, new)
+        assert tree.touched <= 8 * tree.root[0] and tree.reencoded < 2_000
+    checked(tree, c, text)
+
+
+def test_kept_trees_of_a_table(spark, tmp_path):
     import public_tokenizers
 
     ranks, c = read_bytes(tokenizer_path("byte_bpe_50k.tiktoken")), counter()
-    edits = F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.lit(1).alias("start"), F.lit(3).alias("stop"), F.lit(" new ").alias("text"))))
-    got = token_tree.counts(frame(spark, ODD), ranks, public_tokenizers.PATTERN, edits, trees=True).collect()
-    assert len(got) == len(ODD)
-    for r in got:
-        t = ODD[r.doc_id] or ""
-        assert (r.n_chars, r.n_tokens) == (len(t), len(c.encoding.encode_ordinary(t))) and sum(r.leaf_tokens) == r.n_tokens
-        after = t[: min(1, len(t))] + " new " + t[min(3, len(t)) :] if r.doc_id % 2 == 0 else t
-        assert r.n_tokens_edited == len(c.encoding.encode_ordinary(after))
-    assert token_tree.counts(frame(spark, []), ranks, public_tokenizers.PATTERN).count() == 0
+    names = ["doc_id", "text", "TEXT", "leaf_texts", "edits", "n_chars"]
+    df = spark.createDataFrame([(i, t, "x", "y", "z", 1) for i, t in enumerate([*ODD, None])] + [(None, "null id", "x", "y", "z", 1)], "a long, b string, c string, d string, e string, f int").toDF(*names)
+    trees = token_tree.built(df, ranks, public_tokenizers.PATTERN)
+    now = {i: t or "" for i, t in enumerate([*ODD, None])} | {None: "null id"}
+    for r in trees.collect():
+        assert (r.n_chars, r.n_tokens, "".join(r.leaf_texts)) == (len(now[r.doc_id]), len(c.encoding.encode_ordinary(now[r.doc_id])), now[r.doc_id])
+    edits = F.when(F.col("doc_id") % 3 != 1, F.array(F.struct(F.lit(1).alias("start"), F.lit(3).alias("stop"), F.lit(" new ").alias("text")), F.lit(None), F.struct(F.lit(-5).alias("start"), F.lit(None).alias("stop"), F.lit("Start").alias("text"))))
+    for turn in range(3):  # each over the stored trees of the one before
+        trees.write.parquet(str(tmp_path / str(turn)))
+        trees = token_tree.edited(spark.read.parquet(str(tmp_path / str(turn))), edits, ranks, public_tokenizers.PATTERN)
+        got = trees.collect()
+        assert len(got) == len(now)
+        for r in got:
+            before = now[r.doc_id]
+            if r.doc_id is not None and r.doc_id % 3 != 1:
+                now[r.doc_id] = "Start" + before[:1] + " new " + before[3:]
+            else:
+                assert r.n_touched == r.n_reencoded == 0
+            assert (r.n_chars_before, r.n_tokens_before) == (len(before), len(c.encoding.encode_ordinary(before)))
+            assert (r.n_chars, r.n_tokens, "".join(r.leaf_texts)) == (len(now[r.doc_id]), len(c.encoding.encode_ordinary(now[r.doc_id])), now[r.doc_id])
+    assert token_tree.built(df.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_token_query_equals_full_recounts(spark):
+    from folio.llm.queries import EDIT
+
+    c, sf = counter(), "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    for r in QUERIES["op8_token_tree"](spark, sf).collect():
+        t = texts.pop(r.doc_id)
+        m = len(t) // 2
+        assert (r.n_chars, r.n_pretokens, r.n_tokens) == (len(t), len(c.cut(t)), len(c.encoding.encode_ordinary(t)))
+        assert r.n_tokens_edited == len(c.encoding.encode_ordinary(t[:m] + EDIT + t[m + 1 :]))
+    assert not texts
 
 
 def plain_share(children, budget):
@@ -98,15 +154,15 @@ def plain_share(children, budget):
 
 def test_mix_equals_plain_recomputation(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    weights = {"__lang": {"en": 1, "fr": 20}, "__domain": {"d0": 40}}
-    got = mixing.mixed(docs, weights, budget_share=0.8, max_epochs=2).collect()
+    weights = {"lang": {"en": 1, "fr": 20}, "domain": {"d0": 40}}
+    got = mixing.mixed(docs, weights, budget_share=0.8, max_epochs=2).withColumn("text", F.col("row.c1")).collect()
     assert len(got) == docs.count()
     tokens = defaultdict(int)
     rows = defaultdict(list)
     for r in got:
-        leaf = (r["__domain"], r["__lang"], r["__source"])
-        assert r["__tokens"] == len(r.text.replace("\n", " ").replace("\t", " ").split(" ")) - sum(not w for w in r.text.replace("\n", " ").replace("\t", " ").split(" "))
-        tokens[leaf] += r["__tokens"]
+        leaf = (r["domain"], r["lang"], r["source"])
+        assert r["n_tokens"] == len(r.text.replace("\n", " ").replace("\t", " ").split(" ")) - sum(not w for w in r.text.replace("\n", " ").replace("\t", " ").split(" "))
+        tokens[leaf] += r["n_tokens"]
         rows[leaf].append(r)
     budgets = {(): int(sum(tokens.values()) * 0.8)}
     for depth, level in enumerate(mixing.LEVELS):
@@ -124,8 +180,8 @@ def test_mix_equals_plain_recomputation(spark):
         key = lambda r: hashlib.md5(f"{mixing.SEED}|{epochs}|{r.doc_id}".encode()).hexdigest()  # noqa: E731, B023
         total = 0
         for r in sorted(mine, key=key):
-            total += r["__tokens"]
-            assert r["__copies"] == epochs + (total <= rest), leaf
+            total += r["n_tokens"]
+            assert r["copies"] == epochs + (total <= rest), leaf
             partial += total > rest
     assert partial > 20
 
@@ -133,10 +189,19 @@ def test_mix_equals_plain_recomputation(spark):
 def test_mix_of_odd_tables(spark):
     df = frame(spark, ODD)
     mix = mixing.mixed(df, budget_share=1.0, max_epochs=1)
-    assert {r["__copies"] for r in mix.collect()} == {1} and mixing.repeated(mix, df.columns).columns == df.columns
+    assert {r["copies"] for r in mix.collect()} == {1} and mixing.repeated(mix, df.columns).columns == df.columns
     assert mixing.mixed(frame(spark, [])).count() == 0
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "lang", "source", "__copies", "__domain", "copies", "DOMAIN", "row", "Text", "c3"]
+    df = spark.createDataFrame([(1, "a b", "en", "s1", 77, 77, 77, 77, 77, "t", 77)], "a long, b string, c string, d string, e int, f int, g int, h int, i int, j string, k int").toDF(*names)
+    out = mixing.repeated(mixing.mixed(df, budget_share=2.0), names)
+    assert out.columns == names and [tuple(r) for r in out.collect()] == [(1, "a b", "en", "s1", 77, 77, 77, 77, 77, "t", 77)] * 2
+    out = mixing.mixed(df, domain=F.lit("here"))
+    assert out.first().domain == "here" and len(out.first().row) == len(names)
+
+
 def test_mix_query_equals_its_sql(spark):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
