@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -51,29 +52,52 @@ def breadcrumb_items(value: Column) -> Column:
     return F.transform(parts, lambda p, i: F.struct(F.trim(F.regexp_extract(p, r"^([^\[]*)", 1)).alias("label"), F.nullif(F.trim(F.regexp_extract(p, r"\[([^\]]*)\]", 1)), F.lit("")).alias("href"), (i == F.size(parts) - 1).alias("active")))
 
 
-def _inline(text: str) -> str:
-    out = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    for pattern, new in ((r"`([^`]+)`", r"<code>\1</code>"), (r"\[([^\]]+)\]\(([^)\s]+)\)", r'<a href="\2" target="_blank" rel="noopener">\1</a>'), (r"\*\*([^*]+)\*\*", r"<strong>\1</strong>"), (r"__([^_]+)__", r"<strong>\1</strong>"), (r"(^|[^*])\*([^*\n]+)\*", r"\1<em>\2</em>")):
-        out = re.sub(pattern, new, out)
-    return out
+#: Marks around a span, the element it becomes, and characters that may not stand between them.
+_SPANS = (("`", "code", "`"), ("**", "strong", "*"), ("__", "strong", "_"), ("*", "em", "*\n"))
+_LINK = re.compile(r"\[([^\]]+)\]\(([^)\s]+)\)")
+_BULLET, _HEADING = re.compile(r"\s*[-*+]\s+(.*)"), re.compile(r"(#{1,4})\s+(.*)")
+_ENTITIES = {"&": "&amp;", "<": "&lt;", ">": "&gt;"}
+
+
+def _span_at(text: str, at: int) -> tuple[str, int] | None:
+    """The element that begins at a place, and where it ends."""
+    for mark, element, barred in _SPANS:
+        if text.startswith(mark, at):
+            stop = text.find(mark, at + len(mark))
+            body = text[at + len(mark) : stop]
+            if stop > 0 and body and not set(body) & set(barred):
+                return f"<{element}>{plain(body) if element == 'code' else spans(body)}</{element}>", stop + len(mark)
+    link = _LINK.match(text, at)
+    return (f'<a href="{plain(link[2])}" target="_blank" rel="noopener">{spans(link[1])}</a>', link.end()) if link else None
+
+
+def plain(text: str) -> str:
+    return "".join(_ENTITIES.get(c, c) for c in text)
+
+
+def spans(text: str) -> str:
+    """Code, strong and emphasised words and links, read from left to right; marks without an end stay as they are."""
+    out, at = [], 0
+    while at < len(text):
+        found = _span_at(text, at) if text[at] in "`*_[" else None
+        out.append(found[0] if found else _ENTITIES.get(text[at], text[at]))
+        at = found[1] if found else at + 1
+    return "".join(out)
 
 
 def markdown_html(text: str) -> str:
-    """Bullets, headings 1 to 4, paragraphs by line, code, links, bold and italic."""
+    """Lists of bullets, headings 1 to 4, a paragraph for each other line that isn't blank; spans inside all of them."""
     out: list[str] = []
-    listed = False
-    for line in re.split(r"\r?\n", text):
-        bullet = re.match(r"^\s*[-*+]\s+(.*)$", line.rstrip())
-        if bool(bullet) != listed:
-            out.append("<ul>" if bullet else "</ul>")
-            listed = bool(bullet)
-        if bullet:
-            out.append(f"<li>{_inline(bullet[1])}</li>")
-        elif line.strip():
-            head = re.match(r"^(#{1,4})\s+(.*)$", line.rstrip())
-            tag, body = (f"h{len(head[1])}", head[2]) if head else ("p", line.rstrip())
-            out.append(f"<{tag}>{_inline(body)}</{tag}>")
-    return "\n".join([*out, "</ul>"] if listed else out)
+    lines = [x.rstrip() for x in text.replace("\r\n", "\n").split("\n")]
+    for bullets, group in groupby(lines, lambda x: bool(_BULLET.fullmatch(x))):
+        if bullets:
+            out += ["<ul>", *[f"<li>{spans(_BULLET.fullmatch(x)[1])}</li>" for x in group], "</ul>"]
+            continue
+        for line in filter(None, group):
+            head = _HEADING.fullmatch(line)
+            element, body = (f"h{len(head[1])}", head[2]) if head else ("p", line)
+            out.append(f"<{element}>{spans(body)}</{element}>")
+    return "\n".join(out)
 
 
 def markdown(text: Column) -> Column:
@@ -160,10 +184,9 @@ SELECT_MARKS = ("<!-- VERSIONS START -->", "<!-- VERSIONS END -->")
 
 
 def version_select(versions: DataFrame, order: Column, current: str = "") -> DataFrame:
-    """(select): one row, the select element between its marks, versions (folder) in the given order, newest first."""
+    """(select): one row, the select element of a site between its marks, versions (folder) in the given order, newest first."""
     option = F.concat(F.lit('<option value="'), "folder", F.lit('"'), F.when(F.col("folder") == current, " selected").otherwise(""), F.lit(">"), "folder", F.lit("</option>"))
-    ranked = versions.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order.desc())).alias("n"), option.alias("o"))  # as many rows as versions
-    listed = ranked.agg(F.array_sort(F.collect_list(F.struct("n", "o"))).alias("x"))
+    listed = versions.agg(F.sort_array(F.collect_list(F.struct(order.alias("k"), option.alias("o"))), asc=False).alias("x"))
     return listed.select(F.concat(F.lit(SELECT_MARKS[0] + "<select>"), F.array_join(F.transform("x", lambda x: x["o"]), ""), F.lit("</select>" + SELECT_MARKS[1])).alias("select"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from folio.functions.arrays import let, running
 from folio.functions.stemming import RETRIEVAL_STOP_WORDS, STOP_WORDS
 
 # Expansion of retrieval terms.
@@ -52,11 +53,13 @@ def word_positions(normalized: Column) -> Column:
 
     Starts come from the lengths of the words and of the gaps between them.
     """
-    found = F.regexp_extract_all(normalized, F.lit("[a-z0-9]+"), F.lit(0))
-    gaps = F.transform(F.slice(F.split(normalized, "[a-z0-9]+", -1), 1, F.greatest(F.size(found), F.lit(0))), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<raw:string,pos:int>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + F.length(x["raw"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["raw"].alias("raw"), (acc["at"] + x["gap"]).cast("int").alias("pos")))).alias("out"))
-    every = F.aggregate(F.zip_with(found, gaps, lambda w, g: F.struct(w.alias("raw"), g.alias("gap"))), start, step, lambda acc: acc["out"])
+
+    def placed(text: Column, ws: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, "[a-z0-9]+", -1), F.lit(1), F.size(ws)), F.length)
+        ends = running(F.zip_with(ws, gaps, lambda w, g: F.length(w) + g), lambda a, b: a + b)
+        return F.zip_with(ws, ends, lambda w, e: F.struct(w.alias("raw"), (e - F.length(w)).alias("pos")))
+
+    every = let(normalized, lambda text: let(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)), lambda ws: placed(text, ws)))
     return F.filter(every, lambda x: ~x["raw"].isin(STOP_WORDS))
 
 

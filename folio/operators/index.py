@@ -54,10 +54,10 @@ def build(pages: DataFrame, body: str = ".page-content-body", meta_attribute: st
     numbers = ordering.numbered(kept, "url", name="n").select("url", (F.col("n") - 1).cast("int").alias("doc_idx"))
     at = fields_of(spread(pages), body, meta_attribute, skip_mark=skip_mark)
     at = at.withColumn("searchable", T.searchable_text(*[F.col(c) for c in ("description", "h1", "h2", "h3", "text")]))
-    at = stored(at.join(numbers, "url"), "pages")
+    at = stored(at.withColumn("norm", T.normalize_index(F.col("searchable"))).join(numbers, "url"), "pages")
     docs = at.select("doc_idx", "url", "title", "description", F.col("searchable").alias("searchable_text"))
     sets = {f: F.col(f"s_{f}") for f in WEIGHTS}
-    words = spread(at).select("doc_idx", T.word_positions(T.normalize_index(F.col("searchable"))).alias("words"), *[_stem_lists(F.array_distinct(T.words(T.normalize_index(F.col(f))))).alias(f"s_{f}") for f in WEIGHTS])
+    words = spread(at).select("doc_idx", T.word_positions(F.col("norm")).alias("words"), *[_stem_lists(F.array_distinct(T.words(T.normalize_index(F.col(f))))).alias(f"s_{f}") for f in WEIGHTS])
     words = words.withColumn("stems", _stem_lists(F.transform("words", lambda w: w["raw"])))
     each = words.withColumn("w", F.explode(F.arrays_zip("words", "stems"))).select("doc_idx", F.col("w.words.raw").alias("raw"), F.col("w.words.pos").alias("pos"), F.col("w.stems").alias("stem"), *[c.alias(f"s_{f}") for f, c in sets.items()])
     each = each.withColumn("score", _score(sets, F.col("stem"))).select("doc_idx", "raw", "pos", "stem", "score")
@@ -98,13 +98,24 @@ def snippets(hits: DataFrame, docs: DataFrame, terms: list[str], radius: int = 5
     return hits.join(out.select("query_id", "doc_idx", "snippet"), ["query_id", "doc_idx"], "left")
 
 
-def document(index: Index, stop_words: list[str]) -> DataFrame:
-    """One row with the index as JSON: v, d, s, t, i. For small sites; tables are the normal output."""
-    docs = index.docs.agg(F.sort_array(F.collect_list(F.struct("doc_idx", F.struct(F.col("url").alias("u"), F.col("title").alias("t"), F.col("description").alias("m"), F.col("searchable_text").alias("x")).alias("e")))).alias("d"))
-    d = docs.select(F.to_json(F.transform("d", lambda x: x["e"])).alias("d"))
-    t = index.terms.agg(F.to_json(F.sort_array(F.collect_list("raw"))).alias("t"))
+def document_parts(index: Index, stop_words: list[str]) -> DataFrame:
+    """(section, key, value): the index document in parts, a row for each entry: v, s (stop words), d (pages), t (vocabulary), i (postings)."""
     entry = F.concat(F.lit("["), F.col("doc_idx").cast("string"), F.lit(","), F.col("score").cast("string"), F.when(F.size("positions") > 0, F.concat(F.lit(",["), F.array_join(F.col("positions").cast("array<string>"), ","), F.lit("]"))).otherwise(""), F.lit("]"))
-    lists = index.postings.groupBy("stem").agg(F.sort_array(F.collect_list(F.struct("doc_idx", entry.alias("e")))).alias("x")).select(F.concat(F.to_json(F.array("stem")).substr(F.lit(2), F.length(F.to_json(F.array("stem"))) - 2), F.lit(":["), F.array_join(F.transform("x", lambda x: x["e"]), ","), F.lit("]")).alias("p"))
-    i = lists.agg(F.array_join(F.sort_array(F.collect_list("p")), ",").alias("i"))
-    s = F.lit("[" + ",".join(f'"{w}"' for w in sorted(set(stop_words))) + "]")
-    return d.crossJoin(t).crossJoin(i).select(F.concat(F.lit('{"d":'), "d", F.lit(',"i":{'), "i", F.lit('},"s":'), s, F.lit(',"t":'), "t", F.lit(',"v":1}')).alias("value"))
+    page = F.to_json(F.struct(F.col("url").alias("u"), F.col("title").alias("t"), F.col("description").alias("m"), F.col("searchable_text").alias("x")))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))  # noqa: E731  words are of letters and digits
+    row = lambda df, section, key, value: df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), value.alias("value"))
+    spark = index.docs.sparkSession
+    fixed = spark.createDataFrame([("v", "", "1"), *[("s", w, f'"{w}"') for w in sorted(set(stop_words))]], "section string, key string, value string")
+    return fixed.unionByName(row(index.docs, "d", F.col("doc_idx"), page)).unionByName(row(index.terms, "t", F.col("raw"), quoted(F.col("raw")))).unionByName(row(index.postings, "i", F.concat_ws("/", "stem", "doc_idx"), entry))
+
+
+def document(index: Index, stop_words: list[str]) -> DataFrame:
+    """(value): the index of a site as one JSON text, which a browser loads; document_parts() and tables are the normal output."""
+    parts = document_parts(index, stop_words)
+    place = F.when(F.col("section").isin("d", "i"), F.substring_index("key", "/", -1).cast("int")).otherwise(0)
+    at = parts.select("section", F.when(F.col("section") == "i", F.substring_index("key", "/", 1)).otherwise("").alias("stem"), F.struct(place.alias("n"), "key", "value").alias("x"))
+    lists = at.groupBy("section", "stem").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda e: e["value"]), ",").alias("l"))
+    whole = lists.select("section", "stem", F.when(F.col("section") == "i", F.concat(F.lit('"'), "stem", F.lit('":['), "l", F.lit("]"))).otherwise(F.col("l")).alias("l"))
+    one = whole.groupBy().pivot("section", ["d", "i", "s", "t", "v"]).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stem", "l"))), lambda e: e["l"]), ","))
+    text = [F.lit('{"d":['), "d", F.lit('],"i":{'), "i", F.lit('},"s":['), "s", F.lit('],"t":['), "t", F.lit('],"v":'), "v", F.lit("}")]
+    return one.select(F.concat(*[F.coalesce(F.col(x), F.lit("")) if isinstance(x, str) else x for x in text]).alias("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.operators import ordering
 
 
 def joined(df: DataFrame, group: list[str], value: Column, order: list[Column | str], separator: str, name: str) -> DataFrame:
@@ -38,12 +39,16 @@ def commit_line(parts: list[str]) -> Column:
     return F.concat(*[known[p] for p in parts])
 
 
-def git_report(commits: DataFrame, by: str = "mail") -> DataFrame:
-    """The document: a heading "=== Name (#n)" for each author by key, and its commits, newest first."""
+def git_sections(commits: DataFrame, by: str = "mail") -> DataFrame:
+    """(key, section): a heading "=== Name (#n)" for each author by key, and its commits, newest first."""
     groups = commits.withColumn("key", author_key(F.col("email"), F.col("name"), by))
     lines = joined(groups, ["key"], commit_line(["star", "short_sha", "space", "first_line"]), [-F.col("ts").cast("long"), "sha"], "\n", "lines")
-    heads = commits_by_author(commits, by)
-    return joined(heads.join(lines, "key"), [], F.concat(F.lit("=== "), "name", F.lit(" (#"), F.col("commits").cast("string"), F.lit(")\n\n"), "lines"), ["key"], "\n\n", "document")
+    return commits_by_author(commits, by).join(lines, "key").select("key", F.concat(F.lit("=== "), "name", F.lit(" (#"), F.col("commits").cast("string"), F.lit(")\n\n"), "lines").alias("section"))
+
+
+def git_report(commits: DataFrame, by: str = "mail") -> DataFrame:
+    """The sections as one document, for the authors of a project; tables of sections are the normal output."""
+    return joined(git_sections(commits, by), [], F.col("section"), ["key"], "\n\n", "document")
 
 
 CUCUMBER = "uri string, keyword string, id string, name string, line int, description string, elements array<struct<keyword:string,id:string,name:string,line:int,type:string,start_timestamp:timestamp,steps:array<struct<keyword:string,name:string,line:int,result:struct<status:string,duration:bigint,error_message:string>>>>>"
@@ -63,8 +68,8 @@ def run_summary(results: DataFrame, group: list[str] | None = None) -> DataFrame
     return g.agg(F.count("*").alias("executed"), passed.alias("passed"), F.sum(F.when(F.col("status") == "failed", 1).otherwise(0)).alias("failed"), (passed / F.greatest(F.count("*"), F.lit(1))).alias("passed_share"), F.sum("nanos").alias("nanos"), F.min("start").alias("first_start"))
 
 
-def metrics_document(metrics: DataFrame, level: str = "== ", header: str = "") -> DataFrame:
-    """AsciiDoc of metrics (name, help, type, values array of (pos, tags, value)): a value, or a table of tags and values."""
+def metrics_document(metrics: DataFrame, level: str = "== ", header: str = "", group: list[str] | None = None) -> DataFrame:
+    """AsciiDoc, one text for each group or one of all, of metrics (name, help, type, values array of (pos, tags, value)): a value, or a table of tags and values."""
     number = lambda v: v.cast("string")
     tag = lambda e: F.concat(F.lit("! "), F.replace(F.replace(e["key"], F.lit("!"), F.lit("\\!")), F.lit("|"), F.lit("\\|")), F.lit(" ! "), e["value"])
     cell = lambda x: F.concat(F.lit("| "), F.when(F.size(x["tags"]) == 0, "-").otherwise(F.concat(F.lit('\n[stripes=none,cols="a,m"]\n!===\n'), F.array_join(F.transform(F.map_entries(x["tags"]), tag), "\n"), F.lit("\n!===\n"))), F.lit("| "), number(x["value"]))
@@ -73,7 +78,7 @@ def metrics_document(metrics: DataFrame, level: str = "== ", header: str = "") -
     single = (F.size("values") == 1) & (F.size(first["tags"]) == 0)
     body = F.when(single, F.concat(F.lit("Value: `"), number(first["value"]), F.lit("`.\n\n"))).otherwise(table)
     text = F.concat(F.lit(level + " "), "name", F.lit("\n\n"), F.coalesce("help", F.lit("")), F.lit("\n\n"), body)
-    return joined(metrics, [], text, ["name"], "\n", "document").select(F.concat(F.lit(header + "\n"), "document").alias("document"))
+    return joined(metrics, group or [], text, ["name"], "\n", "document").select(*(group or []), F.concat(F.lit(header + "\n"), "document").alias("document"))
 
 
 def sitemap(pages: DataFrame, title: str, path: str, lastmod: str, today: Column) -> DataFrame:
@@ -81,15 +86,21 @@ def sitemap(pages: DataFrame, title: str, path: str, lastmod: str, today: Column
     return pages.select(F.coalesce(title, F.lit("")).alias("title"), F.col(path).alias("path"), F.coalesce(lastmod, today).alias("lastmod"))
 
 
-def rss(posts: DataFrame, site: str, title: str) -> DataFrame:
-    """The feed of posts (path, title, published, summary), newest first, without listing pages."""
+def rss_lines(posts: DataFrame, site: str, title: str) -> DataFrame:
+    """(seq, line): the feed of posts (path, title, published, summary), newest first, without listing pages; write it in the order of seq."""
     file = F.substring_index("path", "/", -1)
     kept = posts.where(~F.startswith(file, F.lit("page-")) & (file != "index.html"))
     when = lambda c: F.date_format(c, "EEE, d MMM yyyy HH:mm:ss 'GMT'")
     item = F.concat(F.lit("<item><title>"), T.xml_escape(F.col("title")), F.lit("</title><link>"), F.lit(site), "path", F.lit("</link><pubDate>"), when(F.col("published")), F.lit("</pubDate><description>"), T.xml_escape(F.coalesce("summary", F.lit(""))), F.lit("</description></item>"))
-    items = joined(kept, [], item, [-F.col("published").cast("long"), "path"], "\n", "items")
-    last = kept.agg(F.max("published").alias("last"))
-    return items.crossJoin(last).select(F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0"><channel><title>{title}</title><link>{site}</link><lastBuildDate>'), F.coalesce(when(F.col("last")), F.lit("")), F.lit("</lastBuildDate>\n"), "items", F.lit("\n</channel></rss>")).alias("value"))
+    items = ordering.numbered(kept, F.desc("published"), "path").select(F.col("rank").alias("seq"), item.alias("line"))
+    head = F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0"><channel><title>{title}</title><link>{site}</link><lastBuildDate>'), F.coalesce(when(F.col("last")), F.lit("")), F.lit("</lastBuildDate>"))
+    ends = kept.agg(F.max("published").alias("last"), F.count("*").alias("n"))
+    return items.unionByName(ends.select(F.lit(0).cast("long").alias("seq"), head.alias("line"))).unionByName(ends.select((F.col("n") + 1).alias("seq"), F.lit("</channel></rss>").alias("line")))
+
+
+def rss(posts: DataFrame, site: str, title: str) -> DataFrame:
+    """The feed as one text, for a site's posts; rss_lines() is the normal output."""
+    return joined(rss_lines(posts, site, title), [], F.col("line"), ["seq"], "\n", "value")
 
 
 def by_kind(properties: DataFrame, parent: str, name: str, kind: str) -> DataFrame:

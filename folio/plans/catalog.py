@@ -127,31 +127,12 @@ def fn_line_ranges(spark, d):
     return table(spark, d, "documents").select("doc_id", T.line_ranges(F.col("text"), "1..2;2..-1,1").alias("lines"))
 
 
-@query("SELECT * FROM (VALUES ('#fff', '#000'), ('#000000', '#fff'), ('#336', '#fff'), ('#abcdef', '#000'), ('#ff0000', '#fff')) t(colour, contrast)")
-def fn_text_colour(spark, d):
-    at = spark.createDataFrame([("#fff",), ("#000000",), ("#336",), ("#abcdef",), ("#ff0000",)], "colour string")
-    return at.select("colour", T.text_colour(F.col("colour")).alias("contrast"))
-
-
-@query("SELECT * FROM (VALUES (1, 'features', 'module,extension,capability', 0), (2, 'install', '', 1)) t(id, terms, synonyms, x)")
-def fn_query_terms(spark, d):
-    at = spark.createDataFrame([(1, "What are the features?", 0), (2, "How to install this project", 1)], "id int, q string, x int")
-    primary, synonyms = T.query_terms(F.col("q"))
-    return at.select("id", F.array_join(primary, ",").alias("terms"), F.array_join(synonyms, ",").alias("synonyms"), "x")
-
-
 @query("SELECT doc_id, round(((CASE WHEN contains(t, 'release') THEN 1 ELSE 0 END) + (CASE WHEN contains(t, 'licenses') OR contains(t, 'license') THEN 1 ELSE 0 END)) / 2 + 0.3 * 0, 6) AS score FROM (SELECT doc_id, lower(text) AS t FROM documents)")
 def fn_lexical_score(spark, d):
     primary, synonyms = T.query_terms(F.lit("release licenses"))
     return table(spark, d, "documents").select("doc_id", F.round(T.lexical_score(primary, synonyms, F.col("text")), 6).alias("score"))
 
 
-@query("SELECT * FROM (VALUES (0, '0'), (61000, '1mn 1s 1ms'), (3600000, '1h 60ms')) t(millis, shown)")
-def fn_human_duration(spark, d):
-    at = spark.createDataFrame([(0,), (61000,), (3600000,)], "millis int")
-    return at.select("millis", T.human_duration(F.col("millis")).alias("shown"))
-
-
 @query("SELECT p_partkey, replace(regexp_replace(p_name, '[aeiou]+', '~', 'g'), ' ', '_') AS r FROM part")
 def fn_replace(spark, d):
     return table(spark, d, "part").select("p_partkey", T.replaced(T.replaced(F.col("p_name"), "regex{[aeiou]+}", "~"), " ", "_").alias("r"))
@@ -163,20 +144,6 @@ def fn_attributes(spark, d):
     return table(spark, d, "part").select("p_partkey", T.attributes_replaced(F.lit("{brand} of {size} {none}"), values).alias("filled"))
 
 
-@query("SELECT * FROM (VALUES ('Jo <jo@x.org>, Al <al@x.org>', 'Jo;Al', 'jo@x.org;al@x.org'), ('Sole', 'Sole', '')) t(line, names, mails)")
-def fn_authors(spark, d):
-    at = spark.createDataFrame([("Jo <jo@x.org>, Al <al@x.org>",), ("Sole",)], "line string")
-    a = T.authors(F.col("line"))
-    return at.select("line", F.array_join(F.transform(a, lambda x: x["name"]), ";").alias("names"), F.array_join(F.transform(a, lambda x: x["mail"]), ";").alias("mails"))
-
-
-@query("SELECT * FROM (VALUES ('foo(); <1>' || chr(10) || 'bar <2>', 'foo(); (1)' || chr(10) || 'bar (2)', '1,2')) t(code, shown, numbers)")
-def fn_callouts(spark, d):
-    at = spark.createDataFrame([("foo(); <1>\nbar <2>",)], "code string")
-    shown, numbers = T.callouts(F.col("code"))
-    return at.select("code", shown.alias("shown"), F.array_join(numbers.cast("array<string>"), ",").alias("numbers"))
-
-
 @query("SELECT c_custkey, c_name AS clear FROM customer")
 def fn_codecs(spark, d):
     from folio.functions import codecs
@@ -194,21 +161,6 @@ def fn_template(spark, d):
     return table(spark, d, "part").select("p_partkey", markup.template(F.lit("Hello {{{who}}}, size {{{size:-0}}} {{{no:-none}}} ${{{gone}}}"), values).alias("text"))
 
 
-@query("SELECT * FROM (VALUES ('Home', '/', FALSE), ('Foo', 'foo.html', FALSE), ('Page 1', NULL, TRUE)) t(label, href, active)")
-def fn_breadcrumb(spark, d):
-    from folio.functions import markup
-
-    at = spark.createDataFrame([("Home[/] > Foo[foo.html] > Page 1",)], "b string")
-    return at.select(F.explode(markup.breadcrumb_items(F.col("b"))).alias("x")).select("x.*")
-
-
-@query("SELECT * FROM (VALUES ('<ul>' || chr(10) || '<li><strong>a</strong></li>' || chr(10) || '</ul>' || chr(10) || '<h2>T &amp; x</h2>' || chr(10) || '<p><code>c</code></p>')) t(html)")
-def fn_markdown(spark, d):
-    from folio.functions import markup
-
-    return spark.createDataFrame([("- **a**\n\n## T & x\n`c`",)], "m string").select(markup.markdown(F.col("m")).alias("html"))
-
-
 # Filters and projections
 
 
@@ -257,14 +209,6 @@ def flt_noise(spark, d):
     return table(spark, d, "customer").where(~filters.is_noise(m)).select("c_custkey")
 
 
-@query("SELECT p FROM (VALUES ('/valid.html'), ('/a/index.html')) t(p)")
-def flt_embeddable(spark, d):
-    pages = spark.createDataFrame([("/index.html",), ("/404.html",), ("/page-2.html",), ("/valid.html",), ("/a/index.html",)], "p string")
-    sources = spark.createDataFrame([("/a/index.adoc",)], "s string")
-    known = pages.join(sources, F.regexp_replace("p", r"\.html$", ".adoc") == F.col("s"), "left")
-    return known.where(filters.embeddable(F.col("p"), F.col("s").isNotNull())).select("p")
-
-
 @query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#12' OR p_type = 'Brand#12' OR starts_with(p_brand, 'Brand#12')")
 def flt_version_match(spark, d):
     return table(spark, d, "part").where(filters.version_matches(F.lit("Brand#12"), F.col("p_brand"), F.col("p_type"), F.lit(True))).select("p_partkey")
@@ -345,21 +289,6 @@ def jn_between_tags(spark, d):
     return joins.between_tags(commits, bounds, "ts", "since", "until", "o_custkey").groupBy("o_orderkey").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES (1, 'star'), (2, 'gift')) t(post, icon)")
-def jn_first_icon(spark, d):
-    posts = spark.createDataFrame([(1, 0, "plain"), (1, 1, "Top News"), (1, 2, "release"), (2, 0, "release"), (3, 0, "none")], "post int, pos int, category string")
-    icons = spark.createDataFrame([("top-news", "star"), ("release", "gift")], "category string, icon string")
-    return joins.first_icon(posts, icons, "post", "pos", "category", lambda c: F.replace(F.lower(c), F.lit(" "), F.lit("-")))
-
-
-@query("SELECT * FROM (VALUES (1, 1), (3, 1), (3, 2)) t(point, shape)")
-def jn_inside(spark, d):
-    points = spark.createDataFrame([(0, 1, 1, 1), (0, 2, 9, 9), (0, 3, 3, 3)], "drawing int, point int, x int, y int")
-    box = lambda a, b: [{"x": a, "y": a}, {"x": b, "y": a}, {"x": b, "y": b}, {"x": a, "y": b}]
-    shapes = spark.createDataFrame([(0, 1, box(0, 5)), (0, 2, box(2, 4))], "drawing int, shape int, polygon array<struct<x:int,y:int>>")
-    return joins.inside(points, shapes, "x", "y", "polygon").select("point", "shape")
-
-
 @query("SELECT c_custkey, replace(replace('see ' || c_mktsegment, 'BUILDING', '/b'), 'MACHINERY', '/m') AS content FROM customer")
 def jn_links(spark, d):
     pages = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("see "), "c_mktsegment").alias("content"))
@@ -488,12 +417,6 @@ def win_context_budget(spark, d):
     return ordering.within_budget(at, "conv_id", "size", 1500, "turn").select("conv_id", "turn")
 
 
-@query()
-def win_chunks(spark, d):
-    at = table(spark, d, "documents")
-    return retrieval.chunks(at, F.col("source"), F.regexp_replace("text", r"\s+", " "), F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit(".html")))
-
-
 # Orders, sets, sinks
 
 
@@ -503,25 +426,6 @@ def ord_top_k(spark, d):
     return top.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderkey")
 
 
-@query("SELECT * FROM (VALUES (1, '1.2'), (2, '1.2.3'), (3, '1.10.0'), (4, '2.0')) t(rank, folder)")
-def ord_folders(spark, d):
-    at = spark.createDataFrame([("1.10.0",), ("2.0",), ("1.2",), ("1.2.3",)], "folder string")
-    return ordering.numbered(at.withColumn("k", V.folder_key(F.col("folder"))), "k").select(F.col("rank").cast("int"), "folder")
-
-
-@query("SELECT * FROM (VALUES (1, 'v1.2', '1.2'), (2, 'v1.2.0', '1.2.0'), (3, 'v1.10.1', '1.10.1'), (4, 'latest', 'latest')) t(rank, tag, version)")
-def ord_tags(spark, d):
-    at = spark.createDataFrame([("v1.10.1",), ("latest",), ("v1.2.0",), ("v1.2",)], "tag string")
-    ranked = ordering.numbered(at.withColumn("k", V.tag_key(F.col("tag"))), "k")
-    return ranked.select(F.col("rank").cast("int"), "tag", V.version_of_tag(F.col("tag"), "v${version}").alias("version"))
-
-
-@query("SELECT * FROM (VALUES (1, '8.0.302'), (2, '11.0.9'), (3, '11.0.10'), (4, '17.0.1-tem'), (5, '17.0.2')) t(rank, version)")
-def ord_tools(spark, d):
-    at = spark.createDataFrame([("17.0.2",), ("11.0.10",), ("8.0.302",), ("11.0.9",), ("17.0.1-tem",)], "version string")
-    return ordering.numbered(at.withColumn("k", V.tool_key(F.col("version"))), "k").select(F.col("rank").cast("int"), "version")
-
-
 @query("SELECT p_type, min_by(p_name, p_retailprice * 1000000 + p_partkey) AS first FROM part GROUP BY ALL")
 def ord_first_match(spark, d):
     return ordering.first_of(table(spark, d, "part"), ["p_type"], F.col("p_retailprice") * 1000000 + F.col("p_partkey")).select("p_type", F.col("p_name").alias("first"))
@@ -553,12 +457,6 @@ def snk_sitemap(spark, d):
     return reports.sitemap(at, "t", "url", "m", F.lit("2025-05-05").cast("date"))
 
 
-@query("""SELECT '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<rss version="2.0"><channel><title>T</title><link>http://s</link><lastBuildDate>Tue, 2 Jan 2024 00:00:00 GMT</lastBuildDate>' || chr(10) || '<item><title>B</title><link>http://s/b.html</link><pubDate>Tue, 2 Jan 2024 00:00:00 GMT</pubDate><description></description></item>' || chr(10) || '<item><title>A &#x26; a</title><link>http://s/a.html</link><pubDate>Mon, 1 Jan 2024 00:00:00 GMT</pubDate><description>x</description></item>' || chr(10) || '</channel></rss>' AS value""")
-def snk_rss(spark, d):
-    posts = spark.createDataFrame([("/a.html", "A & a", "2024-01-01", "x"), ("/b.html", "B", "2024-01-02", None), ("/page-1.html", "P", "2024-01-03", None)], "path string, title string, day string, summary string")
-    return reports.rss(posts.withColumn("published", F.to_timestamp("day")), "http://s", "T")
-
-
 @query("SELECT '# llms' || chr(10) || string_agg(url, chr(10) ORDER BY url) AS value FROM pages")
 def snk_llms_text(spark, d):
     return reports.joined(table(spark, d, "pages"), [], F.col("url"), ["url"], "\n", "v").select(F.concat(F.lit("# llms\n"), "v").alias("value"))
@@ -571,72 +469,6 @@ def snk_json(spark, d):
 
 # Sources on fixtures
 
-_METRICS = "# HELP g_seconds A summary.\n# TYPE g_seconds summary\ng_seconds{quantile=\"0\"} 0.5\ng_seconds_sum 4.25\n# HELP go Number.\n# TYPE go gauge\ngo 9\n\nk{partition=\"9\",topic=\"a\",topic=\"b\"} 2.7e+07\n"
-
-
-@query("SELECT * FROM (VALUES ('g_seconds', 'summary', 0, 'quantile=0', 0.5), ('g_seconds', 'summary', 1, '_type_=sum', 4.25), ('go', 'gauge', 0, '', 9.0), ('k', NULL, 0, 'partition=9;topic=a,b', 2.7e7)) t(name, type, pos, tags, value)")
-def src_open_metrics(spark, d):
-    from folio.sources import text_formats
-
-    at = text_formats.open_metrics(spark.createDataFrame([(1, _METRICS)], "id int, body string"), "id", "body")
-    return at.select("name", "type", F.explode("values").alias("v")).select("name", "type", F.col("v.pos").alias("pos"), F.array_join(F.transform(F.array_sort(F.map_entries("v.tags")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("tags"), F.col("v.value").alias("value"))
-
-
-@query()
-def snk_metrics_document(spark, d):
-    from folio.sources import text_formats
-
-    return reports.metrics_document(text_formats.open_metrics(spark.createDataFrame([(1, _METRICS)], "id int, body string"), "id", "body"))
-
-
-@query("SELECT * FROM (VALUES (0, '# c', 'a', '=', ' 1'), (1, '', NULL, NULL, NULL), (2, '', 'b.c', ':', 'x\\' || chr(10) || 'y'), (3, 'junk', NULL, NULL, NULL)) t(ord, comment, name, sep, value)")
-def src_properties(spark, d):
-    from folio.sources import text_formats
-
-    at = spark.createDataFrame([(1, "# c\na = 1\n\nb.c:x\\\ny\njunk")], "id int, body string")
-    return text_formats.properties(at, "id", "body").select("ord", "comment", "name", "sep", "value")
-
-
-_TABLE = "=" * 80 + "\nAvailable\n" + "=" * 80 + "\n Vendor | Use | Version | Dist | Status | Identifier\n" + "-" * 80 + "\n Gluon         |     | 22.1 | gln     |            | 22.1-gln  \n               |     | 22.0 | gln     |            | 22.0-gln  \n Zulu          |     | 21.0 | zulu    |            | 21.0-zulu \n" + "=" * 80 + "\nOmit"
-
-
-@query("SELECT * FROM (VALUES ('Gluon', '22.1', 'gln', '22.1-gln'), ('Gluon', '22.0', 'gln', '22.0-gln'), ('Zulu', '21.0', 'zulu', '21.0-zulu')) t(vendor, version, dist, identifier)")
-def src_tool_versions(spark, d):
-    from folio.sources import text_formats
-
-    return text_formats.tool_versions(spark.createDataFrame([(1, _TABLE)], "id int, body string"), "id", "body").select("vendor", "version", "dist", "identifier")
-
-
-@query("SELECT * FROM (VALUES ('java', 'Java', '21.0.2-tem', 'https://x.org/', 'A platform.')) t(tool, name, version, url, description)")
-def src_tool_list(spark, d):
-    from folio.sources import text_formats
-
-    body = "=" * 80 + "\nAvailable\n" + "-" * 80 + "\nJava (21.0.2-tem)        https://x.org/\n\nA\nplatform.\n\n     $ sdk install java\n" + "-" * 80 + "\n"
-    return text_formats.tool_list(spark.createDataFrame([(1, body)], "id int, body string"), "id", "body").drop("id")
-
-
-@query("SELECT * FROM (VALUES (0, '1.0'), (1, '1.1')) t(pos, version)")
-def src_maven_versions(spark, d):
-    from folio.sources import text_formats
-
-    return text_formats.maven_versions(spark.createDataFrame([(1, "<versions><version>1.0</version>\n<version>1.1</version></versions>")], "id int, body string"), "id", "body").drop("id")
-
-
-@query("SELECT * FROM (VALUES ('zulu21-jdk21.0.1-linux_x64.zip', '21.0.1', 'jdk')) t(file, version, kind)")
-def src_archive_links(spark, d):
-    from folio.sources import text_formats
-
-    body = '<a href="/zulu/bin/zulu21-jdk21.0.1-linux_x64.zip">x</a>\n<a href="zulu21-jdk21.0.1-linux_x64.zip">x</a><a href="zulu21-jre21-win.msi">y</a>'
-    return text_formats.archive_links(spark.createDataFrame([(1, body)], "id int, body string"), "id", "body", "linux_x64.zip").drop("id")
-
-
-@query("SELECT '1.2.0' AS version")
-def src_release_assets(spark, d):
-    from folio.sources import text_formats
-
-    at = spark.createDataFrame([("v1.2.0", [{"name": "linux"}]), ("v1.3.0", [{"name": "mac"}]), ("beta", [{"name": "linux"}])], "name string, assets array<struct<name:string>>")
-    return text_formats.release_versions(at, "linux")
-
 
 @query("SELECT o_custkey AS project, o_orderpriority AS name, min_by(o_orderkey, (o_orderkey % 4) * 100000000 + o_orderkey) AS id FROM orders GROUP BY ALL")
 def src_releases_by_name(spark, d):
@@ -646,110 +478,18 @@ def src_releases_by_name(spark, d):
     return text_formats.releases_by_name(at, ["project", "name"]).select("project", "name", "id")
 
 
-@query("SELECT * FROM (VALUES ('go', 'Does it.', 'a:java.lang.String:true')) t(goal, description, parameters)")
-def src_plugin_goals(spark, d):
-    from folio.sources import text_formats
-
-    body = "<plugin><mojos><mojo><goal>go</goal><description>Does\n it.</description><parameters><parameter><name>a</name><type>java.lang.String</type><required>true</required></parameter></parameters></mojo></mojos></plugin>"
-    at = text_formats.plugin_goals(spark.createDataFrame([(1, body)], "id int, body string"), "id", "body")
-    return at.select("goal", "description", F.array_join(F.transform("parameters", lambda p: F.concat_ws(":", p["name"], p["type"], p["required"].cast("string"))), ";").alias("parameters"))
-
-
-@query("SELECT * FROM (VALUES (2, 1, 1, 0.5, 30)) t(executed, passed, failed, passed_share, nanos)")
-def src_cucumber(spark, d):
-    body = '[{"name":"f","elements":[{"name":"a","start_timestamp":"2024-01-02T00:00:00.000Z","steps":[{"result":{"status":"passed","duration":10}}]},{"name":"b","start_timestamp":"2024-01-01T00:00:00.000Z","steps":[{"result":{"status":"passed","duration":15}},{"result":{"status":"FAILED","duration":5}}]}]}]'
-    at = spark.createDataFrame([(body,)], "j string").select(F.explode(F.from_json("j", "array<struct<name:string,elements:array<struct<keyword:string,id:string,name:string,line:int,type:string,start_timestamp:timestamp,steps:array<struct<keyword:string,name:string,line:int,result:struct<status:string,duration:bigint,error_message:string>>>>>>>")).alias("f")).select("f.*")
-    return reports.run_summary(reports.scenario_results(at)).drop("first_start")
-
-
-@query("SELECT '=== Test (#2)' || chr(10) || chr(10) || '* bbbbbbb second' || chr(10) || '* aaaaaaa initial import' AS document")
-def snk_git_report(spark, d):
-    at = spark.createDataFrame([(1, "a" * 40, "Test", "test@x.org", "2024-01-01", "initial import\n\nbody"), (2, "b" * 40, "Test", "test@x.org", "2024-01-02", "second")], "seq int, sha string, name string, email string, day string, message string")
-    return reports.git_report(at.withColumn("ts", F.to_timestamp("day")))
-
-
-@query("SELECT * FROM (VALUES (1, 'main', 'a,b'), (1, 'next', 'c')) t(project, branch, titles)")
-def src_commits_by_branch(spark, d):
-    from folio.sources import remote
-
-    at = spark.createDataFrame([(1, "main", 2, "b"), (1, "main", 1, "a"), (1, "next", 1, "c")], "project int, branch string, seq int, title string")
-    return remote.commits_by_branch(at).select("project", F.explode("branches").alias("branch", "t")).select("project", "branch", F.array_join("t", ",").alias("titles"))
-
-
 # Search, documents and drawings
 
 
-def _index(spark, d):
-    return search_index.build(table(spark, d, "pages").select("url", "html"), body="article")
-
-
 @query()
 def search_pages(spark, d):
-    index = _index(spark, d)
-    asked = spark.createDataFrame([(1, "the home of things"), (2, "License release"), (3, "contat abot")], "query_id int, query string")
+    """The best pages for each text of benchmark, with their snippets."""
+    index = search_index.build(table(spark, d, "pages").select("url", "html"), body="article")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     hits = search_index.search(index, asked)
     return search_index.snippets(hits, index.docs, ["home", "license"]).join(index.docs.select("doc_idx", "url", "title"), "doc_idx").drop("positions")
 
 
-@query()
-def search_index_postings(spark, d):
-    return _index(spark, d).postings
-
-
-@query()
-def search_retrieval(spark, d):
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text", F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("url"))
-    both = texts.join(vectors, "id")
-    asked = vectors.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.lit("What features and extensions are released?").alias("question"), F.col("v").alias("q"))
-    return retrieval.contexts(retrieval.hybrid(asked, both, 4).join(both.select("id", "title", "url", "text"), "id"))
-
-
-_ADOC = "= Title\nJo <jo@x.org>\n:a: 1\n\nSome *bold* and `code`, see <<_second>>.\n\n== Second\n\n* one\n** two\n\n[source,java]\n----\nint a = 1;\n----\n\nifdef::a[]\nNOTE: kept {a}\nendif::[]\n\n|===\n|h1 |h2\n\n|c1 |c2\n|===\n"
-
-
-@query("SELECT * FROM (VALUES ('document', 1), ('section', 1), ('listing', 1), ('admonition', 1), ('ulist', 2), ('item', 2), ('table', 1), ('row', 2), ('cell', 4), ('bold', 1), ('code', 1), ('anchor', 1)) t(kind, n)")
-def doc_node_counts(spark, d):
-    from folio.functions import asciidoc
-
-    tree = asciidoc.nodes(spark.createDataFrame([(1, _ADOC)], "id int, text string"), "id", "text")
-    return tree.where(~F.col("kind").isin("text", "paragraph", "attribute", "set-attribute")).groupBy("kind").agg(F.count("*").cast("int").alias("n"))
-
-
-@query("SELECT '_second' AS target, 'Second' AS label")
-def doc_cross_references(spark, d):
-    from folio.functions import asciidoc
-
-    tree = asciidoc.nodes(spark.createDataFrame([(1, _ADOC)], "id int, text string"), "id", "text")
-    return asciidoc.cross_references(tree, "id").select("target", "label")
-
-
-@query()
-def doc_html(spark, d):
-    from folio.functions import asciidoc
-
-    at = table(spark, d, "documents").select("doc_id", F.concat(F.lit("= "), "source", F.lit("\n\n"), "text").alias("adoc"))
-    return at.select("doc_id", asciidoc.html(F.col("adoc")).alias("html"))
-
-
-_DRAWING = "+----+\n| ab |\n+----+\nno box"
-
-
-@query("SELECT * FROM (VALUES (1, 2, 'ab'), (3, 0, 'no box')) t(y, x, text)")
-def arr_text_runs(spark, d):
-    from folio.functions import markup
-
-    return markup.text_runs(markup.cells(spark.createDataFrame([(1, _DRAWING)], "id int, t string"), "id", "t"), "id").select("y", "x", "text")
-
-
-@query("SELECT * FROM (VALUES (0, '0 0,5 0,5 2,0 2')) t(shape, corners)")
-def arr_shapes(spark, d):
-    from folio.functions import markup
-
-    at = markup.shapes(spark.createDataFrame([(1, _DRAWING)], "id int, t string"), "id", "t")
-    return at.select("shape", F.array_join(F.transform("polygon", lambda p: F.concat_ws(" ", p["x"], p["y"])), ",").alias("corners"))
-
-
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def str_windows(spark, d):
     from folio.streaming import watch

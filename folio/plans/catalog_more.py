@@ -28,31 +28,6 @@ def src_topics(spark, d):
     return table(spark, d, "documents").where(F.arrays_overlap(topics, F.array(*[F.lit(x) for x in ("fr", "de", "src1")]))).select("doc_id")
 
 
-@query("SELECT * FROM (VALUES ('1.8', 1), ('1.9', 1)) t(version, id)")
-def src_old_tool_versions(spark, d):
-    from folio.sources import text_formats
-
-    rule = "=" * 80
-    at = spark.createDataFrame([(1, f"{rule}\nAvailable Versions\n{rule}\n     1.9     1.8 \n\n{rule}\n+ local")], "id int, body string")
-    return text_formats.old_tool_versions(at, "id", "body").select("version", "id")
-
-
-@query("SELECT * FROM (VALUES (1, 'name;n'), (2, 'a;1'), (3, ';2')) t(row, line)")
-def src_sheet(spark, d):
-    import io
-    import zipfile
-
-    from folio.sources import files
-
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w") as z:
-        z.writestr("xl/workbook.xml", '<workbook><sheets><sheet name="S"/></sheets></workbook>')
-        z.writestr("xl/sharedStrings.xml", "<sst><si><t>name</t></si><si><t>n</t></si><si><t>a</t></si></sst>")
-        z.writestr("xl/worksheets/sheet1.xml", '<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row r="2"><c r="A2" t="s"><v>2</v></c><c r="B2"><v>1</v></c></row><row r="3"><c r="B3"><f>1+1</f><v>2</v></c></row></sheetData></worksheet>')
-    at = spark.createDataFrame([(1, bytearray(raw.getvalue()))], "id int, content binary")
-    return files.sheet_rows(at, "id", "content").select("row", T.separated(F.col("cells")).alias("line"))
-
-
 @query("SELECT user_id, max(ts) AS ts FROM events WHERE event_id % 3 <> 0 GROUP BY user_id")
 def agg_last_updated(spark, d):
     from folio.sources import files
@@ -96,39 +71,12 @@ def ord_categories(spark, d):
     return ordering.numbered(at, "o", "n_name").select("n_name", "rank")
 
 
-@query("SELECT * FROM (VALUES ('central', 0), ('github', 1), ('zulu', 2), ('sdkman', 3)) t(provider, rank)")
-def ord_providers(spark, d):
-    at = spark.createDataFrame([("sdkman",), ("zulu",), ("central",), ("github",)], "provider string")
-    first = F.when(F.col("provider") == "central", 0).when(F.col("provider") == "sdkman", 2).otherwise(1)
-    return ordering.numbered(at.withColumn("o", first), "o", "provider").select("provider", (F.col("rank") - 1).cast("int").alias("rank"))
-
-
 @query("SELECT p_partkey, 'a=' || p_brand || ';b=' || p_size AS sorted FROM part")
 def ord_properties(spark, d):
     entries = F.array_sort(F.map_entries(F.create_map(F.lit("b"), F.col("p_size").cast("string"), F.lit("a"), F.col("p_brand"))))
     return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("sorted"))
 
 
-@query("SELECT * FROM (VALUES ('b' || chr(10) || 'd', 'a' || chr(10) || 'c' || chr(10) || 'd')) t(tagged, without)")
-def set_tagged_lines(spark, d):
-    at = spark.createDataFrame([("a\n# tag::x[]\nb\n# end::x[]\nc\n# tag::y[]\nd\n# end::y[]",)], "t string")
-    return at.select(T.tagged_lines(F.col("t"), "*").alias("tagged"), T.tagged_lines(F.col("t"), "**,!x").alias("without"))
-
-
-@query("SELECT * FROM (VALUES ('=== T' || chr(10) || 'x', '  a' || chr(10) || '    b', '1', '2024-01-01', 'first')) t(deeper, indented, number, date, remark)")
-def fn_document_lines(spark, d):
-    at = spark.createDataFrame([("= T\nx", " a\n   b", "v1, 2024-01-01: first")], "t string, c string, r string")
-    r = T.revision(F.col("r"))
-    return at.select(T.level_offset(F.col("t"), 2).alias("deeper"), T.indented(F.col("c"), 2).alias("indented"), r["number"].alias("number"), r["date"].alias("date"), r["remark"].alias("remark"))
-
-
-@query("SELECT * FROM (VALUES ('category-others', 'io_x_Root', 3, 'Fixes' || chr(10) || '** one', 1.0)) t(class, anchor, next, body, length)")
-def fn_small(spark, d):
-    at = spark.createDataFrame([("others,simple", "#/schemas/io.x.Root", '<select data-version-iteration="2">', "Release 1.0 Fixes\n* one", [3.0, 4.0])], "c string, r string, h string, b string, v array<double>")
-    unit = T.unit_vector(F.col("v"))
-    return at.select(T.category_class(F.col("c")).alias("class"), T.schema_anchor(F.col("r")).alias("anchor"), T.next_version(F.col("h")).alias("next"), T.release_body(F.col("b"), F.lit("1.0")).alias("body"), F.round(F.sqrt(F.aggregate(unit.cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)), 5).alias("length"))
-
-
 @query("SELECT '{\"model\":\"m\",\"dimension\":64,\"files\":[\"chunk-0001.json\"],\"totalChunks\":' || count(*) || '}' AS value FROM embeddings")
 def snk_manifest(spark, d):
     return retrieval.manifest(table(spark, d, "embeddings"), "m", 64)
@@ -140,14 +88,6 @@ def snk_upsert(spark, d):
     return retrieval.upserted(at, at.where("id % 10 = 0").withColumn("label", F.lit(-1)))
 
 
-@query()
-def snk_index_document(spark, d):
-    from folio.functions.stemming import STOP_WORDS
-    from folio.operators import index
-
-    return index.document(index.build(table(spark, d, "pages").select("url", "html"), body="article"), STOP_WORDS)
-
-
 @query("SELECT l_orderkey, string_agg(l_returnflag || l_linenumber, chr(10) ORDER BY l_linenumber, l_returnflag) AS text FROM lineitem GROUP BY 1")
 def snk_joined_text(spark, d):
     return reports.joined(table(spark, d, "lineitem"), ["l_orderkey"], F.concat("l_returnflag", F.col("l_linenumber").cast("string")), ["l_linenumber", "l_returnflag"], "\n", "text")

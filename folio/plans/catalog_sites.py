@@ -7,53 +7,6 @@ from pyspark.sql import functions as F
 from folio.plans.catalog import query, table
 
 
-@query("SELECT * FROM (VALUES ('a.adoc', 'A', 'a.html'), ('x/b.adoc', 'B', 'c.html')) t(path, title, output)")
-def src_markup_pages(spark, d):
-    from folio.sources import files
-
-    at = spark.createDataFrame([("a.adoc", "= A\n\ntext"), ("x/b.adoc", "= B\n:path: c.html\n\ntext"), ("_partials/p.adoc", "= P"), ("n.txt", "= N")], "path string, text string")
-    return files.markup_pages(at, "path", "text").select("path", "title", "output")
-
-
-@query("SELECT * FROM (VALUES ('apache-maven', '3.9.6'), ('tool', '1.0')) t(tool, version)")
-def src_local_installs(spark, d):
-    from folio.sources import files
-
-    at = spark.createDataFrame([("/h/apache-maven-3.9.6-bin.tar.gz_exploded",), ("/h/tool-1.0_exploded",), ("/h/other",)], "p string")
-    return files.local_installs(at, "p")
-
-
-@query("SELECT * FROM (VALUES ('1.0'), ('1.1.0')) t(folder)")
-def src_version_folders(spark, d):
-    from folio.sources import files
-
-    at = spark.createDataFrame([("/v/1.0",), ("/v/1.1.0",), ("/v/css",), ("/v/9.9",)], "p string")
-    return files.version_folders(at, "p", ["9.9"], r"\d+(\.\d+)+")
-
-
-@query("SELECT * FROM (VALUES ('x.svg', 'image/svg+xml'), ('x.webp', 'image/webp'), ('raw', 'image/png')) t(path, mime)")
-def src_mime(spark, d):
-    from folio.sources import files
-
-    at = spark.createDataFrame([("x.svg", bytearray(b"<svg")), ("x.webp", bytearray(b"RIFF")), ("raw", bytearray(b"\x89PNG"))], "path string, content binary")
-    return at.select("path", files.mime_type(F.col("path"), F.col("content")).alias("mime"))
-
-
-@query("SELECT * FROM (VALUES ('z', 'a.txt', '1'), ('z', 'b/c.txt', '2')) t(id, name, text)")
-def src_archive_entries(spark, d):
-    import io
-    import zipfile
-
-    from folio.sources import files
-
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w") as z:
-        for n, t in (("top/a.txt", "1"), ("top/b/c.txt", "2"), ("else.txt", "3")):
-            z.writestr(n, t)
-    at = spark.createDataFrame([("z", bytearray(raw.getvalue()))], "id string, content binary")
-    return files.archive_entries(at, "id", "content", "top/").select("id", "name", F.decode("data", "UTF-8").alias("text"))
-
-
 @query("SELECT event_id, rtrim(replace(replace(base64(encode(event_type || '?' || event_id)), '+', '-'), '/', '_'), '=') AS key, event_id % 100 < 50 AS expired FROM events")
 def src_cache(spark, d):
     from folio.sources import files
@@ -62,51 +15,6 @@ def src_cache(spark, d):
     return files.cached(at, F.lit(50)).select("event_id", "key", "expired")
 
 
-@query("SELECT * FROM (VALUES ('java.version', '17'), ('maven.version', '3.9')) t(name, value)")
-def src_tool_settings(spark, d):
-    from folio.sources import files
-
-    at = spark.createDataFrame([(".sdkmanrc", "java", "17"), (".yemrc", "maven.version", "3.9")], "file string, name string, value string")
-    return files.tool_settings(at, "file").select("name", "value")
-
-
-@query("SELECT * FROM (VALUES (1, '17', '3.8'), (2, '21', NULL)) t(id, java, maven)")
-def src_pom_versions(spark, d):
-    from folio.sources import files
-
-    at = spark.createDataFrame([(1, "<rules><requireMavenVersion><version>[3.8,)</version></requireMavenVersion><requireJavaVersion><version>[17,</version></requireJavaVersion></rules>"), (2, "<maven.compiler.release>21</maven.compiler.release>")], "id int, body string")
-    return files.pom_versions(at, "id", "body")
-
-
-@query("SELECT * FROM (VALUES ('hug un known!', '1,5,6,4,4,2')) t(text, ids)")
-def fn_wordpiece(spark, d):
-    from folio.functions import wordpiece
-
-    vocabulary = {"[PAD]": 0, "[CLS]": 1, "[SEP]": 2, "h": 3, "[UNK]": 4, "hug": 5, "un": 6, "##known": 8}
-    vocabulary["kn"] = 7
-    at = spark.createDataFrame([("hug un known!",)], "text string")
-    ids = wordpiece.encoded(F.col("text"), vocabulary)
-    return at.select("text", F.array_join(ids.cast("array<string>"), ",").alias("ids"))
-
-
-@query("SELECT * FROM (VALUES ('Root', 'a', 'string', NULL), ('Root', 'b', 'object', 'B'), ('Root', 'c', 'array', 'B'), ('B', 'x', 'integer', NULL)) t(parent, name, kind, target)")
-def doc_schema_properties(spark, d):
-    from folio.operators import schemas
-
-    body = '{"title":"Root","properties":{"a":{"type":"string"},"b":{"$ref":"#/definitions/B"},"c":{"type":"array","items":{"$ref":"#/definitions/B"}}},"definitions":{"B":{"properties":{"x":{"type":"integer"}}}}}'
-    return schemas.properties(spark.createDataFrame([(1, body)], "id int, body string"), "id", "body").select("parent", "name", "kind", "target").distinct()
-
-
-@query("SELECT * FROM (VALUES ('<body><!-- VERSIONS START --><select><option value=\"1.10\">1.10</option><option value=\"1.2\" selected>1.2</option></select><!-- VERSIONS END --></body>')) t(html)")
-def fn_version_select(spark, d):
-    from folio.functions import markup, versions
-
-    select = markup.version_select(spark.createDataFrame([("1.2",), ("1.10",)], "folder string"), versions.folder_key(F.col("folder")), "1.2")
-    page = spark.createDataFrame([("<body></body>",)], "html string").crossJoin(select)
-    once = page.withColumn("html", markup.with_select(F.col("html"), F.col("select"), "<body>"))
-    return once.select(markup.with_select(F.col("html"), F.col("select"), "<body>").alias("html"))
-
-
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'old' || s_suppkey ELSE 'new' || s_suppkey END AS cipher FROM supplier")
 def jn_cipher_reuse(spark, d):
     from folio.functions import codecs
@@ -116,24 +24,8 @@ def jn_cipher_reuse(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", codecs.reused(F.col("s_name"), old, F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise("else"), F.concat(F.lit("new"), key)).alias("cipher"))
 
 
-@query("SELECT * FROM (VALUES (1, '# c' || chr(10) || 'a = 1' || chr(10) || chr(10) || 'b:2')) t(id, text)")
-def snk_properties(spark, d):
-    from folio.sources import text_formats
-
-    at = spark.createDataFrame([(1, "# c\na = 1\n\nb:2")], "id int, body string")
-    return text_formats.properties_text(text_formats.properties(at, "id", "body").withColumn("name", F.when(F.col("name") == "a", "a ").otherwise(F.col("name"))), "id")
-
-
 @query("SELECT page_id, upper(left(md5(url), 4)) AS short FROM pages")
 def udf_registry(spark, d):
     """A scalar plug-in by name: registered once, used from SQL."""
     spark.udf.register("folio_short", lambda s: None if s is None else s[:4].upper(), "string")
     return table(spark, d, "pages").select("page_id", F.expr("folio_short(md5(CAST(url AS BINARY)))").alias("short"))
-
-
-@query()
-def site_pages(spark, d):
-    from folio.plans import site
-
-    docs = table(spark, d, "documents").select(F.concat(F.when(F.col("doc_id") % 3 == 0, "blog/").otherwise(""), F.lit("p"), F.col("doc_id").cast("string"), F.lit(".adoc")).alias("path"), F.concat(F.lit("= "), "source", F.lit("\n:published-date: 2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit("\n\n"), "text").alias("text"))
-    return site.built(docs, F.lit("2030-01-01").cast("timestamp")).blog
