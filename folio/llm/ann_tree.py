@@ -1,6 +1,8 @@
 """Operator 4: nearest neighbours by largest inner product over a hierarchical k-means tree, best bin first.
 
-The tree is fitted on at most SAMPLE rows. A query walks it with a priority queue of nodes, ordered by the greatest
+The tree is fitted on a sample of at most SAMPLE_BYTES. Leaves that get more than LEAF_ROWS of all rows are split again, on
+the executors, by trees fitted on samples of their own rows, up to TREE_BYTES of centres; so leaves keep their size and
+the work for a query doesn't grow with the table as long as the tree may. A query walks it with a priority queue of nodes, ordered by the greatest
 inner product that the node may hold, estimated from its centre and spread, and visits leaves until the calibrated
 number is reached (and at least enough rows have been seen). That number is found for each run: a fixed number of
 queries is answered exactly against all rows, in one pass, and visits are widened until TARGET of these neighbours is
@@ -13,13 +15,16 @@ return. The best rows of all bins are the result. Scores are inner products of t
 double precision, computed in one order of components, so equal vectors have equal scores; ties go to the smaller id.
 
 Vectors that are null or zero, or hold null or non-finite components, take no part, neither do null ids and vectors of
-another length than the commonest. Repeated rows are candidates each; a query's own rows are those with its id. Without
-queries or candidates the result is empty. Only the id and the vector are read.
+another length than the commonest. Repeated rows are candidates each; a query's own rows are those with its id, and of a
+query id with several vectors the smallest, component by component, asks. Products that overflow count as infinite, those
+without a value (a sum of opposite infinities) are no neighbours. Without queries or candidates the result is empty. Only
+the id and the vector are read, whatever the names of other columns.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import stored
+from folio.llm.common import column, positional, scope, stored
 from folio.llm.vectors import collected, matrix, usable
 
-#: Rows the tree is fitted on, at most; children of a node; sample rows below which a node isn't split.
-SAMPLE, BRANCHES, LEAF_SAMPLE, ROUNDS, SEED = 40_000, 8, 96, 8, 3
+#: Bytes of the vectors (as doubles) that the tree is fitted on, at most about; children of a node; sample rows of a leaf; rounds of k-means.
+SAMPLE_BYTES, BRANCHES, LEAF_SAMPLE, ROUNDS, SEED = 48_000_000, 8, 96, 8, 3
 #: Queries that are answered exactly, and the share of their neighbours that visited leaves must hold.
 CALIBRATION, TARGET = 64, 0.985
+#: Rows of a leaf above which it is split; its rows that decide how, about; bytes of centres of the whole tree; rounds of splitting.
+LEAF_ROWS, SPLIT_SAMPLE, TREE_BYTES, SPLITS = 4_096, 2_048, 16_000_000, 4
 BIN, BLOCK = 2_048, 4_096
 
 
@@ -46,6 +53,7 @@ class Tree:
     spread: np.ndarray
     children: list[np.ndarray] = field(default_factory=list)
     leaf: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
+    scale: float = 1.0  # of the vectors; centres are of vectors divided by it
 
     @property
     def leaves(self) -> int:
@@ -53,7 +61,7 @@ class Tree:
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row: at each node the nearest child."""
-        out = np.zeros(len(x), int)
+        out, x = np.zeros(len(x), int), np.clip(x / self.scale, -1e150, 1e150)
         todo = [(0, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
@@ -68,6 +76,7 @@ class Tree:
 
     def visits(self, q: np.ndarray) -> Iterator[int]:
         """Leaves in best-bin-first order."""
+        q = q / np.abs(q).max()
         bound = self.centres @ q + np.linalg.norm(q) * self.spread
         heap = [(-bound[0], 0)]
         while heap:
@@ -85,14 +94,14 @@ def _means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     for _ in range(ROUNDS):
         labels = ((c**2).sum(1)[None, :] - 2 * x @ c.T).argmin(1)
         n = np.bincount(labels, minlength=k)
-        sums = np.zeros_like(c)
-        np.add.at(sums, labels, x)
+        sums = np.stack([x[labels == j].sum(axis=0) for j in range(k)])
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
     return labels
 
 
 def fit(x: np.ndarray) -> Tree:
-    rng = np.random.default_rng(SEED)
+    rng, scale = np.random.default_rng(SEED), float(np.abs(x).max())
+    x = x / scale
     centres, spread, children, leaf = [x.mean(0)], [0.0], [], []
     rows = [np.arange(len(x))]
     k = 0
@@ -113,45 +122,96 @@ def fit(x: np.ndarray) -> Tree:
         children.append(np.array(kids, int))
         leaf.append(-1 if kids else 0)
         k += 1
-    numbers = np.array(leaf)
-    # Leaves are numbered depth first, so that neighbours in the tree are neighbours in number.
+    return _numbered(Tree(np.array(centres), np.array(spread), children, np.array(leaf), scale))
+
+
+def _numbered(tree: Tree) -> Tree:
+    """tree, its leaves numbered depth first, so that neighbours in the tree are neighbours in number."""
     todo, n = [0], 0
     while todo:
         node = todo.pop()
-        if len(children[node]):
-            todo += list(children[node][::-1])
+        if len(tree.children[node]):
+            todo += list(tree.children[node][::-1])
         else:
-            numbers[node] = n
+            tree.leaf[node] = n
             n += 1
-    return Tree(np.array(centres), np.array(spread), children, numbers)
+    return tree
+
+
+def grafted(tree: Tree, parts: dict[int, Tree]) -> Tree:
+    """tree with trees over the rows of some leaves in the place of these."""
+    centres, spread, children, leaf = list(tree.centres), list(tree.spread), list(tree.children), list(tree.leaf)
+    for node in range(len(tree.leaf)):
+        part = parts.get(int(tree.leaf[node]))
+        if part is None or len(part.leaf) == 1:
+            continue
+        shift, ratio = len(centres) - 1, part.scale / tree.scale  # the part's root is this node
+        centres += list(part.centres[1:] * ratio)
+        spread += list(part.spread[1:] * ratio)
+        children[node] = part.children[0] + shift
+        children += [c + shift for c in part.children[1:]]
+        leaf[node] = -1
+        leaf += list(part.leaf[1:])
+    return _numbered(Tree(np.array(centres), np.array(spread), children, np.array(leaf), tree.scale))
 
 
 def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, allowed: np.ndarray | None, least: np.ndarray | None = None) -> list[tuple[int, int, float]]:
     """(query row, row of x, score) of the k best rows for each query, of those with a score of least; ties to the smaller id."""
     out = []
-    rough = q @ x.T
-    if allowed is not None:
-        rough[~allowed] = -np.inf
-    rough[q_ids[:, None] == ids[None, :]] = -np.inf
-    for i, s in enumerate(rough):
-        kth = -np.partition(-s, k - 1)[k - 1] if len(s) > k else -np.inf
-        near = np.flatnonzero((s > -np.inf) & (s >= kth - 1e-9 * (1 + abs(kth)) if kth > -np.inf else s > -np.inf))
-        exact = (x[near] * q[i]).sum(axis=1)
-        top = np.lexsort((ids[near], -exact))[:k]
-        out += [(i, near[j], exact[j]) for j in top if least is None or exact[j] >= least[i]]
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = q @ x.T
+        # A product by blocks may differ from the sum in order by this much.
+        slack = 4 * x.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max(initial=0)
+        out_of = q_ids[:, None] == ids[None, :]
+        if allowed is not None:
+            out_of |= ~allowed
+        odd = ~np.isfinite(rough)
+        rough[out_of] = -np.inf
+        for i, s in enumerate(rough):
+            near = np.flatnonzero(~out_of[i])
+            if len(near) > k and not odd[i].any() and np.isfinite(slack[i]):
+                near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - slack[i])
+                near = near[~out_of[i][near]]
+            exact = (x[near] * q[i]).sum(axis=1)
+            near, exact = near[~np.isnan(exact)], exact[~np.isnan(exact)]
+            top = np.lexsort((ids[near], -exact))[:k]
+            out += [(i, near[j], exact[j]) for j in top if least is None or exact[j] >= least[i]]
     return out
 
 
+def _split(placed: DataFrame, sizes: dict[int, int], big: list[int], dimension: int) -> dict[int, Tree]:
+    """A tree for each of the leaves big, fitted on about SPLIT_SAMPLE of its rows."""
+    share = placed.sparkSession.createDataFrame([(i, min(1.0, SPLIT_SAMPLE / sizes[i])) for i in big], "leaf int, share double")
+    unit = (F.xxhash64(F.lit(SEED + 3), "id") % 1_000_000 + 1_000_000) / 2_000_000
+
+    def one(t: pa.Table) -> pa.Table:
+        return pa.table({"leaf": pa.array([t["leaf"][0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(fit(matrix(t["e"], dimension)))], pa.binary())})
+
+    rows = placed.join(F.broadcast(share), "leaf").where(unit < F.col("share")).select("leaf", "e")
+    return {r["leaf"]: pickle.loads(r["tree"]) for r in rows.groupBy("leaf").applyInArrow(one, "leaf int, tree binary").collect()}
+
+
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k rows nearest to each row for which is_query holds."""
+    with scope() as needed:
+        out = _neighbours(vectors, is_query, k, id_col, vector_col)
+        needed.append(out)
+    return out
+
+
+def _neighbours(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str) -> DataFrame:
     spark = vectors.sparkSession
     every, dimension = usable(vectors, id_col, vector_col)
+    every = stored(every, "every")
+    marked = vectors.withColumn("__folio_query", is_query)
+    asking = positional(marked).where(F.col(f"c{len(marked.columns) - 1}")).select(F.col(column(vectors, id_col)).cast("long").alias("id")).distinct()
     n = every.count()
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if n < 2:
         return none
     unit = (F.xxhash64(F.lit(SEED), "id") % 1_000_000 + 1_000_000) / 2_000_000
-    _, sample = collected(every.where(unit < SAMPLE / n) if n > SAMPLE else every, dimension)
+    most = max(1, SAMPLE_BYTES // (8 * dimension))
+    _, sample = collected(every.where(unit < most / n) if n > most else every, dimension)
     if not len(sample):
         _, sample = collected(every.limit(1), dimension)
     tree = fit(sample)
@@ -160,9 +220,16 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("e"), pa.array(tree.assign(matrix(b.column("e"), dimension)).astype(np.int32))], ["id", "e", "leaf"])
 
-    placed = stored(every.mapInArrow(place, "id long, e array<double>, leaf int"), "leaves")
-    sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # as many rows as the tree has leaves
-    queries = every.join(vectors.where(is_query).select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    for turn in range(SPLITS + 1):
+        placed = stored(every.mapInArrow(place, "id long, e array<double>, leaf int"), "leaves")
+        sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # as many rows as the tree has leaves
+        room = TREE_BYTES // (8 * dimension) - len(tree.leaf)
+        big = sorted((i for i, c in sizes.items() if c > LEAF_ROWS), key=lambda i: -sizes[i])[: max(0, room * LEAF_SAMPLE // (2 * SPLIT_SAMPLE))]
+        larger = grafted(tree, _split(placed, sizes, big, dimension)) if big and turn < SPLITS else tree
+        if len(larger.leaf) == len(tree.leaf):  # no leaf to split, or of copies only
+            break
+        tree = larger
+    queries = every.join(asking, "id", "left_semi").groupBy("id").agg(F.min("e").alias("e"))
 
     # Calibration: exact neighbours of a bounded set of queries, in one pass over all rows.
     few = queries.orderBy(F.xxhash64(F.lit(SEED + 1), "id"), "id").limit(CALIBRATION)
@@ -171,11 +238,15 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
         return none
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[float, int, int]]] = [[] for _ in q_ids]  # of the partition: (-score, id, leaf)
         for b in batches:
             x, ids, leaf = matrix(b.column("e"), dimension), b.column("id").to_numpy(), b.column("leaf").to_numpy()
             for a in range(0, len(ids), BLOCK):
-                found = _best(q, q_ids, x[a : a + BLOCK], ids[a : a + BLOCK], k, None)
-                yield pa.RecordBatch.from_arrays([pa.array([int(q_ids[i]) for i, _, _ in found], pa.int64()), pa.array([int(ids[a + j]) for _, j, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.float64()), pa.array([int(leaf[a + j]) for _, j, _ in found], pa.int32())], ["query_id", "vec_id", "score", "leaf"])
+                for i, j, s in _best(q, q_ids, x[a : a + BLOCK], ids[a : a + BLOCK], k, None):
+                    best[i].append((-s, int(ids[a + j]), int(leaf[a + j])))
+                best = [heapq.nsmallest(k, rows) for rows in best]
+        found = [(int(q_ids[i]), v, -s, leaf) for i, rows in enumerate(best) for s, v, leaf in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int32()))], ["query_id", "vec_id", "score", "leaf"])
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     truth = placed.mapInArrow(exact, "query_id long, vec_id long, score double, leaf int").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "leaf").collect()  # CALIBRATION x k rows

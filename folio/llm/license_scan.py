@@ -23,8 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.arrays import let, rank
 from folio.llm.common import column, positional
-from folio.llm.secret_scan import _let, rank
 
 #: Words are runs of these, after A-Z have become a-z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -96,7 +96,7 @@ def _finds(hits: Column) -> Column:
         again = lambda x, i: F.coalesce((before(i)["template"] == x["template"]) & (x["at"] - before(i)["at"] <= SLACK), F.lit(False))
         return F.filter(good, lambda x, i: ~again(x, i))
 
-    return _let(_let(F.transform(hits, wide), counted), lambda good: F.struct(first_of_each(good).alias("finds"), good.alias("every")))
+    return let(let(F.transform(hits, wide), counted), lambda good: F.struct(first_of_each(good).alias("finds"), good.alias("every")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,7 +130,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     known = F.transform("mine", lambda p: p["w"])
     met = lambda names: F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("pos"))), lambda h: F.array_contains(names, h["w"]))
     started = lambda h: F.transform(F.filter("mine", lambda p: p["w"] == h["w"]), lambda p: F.struct(p["template"].alias("template"), (h["pos"] - p["tpos"]).alias("start"), p["w"].alias("w")))
-    hits = F.array_sort(F.flatten(F.transform(_let(known, met), started)))
+    hits = F.array_sort(F.flatten(F.transform(let(known, met), started)))
     at = at.withColumn("hits", F.when(F.size("mine") > 0, hits).otherwise(empty("struct<template:int,start:int,w:string>")))
     at = at.withColumn("found", F.when(F.size("hits") > 0, _finds(F.col("hits"))).otherwise(F.lit(None)))
     labels_of, totals = _strings(t[0] for t in TEMPLATES), F.array(*[F.lit(sum(j == k for _, j, _ in index)) for k in range(len(TEMPLATES))])

@@ -9,8 +9,11 @@ first, and the one that is compatible with the last token of the prefix before i
 No piece holds a space mark behind another character, so a text falls into independent runs "spaces + word"; runs are
 memoised per worker, in a table with a fixed number of entries. Characters that occur in no piece become byte pieces.
 
-Nulls and empty texts give no ids and an empty decoded text; repeated rows give repeated rows; columns other than the
-id and the text are not read.
+Other models are refused: of another type than BPE, or with a piece that holds a newline among other characters or a
+space mark behind another character.
+
+Nulls and empty texts give no ids and an empty decoded text; repeated rows give repeated rows, equal texts equal ids;
+null ids are kept; columns other than the id and the text are not read, whatever their names. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -32,6 +35,42 @@ SPACE = "▁"
 MEMO_RUNS, MEMO_PAIRS = 250_000, 400_000
 
 
+#: Fields of a model file: of the model, its training parameters; of these, the type of the model, and that of BPE.
+TRAINER, MODEL_TYPE, BPE = 2, 3, 2
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a message in wire format: integers, and bytes of all other kinds."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(raw):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, number()
+        else:
+            size = number() if kind == 2 else {1: 8, 5: 4}[kind]
+            yield key >> 3, raw[at : at + size]
+            at += size
+
+
+def model_type(model: bytes) -> int:
+    """The type that a model file names; 1 if it names none."""
+    trainer = b"".join(v for k, v in _fields(model) if k == TRAINER and isinstance(v, bytes))
+    return max((v for k, v in _fields(trainer) if k == MODEL_TYPE and isinstance(v, int)), default=1)
+
+
 class PrefixTable:
     """Encoder and decoder for the pieces of one merge-type model."""
 
@@ -39,6 +78,8 @@ class PrefixTable:
         import ahocorasick
         import sentencepiece
 
+        if model_type(model) != BPE:
+            raise ValueError("the prefix table needs a model of type BPE")
         lib = sentencepiece.SentencePieceProcessor(model_proto=model)  # reads the vocabulary only
         self.score: list[float] = []
         self.text: list[str] = []
@@ -59,6 +100,9 @@ class PrefixTable:
             else:
                 self.pieces[piece] = i
                 self.raw.append(piece.replace(SPACE, " ").encode())
+        odd = [p for p in self.pieces if len(p) > 1 and "\n" in p or SPACE in p.lstrip(SPACE)]
+        if odd:
+            raise ValueError(f"texts can't be cut into runs, as these pieces cross runs: {odd[:5]}")
         self.known = set("".join(self.pieces))
         self.size = len(self.text)
         for c in sorted(self.known - self.pieces.keys()):  # they occur inside pieces only: merged, or else given as bytes
@@ -215,7 +259,8 @@ def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
             decoded = t.decode_many(flat, ends[1:])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), ids, pa.array(decoded, pa.string())], schema=out)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    at = positional(docs)
+    return at.select(F.col(column(docs, id_col)).cast("long").alias("doc_id"), F.col(column(docs, text_col)).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def digest_columns() -> list[Column]:

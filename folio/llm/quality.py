@@ -9,8 +9,10 @@ Training uses at most MAX_TRAIN labelled rows, chosen by a hash of the id, so it
 scoring is one pass without a shuffle. Neither labels nor language, source or id enter a score.
 
 Null texts count as empty and get a score like any other; a null id is in no held-out fold. Rows are scored each, so
-repeated rows give repeated scores; ids with contradicting labels aren't trained on. Without both classes in the
-training rows every score is the share of label 1 (0.5 if there are no labels). Only the id and the text are read.
+repeated rows give repeated scores and equal texts equal ones; ids with contradicting labels aren't trained on, and of an
+id with several texts only the smallest is. Without both classes in the training rows every score is the share of label 1
+(0.5 if there are no labels); without rows set apart for calibration the fitted rows calibrate. Only the id and the text
+are read, whatever the names of other columns; keep_scored() keeps all columns. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -90,7 +92,7 @@ class Model:
 
     def lifted(self, stats: np.ndarray) -> np.ndarray:
         z = np.clip((stats - self.mean) / self.scale, -6, 6)
-        return np.concatenate([np.cos(z @ self.omega + self.phase) * np.sqrt(2 / self.omega.shape[1]), z * 0.1, np.ones((len(z), 1))], axis=1)
+        return np.concatenate([np.cos(z @ self.omega + self.phase) * np.sqrt(2 / self.omega.shape[1]), np.ones((len(z), 1))], axis=1)
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
         return self.lifted(stats) @ self.weights
@@ -115,20 +117,34 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum.accumulate(knots), values
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, held_out, bound: int, keep: str | None = None, each: int | None = None) -> DataFrame:
-    """(y, part, text, weight and the column keep) of at most about bound labelled rows outside the held-out fold; part: 0 fits, 1 calibrates."""
-    one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min(label).alias("__lo"), F.max(label).alias("__hi")).where("__lo = __hi").select("__id", F.col("__lo").cast("int").alias("__y")).where(~held_out(F.col("__id")))
-    unit = (F.xxhash64(F.lit(11), "__id") % 1_000_000 + 1_000_000) / 2_000_000
+def sampled(docs: DataFrame, labels: DataFrame, label: str, held_out, bound: int, keep: str | None = None, each: int | None = None, room: int | None = None) -> DataFrame:
+    """(y, part, text, weight and keep) of at most about bound labelled rows outside the held-out fold; part: 0 fits, 1 calibrates.
+
+    keep: a column of docs that goes along, null if docs has none of that name. each: rows of each class, at most about;
+    room: bytes of texts of each class, at most about, of which no text takes more than a hundredth.
+    """
+    marks = positional(labels).select(F.col(column(labels, "doc_id")).cast("long").alias("id"), F.col(column(labels, label)).cast("int").alias("y"))
+    one = marks.where("y IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("hi")).where("y = hi").drop("hi").where(~held_out(F.col("id")))
+    unit = lambda seed: (F.xxhash64(F.lit(seed), "id") % 1_000_000 + 1_000_000) / 2_000_000
+    known = keep is not None and keep.lower() in [c.lower() for c in docs.columns]
+    text = positional(docs).select(F.col(column(docs, "doc_id")).cast("long").alias("id"), F.coalesce(F.col(column(docs, "text")).cast("string"), F.lit("")).alias("text"), (F.col(column(docs, keep)).cast("string") if known else F.lit(None).cast("string")).alias("keep"))
     if each is None:
         share = F.lit(min(1.0, bound / max(1, one.count())))
-    else:  # each: rows of each class, at most about
-        n = {r["__y"]: r["count"] for r in one.groupBy("__y").count().collect()}
-        share = F.when(F.col("__y") == 1, min(1.0, each / max(1, n.get(1, 0)))).otherwise(min(1.0, each / max(1, n.get(0, 0))))
-    few = one.withColumn("__w", 1 / share).where(unit < share)
-    part = (F.xxhash64(F.lit(13), "__id") % 1_000_000 + 1_000_000) / 2_000_000
-    text = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([keep] if keep else []))
-    # At most about bound rows of ids: a few hundred KB. Texts are not shuffled.
-    return text.join(F.broadcast(few), "__id").select(F.col("__y").alias("y"), F.when(part < 0.35, 1).otherwise(0).alias("part"), "text", F.col("__w").alias("weight"), *([keep] if keep else []))
+    else:
+        n = {r["y"]: r["count"] for r in one.groupBy("y").count().collect()}
+        shares = {y: min(1.0, each / max(1, n.get(y, 0))) for y in (0, 1)}
+        share = F.when(F.col("y") == 1, shares[1]).otherwise(shares[0])
+    few = one.withColumn("weight", 1 / share).where(unit(11) < share)
+    # At most about bound rows of ids: a few hundred KB. Only their texts are shuffled, and combined by id before.
+    rows = text.join(F.broadcast(few), "id")
+    if room is not None:
+        rows = rows.where(F.octet_length("text") <= room // 100)
+        size = {r["y"]: r["size"] for r in rows.groupBy("y").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
+        part = {y: min(1.0, room / max(1, size.get(y, 0) or 0)) for y in (0, 1)}
+        left = F.when(F.col("y") == 1, part[1]).otherwise(part[0])
+        rows = rows.where(unit(12) < left).withColumn("weight", F.col("weight") / left)
+    rows = rows.groupBy("id", "y", "weight").agg(F.min(F.struct("text", "keep")).alias("x"))
+    return rows.select("y", F.when(unit(13) < 0.35, 1).otherwise(0).alias("part"), F.col("x.text").alias("text"), "weight", F.col("x.keep").alias("keep"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out=lambda i: fold(i, 5) == 0, bound: int = MAX_TRAIN) -> Model:
@@ -145,10 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out=l
         rng = np.random.default_rng(SEED)
         mean = np.array([m[f"m{i}"] or 0.0 for i in range(_STATS)])
         scale = np.array([(m[f"s{i}"] or 0.0) + 1e-6 for i in range(_STATS)])
-        model = Model(mean, scale, rng.normal(0, 1 / WIDTH, (_STATS, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + _STATS + 1), np.array([0.0, 1.0]), np.full(2, 0.5 if m["y"] is None else m["y"]))
+        model = Model(mean, scale, rng.normal(0, 1 / WIDTH, (_STATS, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + 1), np.array([0.0, 1.0]), np.full(2, 0.5 if m["y"] is None else m["y"]))
         if not m["n"] or m["y"] in (0.0, 1.0):
             return model
-        width = FEATURES + _STATS + 1
+        width = FEATURES + 1
 
         def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = np.zeros((width, width)), np.zeros(width)
@@ -162,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out=l
         a = sum(np.frombuffer(r["a"]).reshape(width, width) for r in sums)
         b = sum(np.frombuffer(r["b"]) for r in sums)
         model.weights = np.linalg.solve(a + RIDGE * m["n"] * np.eye(width), b)
-        kept = rows.where("part = 1").select("y", "x").toPandas()  # a third of the bounded sample
+        apart = rows.where("part = 1").limit(1).count()
+        kept = rows.where("part = 1" if apart else "part = 0").select("y", "x").toPandas()  # a part of the bounded sample
         if len(kept):
             model.knots, model.values = isotonic(model.raw(np.stack(kept["x"].to_numpy())), kept["y"].to_numpy(float))
         return model
@@ -177,18 +194,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in slabs(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_table(b)))], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double")
+    at = positional(docs)
+    return at.select(F.col(column(docs, id_col)).cast("long").alias("doc_id"), F.coalesce(F.col(column(docs, text_col)).cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_scored(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
     """The rows of docs whose score is at least least, with all their columns; no shuffle."""
-    at = {c: i for i, c in enumerate(docs.columns)}[text_col]
+    at = positional(docs)
+    text = column(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            renamed = pa.RecordBatch.from_arrays(b.columns, [f"c{i}" for i in range(b.num_columns)])
-            for s in slabs(iter([renamed]), f"c{at}"):
-                good = model.score(np.stack([statistics(x or b"") for x in s.column(at).cast(pa.binary()).to_pylist()])) >= least
-                yield pa.RecordBatch.from_arrays(s.filter(pa.array(good)).columns, b.schema.names)
+        for s in slabs(batches, text):
+            good = model.score(np.stack([statistics(x or b"") for x in s.column(text).cast(pa.binary()).to_pylist()])) >= least
+            yield s.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return at.mapInArrow(run, at.schema).toDF(*docs.columns)

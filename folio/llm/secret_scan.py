@@ -16,11 +16,10 @@ keeps all columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.arrays import let, rank, running
 from folio.llm.common import column, positional
 
 #: Greatest distance, in characters, between a value and the part that supports it.
@@ -42,8 +41,8 @@ NEEDS = {
     IDENTIFIER: ("user", "login", "email", "key", "client", "account", "akia", "asia", "aroa", "aida"),
     ENDPOINT: ("://", "host", "endpoint", "server", "base_url", "baseurl"),
 }
-#: Parts of a block of running sums; characters of the blocks from which redact() cuts.
-BLOCK, CHARACTERS = 64, 4_096
+#: Characters of the blocks from which redact() cuts.
+CHARACTERS = 4_096
 _SPANS = "array<struct<s:int,e:int,k:int>>"
 
 
@@ -54,38 +53,6 @@ def _any(lower: Column, needs: tuple[str, ...]) -> Column:
     return out
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def running(numbers: Column, op: Callable[[Column, Column], Column], levels: int = 2) -> Column:
-    """op (of integers, with 0 as its start) over the numbers up to each one, block by block: time grows in proportion, up to BLOCK ** 3 numbers."""
-
-    def over(xs: Column) -> Column:
-        if not levels:
-            return F.transform(xs, lambda _, i: F.aggregate(F.slice(xs, F.lit(1), i + 1), F.lit(0), op))
-        n = F.ceil(F.size(xs) / BLOCK).cast("int")
-        totals = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.aggregate(F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), op))).otherwise(F.array().cast("array<int>"))
-        at = lambda i: F.floor(i / BLOCK).cast("int")
-        return _let(running(totals, op, levels - 1), lambda before: F.transform(xs, lambda _, i: op(F.coalesce(F.get(before, at(i) - 1), F.lit(0)), F.aggregate(F.slice(xs, at(i) * BLOCK + 1, i % BLOCK + 1), F.lit(0), op))))
-
-    return _let(numbers, over)
-
-
-def rank(points: Column, value: Column, inclusive: bool) -> Column:
-    """How many of the sorted points are less than (inclusive: or equal to) value, by binary search."""
-    rounds = F.ceil(F.log2(F.size(points) + F.lit(1.0))).cast("int") + 1
-
-    def step(acc: Column, _: Column) -> Column:
-        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        x = F.get(points, middle)
-        low = (x <= value) if inclusive else (x < value)
-        return F.when(acc["lo"] >= acc["hi"], acc).when(low, F.struct((middle + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), middle.alias("hi")))
-
-    return F.aggregate(F.sequence(F.lit(1), rounds), F.struct(F.lit(0).alias("lo"), F.size(points).alias("hi")), step, lambda acc: acc["lo"])
-
-
 def _spans(text: Column, pattern: str, kind: int, minimum: tuple[int, int] | None = None) -> Column:
     """Spans of the pattern's matches, from the lengths of the matches and of the pieces between them.
 
@@ -99,7 +66,7 @@ def _spans(text: Column, pattern: str, kind: int, minimum: tuple[int, int] | Non
         every = F.zip_with(F.zip_with(sizes, ends, lambda n, e: F.struct((e - n).alias("s"), e.alias("e"))), keep, lambda x, good: F.when(good, F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("k"))))
         return F.filter(every, F.isnotnull)
 
-    return _let(F.transform(found, F.length), placed)
+    return let(F.transform(found, F.length), placed)
 
 
 def _none() -> Column:
@@ -113,7 +80,7 @@ def _nearest(parts: str, value: Column, scope: int) -> Column:
     far = F.lit(1 << 30)
     gaps = lambda b, a: (F.coalesce(value["s"] - b["e"], far), F.coalesce(a["s"] - value["e"], far))
     both = lambda x: F.when(F.least(*gaps(x["b"], x["a"])) > scope, None).when(gaps(x["b"], x["a"])[0] <= gaps(x["b"], x["a"])[1], x["b"]).otherwise(x["a"])
-    return _let(F.struct(before.alias("b"), behind.alias("a")), both)
+    return let(F.struct(before.alias("b"), behind.alias("a")), both)
 
 
 def _with_spans(texts: DataFrame, scope: int) -> DataFrame:
@@ -132,7 +99,7 @@ def _with_spans(texts: DataFrame, scope: int) -> DataFrame:
         # As many base spans have ended before v as have started before its end, if none overlaps it.
         alone = rank(F.col("x_base_s"), v["e"], False) == rank(F.col("x_base_e"), v["s"], True)
         full = lambda p: F.when(p["identifier"].isNotNull() | p["endpoint"].isNotNull(), F.struct(v["s"].alias("s"), v["e"].alias("e"), v["k"].alias("k"), p["identifier"].alias("identifier"), p["endpoint"].alias("endpoint")))
-        return F.when(alone, _let(F.struct(_nearest("x_id", v, scope).alias("identifier"), _nearest("x_end", v, scope).alias("endpoint")), full))
+        return F.when(alone, let(F.struct(_nearest("x_id", v, scope).alias("identifier"), _nearest("x_end", v, scope).alias("endpoint")), full))
 
     # Each array is referred to twice, so that the optimizer computes it once and not inside the lambda.
     used = [f"{c}{f}" for c in ("x_id", "x_end", "x_base") for f in ("", "_s", "_e")]

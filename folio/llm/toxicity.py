@@ -6,10 +6,13 @@ Filters of several widths slide over the whole text, the greatest response of ea
 these gives the score, calibrated (Platt) on training rows that were not fitted. Thresholds are calibrated for each
 language on the same rows; language decides over the threshold only, never over a score.
 
-Training uses at most about MAX_CLASS labelled rows of each class, chosen by a hash of the id; scoring is one pass without a shuffle. Null
-texts count as empty and get the score of a text without words; repeated rows give repeated scores; ids with
-contradicting labels aren't trained on. Without both classes in the training rows every score is the share of label 1.
-Languages with few labelled toxic rows, unknown ones and nulls have the threshold DEFAULT_THRESHOLD.
+Training uses at most about MAX_CLASS labelled rows of each class, chosen by a hash of the id, and TRAIN_BYTES of their
+texts, of which none is longer than a hundredth of that, so what comes to the driver is bounded in rows and bytes;
+scoring is one pass without a shuffle, over whole texts. Null texts count as empty and get the score of a text without
+words; repeated rows give repeated scores; ids with contradicting labels aren't trained on, and of an id with several
+texts only the smallest is. Without both classes in the training rows every score is the share of label 1 (0.5 if there
+are none). Languages with few labelled toxic rows, unknown ones and nulls have the threshold DEFAULT_THRESHOLD, as has a
+table without languages. Extra columns are not read, whatever their names. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from folio.llm.quality import sampled
 
 #: Labelled rows of each class that are trained on, at most; rows of them that a bucket needs; embedding size, filters of each width.
 MAX_CLASS, LEAST_ROWS, SIZE, FILTERS, WIDTHS = 2_500, 3, 8, 12, (1, 2, 3)
+#: Bytes of texts of each class that are trained on, at most about.
+TRAIN_BYTES = 30_000_000
 EPOCHS, BATCH, RATE, DECAY, WORD_DROP, START, SEED = 8, 48, 0.1, 1e-5, 0.1, 0.02, 5
 #: Lengths of the beginnings of a word that have buckets of their own, besides the whole word.
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -120,7 +125,9 @@ class Network:
             if ids_of:
                 ids = np.concatenate([x for t in ids_of for x in (t, pad)] + [pad])
                 starts = np.cumsum([0] + [len(t) + len(pad) for t in ids_of[:-1]])
-                pooled = np.concatenate([np.maximum(np.maximum.reduceat(y[: len(ids) - len(pad)], starts, axis=0), 0) for y in self.responses(self.known[ids])], axis=1)
+                # A text's windows begin at its words and at the first zero behind them; later ones would reach the next text.
+                ends = np.stack([starts, starts + [len(t) + 1 for t in ids_of]], axis=1).ravel()
+                pooled = np.concatenate([np.maximum(np.maximum.reduceat(y, ends, axis=0)[::2], 0) for y in self.responses(self.known[ids])], axis=1)
                 out.append(pooled @ self.out + self.at)
                 done += len(ids_of)
             if len(self.memo) > MEMO:
@@ -162,7 +169,7 @@ def _fit(net: Network, texts: list[np.ndarray], parts_of: np.ndarray, y: np.ndar
             starts = np.cumsum([0] + [len(p) + len(pad) for p in parts])
             x = net.table[parts_of[ids]].sum(axis=1)
             ys = net.responses(x)
-            best = [np.stack([a + y[a:b].argmax(axis=0) for a, b in zip(starts, starts[1:], strict=False)]) for y in ys]
+            best = [np.stack([a + y[a : b - len(pad) + 1].argmax(axis=0) for a, b in zip(starts, starts[1:], strict=False)]) for y in ys]
             top = np.concatenate([np.take_along_axis(y, b, 0) for y, b in zip(ys, best, strict=True)], axis=1)
             pooled = np.maximum(top, 0)
             p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.at, -30, 30)))
@@ -219,9 +226,8 @@ def _threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, held_out=lambda i: fold(i, 3) == 1, bound: int = MAX_CLASS, lang_col: str = "lang") -> Network:
     """Fits the network on labelled rows outside the held-out fold. lang_col is used for thresholds only."""
-    with_lang = docs.select("doc_id", "text", F.col(lang_col).cast("string").alias("__lang"))
-    # At most about bound texts of each class come to the driver.
-    rows = sampled(with_lang, labels, "toxic", held_out, 2 * bound, keep="__lang", each=bound).toPandas().sort_values(["text", "y"], kind="stable")
+    # At most about bound texts and TRAIN_BYTES of each class come to the driver.
+    rows = sampled(docs, labels, "toxic", held_out, 2 * bound, keep=lang_col, each=bound, room=TRAIN_BYTES).toPandas().sort_values(["text", "y"], kind="stable")
     y = rows["y"].to_numpy(float)
     net = Network(np.zeros(0, np.int64), np.zeros((1, SIZE), np.float32))
     fit = rows["part"].to_numpy() == 0
@@ -245,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out=lambda i: fold(i, 3) == 1
     held, weight = rows["text"][rest].tolist(), rows["weight"][rest].to_numpy(float)
     net.platt = _platt(np.concatenate([net.logits(held[i : i + 64]) for i in range(0, len(held), 64)]), y[rest], weight / weight.mean())
     p = np.concatenate([net.score(held[i : i + 64]) for i in range(0, len(held), 64)])
-    langs = rows["__lang"][rest].to_numpy()
+    langs = rows["keep"][rest].to_numpy()
     for lang in sorted({x for x in langs if x is not None}):
         mine = langs == lang
         if y[rest][mine].sum() >= LEAST_TOXIC:
@@ -262,8 +268,9 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
             found = net.score(texts_of(b))
             yield pa.RecordBatch.from_arrays([*b.columns[:1], *b.columns[2:], pa.array(found, pa.float64())], ["doc_id", "lang", "score"])
 
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang")).mapInArrow(run, "doc_id long, lang string, score double")
+    at = positional(docs)
+    lang = F.col(column(docs, "lang")).cast("string") if "lang" in [c.lower() for c in docs.columns] else F.lit(None).cast("string")
+    return at.select(F.col(column(docs, id_col)).cast("long").alias("doc_id"), F.col(column(docs, text_col)).cast("string").alias("text"), lang.alias("lang")).mapInArrow(run, "doc_id long, lang string, score double")
 
 
 def threshold(net: Network, lang: Column) -> Column:

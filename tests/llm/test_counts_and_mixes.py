@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from folio.llm import mixing, token_tree, toxicity
@@ -36,6 +37,68 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in toxicity.score(frame(spark, ODD), none).collect()} == {0.5}
 
 
+def test_network_equals_plain_sums():
+    """Scores by loops over words, filters and positions; gradients' effect: training lowers the loss."""
+    rng = np.random.default_rng(1)
+    words = [f"w{k}" for k in range(60)] + ["schlecht", "schlechter", "schlechtes"]
+    texts = [" ".join(rng.choice(words[:60], rng.integers(0, 30))) for _ in range(200)]
+    y = np.arange(200) % 2.0
+    texts = [t + " schlecht" + "er" * (k % 4 == 1) + " w1 x" if y[k] else t for k, t in enumerate(texts)]
+    net = toxicity.Network(np.zeros(0, np.int64), np.zeros((1, toxicity.SIZE), np.float32))
+    numbers = {}
+    ids = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in toxicity.words_of(t)], np.int64) for t in texts]
+    hashes = toxicity.buckets_of(list(numbers))
+    net.buckets = np.unique(hashes[hashes > 0])
+    toxicity._fit(net, ids, np.concatenate([np.zeros((1, toxicity._PARTS), np.int64), net.rows(hashes)]), y)
+    net.platt = (1.3, -0.2)
+    got = net.score(texts)
+    place = {int(h): k + 1 for k, h in enumerate(net.buckets)}
+    for k in [*range(0, 200, 7), *range(1, 200, 9)]:
+        vectors = []
+        for w in toxicity.words_of(texts[k]):
+            v = np.zeros(toxicity.SIZE)
+            for h in [(zlib.crc32(w.encode()) & toxicity._MASK) + 1] + [(zlib.crc32(("<" + w[:n]).encode()) & toxicity._MASK) + 1 for n in toxicity.PREFIXES if len(w) > n]:
+                v = v + net.table[place[h]] if h in place else v
+            vectors.append(v)
+        vectors += [np.zeros(toxicity.SIZE)] * max(toxicity.WIDTHS)
+        z = net.at
+        for m, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                # No word of another text: a window may begin at any word, or at the first zeros behind the last one
+                best = max(sum(float(vectors[i + j] @ net.filters[m][j][:, f]) for j in range(w) if i + j < len(vectors)) for i in range(len(vectors) - max(toxicity.WIDTHS) + 1))
+                z += net.out[m * toxicity.FILTERS + f] * max(0.0, best + net.bias[m][f])
+        assert abs(got[k] - 1 / (1 + np.exp(-(1.3 * z - 0.2)))) < 1e-4
+    assert got[y == 1].min() > got[y == 0].max()
+    assert np.abs(net.score(texts[::-1])[::-1] - got).max() < 1e-6  # whatever stands beside a text
+
+
+def test_thresholds_have_the_best_f1():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        p, y, w = rng.random(40), (rng.random(40) < 0.4) * 1.0, rng.random(40) + 0.1
+        f1 = lambda t: 2 * (w * y * (p >= t)).sum() / max(1e-9, (w * (p >= t)).sum() + (w * y).sum())  # noqa: E731, B023
+        assert f1(toxicity._threshold(p, y, w)) >= max(f1(t) for t in p) - 1e-9
+
+
+def test_toxicity_without_languages_and_with_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "bad bad word" if i % 2 else "fine words only", "a", 1) for i in range(60)], "a long, b string, c string, d int").toDF("doc_id", "text", "TEXT", "y")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    net = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, net).collect()}
+    assert min(got[i] for i in range(60) if i % 2) > max(got[i] for i in range(0, 60, 2)) and net.thresholds == {}
+
+
+def test_training_texts_are_bounded_in_bytes(spark, monkeypatch):
+    from folio.llm.quality import sampled
+
+    docs = spark.createDataFrame([(i, "x" * (1000 if i % 2 else 100)) for i in range(400)] + [(401, "y" * 30_000)] + [(5, "x" * 1000)] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(402)], "doc_id long, toxic int")
+    rows = sampled(docs, labels, "toxic", lambda i: i < 0, 400, each=300, room=100_000).collect()
+    for y in (0, 1):
+        size = sum(len(r.text) for r in rows if r.y == y)
+        assert 0 < size < 150_000 and max(len(r.text) for r in rows) <= 1_000
+
+
 def counter():
     import public_tokenizers
 

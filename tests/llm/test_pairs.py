@@ -232,7 +232,11 @@ def test_links_in_many_blocks(spark, odd, monkeypatch):
     assert sorted(map(tuple, pivot_dup.linked(df).collect()), key=str) == want
 
 
-def test_neighbours(spark, odd):
+@pytest.mark.parametrize("split", [False, True])
+def test_neighbours(spark, odd, split, monkeypatch):
+    if split:  # a small tree whose leaves are split on the executors
+        for name, value in (("SAMPLE_BYTES", 200 * 64 * 8), ("LEAF_ROWS", 60), ("SPLIT_SAMPLE", 100), ("LEAF_SAMPLE", 12)):
+            monkeypatch.setattr(ann_tree, name, value)
     df, rows = vectors(spark, odd)
     good = [r for r in rows if usable(r[1])]
     ids, x = np.array([r[0] for r in good]), np.array([r[1] for r in good], np.float32).astype(float)
@@ -254,6 +258,36 @@ def test_neighbours(spark, odd):
     assert hits / total >= 0.95
 
 
+def test_leaves_are_split_and_hold_all_rows():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3_000, 8))
+    tree = ann_tree.fit(x[:200])
+    placed = tree.assign(x)
+    parts = {int(i): ann_tree.fit(x[placed == i]) for i in np.unique(placed)[::2]}
+    larger = ann_tree.grafted(tree, parts)
+    assert larger.leaves == tree.leaves + sum(p.leaves - 1 for p in parts.values())
+    now = larger.assign(x)
+    for i in np.unique(placed):  # a leaf's rows lie below it, as its own tree places them
+        mine = now[placed == i]
+        assert len(np.unique(mine)) == (parts[i].leaves if i in parts else 1)
+        if i in parts:
+            assert (parts[i].assign(x[placed == i]) == mine - mine.min()).all()
+    assert sorted(larger.visits(x[0])) == list(range(larger.leaves))
+
+
+def test_neighbours_of_extreme_and_clashing_rows(spark):
+    big = 1e200
+    rows = [(0, [big, 0.0]), (1, [big, big]), (2, [1.0, -1.0]), (3, [-big, big]), (4, [5e-324, 0.0]), (20, [1e-3, 1e9]), (20, [1e-3, 1e8]), (5, [1e9, 1e-9]), (6, [1e9, 2e-9])]
+    df = spark.createDataFrame([(i, v, 1, 1, 1) for i, v in rows], "a long, b array<double>, c int, d int, e int").toDF("vec_id", "embedding", "id", "E", "leaf")
+    got = {}
+    for r in ann_tree.neighbours(df, F.col("vec_id") % 20 == 0, 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    asked = {0: [big, 0.0], 20: [1e-3, 1e8]}
+    for q, v in asked.items():
+        scores = sorted((-(v[0] * x[0] + v[1] * x[1]), i) for i, x in rows if i != q)
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores[:3])]
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (40, [-1.0, 5.0]), (3, None)], "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann_tree.neighbours(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]

@@ -266,6 +266,48 @@ def test_quality_on_held_out_rows(spark, sf):
     assert quality.keep_scored(frame(spark, ODD), model, 0.0).count() == len(ODD)
 
 
+def test_quality_equals_a_dense_recomputation(spark):
+    """Features by the formula, ridge on all rows at once, isotonic steps by the min-max formula."""
+    rng = random.Random(8)
+    clean = lambda: " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(20, 80))) + "."
+    junk = lambda: rng.choice(["BUY NOW!!! ", "x1 ", "$$ 99 "]) * rng.randint(5, 40) + clean()[: rng.randint(0, 120)]
+    rows = [(i, junk() if i % 3 == 0 else clean()) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, y string, id int")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0) if i % 29 else i % 2, 0) for i, _ in rows], "doc_id long, quality int, ID int")
+    model = quality.train(docs, labels)
+    part = {r.id: r.part for r in spark.range(400).select("id", F.when((F.xxhash64(F.lit(13), "id") % 1_000_000 + 1_000_000) / 2_000_000 < 0.35, 1).otherwise(0).alias("part")).collect()}
+    used = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    y = np.array([int(i % 3 != 0) if i % 29 else i % 2 for i, _ in used], float)
+    x = np.stack([quality.statistics(t.encode()) for _, t in used])
+    fit = np.array([part[i] == 0 for i, _ in used])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-6)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -6, 6)
+    wave = np.array([[np.cos(sum(a * b for a, b in zip(r, w, strict=True)) + p) for w, p in zip(model.omega.T, model.phase, strict=True)] for r in z]) * np.sqrt(2 / quality.FEATURES)
+    full = np.hstack([wave, np.ones((len(z), 1))])
+    weights = np.linalg.solve(full[fit].T @ full[fit] + quality.RIDGE * len(y) * np.eye(full.shape[1]), full[fit].T @ y[fit])
+    value = full @ weights
+    assert np.allclose(model.raw(x), value, atol=1e-6)
+    order = np.argsort(value[~fit], kind="stable")
+    v, t = value[~fit][order], y[~fit][order]
+    steps = np.array([max(min(t[j : k + 1].mean() for k in range(i, len(t))) for j in range(i + 1)) for i in range(len(t))])
+    knots, values = quality.isotonic(value[~fit], y[~fit])
+    for level in np.unique(steps):
+        mine = steps == level
+        at = np.flatnonzero(np.isclose(knots[1:-1], v[mine].mean()))
+        assert len(at) == 1 and np.isclose(values[1:-1][at[0]], (t[mine].sum() + 0.25) / (mine.sum() + 0.5), atol=0.05)
+    assert np.allclose(model.score(x), np.clip(np.interp(value, knots, values), 0, 1), atol=1e-6)
+
+
+def test_quality_of_odd_training_tables(spark):
+    docs = spark.createDataFrame([(i, "good words here and there" if i % 2 else "$$ !!", "a", "b") for i in range(8)] + [(3, "another text of id 3", "a", "b")], "doc_id long, text string, c string, d string").toDF("doc_id", "text", "TEXT", "y")
+    few = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    model = quality.train(docs, few, held_out=lambda i: (F.xxhash64(F.lit(13), i) % 1_000_000 + 1_000_000) / 2_000_000 < 0.35)  # nothing is left to calibrate on
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert got[1] > got[2]
+    kept = quality.keep_scored(docs, model, 0.0)
+    assert kept.columns == docs.columns and kept.count() == 9
+
+
 def test_quality_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.train(frame(spark, ODD), labels)
@@ -273,6 +315,13 @@ def test_quality_without_labels(spark):
     assert quality.score(frame(spark, []), model).count() == 0
 
 
+def test_other_models_are_refused():
+    model = read_bytes(tokenizer_path("piece_bpe_32k.model"))
+    assert piece_codec.model_type(model) == piece_codec.BPE and piece_codec.model_type(b"") == 1
+    with pytest.raises(ValueError, match="BPE"):
+        piece_codec.PrefixTable(b"\x12\x02\x18\x01")
+
+
 def test_fold_is_crc32_of_the_id_as_text(spark):
     from folio.llm.common import fold
 
