@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import ArrayType, StringType
@@ -20,6 +20,10 @@ from folio.sources.html import page_fields
 WEIGHTS = {"title": 10, "keywords": 6, "description": 5, "h1": 4, "h2": 3, "h3": 2, "text": 1}
 
 
+#: Words of queries up to which they are broadcast, about 100 bytes each.
+BROADCAST_WORDS = 200_000
+
+
 @dataclass
 class Index:
     """docs (doc_idx, url, title, description, searchable_text), terms (raw), postings (stem, doc_idx, score, positions)."""
@@ -39,6 +43,16 @@ def fields_of(pages: DataFrame, body: str, meta_attribute: str, url: str = "url"
     return pages.where(~filters.skipped(F.col(html), skip_mark)).select(F.col(url).alias("url"), page_fields(F.col(html), body, meta_attribute).alias("f")).select("url", "f.*")
 
 
+def saved(index: Index, path: str) -> None:
+    """Writes the tables of an index, so that searches don't build it again."""
+    for name in ("docs", "terms", "postings"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def opened(spark: SparkSession, path: str) -> Index:
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("docs", "terms", "postings")])
+
+
 def _score(sets: dict[str, Column], stem: Column) -> Column:
     """Sum of the weights of the fields whose set of stems holds the stem."""
     total = F.lit(0.0)
@@ -77,10 +91,14 @@ def search(index: Index, queries: DataFrame, limit: int = 20, consistent: bool =
     asked = queries.select("query_id", F.posexplode(words).alias("at", "raw")).withColumn("stem", stems(F.col("raw"), not consistent))
     asked = stored(asked, "asked")
     known = index.postings.select("stem").distinct()
-    exact = asked.join(index.postings, "stem").select("query_id", "doc_idx", "score", "positions", F.lit(True).alias("exact"))
+    # Few words of queries go to the postings, so that a stem of many pages is not gathered; else both sides are shuffled.
+    hint = F.broadcast if asked.count() <= BROADCAST_WORDS else lambda x: x
+    exact = index.postings.join(hint(asked), "stem").select("query_id", "doc_idx", "score", "positions", F.lit(True).alias("exact"))
     lost = asked.join(known, "stem", "left_anti").select("query_id", "at", F.col("raw").alias("wanted"))
     near = joins.fuzzy(index.terms, lost, "raw", "wanted", max_distance)
-    fuzzy = near.withColumn("stem", stems(F.col("raw"), not consistent)).join(index.postings, "stem").select("query_id", "doc_idx", (F.col("score") * 0.8).alias("score"), "positions", F.lit(False).alias("exact"))
+    near = stored(near.withColumn("stem", stems(F.col("raw"), not consistent)), "near")
+    hint = F.broadcast if near.count() <= BROADCAST_WORDS else lambda x: x
+    fuzzy = index.postings.join(hint(near), "stem").select("query_id", "doc_idx", (F.col("score") * 0.8).alias("score"), "positions", F.lit(False).alias("exact"))
     found = exact.unionByName(fuzzy).groupBy("query_id", "doc_idx").agg(F.sum("score").alias("score"), F.count("*").alias("n"), F.bool_or("exact").alias("exact"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
     order = Window.partitionBy("query_id").orderBy(F.desc("exact"), F.desc(F.round("score", 9)), F.desc("n"), "doc_idx")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "doc_idx", F.round("score", 6).alias("score"), "n", "exact", "positions")

@@ -156,3 +156,42 @@ def test_near_words_equal_all_pairs(spark):
     left, right = words[::2], words[1::2] + words[:5]
     got = {(r.a, r.b): r.distance for r in joins.near_words(spark.createDataFrame([(w,) for w in left], "a string"), spark.createDataFrame([(w,) for w in right], "b string")).collect()}
     assert got == {(a, b): d for a in left for b in set(right) if 1 <= (d := distance(a, b)) <= 2}
+
+
+def test_hot_groups_equal_windows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from folio.operators import ordering
+
+    df = spark.range(3000).select((F.col("id") * 7 % 11).alias("x"), F.when(F.col("id") % 3 == 0, "big").otherwise(F.concat(F.lit("g"), (F.col("id") % 40).cast("string"))).alias("g"), "id", (F.col("id") * 37 % 2000).alias("a")).withColumn("b", F.col("a") + F.col("x")).withColumn("v", F.when(F.col("id") % 5 == 0, F.col("id").cast("string")).otherwise(" "))
+    jobs = [lambda: ordering.paged_within(df, "g", 7, "a", "id"), lambda: ordering.filled_down(df, "g", "v", "a", "id"), lambda: ordering.merged_intervals(df, "g", "a", "b"), lambda: ordering.within_budget(df, "g", "x", 300, "a", "id")]
+    want = [sorted(map(tuple, j().collect()), key=str) for j in jobs]
+    monkeypatch.setattr(ordering, "HOT", 50)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = [sorted(map(tuple, j().collect()), key=str) for j in jobs]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [len(x) for x in want] == [len(x) for x in got] and want == got
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from folio.operators import retrieval
+
+    at = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    asked = at.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    vectors = at.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    want = sorted(map(tuple, retrieval.similar(asked, vectors, 5).collect()))
+    monkeypatch.setattr(retrieval, "BLOCK", 6)
+    assert sorted(map(tuple, retrieval.similar(asked, vectors, 5).collect())) == want and len(want) == 5 * asked.count()
+
+
+def test_saved_index(spark, tmp_path):
+    from folio.operators import index
+
+    pages = spark.createDataFrame([("/a", "<html><head><title>Lamp oil</title></head><body><article><p>burning lamp</p></article></body></html>")], "url string, html string")
+    index.saved(index.build(pages, body="article"), str(tmp_path))
+    asked = spark.createDataFrame([(1, "lamps"), (2, "burnin")], "query_id int, query string")
+    assert {r.query_id for r in index.search(index.opened(spark, str(tmp_path)), asked).collect()} == {1, 2}
