@@ -89,9 +89,9 @@ def linked(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
     kind = positional(vectors).schema[name_vector].dataType
     narrow = "float" if getattr(kind, "elementType", None) == FloatType() else "double"  # shuffled as given
     with scope() as needed:
-        every = stored(every.select("id", F.col("e").cast(f"array<{narrow}>").alias("e")).withColumn("key", F.xxhash64("e")), "vectors")
-        # Classes of equal vectors: the hash pre-aggregates, the vector itself decides.
-        classes = stored(every.groupBy("key", "e").agg(F.min("id").alias("id"), F.count("*").alias("m")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+        every = stored(every.select("id", F.col("e").cast(f"array<{narrow}>").alias("e")).withColumn("key", F.xxhash64("e")).withColumn("key2", F.xxhash64(F.lit(5), "e")), "vectors")
+        # Classes of equal vectors, by 128 bits of hashes.
+        classes = stored(every.groupBy("key", "key2").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.first("e").alias("e")).withColumn("cid", F.monotonically_increasing_id()), "classes")
         n = classes.count()
         most = max(2, min(max(FEWEST, int(GROWTH * math.sqrt(n))), PIVOT_BYTES // (8 * max(1, dimension))))
         _, sample = collected(classes.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(SAMPLE * most).select("id", "e"), dimension)
@@ -137,8 +137,8 @@ def linked(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
         found = stored(big.unionAll(little).groupBy("task", "i", "j").applyInArrow(verify, "id long, links long, label long"), "links")
         links = found.groupBy("id").agg(F.sum("links").alias("links"))
         labels = minimum_labels(found.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")).distinct())
-        known = stored(classes.select("key", "e", "id", "m").join(links, "id", "left").join(labels, "id", "left").select("key", F.col("e").alias("e2"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("label", "id").alias("component")), "known")
-        members = joined(every, known, "key", "id").where(F.col("e") == F.col("e2")).select("id", "n", "component")
+        known = stored(classes.select("key", "key2", "id", "m").join(links, "id", "left").join(labels, "id", "left").select("key", F.col("key2").alias("own"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("label", "id").alias("component")), "known")
+        members = joined(every.select("id", "key", "key2"), known, "key", "id").where("key2 = own").select("id", "n", "component")
         needed.append(members)
     rest = positional(vectors).select(F.col(name_id).cast("long").alias("id"), F.col(name_vector).cast("array<double>").alias("e"))
     part = F.col("id").isNotNull() & F.col("e").isNotNull() & (F.size("e") == dimension) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
