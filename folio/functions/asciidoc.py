@@ -18,6 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ADMONITIONS = ("NOTE", "TIP", "IMPORTANT", "CAUTION", "WARNING")
+# Addresses of players, the query that they begin with, and what options add to it.
+PLAYERS = {
+    "youtube": ("www.youtube.com/embed/", "?rel={}", (("start", "start={}"), ("end", "end={}"), ("autoplay", "autoplay=1"), ("loop", "loop=1"), ("muted", "mute=1"), ("nocontrols", "controls=0"), ("list", "list={}"), ("nofullscreen", "fs=0"), ("modest", "modestbranding=1"), ("theme", "theme={}"), ("lang", "hl={}"))),
+    "vimeo": ("player.vimeo.com/video/", "", (("autoplay", "autoplay=1"), ("loop", "loop=1"), ("muted", "muted=1"), ("hash", "h={}"))),
+}
 _FENCES = {"----": "listing", "====": "example", "____": "quote", "****": "sidebar", "++++": "passthrough", "....": "literal", "--": "open", "|===": "table", "```": "listing"}
 _ITEM = re.compile(r"^\s*(\*+|-|\.+|\d+\.|[A-Za-z]\.|[ivxIVX]+\))\s+(.*)$")
 _TERM = re.compile(r"^(.+?)(:{2,4}|;;)(?:\s+(.*))?$")
@@ -42,8 +47,9 @@ def options_of(text: str, first: str = "") -> dict[str, str]:
         if eq and re.fullmatch(r"[\w-]+", name.strip()):
             out[name.strip()] = value.strip().strip('"')
             continue
-        head = re.match(r"^[^.#%\"]*", part)[0]
-        rest = part[len(head) :]
+        # A label is taken as it stands; marks within a style are short forms.
+        head = part.strip('"') if first == "label" and part[:1] not in (".", "#", "%") else re.match(r"^[^.#%\"]*", part)[0]
+        rest = "" if first == "label" and head and head == part.strip('"') else part[len(head) :]
         for mark, word in re.findall(r"([.#%])([\w-]+)", rest if not rest.startswith('"') else ""):
             key = {".": "role", "#": "id", "%": "opts"}[mark]
             out[key] = f"{out[key]}{' ' if key == 'role' else ','}{word}" if key in out else word
@@ -109,7 +115,7 @@ def inline(text: str) -> list[Node]:
         else:
             name, rest = re.match(r"([a-z]\w*)::?(.*)", body, re.S).groups()
             label, _, opts = rest.partition("[")
-            whole = name in ("footnote", "footnoteref", "pass", "kbd", "btn", "menu") or name in ("link", "xref") and not re.search(r"(^|,)\s*[\w-]+=", opts)
+            whole = name in ("footnote", "doublefootnote", "footnoteref", "pass", "kbd", "btn", "menu") or name in ("link", "xref") and not re.search(r"(^|,)\s*[\w-]+=", opts)
             opts = {"label": opts[:-1]} if whole else options_of(opts[:-1], "label")
             if name == "link":
                 out.append(Node("link", opts.pop("label", ""), {"target": label} | opts))
@@ -436,8 +442,10 @@ class Html:
 
     toc = ""
 
-    def __init__(self, attributes: dict[str, str] | None = None):
+    def __init__(self, attributes: dict[str, str] | None = None, macros: dict[str, Callable[[Node], str]] | None = None):
+        """macros: what further macros give, by name; they come before the known ones."""
         self.attributes = dict(attributes or {})
+        self.macros = macros or {}
         self.titles: dict[str, str] = {}
         self.counters: dict[str, int] = {}
         self.notes: list[str] = []
@@ -477,6 +485,13 @@ class Html:
 
     def _macro(self, n: Node) -> str:
         name, label = n.options["name"], n.options.get("label", "")
+        if name in self.macros:
+            return self.macros[name](n)
+        if name in ("audio", "video"):
+            return self._media(n, label)
+        if name == "counter":  # sets a number and shows nothing
+            self.counters[n.text] = int(label or 1)
+            return ""
         if name == "xref":
             file, hash_, anchor = n.text.partition("#")
             if file.endswith(".adoc"):
@@ -489,11 +504,10 @@ class Html:
         if name == "icon":
             return f'<span class="icon"><i class="{escape(n.text)}"></i></span>'
         if name == "kbd":
-            keys = [k.strip() for k in label.split("+")]
-            shown = "+".join(f"<kbd>{escape(k, quote=False)}</kbd>" for k in keys)
-            return f'<span class="keyseq">{shown}</span>' if len(keys) > 1 else shown
+            keys = [f"<kbd>{escape(k.strip(), quote=False)}</kbd>" for k in label.split("+")]
+            return " + ".join(keys) + "\n" if len(keys) > 1 else f" {keys[0]}\n"
         if name == "btn":
-            return f'<b class="button">{escape(label, quote=False)}</b>'
+            return f' <b class="button">{escape(label, quote=False)}</b>\n'
         if name == "menu":
             if not label:
                 return f' <b class="menuref">{escape(n.text, quote=False)}</b>\n'
@@ -503,7 +517,7 @@ class Html:
             return f' <span class="menuseq">{caret.join(parts)}</span>\n'
         if name == "pass":
             return label
-        if name == "footnote":
+        if name in ("footnote", "doublefootnote"):
             return self._footnote(n.text, label)
         if name == "footnoteref":
             key, _, text = label.partition(",")
@@ -517,6 +531,35 @@ class Html:
             return f' <a id="indexterm-{self.terms}"></a>\n'
         return ""
 
+    def _media(self, n: Node, label: str) -> str:
+        """A player, in its block."""
+        name, o = n.options["name"], n.options
+        poster = label or o.get("poster", "")
+        size = "".join(f' {k}="{escape(o[k])}"' for k in ("width", "height") if k in o)
+        given = lambda *keys: "".join(f" {k}" for k in keys if k in o)
+        controls = "" if "nocontrols" in o else " controls"
+        preload = f' preload="{escape(o["preload"])}"' if "preload" in o else ""
+        source = escape(n.text)
+        if name == "audio":
+            inner = f'  <audio src="{source}"{given("autoplay")}{controls}{given("loop", "muted")}{preload}>\n  Your browser does not support the audio tag.\n  </audio>\n'
+        elif poster in PLAYERS:
+            place, query, parts = PLAYERS[poster]
+            scheme = self.attributes.get("asset-uri-scheme", "https")
+            more = "".join("&amp;" + p.format(escape(o[k])) for k, p in parts if k in o)
+            start = f"#at={escape(o['start'])}" if poster == "vimeo" and "start" in o else ""
+            full = "" if "nofullscreen" in o else " allowfullscreen"
+            inner = f'  <iframe{size} src="{scheme + ":" if scheme else ""}//{place}{source}{query.format(int("related" in o))}{more}{start}" frameborder="0"{full}>\n  </iframe>\n'
+        else:
+            span = f"#t={o.get('start', '')}{',' + o['end'] if 'end' in o else ''}" if "start" in o or "end" in o else ""
+            shown = f' poster="{escape(poster)}"' if poster.strip() else ""
+            inner = f'  <video src="{source}{escape(span)}"{size}{shown}{preload}{given("autoplay", "muted")}{controls}{given("loop")}>\n  Your browser does not support the video tag.\n  </video>\n'
+        role = " " + o["role"] if o.get("role") else ""
+        title = f'  <div class="title">{escape(o["title"], quote=False)}</div>\n' if "title" in o else ""
+        if "block" not in o:
+            return f' <div class="{name}block{role}">\n{title}{inner} </div>\n'
+        side = "".join(f" {mark}{o[k]}" for k, mark in (("float", ""), ("align", "text-")) if k in o)
+        return f' <div class="{name}block{side}{role}">\n{title} <div class="content">\n{inner} </div>\n </div>\n'
+
     def span(self, n: Node) -> str:
         text = escape(n.text, quote=False)
         role = f' class="{escape(n.options["role"])}"' if n.options.get("role") else ""
@@ -675,10 +718,33 @@ class Html:
         return out
 
 
-def to_html(text: str, attributes: dict[str, str] | None = None, include: Callable[[str], str | None] | None = None, header: bool = True) -> str:
+def to_html(text: str, attributes: dict[str, str] | None = None, include: Callable[[str], str | None] | None = None, header: bool = True, macros: dict[str, Callable[[Node], str]] | None = None) -> str:
     parser = Parser(include)
     parser.attributes |= attributes or {}
-    return Html(attributes).content(parser.document(text, header))
+    return Html(attributes, macros).content(parser.document(text, header))
+
+
+def slides(text: str, attributes: dict[str, str] | None = None) -> str:
+    """A deck: a section element for the title and one for each section of the first level, for any presenter that reads these."""
+    parser = Parser()
+    parser.attributes |= attributes or {}
+    document = parser.document(text)
+    page = Html(attributes)
+    for k, v in document.options.items():
+        if k.startswith("attribute:"):
+            page.attributes[k[10:]] = v
+    page.catalogue(document)
+    title = document.options.get("title", "")
+    out = [f'<section class="slide cover"><h1>{page.spans(inline(title))}</h1>\n</section>'] if title else []
+    loose = [n for n in document.children if n.kind != "section"]
+    if any(n.kind != "set-attribute" for n in loose):
+        out.append(f'<section class="slide">\n{page.blocks(loose)}</section>')
+    for n in document.children:
+        if n.kind == "section":
+            own = n.options.get("id") or title_anchor(n.text, page.attributes)
+            role = " " + n.options["role"] if n.options.get("role") else ""
+            out.append(f'<section class="slide{role}" id="{own}"><h2>{page.spans(inline(n.text))}</h2>\n{page.blocks(n.children)}</section>')
+    return "\n".join(out)
 
 
 NODES = "array<struct<path:array<int>,kind:string,text:string,options:map<string,string>>>"
@@ -695,10 +761,20 @@ def nodes(docs: DataFrame, key: str, text: str, includes: dict[str, str] | None
     return docs.select(key, F.explode(run(F.col(text))).alias("n")).select(key, "n.*")
 
 
-def html(text: Column, attributes: dict[str, str] | None = None) -> Column:
+def html(text: Column, attributes: dict[str, str] | None = None, macros: dict[str, Callable[[Node], str]] | None = None) -> Column:
+    @F.pandas_udf("string")  # type: ignore[call-overload]
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: None if t is None else to_html(t, attributes, macros=macros))
+
+    return run(text)
+
+
+def decks(text: Column) -> Column:
+    """Slides of each text."""
+
     @F.pandas_udf("string")  # type: ignore[call-overload]
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: None if t is None else to_html(t, attributes))
+        return values.map(lambda t: None if t is None else slides(t))
 
     return run(text)
 

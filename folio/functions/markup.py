@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import groupby
 
@@ -170,14 +171,156 @@ def shapes(drawings: DataFrame, key: str, text: str) -> DataFrame:
     return drawings.select(key, F.posexplode(run(F.col(text))).alias("shape", "polygon"))
 
 
+_DEFINITION = re.compile(r"\[([^\]]+)\]:\s*(\{.*\})")
+_REFERENCE = re.compile(r"\[([^\]:]+)\]")
+_CORNER = re.compile(r"(\d+)\s*,\s*(\d+)")
+#: Characters of lines by direction, and the ends of lines that are arrows, with the step away from the line.
+_FLAT, _TALL, _JOINTS, _DASHED = "-=", "|:", "+.'", "=:"
+_ARROWS = {"<": (-1, 0), ">": (1, 0), "^": (0, -1), "v": (0, 1)}
+
+
+def _inside(x: int, y: int, corners: list[tuple[int, int]]) -> bool:
+    """Whether an odd number of edges is crossed to the right."""
+    edges = zip(corners, corners[1:] + corners[:1], strict=True)
+    return sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for (ax, ay), (bx, by) in edges) % 2 == 1
+
+
+def _border(corners: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    out = set()
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1], strict=True):
+        n = max(abs(bx - ax), abs(by - ay), 1)
+        out |= {(ax + (bx - ax) * k // n, ay + (by - ay) * k // n) for k in range(n + 1)}
+    return out
+
+
+def _open_lines(grid: dict[tuple[int, int], str], taken: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Cells of the lines beside closed shapes, each from its first end in reading order, straight on where it can."""
+
+    def flows(c: str, horizontal: bool) -> bool:
+        return c in _JOINTS or c in (_FLAT if horizontal else _TALL) or c in _ARROWS and (_ARROWS[c][0] != 0) == horizontal
+
+    free = {p for p, c in grid.items() if p not in taken and c in _FLAT + _TALL + "+" + "<>^v"}
+    near = {}
+    for x, y in free:
+        steps = [(dx, dy) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)) if (x + dx, y + dy) in free]
+        near[x, y] = [s for s in steps if flows(grid[x, y], s[0] != 0) and flows(grid[x + s[0], y + s[1]], s[0] != 0)]
+    out, seen = [], set()
+    for start in sorted((p for p in free if len(near[p]) == 1), key=lambda p: (p[1], p[0])):
+        if start in seen:
+            continue
+        path, step = [start], near[start][0]
+        while True:
+            seen.add(path[-1])
+            ways = [s for s in near[path[-1]] if (path[-1][0] + s[0], path[-1][1] + s[1]) not in seen]
+            if not ways:
+                break
+            step = step if step in ways else ways[0]
+            path.append((path[-1][0] + step[0], path[-1][1] + step[1]))
+        if any(grid[p] in _FLAT + _TALL for p in path):  # letters that look like arrows alone are no lines
+            out.append(path)
+    return out
+
+
+def _turns(path: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ends of a path of cells and the cells where it turns."""
+    way = lambda a, b: (b[0] - a[0], b[1] - a[1])
+    return [p for k, p in enumerate(path) if k in (0, len(path) - 1) or way(path[k - 1], p) != way(p, path[k + 1])]
+
+
+def drawing(text: str, tab: int = 8) -> tuple[list[dict], dict[str, dict]]:
+    """Objects of a drawing and the options of its tags.
+
+    Objects are paths, then texts, each from top to bottom and left to right: kind (closed, open, text), corners, dashed,
+    start and end (whether an arrow stands there), text and tag. "[tag]: {json}" alone gives the options of a tag, and
+    belongs to the shape with the corner x, y if the tag reads so; "[tag]" in a shape tags the outermost one around it.
+    """
+    lines = [x.expandtabs(tab) for x in text.split("\n")]
+    options: dict[str, dict] = {}
+    for k, line in enumerate(lines):
+        m = _DEFINITION.search(line)
+        if m:
+            options[m[1]] = json.loads(m[2])
+            lines[k] = line[: m.start()] + " " * (m.end() - m.start()) + line[m.end() :]
+    grid = {(x, y): c for y, row in enumerate(lines) for x, c in enumerate(row) if c != " "}
+    paths, taken = [], set()
+    for corners in _corners(lines):
+        cells_of = _border(corners)
+        taken |= cells_of
+        paths.append({"kind": "closed", "corners": corners, "dashed": any(grid.get(p, " ") in _DASHED for p in cells_of), "start": False, "end": False, "text": "", "tag": ""})
+    for path in _open_lines(grid, taken):
+        taken |= set(path)
+        paths.append({"kind": "open", "corners": _turns(path), "dashed": any(grid[p] in _DASHED for p in path), "start": grid[path[0]] in _ARROWS, "end": grid[path[-1]] in _ARROWS, "text": "", "tag": ""})
+    texts = []
+    for y, row in enumerate(lines):
+        plain_row = "".join(" " if (x, y) in taken else c for x, c in enumerate(row))
+        for m in re.finditer(r"\S+(?: {1,2}\S+)*", plain_row):
+            texts.append({"kind": "text", "corners": [(m.start(), y)], "dashed": False, "start": False, "end": False, "text": m[0], "tag": ""})
+    place = lambda o: min((y, x) for x, y in o["corners"])
+    paths.sort(key=place)
+    texts.sort(key=place)
+    for t in texts:
+        x, y = t["corners"][0]
+        for m in _REFERENCE.finditer(t["text"]):
+            around = [p for p in paths if p["kind"] == "closed" and _inside(x + m.start(), y, p["corners"])]
+            if around:
+                around[0]["tag"] = t["tag"] = m[1]
+    for tag in options:
+        if m := _CORNER.fullmatch(tag):
+            for p in paths:
+                if p["corners"][0] == (int(m[1]), int(m[2])):
+                    p["tag"] = tag
+    return paths + texts, options
+
+
+def objects(drawings: DataFrame, key: str, text: str, tab: int = 8) -> DataFrame:
+    """(key, seq, kind, corners, dashed, start, end, text, tag) of the objects of each drawing, in their order."""
+
+    @F.pandas_udf("array<struct<kind:string,corners:array<struct<x:int,y:int>>,dashed:boolean,start:boolean,end:boolean,text:string,tag:string>>")  # type: ignore[call-overload]
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: [o | {"corners": [{"x": x, "y": y} for x, y in o["corners"]]} for o in drawing(t or "", tab)[0]])
+
+    return drawings.select(key, F.posexplode(run(F.col(text))).alias("seq", "o")).select(key, "seq", "o.*")
+
+
+def _shade(colour: str) -> str:
+    """Black or white, whichever is read better on a colour of three or six hex digits; black on others."""
+    h = colour.removeprefix("#")
+    if not re.fullmatch(r"[0-9A-Fa-f]{3}|[0-9A-Fa-f]{6}", h):
+        return "#000"
+    r, g, b = (int(x, 16) for x in ([c * 2 for c in h] if len(h) == 3 else [h[i : i + 2] for i in (0, 2, 4)]))
+    return "#fff" if (r * 299 + g * 587 + b * 114) // 1000 < 125 and r + g + b < 500 else "#000"
+
+
+def svg_of(text: str, cell: tuple[int, int] = (9, 16), tab: int = 8, font: str = "monospace") -> str:
+    """A drawing as SVG: closed shapes with the options of their tags as attributes, lines with arrows, texts in a colour that can be read."""
+    found, options = drawing(text, tab)
+    x_of, y_of = (lambda x: x * cell[0] + cell[0] // 2), (lambda y: y * cell[1] + cell[1] // 2)
+    lines = text.split("\n")
+    out = [f'<svg width="{(max(map(len, lines)) + 1) * cell[0]}px" height="{(len(lines) + 1) * cell[1]}px" version="1.1" xmlns="http://www.w3.org/2000/svg">', '<defs><marker id="tip" viewBox="0 0 10 10" refX="5" refY="5" markerWidth="8" markerHeight="8" orient="auto-start-reverse"><path d="M 0 0 L 10 5 L 0 10 z"/></marker></defs>']
+    attributes = lambda tag: "".join(f' {k}="{plain(str(v)).replace(chr(34), "&quot;")}"' for k, v in options.get(tag, {}).items() if ":" not in k)
+    for o in found:
+        x, y = o["corners"][0]
+        if o["kind"] == "text":
+            fills = [str(options.get(p["tag"], {}).get("fill", "none")) for p in found if p["kind"] == "closed" and _inside(x, y, p["corners"])]
+            colour = next((_shade(f) for f in fills if f != "none"), "#000")
+            out.append(f'<text x="{x_of(x)}" y="{y_of(y)}" fill="{colour}" font-family="{font}">{plain(o["text"])}</text>')
+            continue
+        d = "M " + " L ".join(f"{x_of(a)} {y_of(b)}" for a, b in o["corners"]) + (" Z" if o["kind"] == "closed" else "")
+        dashed = ' stroke-dasharray="5 5"' if o["dashed"] else ""
+        tips = "".join(f' marker-{k}="url(#tip)"' for k in ("start", "end") if o[k])
+        given = attributes(o["tag"])
+        out.append(f'<path d="{d}"{"" if " fill=" in given else f" fill={chr(34)}none{chr(34)}"} stroke="#000"{dashed}{tips}{given}/>')
+    return "\n".join([*out, "</svg>"])
+
+
 def svg(drawings: DataFrame, key: str, text: str, cell: tuple[int, int] = (9, 16)) -> DataFrame:
-    """(key, svg): closed shapes as paths and runs of text."""
-    x, y = cell
-    point = lambda p: F.concat((p["x"] * x + x // 2).cast("string"), F.lit(" "), (p["y"] * y + y // 2).cast("string"))
-    paths = shapes(drawings, key, text).select(key, F.lit(0).alias("o"), F.col("shape").alias("a"), F.lit(0).alias("b"), F.concat(F.lit('<path d="M '), F.array_join(F.transform("polygon", point), " L "), F.lit(' Z" fill="#fff" stroke="#000"/>')).alias("e"))
-    runs = text_runs(cells(drawings, key, text), key).select(key, F.lit(1).alias("o"), F.col("y").alias("a"), F.col("x").alias("b"), F.concat(F.lit('<text x="'), (F.col("x") * x).cast("string"), F.lit('" y="'), (F.col("y") * y + y).cast("string"), F.lit('">'), F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</text>")).alias("e"))
-    both = paths.unionByName(runs).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "a", "b", "e"))).alias("x"))
-    return both.select(key, F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">'), F.array_join(F.transform("x", lambda e: e["e"]), ""), F.lit("</svg>")).alias("svg"))
+    """(key, svg) of each drawing."""
+
+    @F.pandas_udf("string")  # type: ignore[call-overload]
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: svg_of(t or "", cell))
+
+    return drawings.select(key, run(F.col(text)).alias("svg"))
 
 
 SELECT_MARKS = ("<!-- VERSIONS START -->", "<!-- VERSIONS END -->")

@@ -8,10 +8,29 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from folio.operators import reports
 
 
+_JSON = {S.StringType: {"type": "string"}, S.BooleanType: {"type": "boolean"}, S.BinaryType: {"type": "string", "contentEncoding": "base64"}, S.DateType: {"type": "string", "format": "date"}, S.TimestampType: {"type": "string", "format": "date-time"}, S.TimestampNTZType: {"type": "string", "format": "date-time"}}
+
+
+def json_schema(kind: S.DataType, title: str | None = None) -> dict:
+    """The JSON Schema of a type: of a table's rows, if it is df.schema; columns that may not be null are required."""
+    if isinstance(kind, S.StructType):
+        out = {"type": "object", "properties": {f.name: json_schema(f.dataType) | ({"description": f.metadata["comment"]} if "comment" in f.metadata else {}) for f in kind.fields}}
+        required = [f.name for f in kind.fields if not f.nullable]
+        return ({"title": title} if title else {}) | out | ({"required": required} if required else {})
+    if isinstance(kind, S.ArrayType):
+        return {"type": "array", "items": json_schema(kind.elementType)}
+    if isinstance(kind, S.MapType):
+        return {"type": "object", "additionalProperties": json_schema(kind.valueType)}
+    if isinstance(kind, S.IntegralType):
+        return {"type": "integer"}
+    return dict(_JSON.get(type(kind), {"type": "number"} if isinstance(kind, S.NumericType) else {}))
+
+
 def _walk(name: str, node: dict, defs: dict, seen: tuple[str, ...]) -> Iterator[tuple]:
     for prop, spec in sorted((node.get("properties") or {}).items()):
         ref = spec.get("$ref") or (spec.get("items") or {}).get("$ref")

@@ -143,3 +143,30 @@ def win_ranks(spark, d):
 def set_intersect(spark, d):
     at = table(spark, d, "documents")
     return at.where("doc_id % 2 = 0").select("source", "lang").intersect(at.where("doc_id % 3 = 0").select("source", "lang"))
+
+
+@query(r"""SELECT conv_id, count(*) AS n, md5('<p>' || string_agg(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'), 'x' ORDER BY turn) || 'x</p>') AS html FROM conversations GROUP BY conv_id""")
+def str_answers(spark, d):
+    from folio.streaming import watch
+
+    deltas = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.regexp_replace("text", "[^A-Za-z0-9]+", " "), F.lit("x")).alias("delta"))
+    return watch.rendered(deltas, "conv_id", "turn", "delta").select("conv_id", "n", F.md5(F.col("html").cast("binary")).alias("html"))
+
+
+@query("SELECT p_partkey AS id, '<section class=\"slide cover\"><h1>' || p_name || '</h1>' || chr(10) || '</section>' || chr(10) || '<section class=\"slide\" id=\"_' || lower(replace(p_brand, '#', '')) || '\"><h2>' || p_brand || '</h2>' || chr(10) || ' <div class=\"paragraph\">' || chr(10) || ' <p>' || chr(10) || p_type || chr(10) || ' </p>' || chr(10) || ' </div>' || chr(10) || '</section>' AS deck FROM part")
+def doc_slides(spark, d):
+    from folio.functions import asciidoc
+
+    text = F.expr(r"concat('= ', p_name, '\n\n== ', p_brand, '\n\n', p_type)")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), asciidoc.decks(text).alias("deck"))
+
+
+@query("SELECT unnest(['p_brand', 'p_name', 'p_partkey', 'p_retailprice', 'p_size', 'p_type']) AS name, unnest(['string', 'string', 'integer', 'number', 'integer', 'string']) AS kind")
+def doc_schema_of_table(spark, d):
+    """The JSON Schema of a table, read as any other."""
+    import json
+
+    from folio.operators import schemas
+
+    body = json.dumps(schemas.json_schema(table(spark, d, "part").schema, "part"))
+    return schemas.properties(spark.createDataFrame([(1, body)], "id int, body string"), "id", "body").select("name", "kind")

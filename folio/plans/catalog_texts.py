@@ -293,6 +293,30 @@ def arr_shapes(spark, d):
     return at.select("id", "shape", F.array_join(F.transform("polygon", lambda p: F.concat_ws(" ", p["x"], p["y"])), ",").alias("corners"))
 
 
+_TAGGED = r"""concat('+', repeat('=', length(p_brand) + 6), '+\n| ', p_brand, ' [t] |----> ', p_type, '\n+', repeat('=', length(p_brand) + 6), '+\n\n[t]: {"fill":"#', left(md5(p_name), 6), '"}')"""
+
+
+@query("""SELECT p_partkey AS id, unnest([0, 1, 2, 3]) AS seq, unnest(['closed', 'open', 'text', 'text']) AS kind, unnest([true, false, false, false]) AS dashed, unnest([false, true, false, false]) AS tip, unnest(['', '', p_brand || ' [t]', p_type]) AS text, unnest(['t', '', 't', '']) AS tag,
+unnest(['0 0,' || (length(p_brand) + 7) || ' 0,' || (length(p_brand) + 7) || ' 2,0 2', (length(p_brand) + 8) || ' 1,' || (length(p_brand) + 12) || ' 1', '2 1', (length(p_brand) + 14) || ' 1']) AS corners FROM part""")
+def arr_objects(spark, d):
+    """Dashed tagged boxes with an arrow to a word."""
+    from folio.functions import markup
+
+    at = markup.objects(_body(spark, d, "part", "p_partkey", _TAGGED), "id", "body")
+    return at.select("id", "seq", "kind", "dashed", F.col("end").alias("tip"), "text", "tag", F.array_join(F.transform("corners", lambda p: F.concat_ws(" ", p["x"], p["y"])), ",").alias("corners"))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_brand, p_type, left(md5(p_name), 6) AS h, length(p_brand) AS n FROM part),
+v AS (SELECT *, CAST('0x' || h[1:2] AS INT) AS r, CAST('0x' || h[3:4] AS INT) AS g, CAST('0x' || h[5:6] AS INT) AS b FROM c)
+SELECT p_partkey AS id, '<path d="M 4 8 L ' || (n * 9 + 67) || ' 8 L ' || (n * 9 + 67) || ' 40 L 4 40 Z" stroke="#000" stroke-dasharray="5 5" fill="#' || h || '"/>' AS box,
+  '<text x="22" y="24" fill="' || CASE WHEN (r * 299 + g * 587 + b * 114) // 1000 < 125 AND r + g + b < 500 THEN '#fff' ELSE '#000' END || '" font-family="monospace">' || p_brand || ' [t]</text>' AS label FROM v""")
+def arr_svg(spark, d):
+    from folio.functions import markup
+
+    lines = F.split("svg", "\n")
+    return markup.svg(_body(spark, d, "part", "p_partkey", _TAGGED), "id", "body").select("id", F.get(lines, F.lit(2)).alias("box"), F.get(lines, F.lit(4)).alias("label"))
+
+
 # Sinks
 
 

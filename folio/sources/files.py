@@ -87,6 +87,38 @@ def archive_entries(archives: DataFrame, key: str, content: str, below: str = ""
     return archives.select(F.col(key).alias("key"), F.col(content).alias("content")).mapInPandas(run, f"key {kind}, name string, data binary").withColumnRenamed("key", key)
 
 
+def unpacked(archive: str, folder: str) -> int:
+    """Writes the files of a zip or tar archive below a folder, with their executable bits; the number of files. Names that lead out of the folder are errors."""
+    import os
+    import tarfile
+    import zipfile
+
+    top, n = os.path.realpath(folder), 0
+
+    def write(name: str, data: bytes, mode: int) -> None:
+        path = os.path.realpath(os.path.join(top, name))
+        if not path.startswith(top + os.sep):
+            raise ValueError(f"{name} leads out of {folder}")
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(data)
+        os.chmod(path, 0o755 if mode & 0o111 else 0o644)
+
+    if zipfile.is_zipfile(archive):
+        with zipfile.ZipFile(archive) as z:
+            for i in z.infolist():
+                if not i.is_dir():
+                    write(i.filename, z.read(i), i.external_attr >> 16)
+                    n += 1
+        return n
+    with tarfile.open(archive) as t:
+        for m in t:
+            if m.isfile():
+                write(m.name, t.extractfile(m).read(), m.mode)
+                n += 1
+    return n
+
+
 def cached(entries: DataFrame, now_ms: Column) -> DataFrame:
     """entries (key, payload, valid_until) with expired; list callers keep rows that aren't."""
     return entries.withColumn("expired", F.col("valid_until") < now_ms)

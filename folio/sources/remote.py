@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import threading
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import Future
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,32 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 RETRIES = 5
 
 
+class Flights:
+    """Calls by key: those that run at the same time with one key are one call, and at most limit calls run at once."""
+
+    def __init__(self, limit: int = 8):
+        self._permits, self._lock, self._running = threading.Semaphore(limit), threading.Lock(), {}
+
+    def call(self, key: object, run: Callable[[], object]) -> object:
+        with self._lock:
+            mine = key not in self._running
+            future = self._running.setdefault(key, Future())
+        if mine:
+            try:
+                with self._permits:
+                    future.set_result(run())
+            except BaseException as e:  # all who wait get it
+                future.set_exception(e)
+            finally:
+                with self._lock:
+                    del self._running[key]
+        return future.result()
+
+
+#: Of this process.
+_flights = Flights()
+
+
 class _Page(InputPartition):
     def __init__(self, url: str):
         self.url = url
@@ -25,14 +54,14 @@ class _Reader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        return [_Page(u) for u in self.options["urls"].split(" ") if u]
+        return [_Page(u) for u in dict.fromkeys(self.options["urls"].split(" ")) if u]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
         url: str | None = partition.url
         page = 0
         while url:
             page += 1
-            status, body, headers = self._get(url)
+            status, body, headers = _flights.call((url, str(sorted(self.options.items()))), functools.partial(self._get, url))
             if status not in {int(s) for s in self.options.get("expectedStatus", "200").split(",")}:
                 raise ValueError(f"{url}: unexpected status {status}")
             yield (partition.url, page, status, body)

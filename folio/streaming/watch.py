@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from folio.functions import markup
+
 
 def changes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, modificationTime, content) of new and rewritten files below a folder."""
@@ -45,3 +47,12 @@ def windowed(events: DataFrame, at: str, group: str, size: str = "1 hour", slide
     """Counts by window and group; an extension, as the original has no windows."""
     w = F.window(at, size, slide) if slide else F.window(at, size)
     return events.withWatermark(at, late).groupBy(w.alias("w"), group).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), group, "n")
+
+
+def rendered(deltas: DataFrame, key: str, seq: str, delta: str) -> DataFrame:
+    """(key, n, html): the answer that the deltas of each key, in the order of seq, make so far, rendered; a stream needs the output mode complete or update.
+
+    An answer's deltas are as many as its words, so they fit into one row.
+    """
+    so_far = deltas.groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(seq, delta))).alias("x"))
+    return so_far.select(key, "n", markup.markdown(F.array_join(F.transform("x", lambda x: x[delta]), "")).alias("html"))

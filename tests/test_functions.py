@@ -117,9 +117,15 @@ def entries(*texts):
         ("image::quay.png[Pier,link=tides.example/p,opts=nofollow]", ' <div class="imageblock">\n <div class="content">\n <a href="tides.example/p" rel="nofollow">\n  <img src="quay.png" alt="Pier">\n </a>\n </div>\n </div>\n'),
         (":imagesdir: /pics/\n\nimage::quay.png[]", ' <div class="imageblock">\n <div class="content">\n <img src="/pics/quay.png" alt="quay.png">\n </div>\n </div>\n'),
         ("[quote, Ada Harbourmaster, Night Log]\n____\nFog again.\n____", ' <div class="quoteblock">\n  <blockquote>\nFog again.  </blockquote>\n  <div class="attribution">\n&#8212; Ada Harbourmaster<br>\n<cite>Night Log</cite>\n  </div>\n </div>'),
+        ("Press kbd:[F2].", para("Press  <kbd>F2</kbd>\n.")),
+        ("audio::waves.ogg[loop=1]", ' <div class="audioblock">\n <div class="content">\n  <audio src="waves.ogg" controls loop>\n  Your browser does not support the audio tag.\n  </audio>\n </div>\n </div>\n'),
+        ("video::surf.mp4[still.png,start=3,end=9,width=320]", ' <div class="videoblock">\n <div class="content">\n  <video src="surf.mp4#t=3,9" width="320" poster="still.png" controls>\n  Your browser does not support the video tag.\n  </video>\n </div>\n </div>\n'),
+        ("video::k3y[youtube,start=7,nofullscreen=1]", ' <div class="videoblock">\n <div class="content">\n  <iframe src="https://www.youtube.com/embed/k3y?rel=0&amp;start=7&amp;fs=0" frameborder="0">\n  </iframe>\n </div>\n </div>\n'),
+        ("video::77[vimeo,start=4,loop=1]", ' <div class="videoblock">\n <div class="content">\n  <iframe src="https://player.vimeo.com/video/77?&amp;loop=1#at=4" frameborder="0" allowfullscreen>\n  </iframe>\n </div>\n </div>\n'.replace("77?", "77")),
+        ("counter:oar[4]{counter:oar}", para("5")),
         ("menu:Deck[Lower]", ' <span class="menuseq"><b class="menu">Deck</b>&#160;<b class="caret">&#8250;</b> <b class="menuitem">Lower</b></span>\n'),
         ("menu:Deck[]", ' <b class="menuref">Deck</b>\n'),
-        ("Press kbd:[Alt+K] or btn:[Stow].", para('Press <span class="keyseq"><kbd>Alt</kbd>+<kbd>K</kbd></span> or <b class="button">Stow</b>.')),
+        ("Press kbd:[Alt+K] or btn:[Stow].", para('Press <kbd>Alt</kbd> + <kbd>K</kbd>\n or  <b class="button">Stow</b>\n.')),
         ("Depth footnote:mark[Sounded by hand.] and footnote:mark[] later.", para('Depth  <sup class="footnote" id="_footnote_mark">[<a id="_footnoteref_1" class="footnote" href="#_footnotedef_1" title="View footnote.">1</a>]</sup>\n and  <sup class="footnoteref">[<a class="footnote" href="#_footnotedef_1" title="View footnote.">1</a>]</sup>\n later.') + ' <div id="footnotes">\n  <hr>\n  <div class="footnote" id="_footnotedef_1">\n   <a href="#_footnoteref_1">1</a>. Sounded by hand.\n  </div>\n </div>\n'),
     ],
 )
@@ -127,6 +133,25 @@ def test_documents(source, html):
     assert asciidoc.to_html(source, header=False) == html
 
 
+def test_macros_of_the_caller():
+    assert asciidoc.to_html("See tide:now[high] there.", macros={"tide": lambda n: f"<i>{n.text}/{n.options['label']}</i>"}) == para("See <i>now/high</i> there.")
+
+
+def test_drawings():
+    text = "+------+   +.....+\n|[box] |-->|     |\n+------+   +.....+\n\n  ^\n  :\n  +---- to sea  side    away\n[box]: {\"fill\":\"#123\",\"x:y\":1}\n[11,0]: {\"id\":\"r\"}"
+    found, options = markup.drawing(text)
+    assert options == {"box": {"fill": "#123", "x:y": 1}, "11,0": {"id": "r"}}
+    shown = [(o["kind"], o["corners"], o["dashed"], o["start"], o["end"], o["text"], o["tag"]) for o in found]
+    assert shown == [
+        ("closed", [(0, 0), (7, 0), (7, 2), (0, 2)], False, False, False, "", "box"), ("closed", [(11, 0), (17, 0), (17, 2), (11, 2)], False, False, False, "", "11,0"),
+        ("open", [(8, 1), (10, 1)], False, False, True, "", ""), ("open", [(2, 4), (2, 6), (6, 6)], True, True, False, "", ""),
+        ("text", [(1, 1)], False, False, False, "[box]", "box"), ("text", [(8, 6)], False, False, False, "to sea  side", ""), ("text", [(24, 6)], False, False, False, "away", ""),
+    ]
+    out = markup.svg_of(text)
+    assert '<path d="M 4 8 L 67 8 L 67 40 L 4 40 Z" stroke="#000" fill="#123"/>' in out and 'fill="#fff" font-family="monospace">[box]</text>' in out and 'marker-end="url(#tip)"' in out and "x:y" not in out
+    assert markup.drawing("") == ([], {})
+
+
 def test_markdown():
     assert markup.markdown_html("## Locks & keys\n\n* turn `a<b` **twice**\n- see [the *map*](/m?a&b)\n\n1 * 2 * 3\r\n__old__ _x_ ** y") == "\n".join(
         ["<h2>Locks &amp; keys</h2>", "<ul>", "<li>turn <code>a&lt;b</code> <strong>twice</strong></li>", '<li>see <a href="/m?a&amp;b" target="_blank" rel="noopener">the <em>map</em></a></li>', "</ul>", "<p>1 <em> 2 </em> 3</p>", "<p><strong>old</strong> _x_ ** y</p>"]
