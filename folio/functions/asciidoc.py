@@ -62,7 +62,7 @@ def options_of(text: str, first: str = "") -> dict[str, str]:
 
 _INLINE = re.compile(
     r"(?P<esc>\\[*_`#^~])|(?P<code>`([^`]+)`)|(?P<bold>\*\*(.+?)\*\*|\*(\S(?:[^*]*\S)?)\*)|(?P<italic>__(.+?)__|(?<!\w)_(\S(?:[^_]*\S)?)_(?!\w))|(?P<strike>~~(.+?)~~)|(?P<sub>~([^~\s]+)~)|(?P<sup>\^([^^\s]+)\^)"
-    r"|(?P<mark>(?:\[(?P<mo>[^\]]*)\])?\#(?P<mt>[^#]+)\#)|(?P<ref><<([^,>]+)(?:,([^>]+))?>>)|(?P<mdimage>!\[(?P<mit>[^\]]*)\]\((?P<miu>[^)\s]+)\))|(?P<stem>stem:\[((?:\\\]|[^\]])*)\])|(?P<mdlink>\[(?P<mlt>[^\]]+)\]\((?P<mlu>[^)\s]+)\))|(?P<attr>\{([\w-]+(?::[^}]*)?)\})"
+    r"|(?P<mark>(?:\[(?P<mo>[^\]]*)\])?\#(?P<mt>[^#]+)\#)|(?P<place>\[\[\[?[\w-]+(?:,[^\]]*)?\]\]\]?)|(?P<ref><<([^,>]+)(?:,([^>]+))?>>)|(?P<mdimage>!\[(?P<mit>[^\]]*)\]\((?P<miu>[^)\s]+)\))|(?P<stem>stem:\[((?:\\\]|[^\]])*)\])|(?P<mdlink>\[(?P<mlt>[^\]]+)\]\((?P<mlu>[^)\s]+)\))|(?P<attr>\{([\w-]+(?::[^}]*)?)\})"
     r"|(?P<macro>(?<![\w])([a-z][\w]*)::?((?:[^\s\[\]]|(?<=icon:fas) |(?<=icon:far) |(?<=icon:fab) )*)\[((?:[^\[\]]|\[[^\[\]]*\])*)\])|(?P<url>(?:https?|ftp)://[^\s\[\]]+(?:\[([^\]]*)\])?)"
 )
 
@@ -87,7 +87,7 @@ def inline(text: str) -> list[Node]:
     for m in _INLINE.finditer(text):
         plain(text[at : m.start()])
         at = m.end()
-        kind = next(k for k in ("esc", "code", "bold", "italic", "strike", "sub", "sup", "mark", "ref", "mdimage", "stem", "mdlink", "attr", "macro", "url") if m[k])
+        kind = next(k for k in ("esc", "code", "bold", "italic", "strike", "sub", "sup", "mark", "place", "ref", "mdimage", "stem", "mdlink", "attr", "macro", "url") if m[k])
         body = m[kind]
         if kind == "esc":
             plain(body[1])
@@ -98,6 +98,8 @@ def inline(text: str) -> list[Node]:
             out.append(Node(kind, body[n:-n]))
         elif kind == "mark":
             out.append(Node("mark", m["mt"], options_of(m["mo"] or "")))
+        elif kind == "place":
+            out.append(Node("place", body.strip("[]").partition(",")[0]))
         elif kind == "ref":
             target, _, label = body[2:-2].partition(",")
             out.append(Node("anchor", label.strip(), {"target": target.strip()}))
@@ -406,22 +408,28 @@ class Parser:
 
     @staticmethod
     def _table(lines: list[str], options: dict[str, str]) -> Node:
-        cells: list[list[str]] = [[]]
-        firsts = [x for x in lines if x.strip()]
+        """Rows of as many cells as the columns, or else the first line, say; "2+" or ".3+" before a cell's bar are its spans."""
+        cells: list[Node] = []
+        first = 0
         for line in lines:
-            if not line.strip():
-                if cells[-1]:
-                    cells.append([])
-                continue
             parts = re.split(r"(?<!\\)\|", line)
-            if parts[0].strip() and cells[-1]:
-                cells[-1][-1] += "\n" + parts[0].strip()
-            cells[-1] += [p.strip() for p in parts[1:]]
-        width = len([c for c in options.get("cols", "").split(",") if c.strip()]) or (len(re.split(r"(?<!\\)\|", firsts[0])) - 1 if firsts else 1)
-        header = "header" in options.get("options", options.get("opts", "")) or len(lines) > 1 and bool(lines[0].strip()) and not lines[1].strip()
-        flat = [c for row in cells for c in row]
-        rows = [flat[i : i + width] for i in range(0, len(flat), max(1, width))]
-        return Node("table", "", {"columns": str(width), "header": str(header).lower()}, [Node("row", "", {}, [Node("cell", c, {}, inline(c)) for c in r]) for r in rows])
+            if parts[0].strip() and cells:
+                cells[-1].text += "\n" + parts[0].strip()
+            spans: dict[str, str] = {}
+            for k, part in enumerate(parts[1:], 1):
+                m = re.fullmatch(r"\s*(\d+)?(?:\.(\d+))?\+\s*", part)
+                if m and (m[1] or m[2]) and k + 1 < len(parts):
+                    spans = {name: v for name, v in (("colspan", m[1]), ("rowspan", m[2])) if v}
+                else:
+                    cells.append(Node("cell", part.strip(), spans | {"raw": part if k + 1 < len(parts) else part.rstrip()}))
+                    spans = {}
+            first = first or len(cells)
+        for c in cells:
+            c.children = inline(c.text)
+        columns = [c for c in options.get("cols", "").split(",") if c.strip()]
+        width = len(columns) or first or 1
+        header = "noheader" not in options.get("options", options.get("opts", ""))
+        return Node("table", "", {"columns": str(width), "header": str(header).lower()}, [Node("row", "", {}, cells[i : i + width]) for i in range(0, len(cells), width)])
 
 
 def rows_of(node: Node, path: tuple[int, ...] = ()) -> list[tuple[list[int], str, str, dict[str, str]]]:
@@ -566,6 +574,8 @@ class Html:
         tag = {"code": "code", "bold": "strong", "italic": "em", "strike": "del", "sub": "sub", "sup": "sup"}.get(n.kind)
         if tag:
             return f"<{tag}>{text}</{tag}>"
+        if n.kind == "place":
+            return f'<a id="{text}"></a>\n'
         if n.kind == "mark":
             return f"<mark{role}>{text}</mark>"
         if n.kind == "link":
@@ -620,8 +630,13 @@ class Html:
         if kind in ("listing", "literal"):
             lang = n.options.get("language", "")
             body = re.sub(r"&lt;(\d+)&gt;", r'<b class="conum">(\1)</b>', escape(n.text)).replace("&#x27;", "'")
-            code = f'<code class="language-{lang} hljs" data-lang="{lang}">{body}</code>' if lang else f"<code>{body}</code>"
-            return f' <div class="listingblock{role}">\n <div class="content">\n <pre class="highlightjs highlight">{code}</pre>\n </div>\n </div>\n'
+            counted = "linenums" in n.options.get("opts", "") or "linenums" in n.options
+            if counted:
+                lines = body.split("\n")
+                body = "\n".join(f'<span class="linenums">{k}</span>{x}' if k <= len(lines) - (not lines[-1]) else x for k, x in enumerate(lines, 1))
+            extra, mark = (' data-linenums="true"', " linenums") if counted else ("", "")
+            code = f'<code class="language-{lang} hljs" data-lang="{lang}"{extra}>{body}</code>' if lang else f"<code{extra}>{body}</code>"
+            return f' <div class="listingblock{role}">\n <div class="content">\n <pre class="highlightjs highlight{mark}">{code}</pre>\n </div>\n </div>\n'
         if kind in ("ulist", "olist"):
             tag = kind[:2]
             style = n.options.get("style", "")
@@ -634,6 +649,12 @@ class Html:
             attrs = f' class="{style}" type="{letter}"' if letter else ""
             items = "".join(f"  <li>\n{self._item(c)}  </li>\n" for c in n.children)
             return f' <div class="{kind}{" " + style if style else ""}{role}">\n <{tag}{attrs}>\n{items} </{tag}>\n </div>\n'
+        if kind == "dlist" and n.options.get("style") == "qanda":
+            items = "".join(f"   <li>\n    <p><em>{self.spans(inline(c.options.get('term', '')))}</em></p>\n{self._answer(c, '    <p>{}</p>' + chr(10))}   </li>\n" for c in n.children)
+            return f' <div class="qlist qanda{role}">\n  <ol>\n{items}  </ol>\n </div>\n'
+        if kind == "dlist" and n.options.get("style") == "horizontal":
+            items = "".join(f"   <tr>\n    <td class=\"hdlist1\">{self.spans(inline(c.options.get('term', '')))}</td>\n    <td class=\"hdlist2\">\n{self._answer(c, '{}    ')}</td>\n   </tr>\n" for c in n.children)
+            return f' <div class="hdlist{role}">\n  <table>\n{items}  </table>\n </div>\n'
         if kind == "dlist":
             return f' <div class="dlist{role}">\n  <dl>\n{"".join(self._term(c) for c in n.children)}  </dl>\n </div>\n'
         if kind == "callouts":
@@ -649,6 +670,8 @@ class Html:
             credit = f'  <div class="attribution">\n&#8212; {escape(by, quote=False)}{cite}\n  </div>\n' if by else ""
             css = "" if n.options.get("plain") else f' class="quoteblock{" abstract" if n.options.get("style") == "abstract" else ""}{role}"'
             inner = "".join(self.spans(c.children) if c.kind == "paragraph" else self.block(c) for c in n.children)
+            if n.options.get("style") == "verse":
+                return f' <div class="verseblock{role}">\n  <pre class="content">\n{inner}  </pre>\n{credit} </div>'
             end = "" if credit or css == "" else "\n"
             return f" <div{css}>\n  <blockquote>\n{inner}  </blockquote>\n{credit} </div>{end}"
         if kind in ("example", "sidebar", "open"):
@@ -684,6 +707,12 @@ class Html:
             return (f" <p>\n{escape(head.text, quote=False)}\n </p>\n" if only.kind == "text" else f" <p>{self.span(only)}</p>") + self.blocks(rest)
         return f' <div class="paragraph">\n <p>{self.spans(head.children)}</p>\n </div>\n' + self.blocks(rest)
 
+    def _answer(self, n: Node, shape: str) -> str:
+        """What a term says: a single paragraph's text in the shape, or its blocks."""
+        if len(n.children) == 1 and n.children[0].kind == "paragraph":
+            return shape.format(self.spans(n.children[0].children))
+        return self.blocks(n.children)
+
     def _term(self, n: Node) -> str:
         term = inline(n.options.get("term", ""))
         name = escape(term[0].text, quote=False) if len(term) == 1 and term[0].kind == "text" else f' <div class="paragraph">\n{self.spans(term)} </div>\n'
@@ -691,20 +720,33 @@ class Html:
         plain = len(body) == 1 and body[0].kind == "paragraph" and len(body[0].children) == 1 and body[0].children[0].kind == "text"
         return f'    <dt class="hdlist1">{name}</dt>\n    <dd>\n{"<p>" + escape(body[0].text, quote=False) + "</p>" + chr(10) if plain else self.blocks(body)}</dd>\n'
 
+    def _cell(self, tag: str, c: Node, side: str, exact: bool) -> str:
+        spans = "".join(f' {k}="{c.options[k]}"' for k in ("colspan", "rowspan") if k in c.options)
+        text = escape(c.options.get("raw", c.text) if exact and len(c.text) == len(c.options.get("raw", "").strip()) else c.text, quote=False)
+        if tag == "th":
+            inner = f"{text}    " if not spans else f" <p>\n{text}\n </p>\n    "
+            return f'    <th class="tableblock halign-{side}"{spans}>\n{inner}</th>\n'
+        inner = self.spans(c.children) if not spans else f" <p>\n{text}\n </p>\n"
+        return f'    <td class="tableblock halign-{side}"{spans}>\n<p class="tableblock">\n{inner}</p>\n    </td>\n'
+
     def _table(self, n: Node) -> str:
-        width = max([len(r.children) for r in n.children] + [1])
-        columns = [c.strip() for c in n.options.get("cols", "").split(",") if c.strip()]
-        weights = [float((re.findall(r"\d+", c) or ["1"])[0]) for c in columns] or [1.0] * width
-        total = sum(weights)
-        shown = "".join(f'   <col style="width: {int(100 * w / total)}%;">\n' for w in weights)
-        rows = list(n.children)
-        head = ""
-        if n.options.get("header") == "true" and rows:
-            cells = rows.pop(0).children
-            inner = "".join(f'    <th class="tableblock halign-left">\n{escape(c.text, quote=False)}{" " if k + 1 < len(cells) else ""}    </th>\n' for k, c in enumerate(cells))
-            head = f"  <thead>\n   <tr>\n{inner}   </tr>\n  </thead>\n"
-        body = "".join("   <tr>\n" + "".join(f'    <td class="tableblock halign-left">\n<p class="tableblock">\n{self.spans(c.children)}</p>\n    </td>\n' for c in r.children) + "   </tr>\n" for r in rows)
-        return f' <table class="tableblock frame-all grid-all stretch">\n  <colgroup>\n{shown}  </colgroup>\n{head}  <tbody>\n{body}  </tbody>\n </table>\n'
+        o, rows = n.options, list(n.children)
+        columns = [c.strip() for c in o.get("cols", "").split(",") if c.strip()]
+        sides = [{"^": "center", ">": "right"}.get((re.findall(r"[<^>]", c) or ["<"])[0], "left") for c in columns]
+        weights = [int((re.findall(r"\d+", c) or ["1"])[0]) for c in columns]
+        share = int(100 / max(1, sum(weights)))
+        shown = "".join(f'   <col style="width: {w * share}%;">\n' for w in weights)
+        auto = "autowidth" in o
+        if auto:
+            shown = "   <col>\n" * max([len(r.children) for r in rows[:1]] + [0])
+        side = lambda k: sides[k] if k < len(sides) else "left"
+        line = lambda r, tag: "   <tr>\n" + "".join(self._cell(tag, c, side(k), bool(columns)) for k, c in enumerate(r.children)) + "   </tr>\n"
+        head = f"  <thead>\n{line(rows.pop(0), 'th')}  </thead>\n" if o.get("header") == "true" and rows else ""
+        body = f"  <tbody>\n{''.join(line(r, 'td') for r in rows)}  </tbody>\n" if rows else ""
+        frame = {"topbot": "ends"}.get(o.get("frame", "all"), o.get("frame", "all"))
+        classes = f"tableblock frame-{frame} grid-{o.get('grid', 'all')}" + (f" stripes-{o['stripes']}" if "stripes" in o else "") + (" fit-content" if auto else " stretch") + (" " + o["role"] if o.get("role") else "")
+        title = f'  <caption class="title">{escape(o["title"], quote=False)}</caption>\n' if "title" in o else ""
+        return f' <table class="{classes}">\n{title}  <colgroup>\n{shown}  </colgroup>\n{head}{body} </table>\n'
 
     def content(self, document: Node) -> str:
         for k, v in document.options.items():

@@ -75,6 +75,22 @@ def entries(*texts):
     return "".join(f"  <li>\n <p>\n{x}\n </p>\n  </li>\n" for x in texts)
 
 
+def th(text, spans="", side="left"):
+    return f'    <th class="tableblock halign-{side}"{spans}>\n{text}    </th>\n'
+
+
+def td(text, spans="", side="left"):
+    return f'    <td class="tableblock halign-{side}"{spans}>\n<p class="tableblock">\n{text}</p>\n    </td>\n'
+
+
+def grid(head, rows, classes="frame-all grid-all", cols=()):
+    line = lambda cells: "   <tr>\n" + "".join(cells) + "   </tr>\n"
+    shown = "".join(f'   <col style="width: {w}%;">\n' for w in cols)
+    top = f"  <thead>\n{line(head)}  </thead>\n" if head else ""
+    body = "  <tbody>\n" + "".join(map(line, rows)) + "  </tbody>\n" if rows else ""
+    return f' <table class="tableblock {classes} stretch">\n  <colgroup>\n{shown}  </colgroup>\n{top}{body} </table>\n'
+
+
 @pytest.mark.parametrize(
     ("source", "html"),
     [
@@ -123,6 +139,17 @@ def entries(*texts):
         ("video::k3y[youtube,start=7,nofullscreen=1]", ' <div class="videoblock">\n <div class="content">\n  <iframe src="https://www.youtube.com/embed/k3y?rel=0&amp;start=7&amp;fs=0" frameborder="0">\n  </iframe>\n </div>\n </div>\n'),
         ("video::77[vimeo,start=4,loop=1]", ' <div class="videoblock">\n <div class="content">\n  <iframe src="https://player.vimeo.com/video/77?&amp;loop=1#at=4" frameborder="0" allowfullscreen>\n  </iframe>\n </div>\n </div>\n'.replace("77?", "77")),
         ("counter:oar[4]{counter:oar}", para("5")),
+        ("[verse]\n____\nwide sea\ngrey sky\n____", ' <div class="verseblock">\n  <pre class="content">\nwide sea grey sky  </pre>\n </div>'),
+        ("[qanda]\nWhy:: Wind\nHow:: Sail\n", ' <div class="qlist qanda">\n  <ol>\n   <li>\n    <p><em>Why</em></p>\n    <p>Wind</p>\n   </li>\n   <li>\n    <p><em>How</em></p>\n    <p>Sail</p>\n   </li>\n  </ol>\n </div>\n'),
+        ("[horizontal]\nbow:: front\nstern:: back\n", ' <div class="hdlist">\n  <table>\n   <tr>\n    <td class="hdlist1">bow</td>\n    <td class="hdlist2">\nfront    </td>\n   </tr>\n   <tr>\n    <td class="hdlist1">stern</td>\n    <td class="hdlist2">\nback    </td>\n   </tr>\n  </table>\n </div>\n'),
+        ("Look up [[[log7]]] first.", para('Look up <a id="log7"></a>\n first.')),
+        ("[%linenums]\n[source,py]\n----\na = 1\nb = 2\n----", ' <div class="listingblock">\n <div class="content">\n <pre class="highlightjs highlight linenums"><code class="language-py hljs" data-lang="py" data-linenums="true"><span class="linenums">1</span>a = 1\n<span class="linenums">2</span>b = 2\n</code></pre>\n </div>\n </div>\n'),
+        ("|===\n| knot | hitch\n| 4 | 7\n|===", grid([th("knot"), th("hitch")], [[td("4"), td("7")]])),
+        ("|===\n|2+| ropes | sails\n|===", grid([th(" <p>\nropes\n </p>\n", ' colspan="2"'), th("sails")], [])),
+        ("|===\n|.2+| tall | x\n|===", grid([th(" <p>\ntall\n </p>\n", ' rowspan="2"'), th("x")], [])),
+        ("[stripes=odd,frame=topbot,grid=rows]\n|===\n| a\n| b\n|===", grid([th("a")], [[td("b")]], "frame-ends grid-rows stripes-odd")),
+        ('[cols="^2,>1"]\n|===\n| mid | end\n\n|x\n|y\n|===', grid([th(" mid ", side="center"), th(" end", side="right")], [[td("x", side="center"), td("y", side="right")]], cols=(66, 33))),
+        ("[%noheader]\n|===\n| a | b\n|===", grid([], [[td("a"), td("b")]])),
         ("menu:Deck[Lower]", ' <span class="menuseq"><b class="menu">Deck</b>&#160;<b class="caret">&#8250;</b> <b class="menuitem">Lower</b></span>\n'),
         ("menu:Deck[]", ' <b class="menuref">Deck</b>\n'),
         ("Press kbd:[Alt+K] or btn:[Stow].", para('Press <kbd>Alt</kbd> + <kbd>K</kbd>\n or  <b class="button">Stow</b>\n.')),
