@@ -52,18 +52,27 @@ def _delete(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(at, True))
 
 
+def _folders(df: DataFrame) -> set[str]:
+    """Last parts of the paths that df reads, from its plan; files aren't listed."""
+    out = set()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths()
+            out |= {paths.apply(j).getName() for j in range(paths.size())}
+    return out
+
+
 @contextmanager
-def scope(*kept: DataFrame) -> Iterator[list[DataFrame]]:
+def scope() -> Iterator[list[DataFrame]]:
     """Deletes, at its end, the tables that were written inside, but for those behind the DataFrames added to the list."""
-    before, keep = set(_written), list(kept)
+    before, keep = set(_written), []
     yield keep
     if keep:
-        spark = keep[0].sparkSession
-        needed = [f for df in keep for f in df.inputFiles()]
-        for path in [p for p in _written if p not in before]:
-            if not any(path.rsplit("/", 1)[-1] in f for f in needed):
-                _delete(spark, path)
-                _written.remove(path)
+        needed = set().union(*map(_folders, keep))
+        for path in [p for p in _written if p not in before and p.rsplit("/", 1)[-1] not in needed]:
+            _delete(keep[0].sparkSession, path)
+            _written.remove(path)
 
 
 def clear(spark: SparkSession) -> int:
