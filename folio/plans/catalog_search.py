@@ -170,3 +170,41 @@ def doc_schema_of_table(spark, d):
 
     body = json.dumps(schemas.json_schema(table(spark, d, "part").schema, "part"))
     return schemas.properties(spark.createDataFrame([(1, body)], "id int, body string"), "id", "body").select("name", "kind")
+
+
+@query("SELECT '/' || doc_id AS url, source AS title, lang AS description, source || ' ' || lang AS h1, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text, md5(trim(regexp_replace(source || ' ' || lang || ' ' || text, '\\s+', ' ', 'g'))) AS body FROM documents")
+def src_page_fields(spark, d):
+    """Title, metas, headings and texts of pages, read from their HTML."""
+    from folio.operators.index import fields_of
+
+    digest = lambda c: F.md5(F.col(c).cast("binary")).alias(c)
+    return fields_of(_pages(spark, d), "article", "content").select("url", "title", "description", "h1", digest("text"), digest("body"))
+
+
+_BOOK = r"concat('= ', p_name, '\n\n== ', p_brand, '\n\nA *', p_type, '* of `', p_size, '` parts.\n\n=== Size ', p_size, '\n\nend\n\n== Last\n')"
+
+
+@query("SELECT p_partkey AS id, '* ' || p_brand || chr(10) || '  * Size ' || p_size || chr(10) || '* Last' AS toc FROM part")
+def doc_contents(spark, d):
+    from folio.functions import asciidoc
+
+    return asciidoc.contents(asciidoc.nodes(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(_BOOK).alias("body")), "id", "body"), "id")
+
+
+@query("SELECT p_partkey AS id, 'A ' || p_type || ' of ' || p_size || ' parts.end' AS text FROM part")
+def doc_plain_text(spark, d):
+    from folio.functions import asciidoc
+
+    return asciidoc.plain_text(asciidoc.nodes(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(_BOOK).alias("body")), "id", "body"), "id")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g)
+SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM b GROUP BY user_id, burst""")
+def str_bursts(spark, d):
+    """Events of a key with less than six hours between them as one."""
+    from folio.streaming import watch
+
+    at = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    out = watch.settled(at, "user_id", "at", "6 hours")
+    return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first", "last")], "n")
