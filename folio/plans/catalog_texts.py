@@ -104,7 +104,7 @@ def fn_markdown(spark, d):
 
 
 @query(r"""SELECT p_partkey, 'category-' || replace(lower(left(p_type, 1)) || lower(regexp_replace(regexp_replace(substr(p_type, 2), '[^\p{L}\p{N}_$]', '-', 'g'), '([A-Z])', '-\1', 'g')), '--', '-') AS class,
-  replace('io.x.' || p_brand, '.', '_') AS anchor, p_size + 1 AS next, 'Fixes' || chr(10) || '** ' || p_name AS body, 1.0 AS length FROM part""")
+  replace('io.x.' || p_brand, '.', '_') AS anchor, p_size + 1 AS next, 'Fixes' || chr(10) || '** ' || p_name AS body, 1.0::DOUBLE AS length FROM part""")
 def fn_small(spark, d):
     unit = T.unit_vector(F.expr("array(CAST(p_size + 1 AS DOUBLE), p_retailprice)"))
     length = F.round(F.sqrt(F.aggregate(unit.cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)), 5)
