@@ -22,8 +22,8 @@ SLAB_BYTES = 2_000_000
 BATCH_ROWS, _ROWS = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-#: A key that holds more than one in SHARES of the rows of a join, and more than LEAST_HOT rows, is split.
-SHARES, LEAST_HOT = 4_096, 10_000
+#: Joins of more than MANY rows split a key that holds more than one in SHARES of them, and more than LEAST_HOT.
+MANY, SHARES, LEAST_HOT = 5_000, 4_096, 500
 
 
 def modest_batches(spark: SparkSession) -> None:
@@ -54,9 +54,9 @@ def joined(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inn
     counts: (key, count) of rows, where known.
     """
     n = rows.count()
-    least = max(LEAST_HOT, n // SHARES)
-    if n <= least:
+    if n <= MANY:
         return rows.join(table, key, how)
+    least = max(LEAST_HOT, n // SHARES)
     counts = rows.groupBy(key).count() if counts is None else counts
     hot = {r[key]: -(-r["count"] // least) for r in counts.where(F.col("count") > least).select(key, "count").collect()}
     if not hot:

@@ -7,7 +7,7 @@ by more distant relatives only if the siblings are used up. All amounts are inte
 
 A leaf with budget b and t tokens gives b div t full epochs and, of one more, the prefix whose tokens fit into the
 rest. The order of an epoch is the md5 of seed, epoch and id. The prefix is found over 4096 ranges of that order: their
-sums are added up for each leaf, and only the range in which the budget ends is sorted. So no task holds a whole leaf,
+sums are added up for each leaf, in two steps, and only the range in which the budget ends is sorted. So no task holds a whole leaf,
 however large, and the rows themselves are not shuffled.
 
 Null domains, languages and sources are the group "unknown"; null texts and texts without words have no tokens, fit in
@@ -71,8 +71,10 @@ def _share_out(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
 
 def leaf_budgets(tokens: DataFrame, weights: dict[str, dict[str, int]], budget_share: float, max_epochs: int) -> DataFrame:
     """(levels, tokens, budget) of each leaf. tokens: (levels, n_tokens); weights: for each level the weights by name."""
-    leaves = tokens.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).withColumn("cap", F.col("tokens") * max_epochs)
-    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    leaves = stored(tokens.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).withColumn("cap", F.col("tokens") * max_epochs), "leaves")
+    n, total = leaves.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    if n <= BROADCAST_LEAVES:  # a table that one task holds needs no shuffles
+        leaves = leaves.coalesce(1)
     at = leaves.withColumn("budget", F.floor(F.lit(total) * budget_share).cast("long"))
     for i, level in enumerate(LEVELS):
         path = list(LEVELS[: i + 1])
@@ -86,6 +88,24 @@ def _order(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
+def _cuts(ranges: DataFrame, leaves: DataFrame, hint) -> DataFrame:
+    """leaves (levels, epochs, rest) with cut, the range where the running sum of ranges (levels, range, n) first passes rest, and before, the sum of those before it.
+
+    Found in two steps, first by all digits but one, so that few rows of a leaf are in one task. "~", which sorts behind
+    all digits: none passes.
+    """
+
+    def step(cuts: DataFrame, start: int, stop: int) -> DataFrame:
+        rows = ranges.join(hint(cuts), list(LEVELS)).where(F.left("range", F.lit(start)) == F.col("cut"))
+        sums = rows.groupBy(*LEVELS, "epochs", "rest", "before", F.left("range", F.lit(stop)).alias("p")).agg(F.sum("n").alias("n"))
+        upto = F.col("before") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("p"))
+        found = sums.withColumn("upto", upto).groupBy(*LEVELS, "epochs", "rest", "before").agg(F.min(F.when(F.col("upto") > F.col("rest"), F.col("p"))).alias("p"), F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("upto"))
+        return found.select(*LEVELS, "epochs", "rest", F.coalesce("p", F.lit("~")).alias("cut"), F.coalesce("upto", "before").cast("long").alias("before"))
+
+    first = stored(step(leaves.withColumn("cut", F.lit("")).withColumn("before", F.lit(0).cast("long")), 0, RANGE_DIGITS - 1), "first")
+    return first.where("cut = '~'").unionByName(step(first.where("cut <> '~'"), RANGE_DIGITS - 1, RANGE_DIGITS))
+
+
 def mixed(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, budget_share: float = 1.0, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, copies (how often the row is taken, 0 too) and row, a struct of docs' columns by position.
 
@@ -106,11 +126,9 @@ def mixed(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, bud
         few = plan.where("rest > 0 OR tokens = 0").select(*LEVELS, "epochs", "rest")
         hint = F.broadcast if plan.count() <= BROADCAST_LEAVES else lambda x: x
         order = _order(seed, F.col("epochs"), F.col("doc_id"))
-        ranges = narrow.join(hint(few), list(LEVELS)).groupBy(*LEVELS, "rest", "epochs", F.left(order, F.lit(RANGE_DIGITS)).alias("range")).agg(F.sum("n_tokens").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("range"))
-        # The range where the running sum first passes the rest; "~" sorts behind all hex digits.
-        cuts = ranges.withColumn("upto", upto).groupBy(*LEVELS, "rest", "epochs").agg(F.coalesce(F.min(F.when(F.col("upto") > F.col("rest"), F.col("range"))), F.lit("~")).alias("cut"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))), F.lit(0)).alias("before"))
-        cuts = stored(cuts, "cuts")
+        ranges = narrow.join(hint(few), list(LEVELS)).groupBy(*LEVELS, F.left(order, F.lit(RANGE_DIGITS)).alias("range")).agg(F.sum("n_tokens").alias("n"))
+        ranges = stored(ranges, "ranges")
+        cuts = stored(_cuts(ranges, few.select(*LEVELS, "epochs", "rest"), hint), "cuts")
         inside = narrow.join(hint(cuts), list(LEVELS)).withColumn("order", order).where(F.left("order", F.lit(RANGE_DIGITS)) == F.col("cut"))
         run = Window.partitionBy(*LEVELS).orderBy("order").rangeBetween(Window.unboundedPreceding, 0)
         # Rows of one range of each leaf: the last order value that still fits. Rows with one id stand or fall together.

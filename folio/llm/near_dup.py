@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import LEAST_HOT, column, cut, joined, positional, scope, slabs, stored
+from folio.llm.common import MANY, column, cut, joined, positional, scope, slabs, stored
 
 WORDS, PERCENT = 5, 75
 #: Values a sketch retains; sets up to WHOLE are retained in full; values that the sketches of a link share at least.
@@ -194,7 +194,7 @@ def minimum_labels(edges: DataFrame) -> DataFrame:
     with scope() as needed:
         both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
         labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
-        degrees = cut(both.groupBy("b").count()) if both.count() > LEAST_HOT else None
+        degrees = cut(both.groupBy("b").count()) if both.count() > MANY else None
         before = None
         while True:
             total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]

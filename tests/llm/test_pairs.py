@@ -131,8 +131,9 @@ def test_groups_of_nested_and_overlapping_texts(spark, monkeypatch):
     for room, least in ((near_dup.ROOM, 10_000), (4_000, 20)):  # also in many small blocks, with split keys
         monkeypatch.setattr(near_dup, "ROOM", room)
         monkeypatch.setattr(near_dup, "LEAST_WEIGHT", min(room // 8, near_dup.LEAST_WEIGHT))
-        monkeypatch.setattr(near_dup, "LEAST_HOT", least)
-        monkeypatch.setattr("folio.llm.common.LEAST_HOT", least)
+        monkeypatch.setattr(near_dup, "MANY", least)
+        monkeypatch.setattr("folio.llm.common.MANY", least)
+        monkeypatch.setattr("folio.llm.common.LEAST_HOT", min(least, 500))
         got = {r.doc_id: r.component_id for r in near_dup.components(df).collect()}
         assert got == want
     assert sum(a != b for a, b in want.items()) > 150
@@ -140,7 +141,8 @@ def test_groups_of_nested_and_overlapping_texts(spark, monkeypatch):
 
 def test_hot_lists_and_copies(spark, monkeypatch):
     """A third of the rows are copies, as many near copies of one text, and many share a passage; hot keys are split."""
-    monkeypatch.setattr(near_dup, "LEAST_HOT", 30)
+    monkeypatch.setattr(near_dup, "MANY", 30)
+    monkeypatch.setattr("folio.llm.common.MANY", 30)
     monkeypatch.setattr("folio.llm.common.LEAST_HOT", 30)
     monkeypatch.setattr(near_dup, "ROOM", 20_000)
     rng = random.Random(11)
@@ -228,6 +230,7 @@ def test_links_in_many_blocks(spark, odd, monkeypatch):
     want = sorted(map(tuple, pivot_dup.linked(df).collect()), key=str)
     for name, value in (("BLOCK", 16), ("TASK", 32)):
         monkeypatch.setattr(pivot_dup, name, value)
+    monkeypatch.setattr("folio.llm.common.MANY", 20)
     monkeypatch.setattr("folio.llm.common.LEAST_HOT", 20)
     assert sorted(map(tuple, pivot_dup.linked(df).collect()), key=str) == want
 
