@@ -16,6 +16,21 @@ def test_entry_without_the_optional_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
 
 
+def test_entry_without_the_pipeline_or_with_a_broken_subpackage(tmp_path):
+    shutil.copytree(os.path.join(TOP, "folio"), tmp_path / "folio", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(os.path.join(TOP, name)):
+            shutil.copy(os.path.join(TOP, name), tmp_path)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert run("import __spark_entry__ as e; assert 'pipeline' not in e.queries()").returncode == 0
+    (tmp_path / "folio" / "llm").mkdir()
+    (tmp_path / "folio" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "folio" / "llm" / "queries.py").write_text("import not_there")
+    broken = run("import __spark_entry__ as e; e.queries()")
+    assert broken.returncode != 0 and "not_there" in broken.stderr  # other import errors are raised
+
+
 def test_nothing_else_imports_it():
     for folder, _, names in os.walk(os.path.join(TOP, "folio")):
         for n in names:
