@@ -106,6 +106,36 @@ def src_service_pages(spark, d):
     return remote.items(pages, "id:bigint,title:string")
 
 
+@query("""SELECT CASE WHEN c_custkey % 4 = 0 THEN 'own' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS key, CAST(c_custkey AS VARCHAR) AS id, c_name AS title, c_nationkey::BIGINT AS version, '/w/' || c_custkey AS link FROM customer WHERE c_custkey % 3 <> 0""")
+def src_wiki_pages(spark, d):
+    from folio.sources import remote
+
+    content = F.expr("concat(IF(c_custkey % 3 = 0, '<p>', '<div made>'), IF(c_custkey % 4 = 0, concat('key=own', c_custkey, ';'), ''), c_mktsegment)")
+    page = F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.struct(F.struct(content.alias("value")).alias("storage")).alias("body"), F.struct(F.col("c_nationkey").alias("number")).alias("version"), F.struct(F.expr("concat('/w/', c_custkey)").alias("webui")).alias("_links"))
+    answers = table(spark, d, "customer").groupBy("c_nationkey").agg(F.to_json(F.struct(F.collect_list(page).alias("results"))).alias("body"))
+    return remote.wiki_pages(answers, ["<div made>"], "key=([^;]+);").select("key", "id", "title", "version", "link")
+
+
+@query("""SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'POST' ELSE 'PUT' END AS method, CASE WHEN c_custkey % 3 = 0 THEN '/content' ELSE '/content/i' || c_custkey END AS path,
+  CASE WHEN c_custkey % 3 = 0 THEN '{' ELSE '{"id":"i' || c_custkey || '",' END || '"type":"page","title":"' || c_name || '",' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '"version":{"number":' || (c_nationkey + 1) || '},' END || '"body":{"storage":{"value":"' || c_mktsegment || '","representation":"storage"}}}' AS body FROM customer WHERE c_custkey % 3 <> 1""")
+def snk_wiki_requests(spark, d):
+    from folio.sources import remote
+
+    customers = table(spark, d, "customer")
+    wanted = customers.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("content"))
+    existing = customers.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("key"), F.expr("concat('i', c_custkey)").alias("id"), F.col("c_nationkey").alias("version"), F.expr("IF(c_custkey % 3 = 1, c_mktsegment, 'old')").alias("content"))
+    return remote.wiki_requests(wanted, existing)
+
+
+@query("""WITH t AS (SELECT s_nationkey AS id, 'tool-' || s_suppkey AS tool, '/opt/' || s_suppkey AS home FROM supplier)
+SELECT id, string_agg('export ' || replace(upper(tool), '-', '_') || '_HOME="' || home || '";', chr(10) ORDER BY tool) || chr(10) || 'export PATH="' || string_agg(home || '/bin', ':' ORDER BY tool) || ':$PATH";' AS script FROM t GROUP BY id""")
+def src_environment_scripts(spark, d):
+    from folio.sources import files
+
+    at = table(spark, d, "supplier").select(F.col("s_nationkey").alias("id"), F.expr("concat('tool-', s_suppkey)").alias("tool"), F.expr("concat('/opt/', s_suppkey)").alias("home"))
+    return files.export_lines(at, "id", "tool", "home")
+
+
 # Table operators
 
 

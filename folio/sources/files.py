@@ -135,6 +135,15 @@ def tool_settings(rows: DataFrame, source: str) -> DataFrame:
     return rows.withColumn("name", F.when(F.endswith(source, F.lit(".sdkmanrc")) & plain, F.concat("name", F.lit(".version"))).otherwise(F.col("name")))
 
 
+def export_lines(installs: DataFrame, group: str, tool: str, home: str) -> DataFrame:
+    """(group, script): shell lines that set a variable for the home of each tool of a group, and put their programs first on the path."""
+    variable = F.concat(F.regexp_replace(F.upper(tool), "[^A-Z0-9]", "_"), F.lit("_HOME"))
+    each = F.struct(F.col(tool).alias("t"), F.concat(F.lit("export "), variable, F.lit('="'), home, F.lit('";')).alias("l"), F.concat(home, F.lit("/bin")).alias("b"))
+    listed = installs.groupBy(group).agg(F.array_sort(F.collect_list(each)).alias("x"))  # the tools of an environment
+    path = F.concat(F.lit('export PATH="'), F.array_join(F.transform("x", lambda x: x["b"]), ":"), F.lit(':$PATH";'))
+    return listed.select(group, F.concat(F.array_join(F.transform("x", lambda x: x["l"]), "\n"), F.lit("\n"), path).alias("script"))
+
+
 def pom_versions(poms: DataFrame, key: str, body: str) -> DataFrame:
     """(key, java, maven): constraints of a pom, from compiler properties and the enforcer's rules."""
     tag = lambda *names: F.coalesce(*[F.nullif(F.trim(F.regexp_extract(body, rf"<{n}>\s*([^<$]+?)\s*</{n}>", 1)), F.lit("")) for n in names])

@@ -65,7 +65,8 @@ class _Reader(DataSourceReader):
             if status not in {int(s) for s in self.options.get("expectedStatus", "200").split(",")}:
                 raise ValueError(f"{url}: unexpected status {status}")
             yield (partition.url, page, status, body)
-            url = _next(headers.get("Link", "")) if self.options.get("paged", "true") == "true" else None
+            following = _next_in_body(body) if self.options.get("next", "header") == "body" else _next(headers.get("Link", ""))
+            url = following if self.options.get("paged", "true") == "true" else None
 
     def _get(self, url: str) -> tuple[int, str, dict]:
         headers = {k[7:]: v for k, v in self.options.items() if k.startswith("header.")}
@@ -90,8 +91,14 @@ def _next(link: str) -> str | None:
     return None
 
 
+def _next_in_body(body: str) -> str | None:
+    """The address of the next page in an answer's _links, which may be relative to their base."""
+    links = json.loads(body).get("_links") or {}
+    return links.get("base", "") + links["next"] if links.get("next") else None
+
+
 class HttpJson(DataSource):
-    """Rows (url, page, status, body) of services; options urls (separated by spaces), method, payload, header.*, timeout, expectedStatus, paged."""
+    """Rows (url, page, status, body) of services; options urls (separated by spaces), method, payload, header.*, timeout, expectedStatus, paged, next (header or body)."""
 
     @classmethod
     def name(cls) -> str:
@@ -123,6 +130,29 @@ def commits_by_branch(commits: DataFrame) -> DataFrame:
     return per.groupBy("project").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("branch", F.transform("x", lambda c: c["title"]).alias("t"))))).alias("branches"))
 
 
+WIKI = "id:string,title:string,body:struct<storage:struct<value:string>>,version:struct<number:bigint>,_links:struct<webui:string>"
+
+
+def wiki_pages(pages: DataFrame, marks: list[str], id_pattern: str | None = None) -> DataFrame:
+    """(key, id, title, content, version, link) of a wiki's search results (url, page, body), pages with one of the marks only.
+
+    The key is what the pattern's group finds in the content, else the page's id.
+    """
+    each = pages.select(F.explode(F.from_json("body", f"results array<struct<{WIKI}>>")["results"]).alias("x")).select("x.*")
+    at = each.select("id", "title", F.col("body.storage.value").alias("content"), F.col("version.number").alias("version"), F.col("_links.webui").alias("link"))
+    made = functools.reduce(lambda a, b: a | b, [F.contains("content", F.lit(m)) for m in marks])
+    own = F.nullif(F.regexp_extract("content", id_pattern, 1), F.lit("")) if id_pattern else F.lit(None)
+    return at.where(made).select(F.coalesce(own, "id").alias("key"), "id", "title", "content", "version", "link")
+
+
+def wiki_requests(wanted: DataFrame, existing: DataFrame) -> DataFrame:
+    """(key, method, path, body) that make a wiki's pages (key, id, version, content) those wanted (key, title, content); pages with equal content need none."""
+    old = existing.select("key", "id", "version", F.col("content").alias("old"))
+    at = wanted.join(old, "key", "left").where(~F.col("content").eqNullSafe(F.col("old")) | F.col("id").isNull())
+    body = F.to_json(F.struct("id", F.lit("page").alias("type"), "title", F.when(F.col("id").isNotNull(), F.struct((F.col("version") + 1).alias("number"))).alias("version"), F.struct(F.struct(F.col("content").alias("value"), F.lit("storage").alias("representation")).alias("storage")).alias("body")))
+    return at.select("key", F.when(F.col("id").isNull(), "POST").otherwise("PUT").alias("method"), F.concat(F.lit("/content"), F.coalesce(F.concat(F.lit("/"), "id"), F.lit(""))).alias("path"), body.alias("body"))
+
+
 def load_json(content_or_path: str) -> str:
     """A JSON text, or that of file:path; anything but an object as {"value": ...}."""
     text = open(content_or_path[5:], encoding="utf-8").read() if content_or_path.startswith("file:") else content_or_path

@@ -103,3 +103,32 @@ def test_answers_of_a_stream(spark, tmp_path):
     q = watch.rendered(stream, "chat", "seq", "delta").writeStream.format("memory").queryName("answers").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.chat: r.html for r in spark.table("answers").collect()} == {1: "<p><strong>tide</strong> now</p>", 2: "<h1>sea</h1>"}
+
+
+def test_pages_whose_answers_name_the_next(spark):
+    import http.server
+    import json
+
+    class Wiki(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            n = int(self.path.rsplit("=", 1)[-1])
+            result = {"id": str(n), "title": f"t{n}", "body": {"storage": {"value": "<div made>" if n != 2 else "by hand"}}, "version": {"number": n}, "_links": {"webui": f"/w{n}"}}
+            links = {"base": f"http://127.0.0.1:{self.server.server_port}", "next": f"/search?n={n + 1}"} if n < 3 else {}
+            body = json.dumps({"results": [result], "_links": links}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), Wiki) as s:
+        thread = threading.Thread(target=s.serve_forever)
+        thread.start()
+        try:
+            pages = remote.http(spark, [f"http://127.0.0.1:{s.server_port}/search?n=1"], next="body")
+            got = remote.wiki_pages(pages, ["<div made>"]).collect()
+        finally:
+            s.shutdown()
+            thread.join()
+    assert sorted((r.key, r.version, r.link) for r in got) == [("1", 1, "/w1"), ("3", 3, "/w3")]
