@@ -268,8 +268,7 @@ def _neighbours(vectors: DataFrame, is_query: Column, k: int, id_col: str, vecto
             bins[leaf] = (max(at, 0), 1)
             room -= size
     at = max(at, 0)
-    first = F.element_at(F.array(*[F.lit(bins[i][0]) for i in range(tree.leaves)]), F.col("leaf") + 1)
-    parts = F.element_at(F.array(*[F.lit(bins[i][1]) for i in range(tree.leaves)]), F.col("leaf") + 1)
+    where = spark.createDataFrame([(i, *bins[i]) for i in range(tree.leaves)], "leaf int, at int, parts int")  # as many rows as the tree has leaves
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -290,7 +289,7 @@ def _neighbours(vectors: DataFrame, is_query: Column, k: int, id_col: str, vecto
 
     asked = stored(queries.mapInArrow(walk, "id long, e array<double>, bin int, leaves array<int>, first boolean"), "visits")
     deal = lambda c, m: F.pmod(F.xxhash64(F.lit(SEED + 2), c), m).cast("int")
-    binned = placed.withColumn("bin", first + deal(F.col("id"), parts)).select("bin", "id", "e", "leaf")
+    binned = placed.join(F.broadcast(where), "leaf").select((F.col("at") + deal(F.col("id"), F.col("parts"))).alias("bin"), "id", "e", "leaf")
 
     def meet(rows: pa.Table, asks: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
