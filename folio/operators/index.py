@@ -101,14 +101,15 @@ def search(index: Index, queries: DataFrame, limit: int = 20, consistent: bool =
     fuzzy = index.postings.join(hint(near), "stem").select("query_id", "doc_idx", (F.col("score") * 0.8).alias("score"), "positions", F.lit(False).alias("exact"))
     found = exact.unionByName(fuzzy).groupBy("query_id", "doc_idx").agg(F.sum("score").alias("score"), F.count("*").alias("n"), F.bool_or("exact").alias("exact"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
     order = Window.partitionBy("query_id").orderBy(F.desc("exact"), F.desc(F.round("score", 9)), F.desc("n"), "doc_idx")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "doc_idx", F.round("score", 6).alias("score"), "n", "exact", "positions")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return stored(best.select("query_id", "rank", "doc_idx", F.round("score", 6).alias("score"), "n", "exact", "positions"), "hits")  # few rows, read more than once
 
 
 def snippets(hits: DataFrame, docs: DataFrame, terms: list[str], radius: int = 55) -> DataFrame:
     """hits with snippet: the merged surroundings of their positions, joined by " ... ", with the terms in bold."""
     at = hits.select("query_id", "doc_idx", F.explode("positions").alias("pos")).join(docs.select("doc_idx", "searchable_text"), "doc_idx")
     spans = at.select("query_id", "doc_idx", F.greatest(F.lit(0), F.col("pos") - radius).alias("start"), F.least(F.length("searchable_text"), F.col("pos") + radius).alias("end")).withColumn("key", F.struct("query_id", "doc_idx"))
-    merged = ordering.merged_intervals(spans, "key", "start", "end").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")).select("key.query_id", "key.doc_idx", "spans")
+    merged = ordering.merged_intervals(spans, "key", "start", "end", bounded=True).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")).select("key.query_id", "key.doc_idx", "spans")
     cutout = lambda s: F.substring(F.col("searchable_text"), s["start"] + 1, s["end"] - s["start"])
     out = merged.join(docs.select("doc_idx", "searchable_text"), "doc_idx").withColumn("snippet", F.array_join(F.transform("spans", cutout), " ... "))
     for t in terms:

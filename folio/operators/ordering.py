@@ -18,12 +18,11 @@ HOT = 1_000_000
 
 
 class _Runs:
-    """Running values within groups, in an order, over groups of any size."""
+    """Running values within groups, in an order, over groups of any size; bounded: no group can be large, so they aren't counted."""
 
-    def __init__(self, df: DataFrame, group: str, order: tuple[Column | str, ...]):
+    def __init__(self, df: DataFrame, group: str, order: tuple[Column | str, ...], bounded: bool = False):
         self.group, self.order, self.names, self.added = group, order, df.columns, []
-        biggest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-        self.hot = biggest > HOT
+        self.hot = not bounded and (df.groupBy(group).count().agg(F.max("count")).first()[0] or 0) > HOT
         self.df = df
         if self.hot:
             parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -118,9 +117,9 @@ def filled_down(df: DataFrame, group: str, value: str, *order: Column | str) ->
     return runs.done().withColumn(value, F.col("__last.v")).drop("__k", "__last")
 
 
-def merged_intervals(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
+def merged_intervals(df: DataFrame, group: str, start: str, end: str, bounded: bool = False) -> DataFrame:
     """(group, start, end, n): overlapping and touching intervals of a group as one."""
-    runs = _Runs(df.select(group, start, end).withColumn("__i", F.monotonically_increasing_id()), group, (start, end, "__i"))
+    runs = _Runs(df.select(group, start, end).withColumn("__i", F.monotonically_increasing_id()), group, (start, end, "__i"), bounded)
     order = runs.window.orderBy(start, end, "__i")
     local = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs.df = runs._carried(runs.df, "__high", local, F.max(end), F.max, lambda before, mine: F.greatest(before, mine))
@@ -128,9 +127,9 @@ def merged_intervals(df: DataFrame, group: str, start: str, end: str) -> DataFra
     return runs.done().groupBy(group, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__island")
 
 
-def within_budget(df: DataFrame, group: str, size: str, budget: int, *order: Column | str) -> DataFrame:
+def within_budget(df: DataFrame, group: str, size: str, budget: int, *order: Column | str, bounded: bool = False) -> DataFrame:
     """The first rows of each group until one would exceed the budget; the first row always stays."""
-    runs = _Runs(df, group, order)
+    runs = _Runs(df, group, order, bounded)
     runs.add("__used", F.col(size).cast("long"), F.sum, F.sum, _plus)
     runs.add("__n", F.lit(1), F.sum, F.sum, _plus)
     runs.add("__cut", F.when((F.col("__used") > budget) & (F.col("__n") > 1), 1).otherwise(0), F.max, F.max, lambda before, mine: F.greatest(before, mine))
