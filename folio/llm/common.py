@@ -23,7 +23,7 @@ BATCH_ROWS, _ROWS = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 #: Joins of more than MANY rows split a key that holds more than one in SHARES of them, and more than LEAST_HOT.
-MANY, SHARES, LEAST_HOT = 5_000, 4_096, 500
+MANY, SHARES, LEAST_HOT = 10_000, 4_096, 10_000
 
 
 def modest_batches(spark: SparkSession) -> None:
