@@ -4,7 +4,7 @@ A document's set holds its distinct five-word shingles as 63-bit hashes; its ske
 a set of up to WHOLE). Documents with equal sets are one class, so copies cost nothing beyond the first pass.
 
 Candidates come from inverted lists of retained values. In two linked documents the sketches share at least NEED values
-(the chance of fewer, at the threshold, is 5e-9 a pair; small sets are exact), so, with the values of a sketch in the
+(the chance of fewer, at the threshold, is 4e-9 a pair; small sets are exact), so, with the values of a sketch in the
 order of their frequency, the first (size - NEED + 1) of each must meet in one. Only these are listed, which keeps
 passages that many documents share out of the lists. The union of two sketches estimates the similarity; pairs that can
 reach the threshold are verified on full sets. This goes in two rounds. First each class meets the first one of its
