@@ -73,8 +73,9 @@ def build(pages: DataFrame, body: str = ".page-content-body", meta_attribute: st
     sets = {f: F.col(f"s_{f}") for f in WEIGHTS}
     words = spread(at).select("doc_idx", T.word_positions(F.col("norm")).alias("words"), *[_stem_lists(F.array_distinct(T.words(T.normalize_index(F.col(f))))).alias(f"s_{f}") for f in WEIGHTS])
     words = words.withColumn("stems", _stem_lists(F.transform("words", lambda w: w["raw"])))
-    each = words.withColumn("w", F.explode(F.arrays_zip("words", "stems"))).select("doc_idx", F.col("w.words.raw").alias("raw"), F.col("w.words.pos").alias("pos"), F.col("w.stems").alias("stem"), *[c.alias(f"s_{f}") for f, c in sets.items()])
-    each = each.withColumn("score", _score(sets, F.col("stem"))).select("doc_idx", "raw", "pos", "stem", "score")
+    # Scores are made before words become rows, so that no row carries the sets of its page.
+    words = words.withColumn("scores", F.transform("stems", lambda s: _score(sets, s)))
+    each = words.select("doc_idx", F.explode(F.arrays_zip("words", "stems", "scores")).alias("w")).select("doc_idx", F.col("w.words.raw").alias("raw"), F.col("w.words.pos").alias("pos"), F.col("w.stems").alias("stem"), F.col("w.scores").alias("score"))
     made = each.groupBy("stem", "doc_idx").agg(F.max("score").alias("score"), F.sort_array(F.collect_list("pos")).alias("positions"), F.collect_set("raw").alias("raws"))
     made = stored(made, "postings")  # words are stemmed once, however often the index is searched
     return Index(docs, made.select(F.explode("raws").alias("raw")).distinct(), made.drop("raws"))
