@@ -47,6 +47,22 @@ def resolved(requests: DataFrame, versions: DataFrame, matches: Column) -> DataF
     return ordering.first_of(requests.join(versions, "tool").where(matches), ["request_id"], "provider_rank", "is_remote", "pos")
 
 
+def resolved_above(requests: DataFrame, versions: DataFrame, wanted: str, offered: str) -> DataFrame:
+    """As resolved() for versions whose offered is above the request's wanted, without pairs; unknown ranks come last.
+
+    Per tool, from the largest value down, a request meets all versions that are above it before its own row: the first of
+    them in rank is a running minimum. Columns of versions must have an order.
+    """
+    ranks = ["provider_rank", "is_remote", "pos"]
+    more = [c for c in versions.columns if c != "tool"]
+    place = F.struct(*[x for c in ranks for x in (F.col(c).isNull(), F.col(c))])
+    asked = requests.where(F.col("tool").isNotNull() & F.col(wanted).isNotNull()).select("tool", F.col(wanted).alias("__x"), F.lit(0).alias("__side"), F.struct(*requests.columns).alias("__r"))
+    given = versions.where(F.col("tool").isNotNull() & F.col(offered).isNotNull()).select("tool", F.col(offered).alias("__x"), F.lit(1).alias("__side"), F.struct(place.alias("place"), F.struct(*more).alias("v")).alias("__offer"))
+    both = asked.unionByName(given, allowMissingColumns=True)
+    found = ordering.running_least(both, "tool", "__offer", "__best", F.desc("__x"), "__side").where("__r IS NOT NULL AND __best IS NOT NULL")
+    return ordering.first_of(found.select("__r.*", "__best.v.*"), ["request_id"], *[F.asc_nulls_last(c) for c in ranks])
+
+
 def overridden(sets: DataFrame, key: str, rank: str) -> DataFrame:
     """One row for each key: of the set with the smallest rank."""
     return ordering.first_of(sets, [key], rank)

@@ -117,6 +117,13 @@ def filled_down(df: DataFrame, group: str, value: str, *order: Column | str) ->
     return runs.done().withColumn(value, F.col("__last.v")).drop("__k", "__last")
 
 
+def running_least(df: DataFrame, group: str, value: str, name: str, *order: Column | str) -> DataFrame:
+    """df with name: the least value of the rows of the group up to each one."""
+    runs = _Runs(df, group, order)
+    runs.add(name, F.col(value), F.min, F.min, lambda before, mine: F.least(before, mine))
+    return runs.done()
+
+
 def merged_intervals(df: DataFrame, group: str, start: str, end: str, bounded: bool = False) -> DataFrame:
     """(group, start, end, n): overlapping and touching intervals of a group as one."""
     runs = _Runs(df.select(group, start, end).withColumn("__i", F.monotonically_increasing_id()), group, (start, end, "__i"), bounded)

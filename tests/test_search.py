@@ -195,3 +195,20 @@ def test_saved_index(spark, tmp_path):
     index.saved(index.build(pages, body="article"), str(tmp_path))
     asked = spark.createDataFrame([(1, "lamps"), (2, "burnin")], "query_id int, query string")
     assert {r.query_id for r in index.search(index.opened(spark, str(tmp_path)), asked).collect()} == {1, 2}
+
+
+def test_first_version_above(spark, monkeypatch):
+    """Without pairs, as over all pairs: equal, missing and odd values, repeated requests, groups of any size."""
+    from folio.operators import joins, ordering
+
+    nan = float("nan")
+    asked = [(k // 2 if k % 40 == 1 else k, None if k % 31 == 0 else k % 3, nan if k % 37 == 0 else None if k % 41 == 0 else float(k * 7 % 50)) for k in range(300)]
+    given = [(None if k % 29 == 0 else k % 3, k % 4, k % 2 == 0, k, nan if k % 67 == 5 else None if k % 43 == 0 else -0.0 if k % 23 == 0 else float(k * 11 % 50)) for k in range(200)]
+    requests = spark.createDataFrame(asked, "request_id int, tool int, low double")
+    versions = spark.createDataFrame(given, "tool int, provider_rank int, is_remote boolean, pos int, high double")
+    ask = lambda: sorted((r.request_id, r.pos) for r in joins.resolved_above(requests, versions, "low", "high").collect())
+    want = sorted((r.request_id, r.pos) for r in joins.resolved(requests, versions, F.col("high") > F.col("low")).collect())
+    plan = joins.resolved_above(requests, versions, "low", "high")._jdf.queryExecution().optimizedPlan().toString()
+    assert ask() == want and len(want) > 200 and "Join" not in plan
+    monkeypatch.setattr(ordering, "HOT", 20)
+    assert ask() == want
