@@ -251,7 +251,7 @@ def doc_node_counts(spark, d):
 def doc_cross_references(spark, d):
     from folio.functions import asciidoc
 
-    return asciidoc.cross_references(asciidoc.nodes(_body(spark, d, "part", "p_partkey", _ADOC), "id", "body"), "id").select("id", "target", "label")
+    return asciidoc.cross_references(asciidoc.nodes(_body(spark, d, "part", "p_partkey", _ADOC), "id", "body", kinds=("section", "anchor")), "id").select("id", "target", "label")
 
 
 _PLAIN = r"regexp_replace(regexp_replace(text, '[^A-Za-z0-9\n]+', ' ', 'g'), ' *\n *', chr(10), 'g')"

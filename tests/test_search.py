@@ -212,3 +212,19 @@ def test_first_version_above(spark, monkeypatch):
     assert ask() == want and len(want) > 200 and "Join" not in plan
     monkeypatch.setattr(ordering, "HOT", 20)
     assert ask() == want
+
+
+def test_cross_references_parse_once(spark):
+    """Each document is parsed once, by as many tasks as there are cores, for the nodes that references need."""
+    from folio.functions import asciidoc
+
+    text = "= T\n\n== A b\n\nsee <<_a_b>>, <<_no>>, <<x,y>> and *bold*.\n\n[[x]]\n=== C\n\n== A b\n"
+    docs = spark.createDataFrame([(k if k else None, text) for k in range(40)], "id int, t string").coalesce(1)
+    whole = sorted(map(tuple, asciidoc.cross_references(asciidoc.nodes(docs, "id", "t"), "id").fillna(-1).collect()))
+    tree = asciidoc.nodes(docs, "id", "t", kinds=("section", "anchor"))
+    got = sorted(map(tuple, asciidoc.cross_references(tree, "id").fillna(-1).collect()))
+    assert got == whole and len(got) == 120 and {r[2:] for r in got if r[0] == 7} == {("_a_b", "A b"), ("_no", "_no"), ("x", "y")}
+    assert {r[2:] for r in got if r[0] == -1} == {("_a_b", "_a_b"), ("_no", "_no"), ("x", "y")}
+    assert tree.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and {r.kind for r in tree.collect()} == {"section", "anchor"}
+    plan = asciidoc.cross_references(tree, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
