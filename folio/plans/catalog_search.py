@@ -43,9 +43,8 @@ SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context
 def search_retrieval(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text", F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("url"))
-    both = texts.join(vectors, "id")
     asked = vectors.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.lit(_ASKED).alias("question"), F.col("v").alias("q"))
-    return retrieval.contexts(retrieval.hybrid(asked, both, 4).join(both.select("id", "title", "url", "text"), "id"))
+    return retrieval.contexts(retrieval.with_texts(retrieval.hybrid(asked, texts, vectors, 4), texts))
 
 
 def _pages(spark, d) -> DataFrame:

@@ -228,3 +228,46 @@ def test_cross_references_parse_once(spark):
     assert tree.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and {r.kind for r in tree.collect()} == {"section", "anchor"}
     plan = asciidoc.cross_references(tree, "id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_hybrid_without_pairs(spark):
+    """As over all pairs: ties, odd vectors, missing texts and questions, several questions."""
+    from folio.operators import ordering, retrieval
+
+    nan, inf = float("nan"), float("inf")
+    odd = {3: None, 7: [nan, 1.0, 0.0], 11: [1.0, None, 2.0], 13: [0.0, 0.0, 0.0], 17: [1.0], 19: [], 23: [inf, 0.0, 1.0], 29: [1e200, 1.0, 0.0]}
+    vector = lambda n: odd.get(n, [float(n % 5), float(n % 3), float(n % 7 - 3)])
+    words = ["modules", "a plugin", "release", "nothing", "Feature set"]
+    texts = spark.createDataFrame([(n, None if n == 41 else f"T{n % 2}", words[n % 5]) for n in range(150)], "id int, title string, text string").repartition(5)
+    vectors = spark.createDataFrame([(n, vector(n)) for n in range(140)], "id int, v array<double>").repartition(3)
+    asked = ["Which features?", "What modules are released?", "the", "Which features?"]
+    first = spark.createDataFrame([(n, asked[n % 4], vector(n)) for n in range(0, 60, 2)], "query_id int, question string, q array<double>")
+    rest = spark.createDataFrame([(100, None, [1.0, 0.0, 0.0]), (101, "features", [nan, 0.0, 0.0]), (102, "plugins", None), (103, "plugins", [1.0]), (104, "plugins", [0.0, 0.0, 0.0])], first.schema)
+
+    def want(queries, k):
+        primary, synonyms = retrieval.T.query_terms(F.col("question"))
+        q = queries.select("query_id", "q", retrieval.T.norm(F.col("q")).alias("q_norm"), primary.alias("p"), synonyms.alias("s"))
+        low = F.lower(F.concat("title", F.lit("\n"), "text"))
+        each = texts.join(vectors, "id").select("id", "v", retrieval.T.norm(F.col("v")).alias("v_norm"), low.alias("low"))
+        total = retrieval._cosine() + 0.5 * (retrieval.T.term_fraction(F.col("p"), F.col("low")) + 0.3 * retrieval.T.term_fraction(F.col("s"), F.col("low")))
+        return ordering.best_with_fallback(each.crossJoin(q).select("query_id", "id", F.round(total, 6).alias("score")), "query_id", "score", 0.15, k, "id").select("query_id", "rank", "id", "score")
+
+    for queries in (first, first.unionByName(rest), rest.where("query_id < 103")):
+        for k in (1, 6):
+            got = retrieval.hybrid(queries, texts, vectors, k)
+            assert got.columns == ["query_id", "rank", "id", "score"] and got.schema["id"].dataType.typeName() == "integer"
+            assert sorted(map(str, got.collect())) == sorted(map(str, want(queries, k).collect()))
+    named = vectors.withColumn("id", F.col("id").cast("string"))
+    by_name = retrieval.hybrid(first, texts.withColumn("id", F.col("id").cast("string")), named, 3)
+    assert by_name.count() > 30
+
+
+def test_texts_are_scored_once(spark):
+    """A text meets each distinct question once, not each query."""
+    from folio.operators import retrieval
+
+    vectors = spark.range(20).select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
+    texts = vectors.select("id", F.lit("t").alias("title"), F.lit("modules").alias("text"))
+    queries = vectors.select(F.col("id").alias("query_id"), F.lit("Which modules?").alias("question"), F.col("v").alias("q"))
+    plan = retrieval.hybrid(queries, texts, vectors, 2)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "contains" not in plan and "mapinarrow" in plan
