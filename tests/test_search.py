@@ -271,3 +271,12 @@ def test_texts_are_scored_once(spark):
     queries = vectors.select(F.col("id").alias("query_id"), F.lit("Which modules?").alias("question"), F.col("v").alias("q"))
     plan = retrieval.hybrid(queries, texts, vectors, 2)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "contains" not in plan and "mapinarrow" in plan
+
+
+def test_merged_intervals_of_equal_rows(spark):
+    """Intervals that many rows share stay one interval, whose rows are all counted."""
+    from folio.operators import ordering
+
+    rows = [("u", a, a + 110) for a in (0, 111, 200, 500, 611) for _ in range(60)]
+    got = sorted(map(tuple, ordering.merged_intervals(spark.createDataFrame(rows, "g string, a long, b long").repartition(7), "g", "a", "b").collect()))
+    assert got == [("u", 0, 110, 60), ("u", 111, 310, 120), ("u", 500, 610, 60), ("u", 611, 721, 60)]
